@@ -5,31 +5,34 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.functions.edits import distance, edit_counts
 from voxframe.functions.text import words
 
-EDIT_TYPE = "struct<distance:int,substitutions:int,deletions:int,insertions:int>"
-PAIR_TYPE = "struct<distance:int,substitutions:int,deletions:int,insertions:int,char_distance:int>"
-_EDIT_ARROW = pa.struct([(n, pa.int32()) for n in ("distance", "substitutions", "deletions", "insertions")])
-_PAIR_ARROW = pa.struct([*_EDIT_ARROW, pa.field("char_distance", pa.int32())])
+EDIT_FIELDS = ("distance", "substitutions", "deletions", "insertions")
+PAIR_FIELDS = (*EDIT_FIELDS, "char_distance")
 
 
-def _rows(kind: pa.StructType, rows: list[tuple | None]) -> pa.Array:
-    names = [field.name for field in kind]
+def _spark_type(names: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType()) for n in names])
+
+
+def _rows(names: tuple[str, ...], rows: list[tuple | None]) -> pa.Array:
+    kind = pa.struct([(n, pa.int32()) for n in names])
     return pa.array([None if r is None else dict(zip(names, r)) for r in rows], type=kind)
 
 
 def edit_ops(ref: Column, hyp: Column, compat: bool = False) -> Column:
     """Distance and S/D/I counts between two arrays of tokens; null where either is null."""
 
-    @F.arrow_udf(EDIT_TYPE)
+    @F.arrow_udf(_spark_type(EDIT_FIELDS))
     def counts(a: pa.Array, b: pa.Array) -> pa.Array:
         rows = [
             None if x is None or y is None else edit_counts(x, y, compat)
             for x, y in zip(a.to_pylist(), b.to_pylist())
         ]
-        return _rows(_EDIT_ARROW, rows)
+        return _rows(EDIT_FIELDS, rows)
 
     return counts(ref, hyp)
 
@@ -37,7 +40,7 @@ def edit_ops(ref: Column, hyp: Column, compat: bool = False) -> Column:
 def pair_edits(ref: Column, hyp: Column, compat: bool = False) -> Column:
     """Word edits and character distance of two normalised texts in one pass over the pair."""
 
-    @F.arrow_udf(PAIR_TYPE)
+    @F.arrow_udf(_spark_type(PAIR_FIELDS))
     def counts(a: pa.Array, b: pa.Array) -> pa.Array:
         rows = []
         for x, y in zip(a.to_pylist(), b.to_pylist()):
@@ -46,12 +49,12 @@ def pair_edits(ref: Column, hyp: Column, compat: bool = False) -> Column:
                 continue
             chars = distance(x.replace(" ", ""), y.replace(" ", ""))
             rows.append((*edit_counts(x.split(), y.split(), compat), chars))
-        return _rows(_PAIR_ARROW, rows)
+        return _rows(PAIR_FIELDS, rows)
 
     return counts(ref, hyp)
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def char_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Character edit distance of two texts, spaces left out."""
     return pa.array(
@@ -63,7 +66,7 @@ def char_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def word_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Word edit distance of two texts."""
     return pa.array(

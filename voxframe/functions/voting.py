@@ -8,6 +8,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.functions.text import n_words
 
@@ -39,7 +40,7 @@ def _slots(ref: list[str], tgt: list[str], compat: bool) -> list[str | None]:
     return slots
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def align_to_reference(ref: pa.Array, tgt: pa.Array) -> pa.Array:
     """Reference position of each target word, null where it has none; case counts."""
     return pa.array(
@@ -58,7 +59,7 @@ def aligned_slots(ref: Column, tgt: Column, compat: bool = False) -> Column:
     number is the reference position of target word ``p``.
     """
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
     def slots(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(
             [

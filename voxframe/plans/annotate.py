@@ -34,7 +34,7 @@ POLISH_PROMPTS = {
 }
 
 
-def request(prompts: Mapping[str, str], lang: Column, **fields: Column) -> Column:
+def request(prompts: Mapping[str, str], lang: Column, fields: Mapping[str, Column]) -> Column:
     """The request of the row's language; the entry ``''`` serves all others."""
     named = {code: text for code, text in prompts.items() if code}
     return prompt_by_language(named, prompts[""], lang, fields)

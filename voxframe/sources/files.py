@@ -51,35 +51,40 @@ def scan_texts(
     )
 
 
-def scan_utterance_lines(spark: SparkSession, path: str, glob: str = "*.trans.txt") -> DataFrame:
-    """Lines ``<utt_id> <text>`` of transcript files, one file per chapter folder.
+def parse_utterance_lines(lines: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFrame:
+    """Lines ``<utt_id> <text>`` with the ``path`` of their file, one file per chapter folder.
 
     Lines without text are dropped, folders with several such files skipped; of lines with the
-    same id in a folder the last one counts.
+    same id in a folder the last one in ``order`` counts.
     """
+    parts = F.split(F.regexp_replace("value", r"\r$", ""), " ", 2)
+    parsed = lines.select(parent(F.col("path")).alias("chapter"), "path", *order, parts.alias("_p"))
+    single = (
+        parsed.groupBy("chapter").agg(F.min("path").alias("_low"), F.max("path").alias("_high"))
+        .where(F.col("_low") == F.col("_high"))
+        .select("chapter")
+    )
+    utt_id, text = F.get("_p", F.lit(0)), strip_ws(F.get("_p", F.lit(1)))
+    kept = parsed.where(F.size("_p") == 2).select("chapter", utt_id.alias("utt_id"), text.alias("text"), *order)
+    last = last_wins(kept, ["chapter", "utt_id"], order)
+    return last.join(single, "chapter", "left_semi").select("chapter", "utt_id", "text")
+
+
+def scan_utterance_lines(spark: SparkSession, path: str, glob: str = "*.trans.txt") -> DataFrame:
+    """Utterance lines of all transcript files below a folder."""
     lines = (
         spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
+            F.col("_metadata.file_path").alias("path"),
+            # a large file may be read in several parts
+            F.col("_metadata.file_block_start").alias("part"),
+            F.monotonically_increasing_id().alias("line_no"),
             "value",
         )
     )
-    parts = F.split(F.regexp_replace("value", r"\r$", ""), " ", 2)
-    parsed = lines.select(parent(F.col("_file")).alias("chapter"), "_file", "_block", "_line", parts.alias("_p"))
-    single = (
-        parsed.groupBy("chapter").agg(F.min("_file").alias("_low"), F.max("_file").alias("_high"))
-        .where(F.col("_low") == F.col("_high"))
-        .select("chapter")
-    )
-    kept = parsed.where(F.size("_p") == 2).select(
-        "chapter", F.get("_p", F.lit(0)).alias("utt_id"), strip_ws(F.get("_p", F.lit(1))).alias("text"), "_block", "_line"
-    )
-    whole = last_wins(kept, ["chapter", "utt_id"], ["_block", "_line"])
-    return whole.join(single, "chapter", "left_semi").select("chapter", "utt_id", "text")
+    return parse_utterance_lines(lines, ("part", "line_no"))
 
 
 def scan_labels(spark: SparkSession, files: DataFrame, path: str, glob: str = "*.lab") -> DataFrame:
