@@ -8,9 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace that Python's ``str.split`` and ``\s`` know, as a Java regex class body.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = r"\p{Z}\t-\r\x1c-\x1f\x85"
 WS = f"[{SPACES}]"
-NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACES}]"
+# Whitespace that is not one plain space between two words already.
+UNEVEN_WS = f" {WS}+|[{SPACES}&&[^ ]]{WS}*"
+NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACES}]+"
 
 # Buckwalter transliteration, each Latin sign and the Arabic sign it stands for.
 BUCKWALTER = {
@@ -22,8 +24,9 @@ BUCKWALTER = {
     ";": "ۗ", ",": "ۘ", ".": "۠", "!": "ۡ",
 }
 
-# Arabic marks that are dropped, letters that are folded, the block that is kept.
-ARABIC_MARKS = r"[\u064b-\u065f\u0670\u06d6-\u06ed]"
+# Arabic marks that are dropped (first and last code points), letters that are folded,
+# the block that is kept.
+ARABIC_MARKS = ((0x064B, 0x065F), (0x0670, 0x0670), (0x06D6, 0x06ED))
 ARABIC_FOLDS = {"إ": "ا", "أ": "ا", "آ": "ا", "ى": "ي", "ة": "ه"}
 ARABIC_BLOCK = r"\u0600-\u06ff"
 
@@ -47,7 +50,7 @@ def strip_ws(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """One space between words, none at the ends; case kept."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_WS, " "))
 
 
 def words(c: Column) -> Column:
@@ -65,10 +68,14 @@ def buckwalter_to_arabic(c: Column) -> Column:
 
 
 def normalize_ar(c: Column) -> Column:
-    """Arabic comparison form: no marks, folded letters, Arabic block only. Null gives ''."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), ARABIC_MARKS, "")
-    text = F.lower(F.translate(text, "".join(ARABIC_FOLDS), "".join(ARABIC_FOLDS.values())))
-    return squeeze(F.regexp_replace(text, f"[^{ARABIC_BLOCK}{SPACES}]", ""))
+    """Arabic comparison form: no marks, folded letters, Arabic block only. Null gives ''.
+
+    No letter of the block has case, so there is none to fold.
+    """
+    marks = "".join(chr(code) for first, last in ARABIC_MARKS for code in range(first, last + 1))
+    # letters without a counterpart are dropped
+    text = F.translate(F.coalesce(c, F.lit("")), "".join(ARABIC_FOLDS) + marks, "".join(ARABIC_FOLDS.values()))
+    return squeeze(F.regexp_replace(text, f"[^{ARABIC_BLOCK}{SPACES}]+", ""))
 
 
 def normalize_generic(c: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -91,24 +95,27 @@ def chunk_windows(
     upto = F.least(
         from_chunk + (chunks_per_block - 1), F.floor((F.col("_seen") - F.col("_ref") - 1) / size.chunk)
     )
-    chunks = items.withColumn("chunk", F.explode(F.when(upto >= from_chunk, F.sequence(from_chunk, upto))))
-    placed = (
-        chunks.withColumn("n", F.col("_ref") + F.col("chunk") * size.chunk)
-        .withColumn("ctx_start", F.greatest(F.col("n") - size.back, F.lit(0).cast("long")))
-        .withColumn("ctx_end", F.least(F.col("n") + size.ahead, F.col("_seen")))
-        .withColumn("_ready", F.col("ctx_end") - F.col("n"))
-    )
-    regular = is_regular(size, F.col("_ready"))
-    final = is_final(size, F.col("_ready"), F.col("chunk"))
-    window = F.slice("_items", F.col("ctx_start") - F.col("_first") + 1, F.col("ctx_end") - F.col("ctx_start"))
-    return placed.where(regular | final).select(
-        key,
-        "chunk",
-        "n",
-        "ctx_start",
-        "ctx_end",
-        final.alias("is_final"),
-        F.transform(window, lambda t: t["token"]).alias("tokens"),
+
+    def window(chunk: Column) -> Column:
+        n = F.col("_ref") + chunk * size.chunk
+        start = F.greatest(n - size.back, F.lit(0).cast("long"))
+        end = F.least(n + size.ahead, F.col("_seen"))
+        inside = F.slice("_items", (start - F.col("_first") + 1).cast("int"), (end - start).cast("int"))
+        return F.struct(
+            chunk.alias("chunk"),
+            n.alias("n"),
+            start.alias("ctx_start"),
+            end.alias("ctx_end"),
+            F.transform(inside, lambda t: t["token"]).alias("tokens"),
+        )
+
+    # the block's tokens are cut inside the row, so only contexts leave it
+    windows = F.transform(F.sequence(from_chunk, upto), window)
+    chunks = items.where(upto >= from_chunk).select(key, F.inline(windows))
+    ready = F.col("ctx_end") - F.col("n")
+    final = is_final(size, ready, F.col("chunk"))
+    return chunks.where(is_regular(size, ready) | final).select(
+        key, "chunk", "n", "ctx_start", "ctx_end", final.alias("is_final"), "tokens"
     )
 
 
@@ -131,13 +138,39 @@ def cut_frames(
     )
 
 
-def _weight(j: Column, length: Column, kind: str) -> Column:
-    t = (j + 1) / (length + 1)
-    if kind == "ramp":
-        return 1 - t
-    if kind == "triangle":
-        return 0.5 - F.abs(t - 0.5)
-    raise ValueError(f"unknown weight {kind!r}: ramp or triangle")
+def _weights(low: int, count: int, at: int, length: int, kind: str) -> np.ndarray:
+    """Weights of a frame's samples from position ``low`` on; the frame starts at ``at``."""
+    t = (np.arange(low - at, low - at + count) + 1) / (length + 1)
+    return 1 - t if kind == "ramp" else 0.5 - np.abs(t - 0.5)
+
+
+def _mean_of_pieces(kind: str) -> Callable[[pa.Array, pa.Array, pa.Array], pa.Array]:
+    """Weighted mean over the pieces of each block, on the batch's own buffers."""
+
+    def mean(pieces: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        flat = pieces.flatten()
+        at, length, low = (flat.field(n).to_numpy() for n in ("at", "len", "low"))
+        x = flat.field("x")
+        values = x.flatten().to_numpy(zero_copy_only=False)
+        edges = x.offsets.to_numpy() - x.offsets[0].as_py()
+        firsts = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        starts, sizes = start.to_numpy(), end.to_numpy() - start.to_numpy()
+        out_edges = np.concatenate([[0], np.cumsum(sizes)])
+        total, weight = np.zeros(out_edges[-1]), np.zeros(out_edges[-1])
+        for row in range(len(pieces)):
+            for p in range(firsts[row], firsts[row + 1]):
+                part = values[edges[p] : edges[p + 1]]
+                to = out_edges[row] + low[p] - starts[row]
+                w = _weights(low[p], len(part), at[p], length[p], kind)
+                total[to : to + len(part)] += w * part
+                weight[to : to + len(part)] += w
+        covered = weight > 0
+        np.divide(total, weight, out=total, where=covered)
+        return pa.ListArray.from_arrays(
+            pa.array(out_edges, pa.int32()), pa.array(total, pa.float64(), mask=~covered)
+        )
+
+    return mean
 
 
 def overlap_add(
@@ -156,45 +189,37 @@ def overlap_add(
     position no frame covers is null.
     """
     length = F.size(frame).cast("long")
+    if weight not in ("ramp", "triangle"):
+        raise ValueError(f"unknown weight {weight!r}: ramp or triangle")
     begin = F.col(at).cast("long")
     first = F.greatest(F.floor(begin / stride), F.lit(0).cast("long"))
     last = F.floor((begin + length - 1) / stride)
-    pieces = df.select(
-        key,
-        F.col(frame).alias("_frame"),
-        begin.alias("_at"),
-        length.alias("_len"),
-        F.explode(F.when((length > 0) & (last >= first), F.sequence(first, last))).alias("block"),
-    )
-    low = F.greatest(F.col("_at"), F.col("block") * stride)
-    high = F.least(F.col("_at") + F.col("_len"), (F.col("block") + 1) * stride)
-    cut = F.slice("_frame", (low - F.col("_at") + 1).cast("int"), (high - low).cast("int"))
-    piece = F.struct(
-        F.col("_at").alias("at"),
-        F.col("_len").alias("len"),
-        low.alias("low"),
-        F.transform(cut, lambda x: x.cast("double")).alias("x"),
-    )
+
+    def piece(block: Column) -> Column:
+        low = F.greatest(begin, block * stride)
+        high = F.least(begin + length, (block + 1) * stride)
+        return F.struct(
+            block.alias("block"),
+            high.alias("_high"),
+            F.struct(
+                begin.alias("at"),
+                length.alias("len"),
+                low.alias("low"),
+                F.slice(frame, (low - begin + 1).cast("int"), (high - low).cast("int")).cast("array<double>").alias("x"),
+            ).alias("_piece"),
+        )
+
+    cut = F.inline(F.transform(F.sequence(first, last), piece))
     gathered = (
-        pieces.select(key, "block", piece.alias("_piece"), high.alias("_high"))
+        df.where((length > 0) & (last >= first))
+        .select(key, cut)
         .groupBy(key, "block")
         .agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"), F.max("_high").alias("_high"))
     )
 
-    def sample(pos: Column) -> Column:
-        def add(total: Column, p: Column) -> Column:
-            x = F.get(p["x"], (pos - p["low"]).cast("int"))
-            w = _weight(pos - p["at"], p["len"], weight)
-            here = (pos >= p["low"]) & x.isNotNull()
-            return F.when(
-                here, F.struct((total["wx"] + w * x).alias("wx"), (total["w"] + w).alias("w"))
-            ).otherwise(total)
-
-        zero = F.struct(F.lit(0.0).alias("wx"), F.lit(0.0).alias("w"))
-        return F.aggregate("_pieces", zero, add, lambda t: t["wx"] / F.nullif(t["w"], F.lit(0.0)))
-
-    positions = F.sequence(F.col("block") * stride, F.col("_high") - 1)
-    return gathered.select(key, "block", F.transform(positions, sample).alias("samples"))
+    mean = F.arrow_udf(_mean_of_pieces(weight), T.ArrayType(T.DoubleType()))
+    start = F.col("block") * stride
+    return gathered.select(key, "block", mean(F.col("_pieces"), start, F.col("_high")).alias("samples"))
 
 
 def stitch(

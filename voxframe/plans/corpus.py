@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxframe.functions.text import clean_profile
 from voxframe.operators.inference import Predictor, infer_stage
 from voxframe.operators.pairing import audit, audit_summary
+from voxframe.session import spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, with_roles
 from voxframe.sources.files import scan_audio, scan_texts
 from voxframe.sources.sinks import fan_out, progress, write_missing
@@ -17,7 +18,7 @@ from voxframe.sources.sinks import fan_out, progress, write_missing
 
 def clean_transcripts(df: DataFrame, profile: str, text: str = "text") -> DataFrame:
     """The table with its texts cleaned under a named profile."""
-    return df.withColumn(text, clean_profile(F.col(text), profile))
+    return spread(df).withColumn(text, clean_profile(F.col(text), profile))
 
 
 def datasets(spark: SparkSession, catalog: str, root: str) -> list[tuple[str, DataFrame]]:

@@ -12,12 +12,21 @@ from voxframe.functions.paths import parent, with_suffix
 from voxframe.operators.pairing import skip_done
 
 
+def gather(df: DataFrame, by: str) -> DataFrame:
+    """Bring the rows of a folder together before a partitioned write.
+
+    Adaptive execution splits a large folder over several tasks and merges small ones, so neither
+    one task nor a file per task and folder results.
+    """
+    return df.hint("rebalance", by)
+
+
 def write_records(df: DataFrame, path: str, rel_path: str = "rel_path", mode: str = "overwrite") -> None:
     """Nested records as JSON lines below the folder each came from; ``file`` is the record's own name."""
     named = df.withColumn("file", with_suffix(F.col(rel_path), ".json")).withColumn(
         "rel_dir", F.when(parent(F.col(rel_path)) == "", F.lit(".")).otherwise(parent(F.col(rel_path)))
     )
-    named.write.mode(mode).partitionBy("rel_dir").option("ignoreNullFields", False).json(path)
+    gather(named, "rel_dir").write.mode(mode).partitionBy("rel_dir").option("ignoreNullFields", False).json(path)
 
 
 def write_report(summary: DataFrame, details: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -29,9 +38,7 @@ def write_report(summary: DataFrame, details: DataFrame, path: str, mode: str =
 
 def write_texts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", by: str | None = None) -> None:
     """Text per id, one table for all of them."""
-    writer = df.write.mode(mode)
-    if by:
-        writer = writer.partitionBy(by)
+    writer = gather(df, by).write.mode(mode).partitionBy(by) if by else df.write.mode(mode)
     writer.format(fmt).save(path)
 
 

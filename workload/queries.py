@@ -27,7 +27,7 @@ from voxframe.operators.pairing import (
     pair_strict,
     skip_done,
 )
-from voxframe.operators.scores import coverage, raw_wer, score_pairs, score_systems, system_summary
+from voxframe.operators.scores import coverage, raw_wer, score_pairs, score_systems, system_summary, to_long
 from voxframe.operators.sequence import Chunking, chunk_windows, overlap_add, to_samples
 from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
@@ -54,6 +54,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents, over all cores."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -128,7 +133,7 @@ def rounded(summary: DataFrame) -> DataFrame:
 
 @query
 def normalize_generic(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.normalize_generic(F.col("text")).alias("clean"))
+    return texts(spark, sf).select("doc_id", X.normalize_generic(F.col("text")).alias("clean"))
 
 
 @query
@@ -163,13 +168,13 @@ def clean_profile_both(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def buckwalter(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.buckwalter_to_arabic(F.col("text")).alias("arabic"))
+    return texts(spark, sf).select("doc_id", X.buckwalter_to_arabic(F.col("text")).alias("arabic"))
 
 
 @query
 def normalize_ar(spark: SparkSession, sf: str) -> DataFrame:
     arabic = X.buckwalter_to_arabic(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", X.normalize_ar(arabic).alias("clean"))
+    return texts(spark, sf).select("doc_id", X.normalize_ar(arabic).alias("clean"))
 
 
 @query
@@ -183,13 +188,13 @@ def strip_time_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def squeeze_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", K.squeeze_tokens(F.col("text")).alias("phones"))
+    return texts(spark, sf).select("doc_id", K.squeeze_tokens(F.col("text")).alias("phones"))
 
 
 @query
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
     ws = X.words(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.size(ws).cast("long").alias("n_words"), F.array_max(F.transform(ws, F.length)).cast("long").alias("longest")
     )
 
@@ -675,8 +680,9 @@ def report_sink(spark: SparkSession, sf: str) -> DataFrame:
     details = hyps.select("utt_id", "ref", *SYSTEMS)
     out = scratch_path(spark, "report")
     write_report(summary, details, out)
-    files = spark.read.schema(details.schema).json(f"{out}/details").agg(F.count(F.lit(1)).alias("num_files"))
-    return spark.read.schema(summary.schema).json(f"{out}/summary").join(files)
+    stored = spark.read.schema(details.schema).json(f"{out}/details")
+    files = to_long(stored, SYSTEMS, ["utt_id"]).groupBy("system").agg(F.count(F.lit(1)).alias("num_files"))
+    return spark.read.schema(summary.schema).json(f"{out}/summary").join(files, "system")
 
 
 @query
