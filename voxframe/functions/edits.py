@@ -9,6 +9,30 @@ from __future__ import annotations
 from collections.abc import Hashable, Sequence
 
 
+def _common_start(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _common_end(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Length of the longest common suffix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def _positions(tokens: Sequence[Hashable]) -> dict[Hashable, int]:
     masks: dict[Hashable, int] = {}
     bit = 1
@@ -20,27 +44,23 @@ def _positions(tokens: Sequence[Hashable]) -> dict[Hashable, int]:
 
 def distance(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> int:
     """Levenshtein distance."""
-    if len(ref) > len(hyp):
+    same = _common_start(ref, hyp)
+    ref, hyp = ref[same:], hyp[same:]
+    same = _common_end(ref, hyp)
+    ref, hyp = ref[: len(ref) - same], hyp[: len(hyp) - same]
+    if len(ref) < len(hyp):
+        # one step per token of the shorter side, one bit per token of the longer one
         ref, hyp = hyp, ref
-    if not ref:
-        return len(hyp)
     masks = _positions(ref)
-    every, last = (1 << len(ref)) - 1, 1 << (len(ref) - 1)
-    up, down, total = every, 0, len(ref)
+    every = (1 << len(ref)) - 1
+    up, down = every, 0
     for token in hyp:
         same = masks.get(token, 0)
-        kept = same | down
-        diagonal = (((same & up) + up) ^ up) | same
-        more = down | (every & ~(diagonal | up))
-        less = up & diagonal
-        if more & last:
-            total += 1
-        elif less & last:
-            total -= 1
-        more = (more << 1) | 1
-        up = ((less << 1) | ~(kept | more)) & every
-        down = more & kept & every
-    return total
+        level = (((same & up) + up) ^ up) | same | down
+        right = ((down | ~(level | up)) << 1) | 1
+        up = (((level & up) << 1) | ~(level | right)) & every
+        down = right & level
+    return len(hyp) + up.bit_count() - (down & every).bit_count()
 
 
 def _advance(masks: dict, every: int, up: int, down: int, token: Hashable) -> tuple[int, int, int, int]:
@@ -68,8 +88,10 @@ def edit_counts(
     or insertions at the start counts once, and an alignment that starts with neither counts one
     extra insertion.
     """
-    i, j = len(ref), len(hyp)
-    masks = _positions(ref)
+    # equal tokens at the end are paired in any case
+    same = _common_end(ref, hyp)
+    i, j = len(ref) - same, len(hyp) - same
+    masks = _positions(ref[:i])
     every = (1 << i) - 1
 
     starts = [(every, 0)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,9 +139,14 @@ def strip_time_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), TIME_TAG, ""))
 
 
-def _tagged(resp: Column, base: Column, tag: str, truncated: Column, compat: bool) -> Column:
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tagged(resp: Column, tag: str, truncated: Column, compat: bool) -> Column:
+    """Usable text of a stripped reply, else null."""
     opening, closing = f"<{tag}>", f"</{tag}>"
-    resp = strip_ws(resp)
     closed = rf"(?s){opening}(.*?){closing}"
     after = F.substring(resp, F.instr(resp, opening) + len(opening), F.length(resp))
     low = F.lower(resp)
@@ -156,21 +161,25 @@ def _tagged(resp: Column, base: Column, tag: str, truncated: Column, compat: boo
         # the prompt ends with the opening tag, so a well-formed reply has the closing one only
         before = F.substring_index(resp, closing, 1)
         found = found.when(F.contains(resp, F.lit(closing)), strip_ws(before))
-    found = found.when(usable, resp)
-    return F.when(F.length(found) >= F.length(base) * 0.3, found).otherwise(base)
+    return found.when(usable, resp)
 
 
 def extract_tagged(resp: Column, base: Column, lang: Column, truncated: Column, compat: bool = False) -> Column:
     """The corrected text in a model's reply, or ``base`` where the reply holds none.
 
-    ``compat=True`` leaves a closing tag without its opening one in the text.
+    A text below 0.3 of the base's length counts as none. ``compat=True`` leaves a closing tag
+    without its opening one in the text.
     """
-    cond = None
-    for code, tag in CORRECTION_TAGS.items():
-        value = _tagged(resp, base, tag, truncated, compat)
-        cond = F.when(lang == code, value) if cond is None else cond.when(lang == code, value)
-    value = cond.otherwise(_tagged(resp, base, DEFAULT_CORRECTION_TAG, truncated, compat))
-    return F.when(resp.isNull(), base).otherwise(value)
+
+    def by_language(reply: Column) -> Column:
+        cond = None
+        for code, tag in CORRECTION_TAGS.items():
+            value = _tagged(reply, tag, truncated, compat)
+            cond = F.when(lang == code, value) if cond is None else cond.when(lang == code, value)
+        return cond.otherwise(_tagged(reply, DEFAULT_CORRECTION_TAG, truncated, compat))
+
+    found = _once(strip_ws(resp), by_language)
+    return _once(found, lambda text: F.when(F.length(text) >= F.length(base) * 0.3, text).otherwise(base))
 
 
 def prompt(template: str, fields: Mapping[str, Column]) -> Column:

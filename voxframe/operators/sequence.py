@@ -58,6 +58,25 @@ def is_final(size: Chunking, ready: Column, chunk: Column) -> Column:
     return (ready < size.ahead) & (ready >= least)
 
 
+def in_blocks(
+    df: DataFrame, key: str, seq: str, token: str, n_ref: str | None, size: Chunking, chunks_per_block: int, *keep: Column
+) -> DataFrame:
+    """Tokens with the blocks of chunks that need them: ``key, _ref, _block, _seq, _token`` and ``keep``.
+
+    Block ``b`` holds the contexts of its chunks, tokens ``[b*span - back, b*span + span - chunk +
+    ahead)`` counted from ``n_ref``.
+    """
+    ref = F.coalesce(F.col(n_ref), F.lit(0)).cast("long") if n_ref else F.lit(0).cast("long")
+    span = size.chunk * chunks_per_block
+    rel = F.col("_seq") - F.col("_ref")
+    first = F.greatest(F.floor((rel - (span - size.chunk + size.ahead)) / span) + 1, F.lit(0).cast("long"))
+    last = F.floor((rel + size.back) / span)
+    rows = df.select(
+        key, F.col(seq).cast("long").alias("_seq"), F.col(token).alias("_token"), ref.alias("_ref"), *keep
+    )
+    return rows.where(last >= first).withColumn("_block", F.explode(F.sequence(first, last)))
+
+
 def chunk_windows(
     df: DataFrame,
     key: str = "utt_id",
@@ -74,18 +93,11 @@ def chunk_windows(
     token is shuffled little more than once and no group outgrows a block however long its
     sequence is.
     """
-    ref = F.coalesce(F.col(n_ref), F.lit(0)).cast("long") if n_ref else F.lit(0).cast("long")
-    span = size.chunk * chunks_per_block
-    rel = F.col(seq) - F.col("_ref")
-    # block b holds tokens of [b*span - back, b*span + span - chunk + ahead), counted from n_ref
-    first = F.greatest(F.floor((rel - (span - size.chunk + size.ahead)) / span) + 1, F.lit(0).cast("long"))
-    last = F.floor((rel + size.back) / span)
-    blocks = F.when(last >= first, F.sequence(first, last))
-    rows = df.select(key, F.col(seq).cast("long").alias(seq), F.col(token).alias("_token"), ref.alias("_ref"))
+    items = F.array_sort(F.collect_list(F.struct(F.col("_seq").alias("seq"), F.col("_token").alias("token"))))
     grouped = (
-        rows.withColumn("_block", F.explode(blocks))
+        in_blocks(df, key, seq, token, n_ref, size, chunks_per_block)
         .groupBy(key, "_ref", "_block")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col("_token").alias("token")))).alias("_items"))
+        .agg(items.alias("_items"))
     )
     items = grouped.withColumn("_first", F.get("_items", F.lit(0))["seq"]).withColumn(
         "_seen", F.element_at("_items", -1)["seq"] + 1
@@ -186,7 +198,7 @@ def overlap_add(
     ``at`` is a frame's first sample position; what lies before 0 is not written. A frame is cut at
     the block borders and only its pieces are shuffled; a block gathers the few pieces that overlap
     it, so long series are spread over the cluster. ``samples`` starts at ``block * stride``; a
-    position no frame covers is null.
+    position no frame covers is null, or left out at the end of its block.
     """
     length = F.size(frame).cast("long")
     if weight not in ("ramp", "triangle"):

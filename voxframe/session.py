@@ -9,6 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Spark's own estimate of what opening a file costs, below which it packs splits into one task.
+MIN_BYTES_PER_TASK = 4 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,14 +59,13 @@ def ship_package() -> None:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give compute-heavy stages enough tasks when the input is too small to make them.
 
-    A scan splits its files into one task per core from about 4 MB a core upwards. Below that the
-    rows are hashed over the cores, which moves little data; above it the scan's own splits are
-    kept and nothing is shuffled.
+    A scan splits its files into one task per core from about 4 MB a core upwards. Where all that
+    is read is below that, the rows are hashed over the cores, which moves little data; above it
+    the scan's own splits are kept and nothing is shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    open_cost = 4 * 1024 * 1024
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * open_cost:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if read >= cores * MIN_BYTES_PER_TASK:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from voxframe.operators.sequence import Chunking
+from voxframe.operators.sequence import Chunking, in_blocks
 
 
 def stream_chunk_windows(
@@ -20,68 +20,64 @@ def stream_chunk_windows(
     is_last: str = "is_last",
     n_ref: str | None = None,
     size: Chunking = Chunking(),
+    chunks_per_block: int = 64,
 ) -> DataFrame:
     """The rows of ``chunk_windows`` from a stream of tokens (integers) in any order.
 
-    Each token goes to the few chunks whose context it belongs to, and the state is kept per
-    chunk: at most one context, dropped once emitted, so a long sequence neither lives in one
-    task nor grows. The row marked ``is_last`` ends a sequence and lets its remainder out. Tokens
-    must arrive once each.
+    The state is kept per block of chunks and holds only the tokens its next chunk still needs; a
+    token belongs to one block, or to two near their border. So a long sequence neither lives in
+    one task nor grows in memory, and a finished block leaves nothing behind. Chunks of a block
+    come out in order. The row marked ``is_last`` ends a sequence and lets its remainder out.
+    Tokens must arrive once each.
     """
-    ref = F.coalesce(F.col(n_ref), F.lit(0)).cast("long") if n_ref else F.lit(0).cast("long")
-    rows = tokens.select(
-        key,
-        F.col(seq).cast("long").alias("_seq"),
-        F.col(token).cast("long").alias("_token"),
-        F.col(is_last).alias("_last"),
-        ref.alias("_ref"),
-    )
-    rel = F.col("_seq") - F.col("_ref")
-    first = F.greatest(F.floor((rel - size.ahead) / size.chunk) + 1, F.lit(0).cast("long"))
-    last = F.floor((rel + size.back) / size.chunk)
-    served = rows.withColumn("chunk", F.explode(F.when(last >= first, F.sequence(first, last))))
-    kind = dict(served.dtypes)[key]
+    rows = in_blocks(tokens, key, seq, token, n_ref, size, chunks_per_block, F.col(is_last).alias("_last"))
+    kind = dict(rows.dtypes)[key]
+    names = [key, "chunk", "n", "ctx_start", "ctx_end", "is_final", "tokens"]
 
     def collect(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        ident, chunk, ref_len = group
-        n = ref_len + chunk * size.chunk
-        start, end = max(n - size.back, 0), n + size.ahead
-        total, seqs, held = state.get if state.exists else (-1, [], [])
-        seqs, held = list(seqs), list(held)
+        ident, ref_len, block = group
+        total, chunk, seen, seqs, values = state.get if state.exists else (-1, block * chunks_per_block, 0, [], [])
+        held = dict(zip(seqs, values))
         for batch in batches:
-            seqs.extend(int(s) for s in batch["_seq"])
-            held.extend(int(t) for t in batch["_token"])
+            held.update(zip(batch["_seq"].tolist(), batch["_token"].tolist()))
+            seen += len(batch)
             ends = batch.loc[batch["_last"], "_seq"]
             if len(ends):
                 total = int(ends.iloc[0]) + 1
-        stop = end if total < 0 else min(end, total)
-        ready = stop - n
-        if len(seqs) < stop - start:
-            state.update((total, seqs, held))
-            return
-        if state.exists:
+
+        after = (block + 1) * chunks_per_block
+        made = []
+        while chunk < after:
+            n = ref_len + chunk * size.chunk
+            start, end = max(n - size.back, 0), n + size.ahead
+            stop = min(end, total) if total >= 0 else end
+            if not all(s in held for s in range(stop - 1, start - 1, -1)):
+                break
+            ready = stop - n
+            regular = ready >= size.ahead
+            if regular or ready >= max(1, size.lookforward if chunk else 1):
+                made.append((ident, chunk, n, start, stop, not regular, [held[s] for s in range(start, stop)]))
+            # nothing follows a chunk that did not get ready
+            chunk = chunk + 1 if regular else after
+
+        first = ref_len + block * chunks_per_block * size.chunk
+        last = first + (chunks_per_block - 1) * size.chunk + size.ahead
+        expected = (min(last, total) if total >= 0 else last) - max(first - size.back, 0)
+        if seen < expected:
+            needed = ref_len + chunk * size.chunk - size.back if chunk < after else last
+            kept = {s: t for s, t in held.items() if s >= needed}
+            state.update((total, chunk, seen, list(kept), list(kept.values())))
+        elif state.exists:
             state.remove()
-        regular = ready >= size.ahead
-        if regular or ready >= (1 if chunk == 0 else max(size.lookforward, 1)):
-            ordered = [t for _, t in sorted(zip(seqs, held))]
-            yield pd.DataFrame(
-                {
-                    key: [ident],
-                    "chunk": [chunk],
-                    "n": [n],
-                    "ctx_start": [start],
-                    "ctx_end": [stop],
-                    "is_final": [not regular],
-                    "tokens": [ordered],
-                }
-            )
+        if made:
+            yield pd.DataFrame(made, columns=names)
 
-    return served.groupBy(key, "chunk", "_ref").applyInPandasWithState(
+    return rows.groupBy(key, "_ref", "_block").applyInPandasWithState(
         collect,
         f"`{key}` {kind}, chunk long, n long, ctx_start long, ctx_end long, is_final boolean, tokens array<long>",
-        "total long, seqs array<long>, held array<long>",
+        "total long, chunk long, seen long, seqs array<long>, held array<long>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
