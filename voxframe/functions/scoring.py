@@ -11,7 +11,7 @@ from voxframe.functions.edits import distance, edit_counts
 from voxframe.functions.text import words
 
 EDIT_FIELDS = ("distance", "substitutions", "deletions", "insertions")
-PAIR_FIELDS = (*EDIT_FIELDS, "char_distance")
+PAIR_FIELDS = (*EDIT_FIELDS, "ref_words", "hyp_words", "char_distance")
 
 
 def _spark_type(names: tuple[str, ...]) -> T.StructType:
@@ -38,17 +38,25 @@ def edit_ops(ref: Column, hyp: Column, compat: bool = False) -> Column:
 
 
 def pair_edits(ref: Column, hyp: Column, compat: bool = False) -> Column:
-    """Word edits and character distance of two normalised texts in one pass over the pair."""
+    """Word edits, word counts and character distance of two texts in one pass over the pair.
+
+    Without a hypothesis only the reference's words are known.
+    """
 
     @F.arrow_udf(_spark_type(PAIR_FIELDS))
     def counts(a: pa.Array, b: pa.Array) -> pa.Array:
         rows = []
         for x, y in zip(a.to_pylist(), b.to_pylist()):
-            if x is None or y is None:
+            if x is None:
                 rows.append(None)
                 continue
+            said = x.split()
+            if y is None:
+                rows.append((*[None] * len(EDIT_FIELDS), len(said), None, None))
+                continue
+            heard = y.split()
             chars = distance(x.replace(" ", ""), y.replace(" ", ""))
-            rows.append((*edit_counts(x.split(), y.split(), compat), chars))
+            rows.append((*edit_counts(said, heard, compat), len(said), len(heard), chars))
         return _rows(PAIR_FIELDS, rows)
 
     return counts(ref, hyp)
@@ -84,17 +92,17 @@ def rate(count: Column, total: Column) -> Column:
 
 
 def wer_stats(ref: Column, hyp: Column, edits: Column, compat: bool = False) -> Column:
-    """Word statistics of a pair from its edits; blank sides score 1.
+    """Word statistics of a pair from its ``pair_edits``; blank sides score 1.
 
     ``compat`` leaves the deletions of a blank hypothesis uncounted.
     """
-    n_ref, n_hyp = F.size(words(ref)), F.size(words(hyp))
+    n_ref = edits["ref_words"]
     blank_ref, blank_hyp = ref == "", hyp == ""
     uncounted = F.lit(0) if compat else n_ref
     return F.struct(
         F.when(blank_ref, 0).when(blank_hyp, n_ref).otherwise(edits["distance"]).alias("distance"),
         F.when(blank_ref, 0).otherwise(n_ref).alias("ref_words"),
-        F.when(blank_ref, 0).otherwise(n_hyp).alias("hyp_words"),
+        F.when(blank_ref, 0).otherwise(edits["hyp_words"]).alias("hyp_words"),
         F.when(blank_ref | blank_hyp, 0).otherwise(edits["substitutions"]).alias("substitutions"),
         F.when(blank_ref, 0).when(blank_hyp, uncounted).otherwise(edits["deletions"]).alias("deletions"),
         F.when(blank_ref | blank_hyp, 0).otherwise(edits["insertions"]).alias("insertions"),

@@ -235,6 +235,20 @@ SELECT conv_id, rank, text FROM (
   SELECT conv_id, turn AS rank, regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY len({words('text')}) DESC, turn) AS rn FROM conversations) WHERE rn = 1"""
 
+# Words are told apart by their position, so the aligner has no choice. Where the third voter lacks
+# a word and the first one errs on the next, the third's word stands for the missing one: the first
+# then meets only the second and wins the tie.
+ORACLES["merge_transcripts"] = f"""
+SELECT {UTT} AS utt_id, array_to_string(list_transform({words('text')}, lambda w, i: lower(
+  CASE WHEN (i - 1) % 4 = 0 AND (i % 7 = 0 OR (i > 1 AND (i - 1) % 7 = 0)) THEN 'v0' ELSE '' END || w || '_' || (i - 1))), ' ') AS merged
+FROM conversations"""
+ORACLES["align_words"] = f"""
+WITH n AS (SELECT {UTT} AS utt_id, len({words('text')}) AS n FROM conversations)
+SELECT utt_id, 'dropped' AS target, pos, pos + pos // 6 AS ref_pos FROM (SELECT *, unnest(range(n - n // 7)) AS pos FROM n)
+UNION ALL SELECT utt_id, 'replaced', pos, pos FROM (SELECT *, unnest(range(n)) AS pos FROM n)
+UNION ALL SELECT utt_id, 'inserted', pos, CASE WHEN pos % 10 = 9 THEN least(pos // 10 * 9 + 9, n - 1) ELSE pos // 10 * 9 + pos % 10 END
+FROM (SELECT *, unnest(range(n + n // 9)) AS pos FROM n)"""
+
 # --- records -------------------------------------------------------------------------------------
 
 ORACLES["word_timings"] = f"""
@@ -295,6 +309,8 @@ SELECT source AS path, lang AS name, CASE WHEN m % 2 = 0 THEN 'doc_id' ELSE 'id'
 FROM (SELECT source, lang, max(doc_id) AS m FROM documents GROUP BY ALL) WHERE m % 3 <> 0"""
 ORACLES["text_files"] = f"""
 SELECT regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text, count(*) AS n_files FROM benchmark GROUP BY 1"""
+ORACLES["file_manifest"] = """
+SELECT 'folder=' || item_id % 5 AS folder, strlen(text) + 1 AS length, count(*) AS n_files FROM benchmark GROUP BY ALL"""
 
 # --- models, corpora, resuming -------------------------------------------------------------------
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from voxframe.functions import paths as P
 from voxframe.functions import text as X
 from voxframe.functions import tokens as K
-from voxframe.functions.scoring import char_distance, cer_stats
+from voxframe.functions.scoring import cer_stats, char_distance
+from voxframe.functions.voting import align_to_reference
 from voxframe.operators import consensus as C
 from voxframe.operators import records as R
 from voxframe.operators.inference import Attempt, infer_stage
@@ -35,8 +36,8 @@ from voxframe.plans.corpus import clean_transcripts, prepare_table
 from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_transliterated
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
-from voxframe.sources.catalog import active_entries, scan_dataset, scan_embeddings, with_roles
-from voxframe.sources.files import parse_utterance_lines, scan_texts
+from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
+from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts
 from voxframe.sources.sinks import add_progress, progress, write_records, write_report, write_texts
 from voxframe.streaming.chunks import stream_chunk_windows
 from voxframe.streaming.resume import resume_run, stream_to_table, with_end_mark
@@ -493,12 +494,53 @@ def longest_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return C.longest_transcript(C.drop_blank(said), "conv_id").select("conv_id", "rank", "text")
 
 
+def numbered_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each turn, told apart by their position."""
+    ws = F.transform(X.words(F.col("text")), lambda w, i: F.concat_ws("_", w, i.cast("string")))
+    return spread(turns(spark, sf), "utt_id").select("utt_id", ws.alias("ws"))
+
+
 @query
 def merge_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Three voters with errors at different places, the third without every 7th word."""
+    ws = F.col("ws")
+    third = F.filter(voter_words(ws, 2), lambda w, i: (i + 1) % 7 != 0)
+    voters = numbered_words(spark, sf).select(
+        "utt_id",
+        F.array_join(voter_words(ws, 0), " ").alias("one"),
+        F.array_join(voter_words(ws, 1), " ").alias("two"),
+        F.array_join(third, " ").alias("three"),
+    )
+    return C.merge_transcripts(voters, ["one", "two", "three"]).select("utt_id", "merged")
+
+
+@query
+def merge_rule_made(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule-made transcripts, with their repeated words, merged."""
     merged = C.merge_transcripts(transcripts(spark, sf), ["asr_a", "asr_b", "asr_c", "judge"])
     return merged.select("utt_id", "merged")
 
 
+@query
+def align_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of the words of three rule-made targets in their reference."""
+    ws = F.col("ws")
+    targets = {
+        "dropped": F.filter(ws, lambda w, i: (i + 1) % 7 != 0),
+        "replaced": F.transform(ws, lambda w, i: F.when((i + 1) % 5 == 0, F.lit("ж")).otherwise(w)),
+        "inserted": F.flatten(
+            F.transform(ws, lambda w, i: F.when((i + 1) % 9 == 0, F.array(w, F.lit("ж"))).otherwise(F.array(w)))
+        ),
+    }
+    placed = numbered_words(spark, sf).select(
+        "utt_id", *[align_to_reference(ws, t).alias(name) for name, t in targets.items()]
+    )
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("target"), F.col(name).alias("places")) for name in targets]))
+    return placed.select("utt_id", each).select("utt_id", "target", F.posexplode("places").alias("pos", "ref_pos")).select(
+        "utt_id", "target", F.col("pos").cast("long").alias("pos"), F.col("ref_pos").cast("long").alias("ref_pos")
+    )
+
+
 # --- records -------------------------------------------------------------------------------------
 
 
@@ -687,7 +729,7 @@ def report_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def catalog_roles(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources and languages of the documents as a catalog of datasets."""
+    """Sources and languages of the documents as a catalog of datasets, one array file each."""
     entries = (
         table(spark, sf, "documents").groupBy("source", "lang").agg(F.max("doc_id").alias("m"))
         .select(
@@ -702,7 +744,10 @@ def catalog_roles(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(None).cast("array<string>").alias("splits"),
         )
     )
-    return with_roles(active_entries(entries)).select("path", "name", "id_col", "text_col", "audio_col")
+    out = scratch_path(spark, "catalog")
+    entry = F.struct(*[c for c in entries.columns if c not in ("audio_col", "splits")])
+    entries.select(F.to_json(F.array(entry)).alias("value")).write.option("maxRecordsPerFile", 1).text(out)
+    return with_roles(active_entries(scan_catalog(spark, out))).select("path", "name", "id_col", "text_col", "audio_col")
 
 
 def utterance_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -735,6 +780,16 @@ def text_files(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("text").agg(F.countDistinct("utt_id").alias("n_files"))
 
 
+@query
+def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts as one file each in folders, listed without reading them."""
+    out = scratch_path(spark, "files")
+    rows = table(spark, sf, "benchmark").select((F.col("item_id") % 5).alias("folder"), F.col("text").alias("value"))
+    rows.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(out)
+    found = scan_audio(spark, out, ["txt"])
+    return found.groupBy(P.parent(F.col("rel_path")).alias("folder"), "length").agg(F.countDistinct("utt_id").alias("n_files"))
+
+
 # --- models, corpora, resuming -------------------------------------------------------------------
 
 
