@@ -20,17 +20,23 @@ def first_n(df: DataFrame, n: int, *keys: str | Column) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "row_no", start: int = 1
+    df: DataFrame,
+    order: Sequence[str],
+    group: Sequence[str] = (),
+    name: str = "row_no",
+    start: int = 1,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Running number in ``order`` within each group, without giving a group to one task.
 
     The rows are range-partitioned by group and order, so a large group is spread over many
     partitions, and written once to the shared folder so that both uses see the same split. A
     partition's rows are numbered on their own; what comes before them in the same group is added
-    from a table with at most one row per partition. ``group + order`` must identify a row.
+    from a table with at most one row per partition. ``group + order`` must identify a row;
+    ``partitions`` defaults to the session's shuffle partitions.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
     ranged = cut_lineage(
         df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(

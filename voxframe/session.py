@@ -29,7 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="voxframe-")
-        spark.conf.set(CHECKPOINT_CONF, named)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named

@@ -30,6 +30,11 @@ def arabic(sql: str) -> str:
     return squeeze(rf"regexp_replace(lower({folded}), '[^\x{{0600}}-\x{{06ff}}{SPACE}]', '', 'g')")
 
 
+def r6(sql: str) -> str:
+    """Rounded to six places; a rounded negative is plain zero, as in Spark."""
+    return f"CASE WHEN round({sql}, 6) = 0 THEN 0::DOUBLE ELSE round({sql}, 6) END"
+
+
 def words(sql: str) -> str:
     return f"list_filter(regexp_split_to_array({sql}, '[{SPACE}]+'), lambda w: w <> '')"
 
@@ -198,7 +203,7 @@ ORACLES["audit_counts"] = """
 SELECT (SELECT count(DISTINCT doc_id) FROM labels) AS n_input, (SELECT count(DISTINCT vec_id) FROM embeddings) AS n_output,
   (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing,
   (SELECT count(DISTINCT vec_id) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS n_extra"""
-ORACLES["completeness"] = "SELECT count(*) AS n_input, count(*) AS n_output, 0 AS n_missing, 0 AS n_extra FROM documents"
+ORACLES["completeness"] = "SELECT count(*) AS n_input, count(*) AS n_output, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM documents"
 ORACLES["last_event_wins"] = """
 SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
@@ -216,9 +221,9 @@ ORACLES["running_number"] = f"SELECT *, row_number() OVER (PARTITION BY lang ORD
 SIMILAR = """
 SELECT a.vec_id AS name, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
-ORACLES["embedding_similarity"] = f"SELECT name, round(s, 6) AS similarity FROM ({SIMILAR})"
+ORACLES["embedding_similarity"] = f"SELECT name, {r6('s')} AS similarity FROM ({SIMILAR})"
 ORACLES["embedding_mean"] = f"""
-SELECT count(*) AS n_pairs, count(s) AS n_scored, round(avg(s), 6) AS mean_similarity FROM ({SIMILAR})"""
+SELECT count(*) AS n_pairs, count(s) AS n_scored, {r6('avg(s)')} AS mean_similarity FROM ({SIMILAR})"""
 
 # --- consensus -----------------------------------------------------------------------------------
 
@@ -350,7 +355,8 @@ def overlapped(weight: str) -> str:
 WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS no, embedding AS e FROM embeddings),
 s AS (SELECT label, no * 48 + j AS sample, x::DOUBLE AS x, (j + 1) / (len + 1) AS t FROM (
   SELECT label, no, unnest(range(len(e))) AS j, unnest(e) AS x, len(e) AS len FROM f))
-SELECT label, sample, round(sum({weight} * x) / sum({weight}), 6) AS value FROM s GROUP BY ALL"""
+SELECT label, sample, {r6('v')} AS value FROM (
+  SELECT label, sample, sum({weight} * x) / sum({weight}) AS v FROM s GROUP BY ALL)"""
 
 
 ORACLES["overlap_add_ramp"] = overlapped("(1 - t)")
