@@ -38,6 +38,7 @@ def test_segments(spark):
         K.parse_segment(F.lit("0.0 1.5  speaker_0")),
         K.parse_segment(F.lit("0.0 1.5")),
         K.n_speakers(F.transform(F.array(F.lit("0 1 a"), F.lit("1 2 b"), F.lit("2 3 a")), K.parse_segment)),
+        K.n_speakers(K.parse_segments(F.array(F.lit("0 1 a"), F.lit("broken")))),
         K.n_speakers(F.array().cast("array<struct<speaker:string>>")),
         K.speaking_rate(F.lit(10), F.lit(4.0)),
         K.speaking_rate(F.lit(10), F.lit(0.0)),
@@ -45,9 +46,9 @@ def test_segments(spark):
         K.argmax_map(F.expr("cast(map() as map<string,double>)")),
     )
     assert tuple(got[0]) == (0.0, 1.5, "speaker_0") and got[1] is None
-    assert (got[2], got[3]) == (2, 1)
-    assert tuple(got[4]) == (2.5, 150.0) and tuple(got[5]) == (None, None)
-    assert (got[6], got[7]) == ("b", None)
+    assert (got[2], got[3], got[4]) == (2, 1, 0)
+    assert tuple(got[5]) == (2.5, 150.0) and tuple(got[6]) == (None, None)
+    assert (got[7], got[8]) == ("b", None)
 
 
 def test_word_timings(spark):
@@ -129,7 +130,7 @@ def test_annotation(spark, tmp_path):
     assert a.transcriptions.second == "second a said"
     assert a.transcriptions.second_with_label == "[laugh] second"
     assert a.transcriptions.merged == a.transcriptions.final == "A better second text"
-    assert (a.speaker_info.num_speakers, a.speaker_info.word_per_sec) == (1, 1.0)
+    assert (a.speaker_info.num_speakers, a.speaker_info.Diarization, a.speaker_info.word_per_sec) == (1, [], 1.0)
     assert b.transcriptions.third is None and b.transcriptions.third_status == "skipped (ar audio)"
     assert b.speaker_info.word_per_min is None
     assert bad.transcriptions.detected_language == "ar" and bad.transcriptions.first == ""

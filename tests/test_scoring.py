@@ -130,3 +130,10 @@ def test_folder_comparison(spark):
     assert found.pct_unmatched == pytest.approx(100 / 3)
     with pytest.raises(Exception, match="no matching pairs"):
         coverage(raw_wer(pair_left(refs, hyps.where("utt_id = 'd'")))).collect()
+
+
+def test_raw_words(spark):
+    df = spark.createDataFrame([(" one two\nthree ", "one two three", "one  two \n three")], "r string, h string, g string")
+    r, h, g = (F.col(c) for c in "rhg")
+    got = df.select(S.wer_raw(r, h), S.wer_raw(r, h, True), S.wer_raw(h, g, True), S.wer_raw(h, g)).first()
+    assert tuple(got) == (0.0, 1.0, 0.0, 0.0)

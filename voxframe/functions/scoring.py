@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.functions.edits import distance, edit_counts
-from voxframe.functions.text import words
+from voxframe.functions.text import WS, strip_ws, words
 
 EDIT_FIELDS = ("distance", "substitutions", "deletions", "insertions")
 PAIR_FIELDS = (*EDIT_FIELDS, "ref_words", "hyp_words", "char_distance")
@@ -76,12 +76,9 @@ def char_distance(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.IntegerType())
 def word_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Word edit distance of two texts."""
+    """Edit distance of two arrays of tokens."""
     return pa.array(
-        [
-            None if x is None or y is None else distance(x.split(), y.split())
-            for x, y in zip(a.to_pylist(), b.to_pylist())
-        ],
+        [None if x is None or y is None else distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())],
         type=pa.int32(),
     )
 
@@ -123,10 +120,18 @@ def cer_stats(ref: Column, hyp: Column, chars: Column) -> Column:
     )
 
 
-def wer_raw(ref: Column, hyp: Column) -> Column:
+def _raw_words(c: Column, compat: bool) -> Column:
+    """Words of an un-normalised text; with ``compat`` a lone line break or tab is part of a word."""
+    if not compat:
+        return words(c)
+    return F.filter(F.split(F.regexp_replace(c, f"{WS}{{2,}}", " "), " "), lambda w: w != "")
+
+
+def wer_raw(ref: Column, hyp: Column, compat: bool = False) -> Column:
     """WER of stripped, un-normalised texts; null where the reference has no words."""
-    n = F.size(words(ref))
-    return F.when(n > 0, word_distance(ref, hyp) / n)
+    said, heard = (_raw_words(strip_ws(c), compat) for c in (ref, hyp))
+    n = F.size(said)
+    return F.when(n > 0, word_distance(said, heard) / n)
 
 
 def wer_raw_status(ref: Column) -> Column:

@@ -60,10 +60,16 @@ def parse_segment(c: Column) -> Column:
     )
 
 
+def parse_segments(texts: Column) -> Column:
+    """An array of segment texts to structs; null where any of them is malformed."""
+    parsed = F.transform(texts, parse_segment)
+    return F.when(F.forall(parsed, lambda s: s.isNotNull()), parsed)
+
+
 def n_speakers(segments: Column) -> Column:
-    """Distinct speakers of an array of segments; 1 where nothing was segmented."""
+    """Distinct speakers of an array of segments; 1 where segmentation failed (null)."""
     found = F.size(F.array_distinct(F.transform(segments, lambda s: s["speaker"])))
-    return F.when(F.coalesce(F.size(segments), F.lit(0)) > 0, found).otherwise(F.lit(1))
+    return F.when(segments.isNotNull(), found).otherwise(F.lit(1))
 
 
 def word_timings(segments: Column) -> Column:

@@ -52,7 +52,7 @@ def infer_stage(
     if on_error not in ("record", "raise"):
         raise ValueError(f"on_error is {on_error!r}: record or raise")
     if isinstance(out_schema, str):
-        out_schema = T._parse_datatype_string(out_schema)
+        out_schema = T.StructType.fromDDL(out_schema)
     out_names = out_schema.fieldNames()
     kept = df.columns
     notes = [T.StructField(n, T.StringType()) for n in ("attempt", "status", "error")]

@@ -17,6 +17,7 @@ LABEL_CONFIDENCE = 0.6
 THIRD_SYSTEM_LANG = "en"
 DEFAULT_LANG = "ar"
 SKIPPED_NOTE = "skipped (%s audio)"
+SEGMENTS = "array<struct<start:double,end:double,speaker:string>>"
 
 
 def labelled_variant(labelled: Column, plain: Column, label: Column, confidence: Column) -> Column:
@@ -70,7 +71,8 @@ def annotated_record(
     """One nested struct per recording.
 
     ``classification`` maps a tagger to its label and confidence; ``names`` are the three systems'
-    field names. ``compat`` writes the skip note into the third transcript instead of null.
+    field names. A null ``diarization`` is a failed one: no segments, one speaker. ``compat``
+    writes the skip note into the third transcript instead of null.
     """
     third_text = route_third_system(third, lang)
     if compat:
@@ -95,7 +97,7 @@ def annotated_record(
         F.struct(
             n_speakers(diarization).alias("num_speakers"),
             gender.alias("gender"),
-            diarization.alias("Diarization"),
+            F.coalesce(diarization, F.array().cast(SEGMENTS)).alias("Diarization"),
             duration.alias("duration"),
             speeds["word_per_sec"].alias("word_per_sec"),
             speeds["word_per_min"].alias("word_per_min"),

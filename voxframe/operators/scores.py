@@ -98,10 +98,10 @@ def system_summary(scores: DataFrame, systems: Sequence[str]) -> DataFrame:
     )
 
 
-def raw_wer(paired: DataFrame, ref: str = "ref_text", hyp: str = "hyp_text") -> DataFrame:
+def raw_wer(paired: DataFrame, ref: str = "ref_text", hyp: str = "hyp_text", compat: bool = False) -> DataFrame:
     """WER of un-normalised text for the matched rows of ``pair_left``."""
     matched = F.col("matched")
-    return paired.withColumn("wer", F.when(matched, wer_raw(F.col(ref), F.col(hyp)))).withColumn(
+    return paired.withColumn("wer", F.when(matched, wer_raw(F.col(ref), F.col(hyp), compat))).withColumn(
         "status", F.when(matched, wer_raw_status(F.col(ref))).otherwise(F.lit("no_hypothesis"))
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import extract_tagged, prompt_by_language, strip_time_tags
-from voxframe.functions.tokens import argmax_map, parse_segment, word_timings
+from voxframe.functions.tokens import argmax_map, parse_segments, word_timings
 from voxframe.operators.inference import FULL, Attempt, Predictor, infer_stage
 from voxframe.operators.records import DEFAULT_LANG, annotated_record, first_usable, labelled_variant
 from voxframe.sources.sinks import write_records
@@ -97,9 +97,6 @@ def to_record(df: DataFrame, classification: Mapping[str, tuple[str, str]], comp
     These are ``segments`` (timed words), ``speech_segments`` (``"start end speaker"`` texts),
     ``snr``, ``gender`` and ``duration``.
     """
-    spoken = F.filter(
-        F.transform("speech_segments", parse_segment), lambda s: s.isNotNull()
-    )
     record = annotated_record(
         {k: (F.col(lb), F.col(cf)) for k, (lb, cf) in classification.items()},
         F.col("lang"),
@@ -111,7 +108,7 @@ def to_record(df: DataFrame, classification: Mapping[str, tuple[str, str]], comp
         F.col("final"),
         word_timings(F.col("segments")),
         F.col("snr"),
-        F.coalesce(spoken, F.array().cast("array<struct<start:double,end:double,speaker:string>>")),
+        parse_segments(F.col("speech_segments")),
         F.col("gender"),
         F.col("duration"),
         compat=compat,

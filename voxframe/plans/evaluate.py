@@ -65,14 +65,14 @@ def evaluate_lines(
     return _report(pairs, "ref", systems, lang, key, compat)
 
 
-def compare_texts(refs: DataFrame, hyps: DataFrame, key: str = "utt_id") -> DataFrame:
+def compare_texts(refs: DataFrame, hyps: DataFrame, key: str = "utt_id", compat: bool = False) -> DataFrame:
     """Raw WER per reference of two ``(key, text)`` tables."""
     paired = pair_left(
         refs.select(key, F.col("text").alias("ref_text")), hyps.select(key, F.col("text").alias("hyp_text")), key
     )
-    return raw_wer(paired)
+    return raw_wer(paired, compat=compat)
 
 
-def compare_folders(spark: SparkSession, refs: str, hyps: str) -> DataFrame:
+def compare_folders(spark: SparkSession, refs: str, hyps: str, compat: bool = False) -> DataFrame:
     """Mean raw WER of the text files both folders have, and the share that misses; fails without any."""
-    return coverage(compare_texts(scan_texts(spark, refs), scan_texts(spark, hyps)))
+    return coverage(compare_texts(scan_texts(spark, refs), scan_texts(spark, hyps), compat=compat))

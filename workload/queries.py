@@ -581,7 +581,7 @@ def word_timings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def speaker_count(spark: SparkSession, sf: str) -> DataFrame:
-    segs = F.transform("speech_segments", K.parse_segment)
+    segs = K.parse_segments(F.col("speech_segments"))
     return spoken(spark, sf).select(
         "utt_id",
         F.size(segs).cast("long").alias("n_segments"),
