@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.session import cut_lineage
 
@@ -19,6 +22,30 @@ def first_n(df: DataFrame, n: int, *keys: str | Column) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
+def _number_runs(group: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``_own``: the number of a row, from 1, among the rows of its group in a sorted partition."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            keys = [batch.column(g) for g in group]
+            opens = np.zeros(rows, bool)
+            for key in keys:
+                codes = key.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                opens[1:] |= codes[1:] != codes[:-1]
+            opens[0] = tuple(k[0].as_py() for k in keys) != last
+            at = np.arange(rows)
+            opened = np.maximum.accumulate(np.where(opens, at, -1))
+            own = np.where(opened >= 0, at - opened, at + count) + 1
+            last, count = tuple(k[rows - 1].as_py() for k in keys), int(own[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "_own"])
+
+    return number
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str],
@@ -30,36 +57,36 @@ def number_rows(
     """Running number in ``order`` within each group, without giving a group to one task.
 
     The rows are range-partitioned by group and order, so a large group is spread over many
-    partitions, and written once to the shared folder so that both uses see the same split. A
-    partition's rows are numbered on their own; what comes before them in the same group is added
-    from a table with at most one row per partition. ``group + order`` must identify a row;
-    ``partitions`` defaults to the session's shuffle partitions.
+    partitions; each partition numbers its own rows, and the result is written once to the shared
+    folder so that both of its uses see the same split. Only the last group of a partition can go
+    on in the next one, so a table with one row per partition holds all that must be added.
+    ``group + order`` must identify a row; ``partitions`` defaults to the session's shuffle
+    partitions.
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
-    ranged = cut_lineage(
-        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(
-            "_id", F.monotonically_increasing_id()
-        )
-    ).withColumn("_part", F.shiftright("_id", 33))
-
-    counts = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # a group continues into a partition only as its first group: one row per partition at most
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    if group:
+        schema = T.StructType([*df.schema.fields, T.StructField("_own", T.LongType())])
+        ranged = ranged.mapInArrow(_number_runs(group), schema)
+    ranged = ranged.withColumn("_id", F.monotonically_increasing_id())
+    if not group:
+        ranged = ranged.withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    ranged = cut_lineage(ranged).withColumn("_part", F.shiftright("_id", 33))
+
+    ends = ranged.groupBy("_part").agg(F.max_by(F.struct(*group, "_own"), "_id").alias("_end"))
+    # one row per partition from here on
+    following = F.lead("_part").over(Window.orderBy("_part"))
     offsets = (
-        counts.withColumn("_before", F.sum("_n").over(before))
-        .where("_before > 0")
-        .select("_part", *group, "_before")
+        ends.select(following.alias("_part"), F.col("_part").alias("_from"), "_end.*")
+        .select("_part", *group, F.sum("_own").over(Window.partitionBy(*group).orderBy("_from")).alias("_before"))
+        .where("_part IS NOT NULL")
     )
-    if group:
-        own = F.row_number().over(Window.partitionBy("_part", *group).orderBy("_id"))
-    else:
-        own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     same = [F.col("r._part") == F.col("o._part")]
     same += [F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}")) for g in group]
-    joined = ranged.withColumn("_own", own).alias("r").join(F.broadcast(offsets.alias("o")), same, "left")
-    number = F.col("_own") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)
+    joined = ranged.alias("r").join(F.broadcast(offsets.alias("o")), same, "left")
+    number = F.col("r._own") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)
     return joined.select("r.*", number.cast("long").alias(name)).drop("_id", "_part", "_own")
 
 
