@@ -32,3 +32,21 @@ def test_first_and_rest(spark):
     assert sorted(r.k for r in skip_n(df, 10, ["k"]).collect()) == keys[10:]
     assert skip_n(df, 2000, ["k"]).count() == 0
     assert skip_n(df, 0, ["k"]).count() == 1000
+
+
+def test_rest_by_several_keys_and_after_nulls(spark):
+    rows = [(None, 2), (None, 5), ("a", None), ("a", 1), ("a", 3), ("b", 0)]
+    df = spark.createDataFrame(rows, "k string, n int")
+    for skipped in range(7):
+        rest = sorted(((r.k or "", r.n if r.n is not None else -1) for r in skip_n(df, skipped, ["k", "n"]).collect()))
+        assert rest == sorted((k or "", n if n is not None else -1) for k, n in rows)[skipped:]
+    one = spark.createDataFrame([(None,), ("x",), ("y",)], "k string")
+    assert sorted(r.k for r in skip_n(one, 1, ["k"]).collect()) == ["x", "y"]
+
+
+def test_rest_is_filtered_at_the_scan(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    rest = skip_n(spark.read.parquet(str(tmp_path / "t")), 10, ["id"])
+    assert rest.count() == 90
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,9)" in plan and "Exchange" not in plan

@@ -91,5 +91,19 @@ def number_rows(
 
 
 def skip_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """All rows but the first ``n`` in key order; the rest is never gathered in one task."""
-    return number_rows(df, order, name="_row_no").where(F.col("_row_no") > n).drop("_row_no")
+    """All rows but the first ``n`` in key order; ``order`` must identify a row.
+
+    Only the keys are numbered, to find the last one to skip; the table itself is filtered where it
+    lies. Null keys come first.
+    """
+    if n <= 0:
+        return df
+    keys = number_rows(df.select(*order), order, name="_row_no")
+    last = keys.where(F.col("_row_no") == n).drop("_row_no").head()
+    if last is None:
+        return df.limit(0)
+    kinds = [df.schema[c].dataType for c in order]
+    cut = [F.lit(value).cast(kind) for value, kind in zip(last, kinds)]
+    if len(order) > 1:
+        return df.where(F.struct(*order) > F.struct(*[c.alias(o) for c, o in zip(cut, order)]))
+    return df.where(F.col(order[0]) > cut[0] if last[0] is not None else F.col(order[0]).isNotNull())
