@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import clean_profile
-from voxframe.operators.inference import Predictor, infer_stage
+from voxframe.operators.inference import Predictor
 from voxframe.operators.pairing import audit, audit_summary
+from voxframe.plans.folders import run_missing
 from voxframe.session import spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, with_roles
 from voxframe.sources.files import scan_audio, scan_texts
@@ -54,22 +55,17 @@ def prepare_table(
     """Write text, audio and codes of a dataset, each only where missing; returns the progress.
 
     ``make_codec`` builds a predictor from ``audio`` to ``codes array<int>``; rows it fails on keep
-    their error and no codes.
+    their error and are tried again by the next run. Progress counts rows with codes.
     """
     kinds = dict(df.dtypes)
     schema = f"split {kinds['split']}, id {kinds['id']}"
-
-    def codes(fresh: DataFrame) -> DataFrame:
-        made = infer_stage(fresh.select("split", "id", "audio"), make_codec, ["audio"], "codes array<int>", batch_size)
-        return made.select("split", "id", "codes", "error")
-
     outputs = {
         "wavs": lambda fresh: fresh.select("split", "id", "audio"),
-        "codes": codes,
         "text": lambda fresh: fresh.select("split", "id", "text"),
     }
     fan_out(df, outputs, out, ["split", "id"], schema, "split")
-    return progress(df.sparkSession.read.schema(schema).parquet(f"{out}/text"))
+    done = run_missing(df, f"{out}/codes", make_codec, ["audio"], "codes array<int>", ("split", "id"), "split", batch_size)
+    return progress(done)
 
 
 def prepare_corpus(

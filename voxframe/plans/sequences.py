@@ -37,7 +37,7 @@ def chunk_and_stitch(
     return stitch(decoded, key, "samples", size, align_tail=align_tail)
 
 
-def speaker_similarity(spark: SparkSession, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+def speaker_similarity(spark: SparkSession, a: str, b: str, name: str = "name") -> tuple[DataFrame, DataFrame]:
     """Similarity per name of two embedding tables, and its mean."""
-    pairs = pair_similarity(scan_embeddings(spark, a), scan_embeddings(spark, b))
+    pairs = pair_similarity(scan_embeddings(spark, a, name), scan_embeddings(spark, b, name))
     return pairs, mean_similarity(pairs)

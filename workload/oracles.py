@@ -324,6 +324,9 @@ SELECT doc_id, CASE WHEN length(text) <= 2000 THEN len({words('text')}) ELSE -1
   CASE WHEN length(text) <= 1000 THEN 'full' WHEN length(text) <= 2000 THEN 'patient' END AS attempt,
   CASE WHEN length(text) <= 1000 THEN 'ok' WHEN length(text) <= 2000 THEN 'retried' ELSE 'default' END AS status,
   CASE WHEN length(text) > 2000 THEN 'ValueError: too long' END AS error FROM documents"""
+ORACLES["folder_run"] = """
+SELECT n AS n_bytes, NULL::VARCHAR AS error, count(*) AS n_files FROM (SELECT strlen(text) + 1 AS n FROM benchmark) GROUP BY n
+UNION ALL SELECT NULL, 'ValueError: too large', count(*) FROM benchmark WHERE strlen(text) + 1 > 150 HAVING count(*) > 0"""
 ORACLES["prepare_corpus"] = """
 SELECT lang AS split, count(*) AS n_done, max(doc_id) AS last_key, count(*) AS n_codes,
   sum(list_sum(list_transform(string_split(source, ''), lambda ch: ascii(ch) % 32)))::BIGINT AS sum_codes,

@@ -34,6 +34,7 @@ from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
 from voxframe.plans.corpus import clean_transcripts, prepare_table
 from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_transliterated
+from voxframe.plans.folders import process_audio
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
@@ -816,6 +817,29 @@ def infer_stub(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "n_spoken", "attempt", "status", "error")
 
 
+def byte_counter(limit: int) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            sizes = [len(c) for c in batch["content"]]
+            if max(sizes) > limit:
+                raise ValueError("too large")
+            return pd.DataFrame({"n_bytes": sizes})
+
+        return predict
+
+    return make
+
+
+@query
+def folder_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of files through a model in two runs; the second does what the first could not."""
+    files, out = scratch_path(spark, "audio"), scratch_path(spark, "made")
+    table(spark, sf, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(files)
+    for limit in (150, 10**9):
+        process_audio(spark, files, out, byte_counter(limit), "n_bytes long", exts=["txt"])
+    return spark.read.parquet(out).groupBy("n_bytes", "error").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def corpus_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a dataset: language is the split, character codes are the audio."""
     samples = F.transform(F.split("source", ""), lambda ch: F.ascii(ch).cast("float"))
