@@ -64,6 +64,8 @@ def test_wrong_number_of_results(texts):
 def test_raise(texts):
     with pytest.raises(Exception, match="too long"):
         infer_stage(texts, counter(10), ["text"], "n long, tags array<string>", on_error="raise").collect()
+    with pytest.raises(ValueError, match="there already"):
+        infer_stage(texts, counter(10), ["text"], "text string")
     with pytest.raises(ValueError, match="on_error"):
         infer_stage(texts, counter(10), ["text"], "n long", on_error="skip")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # The whitespace that Python's ``str.split`` and ``\s`` know, as a Java regex class body.
 SPACES = r"\p{Z}\t-\r\x1c-\x1f\x85"
 WS = f"[{SPACES}]"
+# The same signs one by one.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Whitespace that is not one plain space between two words already.
 UNEVEN_WS = f" {WS}+|[{SPACES}&&[^ ]]{WS}*"
 NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACES}]+"
@@ -45,7 +47,7 @@ REFUSAL_WORDS = ("error", "sorry", "cannot")
 
 def strip_ws(c: Column) -> Column:
     """Remove whitespace of any kind at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

@@ -55,6 +55,9 @@ def infer_stage(
         out_schema = T.StructType.fromDDL(out_schema)
     out_names = out_schema.fieldNames()
     kept = df.columns
+    taken = set(kept) & {*out_names, "attempt", "status", "error"}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already")
     notes = [T.StructField(n, T.StringType()) for n in ("attempt", "status", "error")]
     schema = T.StructType([*df.schema.fields, *out_schema.fields, *notes])
     inputs, ladder, fallback = list(input_cols), list(attempts), dict(default or {})

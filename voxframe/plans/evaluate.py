@@ -16,6 +16,33 @@ from voxframe.sources.files import scan_texts
 from voxframe.sources.sinks import write_report
 
 
+# A system's name and the transcript it is scored on; the judge is scored on the polished text.
+RECORD_SYSTEMS = {"first": "first", "second": "second", "judge": "final", "third": "third"}
+
+
+def hypotheses(records: DataFrame, key: str = "utt_id", record: str = "record") -> DataFrame:
+    """The transcripts of annotated records as columns, with the language."""
+    said = F.col(f"{record}.transcriptions")
+    columns = dict.fromkeys(RECORD_SYSTEMS.values())
+    return records.select(key, said["detected_language"].alias("lang"), *[said[c].alias(c) for c in columns])
+
+
+def evaluate_records(
+    records: DataFrame,
+    refs: DataFrame,
+    lang: str,
+    systems: Mapping[str, str] = RECORD_SYSTEMS,
+    first: int | None = None,
+    key: str = "utt_id",
+    compat: bool = False,
+) -> Report:
+    """Annotated records against references (``ref``), transliterated ones for Arabic."""
+    hyps = hypotheses(records, key)
+    if lang == "ar":
+        return evaluate_transliterated(refs, hyps, systems, first, key, compat)
+    return evaluate_lines(refs.withColumnRenamed("ref", "text"), hyps, systems, first, lang, key, compat)
+
+
 @dataclass(frozen=True)
 class Report:
     scores: DataFrame

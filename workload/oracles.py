@@ -305,6 +305,18 @@ SELECT u AS utt_id, role || '/' || u || '.wav' AS rel_path, CASE WHEN k < 3 THEN
 FROM m"""
 ORACLES["annotated_record"] = RECORDS
 ORACLES["record_sink"] = RECORDS
+# only the judge's polished text differs from the turn, by one more word of two letters
+ORACLES["evaluate_annotations"] = f"""
+WITH r AS (SELECT (conv_id + turn) % 4 AS k, len({words(generic('text'))}) AS n, length(replace({generic('text')}, ' ', '')) AS chars
+  FROM conversations),
+scored AS (
+  SELECT s AS system, CASE WHEN s = 'third' AND k = 3 THEN NULL ELSE 0 END AS sub_rate,
+    CASE WHEN s = 'third' AND k = 3 THEN NULL ELSE 0 END AS del_rate,
+    CASE WHEN s = 'third' AND k = 3 THEN NULL WHEN s = 'judge' AND k <> 2 THEN 1 / n ELSE 0 END AS ins_rate,
+    CASE WHEN s = 'third' AND k = 3 THEN NULL WHEN s = 'judge' AND k <> 2 THEN 1 / n ELSE 0 END AS wer,
+    CASE WHEN s = 'third' AND k = 3 THEN NULL WHEN s = 'judge' AND k <> 2 THEN 2 / chars ELSE 0 END AS cer
+  FROM r, (SELECT unnest(['first', 'second', 'judge', 'third']) AS s))
+{SUMMARY}"""
 ORACLES["report_sink"] = f"""{made_scores(generic('text'))}
 SELECT *, (SELECT count(*) FROM conversations) AS num_files FROM ({SUMMARY})"""
 ORACLES["catalog_roles"] = """

@@ -33,7 +33,7 @@ from voxframe.operators.sequence import Chunking, chunk_windows, overlap_add, to
 from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
 from voxframe.plans.corpus import clean_transcripts, prepare_table
-from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_transliterated
+from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_records, evaluate_transliterated
 from voxframe.plans.folders import process_audio
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
@@ -706,6 +706,13 @@ def annotated_record(spark: SparkSession, sf: str) -> DataFrame:
     return flat_record(records(spark, sf).select("utt_id", "rel_path", "record.*"))
 
 
+@query
+def evaluate_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The transcripts of annotated records against their turns."""
+    refs = turns(spark, sf).select("utt_id", F.col("text").alias("ref"))
+    return rounded(evaluate_records(records(spark, sf), refs, "en").summary)
+
+
 @query
 def record_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Records written as JSON below their folders and read back."""
