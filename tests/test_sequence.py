@@ -77,6 +77,22 @@ def test_other_sizes(spark):
         assert found == sorted((k, *c) for k, (ts, ref) in made.items() for c in chunks_of(ts, min(ref, len(ts)), size))
 
 
+def test_gaps_and_doubles_are_errors(spark):
+    for rows in ([(0, 1), (2, 3)], [(0, 1), (1, 1), (1, 2)], [(1, 5), (2, 6)]):
+        df = spark.createDataFrame([("u", s, t) for s, t in rows], "utt_id string, seq long, token int")
+        with pytest.raises(Exception, match="tokens missing or doubled in u"):
+            chunk_windows(df).collect()
+
+
+def test_nothing_follows_when_no_token_is_left(spark):
+    size = Chunking(4, 2, 0, 1, 3)
+    made = {f"n{n}": (list(range(n)), 0) for n in (4, 8, 9)}
+    chunks = chunk_windows(token_table(spark, made), n_ref="n_ref", size=size)
+    blocks = stitch(chunks.withColumn("samples", F.flatten(F.transform("tokens", lambda t: F.array_repeat(t.cast("double"), 3)))), size=size)
+    counts = {r.utt_id: r.n for r in to_samples(blocks, "utt_id", size.stride).groupBy("utt_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {k: len(signal_of(ts, 0, size, lambda t: np.repeat(np.array(t, float), 3))) for k, (ts, _) in made.items()}
+
+
 def context_decoder(hop):
     """A decoder whose samples depend on their place in the context, as real ones do."""
 

@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tests.test_sequence import make_sequences, token_table
-from voxframe.operators.sequence import chunk_windows
+from tests.test_sequence import context_decoder, make_sequences, signal_of, token_table, wave
+from voxframe.operators.inference import infer_stage
+from voxframe.operators.sequence import Chunking, chunk_windows, to_samples
 from voxframe.streaming.chunks import stream_chunk_windows
+from voxframe.streaming.stitching import stream_stitch
 from voxframe.streaming.resume import resume_run, stream_to_table, with_end_mark
 
 
@@ -33,6 +36,25 @@ def test_stream_equals_batch_in_order_and_out_of_order(spark, tmp_path):
     assert left.count() == 0
 
 
+def test_stitched_stream_equals_the_running_form(spark, tmp_path):
+    made, size = make_sequences(), Chunking(hop=4)
+    chunks = chunk_windows(token_table(spark, made), n_ref="n_ref", size=size)
+    decoded = infer_stage(chunks, context_decoder(4), ["tokens"], "samples array<double>").drop("attempt", "status", "error")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    lot = F.abs(F.hash("utt_id", "chunk")) % 3
+    for i in range(3):
+        decoded.where(lot == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(decoded.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    blocks = stream_to_table(stream_stitch(stream, size=size), out, state)
+    rows = to_samples(blocks, "utt_id", size.stride).collect()
+    for key, (tokens, ref) in made.items():
+        mine = sorted((r.sample, r.value) for r in rows if r.utt_id == key)
+        want = signal_of(tokens, min(ref, len(tokens)), size, lambda ts: wave(ts, 4))
+        assert [s for s, _ in mine] == list(range(len(want))), key
+        assert np.allclose([v for _, v in mine], want), key
+    assert spark.read.format("statestore").load(state).count() == 0
+
+
 def test_resume_processes_every_row_once(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "id long, text string"

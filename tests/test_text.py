@@ -30,6 +30,7 @@ CASES = [
     (X.restore_sentence_case, "and i <COMMA> i' m <QUESTIONMARK> yes<COMMA>", "And i, I' m? Yes<comma>"),
     (X.restore_sentence_case, "", ""),
     (X.restore_sentence_case, "...42 éa <EXCLAMATIONPOINT> ßx", "...42 Éa! SSx"),
+    (X.restore_sentence_case, "ΟΔΟΣ Ⓐ <PERIOD> ΝΑΙ", "Οδος ⓐ. Ναι"),
     (X.strip_time_tags, "[ 0m0s285ms - 0m7s935ms ] yes [hmm] [laugh]", "yes [laugh]"),
     (X.strip_time_tags, "a [1m2s3ms]\n b [shh] []", "a b []"),
     (X.strip_time_tags, None, ""),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,7 +123,12 @@ def chunk_windows(
 
     # the block's tokens are cut inside the row, so only contexts leave it
     windows = F.transform(F.sequence(from_chunk, upto), window)
-    chunks = items.where(upto >= from_chunk).select(key, F.inline(windows))
+    # each block starts where its first chunk looks back to and has no gaps
+    begin = F.greatest(F.col("_ref") + from_chunk * size.chunk - size.back, F.lit(0).cast("long"))
+    whole = (F.col("_first") == begin) & (F.size("_items") == F.col("_seen") - F.col("_first"))
+    gap = F.concat(F.lit("tokens missing or doubled in "), F.col(key).cast("string"))
+    checked = F.when(whole, F.lit(True)).otherwise(F.raise_error(gap).cast("boolean"))
+    chunks = items.where((upto >= from_chunk) & checked).select(key, F.inline(windows))
     ready = F.col("ctx_end") - F.col("n")
     final = is_final(size, ready, F.col("chunk"))
     return chunks.where(is_regular(size, ready) | final).select(
@@ -150,7 +155,7 @@ def cut_frames(
     )
 
 
-def _weights(low: int, count: int, at: int, length: int, kind: str) -> np.ndarray:
+def weights(low: int, count: int, at: int, length: int, kind: str) -> np.ndarray:
     """Weights of a frame's samples from position ``low`` on; the frame starts at ``at``."""
     t = (np.arange(low - at, low - at + count) + 1) / (length + 1)
     return 1 - t if kind == "ramp" else 0.5 - np.abs(t - 0.5)
@@ -173,7 +178,7 @@ def _mean_of_pieces(kind: str) -> Callable[[pa.Array, pa.Array, pa.Array], pa.Ar
             for p in range(firsts[row], firsts[row + 1]):
                 part = values[edges[p] : edges[p + 1]]
                 to = out_edges[row] + low[p] - starts[row]
-                w = _weights(low[p], len(part), at[p], length[p], kind)
+                w = weights(low[p], len(part), at[p], length[p], kind)
                 total[to : to + len(part)] += w * part
                 weight[to : to + len(part)] += w
         covered = weight > 0
@@ -185,53 +190,55 @@ def _mean_of_pieces(kind: str) -> Callable[[pa.Array, pa.Array, pa.Array], pa.Ar
     return mean
 
 
-def overlap_add(
-    df: DataFrame,
-    key: str,
-    stride: int,
-    frame: str = "frame",
-    at: str = "at",
-    weight: str = "ramp",
+def frame_pieces(
+    df: DataFrame, key: str, stride: int, frame: str = "frame", at: str = "at", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Weighted mean of overlapping frames, one row per (key, block) of ``stride`` samples.
+    """Frames cut at the borders of blocks of ``stride`` samples: ``key, keep, block, end, piece``.
 
-    ``at`` is a frame's first sample position; what lies before 0 is not written. A frame is cut at
-    the block borders and only its pieces are shuffled; a block gathers the few pieces that overlap
-    it, so long series are spread over the cluster. ``samples`` starts at ``block * stride``; a
-    position no frame covers is null, or left out at the end of its block.
+    A piece knows where its frame starts and how long it is, where it starts itself, and its
+    samples. What lies before position 0 is dropped.
     """
-    length = F.size(frame).cast("long")
-    if weight not in ("ramp", "triangle"):
-        raise ValueError(f"unknown weight {weight!r}: ramp or triangle")
-    begin = F.col(at).cast("long")
+    begin, length = F.col(at).cast("long"), F.size(frame).cast("long")
     first = F.greatest(F.floor(begin / stride), F.lit(0).cast("long"))
     last = F.floor((begin + length - 1) / stride)
 
-    def piece(block: Column) -> Column:
+    def cut(block: Column) -> Column:
         low = F.greatest(begin, block * stride)
         high = F.least(begin + length, (block + 1) * stride)
-        return F.struct(
-            block.alias("block"),
-            high.alias("_high"),
-            F.struct(
-                begin.alias("at"),
-                length.alias("len"),
-                low.alias("low"),
-                F.slice(frame, (low - begin + 1).cast("int"), (high - low).cast("int")).cast("array<double>").alias("x"),
-            ).alias("_piece"),
-        )
+        x = F.slice(frame, (low - begin + 1).cast("int"), (high - low).cast("int")).cast("array<double>")
+        piece = F.struct(begin.alias("at"), length.alias("len"), low.alias("low"), x.alias("x"))
+        return F.struct(block.alias("block"), high.alias("end"), piece.alias("piece"))
+
+    whole = df.where((length > 0) & (last >= first))
+    return whole.select(key, *keep, F.inline(F.transform(F.sequence(first, last), cut)))
 
-    cut = F.inline(F.transform(F.sequence(first, last), piece))
-    gathered = (
-        df.where((length > 0) & (last >= first))
-        .select(key, cut)
-        .groupBy(key, "block")
-        .agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"), F.max("_high").alias("_high"))
-    )
 
+def _add_pieces(pieces: DataFrame, key: str, stride: int, weight: str, wanted: Column | None = None) -> DataFrame:
+    """Blocks from their pieces; ``wanted`` must hold for one piece of a block at least."""
+    if weight not in ("ramp", "triangle"):
+        raise ValueError(f"unknown weight {weight!r}: ramp or triangle")
+    gathered = pieces.groupBy(key, "block").agg(
+        F.array_sort(F.collect_list("piece")).alias("_pieces"),
+        F.max("end").alias("_end"),
+        F.bool_or(F.lit(True) if wanted is None else wanted).alias("_wanted"),
+    )
+    if wanted is not None:
+        gathered = gathered.where("_wanted")
     mean = F.arrow_udf(_mean_of_pieces(weight), T.ArrayType(T.DoubleType()))
-    start = F.col("block") * stride
-    return gathered.select(key, "block", mean(F.col("_pieces"), start, F.col("_high")).alias("samples"))
+    return gathered.select(key, "block", mean(F.col("_pieces"), F.col("block") * stride, F.col("_end")).alias("samples"))
+
+
+def overlap_add(
+    df: DataFrame, key: str, stride: int, frame: str = "frame", at: str = "at", weight: str = "ramp"
+) -> DataFrame:
+    """Weighted mean of overlapping frames, one row per (key, block) of ``stride`` samples.
+
+    ``at`` is a frame's first sample position, one frame each. Only the pieces of frames are
+    shuffled; a block gathers the few that overlap it, so long series are spread over the cluster.
+    ``samples`` starts at ``block * stride``; a position no frame covers is null, or left out at
+    the end of its block.
+    """
+    return _add_pieces(frame_pieces(df, key, stride, frame, at), key, stride, weight)
 
 
 def stitch(
@@ -245,11 +252,12 @@ def stitch(
     """Decoded chunks to the emitted signal, one row per block of a stride.
 
     Expects the columns of ``chunk_windows`` with the decoded context in ``samples``. Every block
-    is what the stream emits with the chunk of that number; blocks past the final chunk's own are
-    emitted with it.
+    is what the stream emits with the chunk of that number; a block past the final chunk's own is
+    emitted with it, and what a regular chunk holds beyond its block is not emitted on its own.
     """
-    frames = cut_frames(df, samples, size, align_tail).select(key, "frame", "at")
-    return overlap_add(frames, key, size.stride, weight=weight)
+    frames = cut_frames(df, samples, size, align_tail)
+    pieces = frame_pieces(frames, key, size.stride, keep=("chunk", "is_final"))
+    return _add_pieces(pieces, key, size.stride, weight, (F.col("chunk") == F.col("block")) | F.col("is_final"))
 
 
 def to_samples(blocks: DataFrame, key: str, stride: int) -> DataFrame:

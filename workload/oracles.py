@@ -382,3 +382,24 @@ WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,
   user_id % 7 AS p FROM events)
 SELECT user_id, (seq - p) * 4 + j AS sample, round(token % 1000 + j / 10, 6) AS value
 FROM t, (SELECT unnest(range(4)) AS j) WHERE seq >= p"""
+
+# The historical layout puts the remainder's frame, which starts a token early, at its chunk's own
+# place; the tail of the chunk before covers its first two tokens.
+LAYOUT = f"""
+WITH {TOKENS},
+j AS (SELECT unnest(range(4)) AS j),
+v AS (SELECT user_id, seq, j, token % 1000 + j / 10 AS v FROM t, j),
+regular AS (SELECT v.user_id, (seq - p) * 4 + j AS sample, v FROM v JOIN k ON k.user_id = v.user_id
+  WHERE seq >= p AND seq < p + 25 * regular),
+f AS (SELECT *, p + 25 * regular AS n, CASE WHEN regular = 0 AND p = 0 THEN 0 ELSE 1 END AS lead FROM k WHERE len > p + 25 * regular),
+final AS (SELECT f.user_id, regular, n, (len - n + lead) * 4 AS size, (seq - n + lead) * 4 + j AS o, v
+  FROM f JOIN v ON v.user_id = f.user_id AND seq >= n - lead),
+tail AS (SELECT f.user_id, (seq - n) * 4 + j AS o, v FROM f JOIN v ON v.user_id = f.user_id AND seq >= n AND seq < n + 2 WHERE regular > 0),
+mixed AS (SELECT final.user_id, regular * 100 + final.o AS sample,
+  CASE WHEN tail.o IS NULL THEN final.v
+    ELSE (tail.v * (1 - (101 + tail.o) / 109) + final.v * (1 - (final.o + 1) / (size + 1)))
+      / ((1 - (101 + tail.o) / 109) + (1 - (final.o + 1) / (size + 1))) END AS v
+  FROM final LEFT JOIN tail ON tail.user_id = final.user_id AND tail.o = final.o)
+SELECT user_id, sample, round(v, 6) AS value FROM (SELECT user_id, sample, v FROM regular UNION ALL SELECT * FROM mixed)"""
+ORACLES["stitched_layout"] = LAYOUT
+ORACLES["stitch_stream"] = LAYOUT

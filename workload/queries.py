@@ -41,6 +41,7 @@ from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset,
 from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts
 from voxframe.sources.sinks import add_progress, progress, write_records, write_report, write_texts
 from voxframe.streaming.chunks import stream_chunk_windows
+from voxframe.streaming.stitching import stream_stitch
 from voxframe.streaming.resume import resume_run, stream_to_table, with_end_mark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -960,15 +961,43 @@ def overlap_add_triangle(spark: SparkSession, sf: str) -> DataFrame:
 HOP = 4
 
 
+def spoken_samples(ts: Column) -> Column:
+    """A few samples per token, whatever its context."""
+    return F.flatten(
+        F.transform(ts, lambda t: F.transform(F.sequence(F.lit(0), F.lit(HOP - 1)), lambda j: (t % 1000 + j / 10).cast("double")))
+    )
+
+
+def flat_samples(blocks: DataFrame) -> DataFrame:
+    return to_samples(blocks, "user_id", Chunking(hop=HOP).stride).select("user_id", "sample", r6("value").alias("value"))
+
+
 @query
 def stitched_signal(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks decoded to a few samples per token and stitched, the remainder where it belongs."""
     size = Chunking(hop=HOP)
+    tokens = event_tokens(spark, sf)
+    return flat_samples(chunk_and_stitch(tokens, spoken_samples, "user_id", n_ref="n_ref", size=size, align_tail=True))
 
-    def decode(ts: Column) -> Column:
-        return F.flatten(
-            F.transform(ts, lambda t: F.transform(F.sequence(F.lit(0), F.lit(HOP - 1)), lambda j: (t % 1000 + j / 10).cast("double")))
-        )
 
-    blocks = chunk_and_stitch(event_tokens(spark, sf), decode, "user_id", n_ref="n_ref", size=size, align_tail=True)
-    return to_samples(blocks, "user_id", size.stride).select("user_id", "sample", r6("value").alias("value"))
+@query
+def stitched_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the remainder at its historical place, a token late."""
+    size = Chunking(hop=HOP)
+    return flat_samples(chunk_and_stitch(event_tokens(spark, sf), spoken_samples, "user_id", n_ref="n_ref", size=size))
+
+
+@query
+def stitch_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """From a stream of tokens over a table of decoded chunks to a stream of blocks."""
+    size = Chunking(hop=HOP)
+    source, chunks, chunk_state, blocks, block_state = (
+        scratch_path(spark, n) for n in ("tokens", "decoded", "chunk-state", "blocks", "block-state")
+    )
+    tokens = with_end_mark(event_tokens(spark, sf), "user_id", "seq")
+    tokens.repartition(2, "user_id", "seq").write.parquet(source)
+    arriving = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    cut = stream_chunk_windows(arriving, "user_id", n_ref="n_ref", size=size)
+    decoded = stream_to_table(cut.withColumn("samples", spoken_samples(F.col("tokens"))), chunks, chunk_state)
+    heard = spark.readStream.schema(decoded.schema).parquet(chunks)
+    return flat_samples(stream_to_table(stream_stitch(heard, "user_id", size=size), blocks, block_state))
