@@ -1,13 +1,17 @@
 """Edit distance between token lists, as small helpers for Arrow batches.
 
-The distance runs on bit vectors (one Python integer per row of the table), so a pair costs
-``len(a) * len(b) / 64`` word operations rather than one step per cell.
+The distance runs on bit vectors: a column of the table is held as the steps up and down between
+its cells, one bit each. A pair costs ``len(a) * len(b) / 64`` word operations rather than one step
+per cell. ``distance`` holds a column in one Python integer; ``distances`` puts the columns of many
+short texts side by side in numpy words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Hashable, Sequence
 
+import numpy as np
+
 
 def _common_start(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     """Length of the longest common prefix, by halving."""
@@ -63,6 +67,108 @@ def distance(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> int:
     return len(hyp) + up.bit_count() - (down & every).bit_count()
 
 
+# Texts up to this length go side by side, as many as make about this many words of 64 bits; the
+# table of sign positions is kept below this many words.
+SIDE_BY_SIDE_LENGTH = 2048
+SIDE_BY_SIDE_WORDS = 16384
+TABLE_WORDS = 4_000_000
+
+
+def distances(pairs: Sequence[tuple[str, str]]) -> list[int]:
+    """Levenshtein distance of each pair of texts."""
+    out = [0] * len(pairs)
+    short = []
+    for i, (a, b) in enumerate(pairs):
+        same = _common_start(a, b)
+        a, b = a[same:], b[same:]
+        same = _common_end(a, b)
+        a, b = sorted((a[: len(a) - same], b[: len(b) - same]), key=len, reverse=True)
+        if not b:
+            out[i] = len(a)
+        elif len(a) > SIDE_BY_SIDE_LENGTH:
+            out[i] = distance(a, b)
+        else:
+            short.append((a, b, i))
+    short.sort(key=lambda p: len(p[0]))
+    while short:
+        width = -(-len(short[-1][0]) // 64)
+        group = short[-max(1, SIDE_BY_SIDE_WORDS // width) :]
+        del short[-len(group) :]
+        for (_, _, i), found in zip(group, _side_by_side([p[:2] for p in group])):
+            out[i] = found
+    return out
+
+
+def _shift(words: np.ndarray) -> None:
+    """All columns one bit up, across their words."""
+    out = words[:-1] >> np.uint64(63)
+    words <<= np.uint64(1)
+    words[1:] |= out
+
+
+def _side_by_side(pairs: list[tuple[str, str]]) -> list[int]:
+    """Distances of non-empty texts, the longer one of each pair first."""
+    n = len(pairs)
+    long, short = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    width = -(-int(long.max()) // 64)
+    text = np.frombuffer("".join(a + b for a, b in pairs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs, codes = np.unique(text, return_inverse=True)
+    if n > 1 and width * (len(signs) + 1) * n > TABLE_WORDS:
+        return _side_by_side(pairs[: n // 2]) + _side_by_side(pairs[n // 2 :])
+    starts = np.cumsum(long + short) - (long + short)
+
+    def cells(lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pair, position and sign of every character of one side."""
+        pair = np.repeat(np.arange(n), lengths)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return pair, at, codes[np.repeat(first, lengths) + at]
+
+    # words x (sign, pair): where the longer text has a sign; the last sign is none
+    table = np.zeros((width, (len(signs) + 1) * n), np.uint64)
+    pair, at, sign = cells(long, starts)
+    np.bitwise_or.at(table, (at // 64, sign * n + pair), np.uint64(1) << (at % 64).astype(np.uint64))
+    steps = np.full((int(short.max()), n), len(signs) * n + np.arange(n))
+    pair, at, sign = cells(short, starts + long)
+    steps[at, pair] = sign * n + pair
+
+    bits = np.clip(long - 64 * np.arange(width)[:, None], 0, 64)
+    every = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % 64).astype(np.uint64)) - np.uint64(1))
+    up, down = every.copy(), np.zeros_like(every)
+    same, level, right = (np.empty_like(every) for _ in range(3))
+    carry = np.empty(every.shape, bool)
+    out = np.zeros(n, np.int64)
+    ends = {int(length): np.flatnonzero(short == length) for length in np.unique(short)}
+    for done, step in enumerate(steps, 1):
+        np.take(table, step, axis=1, out=same)
+        np.bitwise_and(same, up, out=level)
+        level += up
+        np.less(level, up, out=carry)
+        for w in range(1, width):
+            level[w] += carry[w - 1]
+            carry[w] |= carry[w - 1] & (level[w] == 0)
+        level ^= up
+        level |= same
+        level |= down
+        np.bitwise_or(level, up, out=right)
+        np.invert(right, out=right)
+        right |= down
+        _shift(right)
+        right[0] |= np.uint64(1)
+        up &= level
+        _shift(up)
+        np.bitwise_or(level, right, out=same)
+        np.invert(same, out=same)
+        up |= same
+        up &= every
+        np.bitwise_and(right, level, out=down)
+        if done in ends:
+            ended = ends[done]
+            rises = np.bitwise_count(up[:, ended]).sum(0, dtype=np.int64)
+            falls = np.bitwise_count(down[:, ended] & every[:, ended]).sum(0, dtype=np.int64)
+            out[ended] = done + rises - falls
+    return out.tolist()
+
+
 def _advance(masks: dict, every: int, up: int, down: int, token: Hashable) -> tuple[int, int, int, int]:
     """Next column of the table: steps down (+1/-1) and steps right (+1/-1) as bit vectors."""
     same = masks.get(token, 0)

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.functions.edits import distance, edit_counts
+from voxframe.functions.edits import distance, distances, edit_counts
 from voxframe.functions.text import WS, strip_ws, words
 
 EDIT_FIELDS = ("distance", "substitutions", "deletions", "insertions")
@@ -45,33 +45,37 @@ def pair_edits(ref: Column, hyp: Column, compat: bool = False) -> Column:
 
     @F.arrow_udf(_spark_type(PAIR_FIELDS))
     def counts(a: pa.Array, b: pa.Array) -> pa.Array:
+        said, heard = a.to_pylist(), b.to_pylist()
+        chars = _char_distances(said, heard)
         rows = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
+        for x, y, d in zip(said, heard, chars):
             if x is None:
                 rows.append(None)
                 continue
-            said = x.split()
-            if y is None:
-                rows.append((*[None] * len(EDIT_FIELDS), len(said), None, None))
-                continue
-            heard = y.split()
-            chars = distance(x.replace(" ", ""), y.replace(" ", ""))
-            rows.append((*edit_counts(said, heard, compat), len(said), len(heard), chars))
+            r, h = x.split(), None if y is None else y.split()
+            if h is None:
+                rows.append((*[None] * len(EDIT_FIELDS), len(r), None, None))
+            else:
+                rows.append((*edit_counts(r, h, compat), len(r), len(h), d))
         return _rows(PAIR_FIELDS, rows)
 
     return counts(ref, hyp)
 
 
+def _char_distances(ref: list[str | None], hyp: list[str | None]) -> list[int | None]:
+    """Character distances without spaces; none where a side is missing."""
+    known = [i for i, (x, y) in enumerate(zip(ref, hyp)) if x is not None and y is not None]
+    out: list[int | None] = [None] * len(ref)
+    found = distances([(ref[i].replace(" ", ""), hyp[i].replace(" ", "")) for i in known])
+    for i, d in zip(known, found):
+        out[i] = d
+    return out
+
+
 @F.arrow_udf(T.IntegerType())
 def char_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Character edit distance of two texts, spaces left out."""
-    return pa.array(
-        [
-            None if x is None or y is None else distance(x.replace(" ", ""), y.replace(" ", ""))
-            for x, y in zip(a.to_pylist(), b.to_pylist())
-        ],
-        type=pa.int32(),
-    )
+    return pa.array(_char_distances(a.to_pylist(), b.to_pylist()), type=pa.int32())
 
 
 @F.arrow_udf(T.IntegerType())

@@ -15,6 +15,8 @@ from voxframe.functions.text import n_words
 
 def _alignment(ref: list[str], tgt: list[str]) -> list[int | None]:
     """Reference position of each target word."""
+    if ref == tgt:
+        return list(range(len(ref)))
     places: list[int | None] = [None] * len(tgt)
     if not ref:
         return places
