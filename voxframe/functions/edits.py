@@ -8,6 +8,7 @@ short texts side by side in numpy words.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Hashable, Sequence
 
 import numpy as np
@@ -67,9 +68,10 @@ def distance(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> int:
     return len(hyp) + up.bit_count() - (down & every).bit_count()
 
 
-# Texts up to this length go side by side, as many as make about this many words of 64 bits; the
-# table of sign positions is kept below this many words.
+# Texts up to this length go side by side, where there are enough of similar length and as many as
+# make about this many words of 64 bits; the table of sign positions is kept below this many words.
 SIDE_BY_SIDE_LENGTH = 2048
+SIDE_BY_SIDE_LEAST = 256
 SIDE_BY_SIDE_WORDS = 16384
 TABLE_WORDS = 4_000_000
 
@@ -91,11 +93,14 @@ def distances(pairs: Sequence[tuple[str, str]]) -> list[int]:
             short.append((a, b, i))
     short.sort(key=lambda p: len(p[0]))
     while short:
-        width = -(-len(short[-1][0]) // 64)
-        group = short[-max(1, SIDE_BY_SIDE_WORDS // width) :]
+        longest = len(short[-1][0])
+        first = bisect_left(short, longest * 3 // 4, key=lambda p: len(p[0]))
+        group = short[max(first, len(short) - max(1, SIDE_BY_SIDE_WORDS // -(-longest // 64))) :]
         del short[-len(group) :]
-        for (_, _, i), found in zip(group, _side_by_side([p[:2] for p in group])):
-            out[i] = found
+        plain = len(group) < SIDE_BY_SIDE_LEAST
+        found = [distance(a, b) for a, b, _ in group] if plain else _side_by_side([p[:2] for p in group])
+        for (_, _, i), d in zip(group, found):
+            out[i] = d
     return out
 
 
