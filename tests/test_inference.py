@@ -52,6 +52,16 @@ def test_ladder_and_default(texts):
     assert rows_of(done)[4][3:] == ("default", "ValueError: too long")
 
 
+def test_only_some_rows(texts):
+    marked = texts.withColumn("wanted", F.when(F.col("id") != 1, F.col("id") % 2 == 0))
+    done = infer_stage(marked, counter(10), ["text"], "n long, tags array<string>", 4, only="wanted")
+    got = rows_of(done)
+    assert [r[1] for r in got] == [1, None, None, None, None, None]
+    assert [r[3] for r in got] == ["ok", "skipped", "default", "skipped", "default", "skipped"]
+    none = infer_stage(marked.withColumn("wanted", F.lit(False)), counter(0), ["text"], "n long, tags array<string>", only="wanted")
+    assert {(r.n, r.tags, r.status, r.error) for r in none.collect()} == {(None, None, "skipped", None)}
+
+
 def test_wrong_number_of_results(texts):
     def make():
         return lambda batch: pd.DataFrame({"n": [1, 2]})

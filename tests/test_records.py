@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import tokens as K
 from voxframe.operators import records as R
-from voxframe.plans.annotate import CORRECTION_PROMPTS, Stage, annotate, request, write_annotations
+from voxframe.operators.inference import Attempt
+from voxframe.plans.annotate import annotate, annotate_folder, recording_stages, run_stages
+from voxframe.sources.files import scan_audio
 
 
 def one(spark, *cols):
@@ -78,65 +80,103 @@ def test_choices(spark):
     assert tuple(got) == ("L", "P", "P", "P", None, "skipped (ar audio)", None, False, " v ")
 
 
-def listener():
-    def predict(batch):
-        if (batch["utt_id"] == "bad").any():
-            raise RuntimeError("no sound")
-        return pd.DataFrame(
-            {
-                "first": batch["utt_id"].map(lambda u: f"first {u}"),
-                "second": batch["utt_id"].map(lambda u: f"[0m1s2ms] second {u} said"),
-                "second_labelled": "[laugh] second",
-                "third": "third",
-                "label": "laugh",
-                "confidence": 0.9,
-            }
-        )
+# Stub models: a recording's bytes say what each of them answers.
 
-    return predict
 
+def stub(answer):
+    """A model that answers row by row and fails on recordings that say so."""
 
-def judge():
-    def predict(batch):
-        assert batch["request"].str.contains("<corrected>|<مصحح>").all()
-        return pd.DataFrame({"reply": ["A better second text</corrected>"] * len(batch)})
+    def make():
+        def predict(batch):
+            rows = []
+            for row in batch.to_dict("records"):
+                said = bytes(row["content"]).decode() if "content" in row else ""
+                if "broken" in said:
+                    raise RuntimeError("no sound")
+                rows.append(answer(said, row))
+            return pd.DataFrame(rows)
 
-    return predict
+        return predict
 
+    return make
 
-def test_annotation(spark, tmp_path):
-    rows = [("a", "x/a.wav", {"en": 0.7, "ar": 0.3}, 4.0), ("b", "b.wav", {"ar": 0.6}, 0.0), ("bad", "x/bad.wav", None, 2.0)]
-    df = spark.createDataFrame(rows, "utt_id string, rel_path string, language_probs map<string,double>, duration double")
-    word = "struct<word:string,start:double,end:double,probability:double>"
-    df = (
-        df.withColumn("segments", F.lit(None).cast(f"array<struct<words:array<{word}>>>"))
-        .withColumn("speech_segments", F.array(F.lit("0.0 1.0 s0"), F.lit("broken")))
-        .withColumn("snr", F.lit(1.5))
-        .withColumn("gender", F.lit("f"))
-        .withColumn("truncated", F.lit(False))
-        .withColumn("polished", F.lit(""))
-        .withColumn("request", request(CORRECTION_PROMPTS, F.lit("en"), {"base": F.lit("b"), "first": F.lit("f"), "third": F.lit("t")}))
-    )
-    heard = "first string, second string, second_labelled string, third string, label string, confidence double"
-    stages = [
-        Stage("listen", listener, ["utt_id"], heard, default={"first": "", "second": ""}),
-        Stage("judge", judge, ["request"], "reply string"),
-    ]
-    tags = {"non_speech": ("label", "confidence")}
-    out = annotate(df, stages, tags)
-    got = {r.utt_id: r.record for r in out.collect()}
+
+def judged(said, row):
+    assert "<corrected>" in row["request"] or "<مصحح>" in row["request"]
+    base = row["request"].split("Text: ")[-1].split("\n")[0]
+    return {"text": f"{base} judged</corrected>" if "Text: " in row["request"] else "short", "truncated": False}
+
+
+MODELS = {
+    "measure": stub(lambda s, r: {"duration": 0.0 if "empty" in s else 2.0, "snr": 1.5}),
+    "language": stub(lambda s, r: {"probs": {"en": 0.7, "ar": 0.3} if "english" in s else {"ar": 0.6}}),
+    "non_speech": stub(lambda s, r: {"label": "laugh", "confidence": 0.9 if "loud" in s else 0.1}),
+    "noise": stub(lambda s, r: {"label": "street", "confidence": 0.5}),
+    "emotion": stub(lambda s, r: {"label": "calm", "confidence": 0.5}),
+    "first": stub(
+        lambda s, r: {
+            "text": f"first in {r['lang']}",
+            "segments": [{"words": [{"word": " hi ", "start": 0.0, "end": 1.0, "probability": None}]}, {"words": None}],
+        }
+    ),
+    "second": stub(
+        lambda s, r: {"text": "[0m1s2ms] she said [laugh]" if "laugh" in r["request"] else "[0m1s2ms] she said words"}
+    ),
+    "third": stub(lambda s, r: {"text": "third"}),
+    "judge": stub(judged),
+    "polish": stub(lambda s, r: {"text": "" if "words judged" not in r["request"] else "She said words, judged."}),
+    "speakers": stub(lambda s, r: {"segments": ["0.0 1.0 s0", "1.0 2.0 s1"]}),
+    "gender": stub(lambda s, r: {"label": "f"}),
+}
+
+
+def mono_speakers():
+    return lambda batch: pd.DataFrame({"segments": [["0.0 19.0 s0"]] * len(batch)})
+
+
+@pytest.fixture()
+def folder(tmp_path):
+    for name, said in (("x/a.wav", "english loud"), ("b.wav", "empty"), ("x/y/bad.mp3", "broken")):
+        file = tmp_path / "audio" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(said)
+    return tmp_path
+
+
+def test_annotation_of_a_folder(spark, folder):
+    ladder = (Attempt("full"), Attempt("mono", make=mono_speakers))
+    out = str(folder / "records")
+    annotate_folder(spark, str(folder / "audio"), out, MODELS, speaker_attempts=ladder, pause_s=0.0)
+    got = {r.utt_id: r for r in spark.read.json(out).collect()}
+    assert {r.file for r in got.values()} == {"x/a.json", "b.json", "x/y/bad.json"}
     a, b, bad = got["a"], got["b"], got["bad"]
-    assert a.transcriptions.detected_language == "en" and a.transcriptions.third == "third"
-    assert a.transcriptions.second == "second a said"
-    assert a.transcriptions.second_with_label == "[laugh] second"
-    assert a.transcriptions.merged == a.transcriptions.final == "A better second text"
-    assert (a.speaker_info.num_speakers, a.speaker_info.Diarization, a.speaker_info.word_per_sec) == (1, [], 1.0)
-    assert b.transcriptions.third is None and b.transcriptions.third_status == "skipped (ar audio)"
+
+    said = a.transcriptions
+    assert (said.detected_language, said.first, said.second, said.third) == ("en", "first in en", "she said words", "third")
+    assert said.second_with_label == "she said [laugh]"
+    assert (said.merged, said.final) == ("she said words judged", "She said words, judged.")
+    assert [tuple(w) for w in a.alignment] == [(1.0, 1.0, 0.0, "hi")]
+    assert (a.speaker_info.num_speakers, a.speaker_info.gender, a.speaker_info.word_per_sec) == (2, "f", 2.0)
+    assert (a.audio_classification.non_speech.label, a.audio_classification.noise.confidence) == ("laugh", 0.5)
+
+    said = b.transcriptions
+    assert (said.detected_language, said.third, said.third_status) == ("ar", None, "skipped (ar audio)")
+    # not sure of the sound, no usable correction, nothing polished
+    assert said.second_with_label == said.merged == said.final == "she said words"
     assert b.speaker_info.word_per_min is None
-    assert bad.transcriptions.detected_language == "ar" and bad.transcriptions.first == ""
-    compat = {r.utt_id: r.record for r in annotate(df, stages, tags, compat=True).collect()}
+
+    # every model failed on it but one, and the row is still there
+    assert bad.transcriptions.detected_language == "ar" and bad.transcriptions.second == ""
+    assert bad.speaker_info.num_speakers == 1 and bad.speaker_info.duration is None
+
+
+def test_annotation_compat_and_errors(spark, folder):
+    files = scan_audio(spark, str(folder / "audio")).select("utt_id", "rel_path", "content")
+    compat = {r.utt_id: r.record for r in annotate(files, MODELS, pause_s=0.0, compat=True).collect()}
     assert compat["b"].transcriptions.third == "skipped (ar audio)"
-    write_annotations(out, str(tmp_path / "out"))
-    stored = spark.read.json(str(tmp_path / "out"))
-    assert stored.count() == 3 and stored.where("file = 'x/a.json'").first().transcriptions.first == "first a"
-    assert pytest.approx(0.9) == stored.where("utt_id = 'a'").first().audio_classification.non_speech.confidence
+    assert compat["a"].transcriptions.merged == "she said words judged</corrected>"
+    # the failed diarization has no segments and one speaker
+    assert (compat["bad"].speaker_info.num_speakers, compat["bad"].speaker_info.Diarization) == (1, [])
+    staged = run_stages(files, recording_stages(MODELS, pause_s=0.0))
+    errors = {r.utt_id: (r.first_error, r.judge_error) for r in staged.select("utt_id", "first_error", "judge_error").collect()}
+    assert errors["bad"] == ("RuntimeError: no sound", None) and errors["a"] == (None, None)

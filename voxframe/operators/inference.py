@@ -39,6 +39,7 @@ def infer_stage(
     default: dict | None = None,
     on_error: str = "record",
     min_interval_s: float = 0.0,
+    only: str | None = None,
 ) -> DataFrame:
     """Adds the predictor's columns, ``attempt``, ``status`` and ``error`` to every row.
 
@@ -47,7 +48,7 @@ def infer_stage(
     no attempt could do get ``default`` (or nulls) and the last error, or fail the task with
     ``on_error="raise"``. ``status`` is ``ok``, ``retried`` or ``default``. With ``min_interval_s``
     a task waits that long after each call, so the overall rate is the number of concurrent tasks
-    per interval.
+    per interval. ``only`` names a boolean column; rows without it are ``skipped`` and get nulls.
     """
     if on_error not in ("record", "raise"):
         raise ValueError(f"on_error is {on_error!r}: record or raise")
@@ -61,6 +62,7 @@ def infer_stage(
     notes = [T.StructField(n, T.StringType()) for n in ("attempt", "status", "error")]
     schema = T.StructType([*df.schema.fields, *out_schema.fields, *notes])
     inputs, ladder, fallback = list(input_cols), list(attempts), dict(default or {})
+    added = [*out_names, "attempt", "status", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[int, Predictor] = {}
@@ -95,13 +97,18 @@ def infer_stage(
         for frame in frames:
             for at in range(0, len(frame), batch_size):
                 part = frame.iloc[at : at + batch_size].reset_index(drop=True)
-                batch = part[inputs]
+                chosen = part.index if only is None else part.index[part[only].fillna(False).astype(bool)]
+                batch = part.loc[chosen, inputs].reset_index(drop=True)
                 try:
-                    made = call(0, batch).assign(attempt=ladder[0].name, status="ok", error=None)
+                    made = call(0, batch).assign(attempt=ladder[0].name, status="ok", error=None) if len(batch) else batch
                 except Exception as problem:
                     alone = f"{type(problem).__name__}: {problem}" if len(batch) == 1 else None
                     rows = [one(batch.iloc[i : i + 1], alone) for i in range(len(batch))]
-                    made = pd.DataFrame(rows, columns=[*out_names, "attempt", "status", "error"], dtype=object)
+                    made = pd.DataFrame(rows, columns=added, dtype=object)
+                if len(chosen) < len(part):
+                    made = made.reindex(columns=added).astype(object).set_axis(chosen).reindex(part.index)
+                    made = made.where(made.notna(), None)
+                    made.loc[part.index.difference(chosen), "status"] = "skipped"
                 yield pd.concat([part[kept], made], axis=1)
 
     return df.mapInPandas(run, schema)

@@ -20,10 +20,14 @@ SKIPPED_NOTE = "skipped (%s audio)"
 SEGMENTS = "array<struct<start:double,end:double,speaker:string>>"
 
 
+def label_is_sure(label: Column, confidence: Column) -> Column:
+    """Whether a sound was heard, and surely enough."""
+    return (label != NO_SOUND) & (confidence > LABEL_CONFIDENCE)
+
+
 def labelled_variant(labelled: Column, plain: Column, label: Column, confidence: Column) -> Column:
     """The transcript with sound labels where the label is a sound and sure enough."""
-    sure = (label != NO_SOUND) & (confidence > LABEL_CONFIDENCE)
-    return F.when(sure, labelled).otherwise(plain)
+    return F.when(label_is_sure(label, confidence), labelled).otherwise(plain)
 
 
 def third_system_wanted(lang: Column, enabled: bool | None = None) -> Column:

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import extract_tagged, prompt_by_language, strip_time_tags
 from voxframe.functions.tokens import argmax_map, parse_segments, word_timings
 from voxframe.operators.inference import FULL, Attempt, Predictor, infer_stage
-from voxframe.operators.records import DEFAULT_LANG, annotated_record, first_usable, labelled_variant
+from voxframe.operators.records import (
+    DEFAULT_LANG,
+    annotated_record,
+    first_usable,
+    label_is_sure,
+    labelled_variant,
+    third_system_wanted,
+)
+from voxframe.sources.files import scan_audio
 from voxframe.sources.sinks import write_records
 
 # Request texts; callers may hand in their own.
@@ -42,25 +50,57 @@ def request(prompts: Mapping[str, str], lang: Column, fields: Mapping[str, Colum
 
 @dataclass(frozen=True)
 class Stage:
-    """One model call: its inputs, what it adds, and how it is tried."""
+    """One model call and how it is tried.
+
+    ``inputs`` maps what the model calls its inputs to columns, ``outputs`` what it returns to
+    columns with their types. ``before`` adds columns the call needs; ``only`` is the condition
+    for rows that are sent at all.
+    """
 
     name: str
     make: Callable[[], Predictor]
-    inputs: Sequence[str]
-    schema: str
+    inputs: Mapping[str, str]
+    outputs: Mapping[str, tuple[str, str]]
+    before: Callable[[DataFrame], DataFrame] | None = None
+    only: Column | None = None
     attempts: Sequence[Attempt] = (FULL,)
     default: dict = field(default_factory=dict)
     batch_size: int = 16
     min_interval_s: float = 0.0
 
 
+def _renaming(make: Callable[[], Predictor], stage: Stage) -> Callable[[], Predictor]:
+    """The predictor between the table's column names and the model's own."""
+    given = dict(stage.inputs)
+    returned = {theirs: column for theirs, (column, _) in stage.outputs.items()}
+
+    def built() -> Predictor:
+        model = make()
+        return lambda batch: model(
+            batch.set_axis(list(given.values()), axis=1).rename(columns={c: theirs for theirs, c in given.items()})
+        ).rename(columns=returned)
+
+    return built
+
+
 def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     """Stages one after the other; each leaves its error under ``<name>_error``."""
     for s in stages:
+        if s.before:
+            df = s.before(df)
+        sent = df.withColumn("_sent", s.only) if s.only is not None else df
         done = infer_stage(
-            df, s.make, s.inputs, s.schema, s.batch_size, s.attempts, s.default, min_interval_s=s.min_interval_s
+            sent,
+            _renaming(s.make, s),
+            list(s.inputs.values()),
+            ", ".join(f"`{column}` {kind}" for column, kind in s.outputs.values()),
+            s.batch_size,
+            [replace(a, make=_renaming(a.make, s)) if a.make else a for a in s.attempts],
+            s.default,
+            min_interval_s=s.min_interval_s,
+            only="_sent" if s.only is not None else None,
         )
-        df = done.withColumnRenamed("error", f"{s.name}_error").drop("attempt", "status")
+        df = done.withColumnRenamed("error", f"{s.name}_error").drop("attempt", "status", "_sent")
     return df
 
 
@@ -69,36 +109,118 @@ def with_language(df: DataFrame, probs: str = "language_probs", out: str = "lang
     return df.withColumn(out, F.coalesce(argmax_map(F.col(probs)), F.lit(DEFAULT_LANG)))
 
 
-def with_transcripts(df: DataFrame, compat: bool = False) -> DataFrame:
-    """Cleans the systems' texts and settles the labelled, merged and final ones.
-
-    Expects ``lang, first, second, second_labelled, third, label, confidence, reply, truncated,
-    polished``.
-    """
-    second = F.col("second")
-    settled = (
-        df.withColumn("second", strip_time_tags(second))
-        .withColumn(
-            "second_labelled",
-            labelled_variant(
-                strip_time_tags(F.col("second_labelled")), F.col("second"), F.col("label"), F.col("confidence")
-            ),
-        )
-        .withColumn(
-            "merged", extract_tagged(F.col("reply"), F.col("second"), F.col("lang"), F.col("truncated"), compat)
-        )
+def with_second(df: DataFrame) -> DataFrame:
+    """The second system's text without time stamps, its labelled variant where the label is sure."""
+    plain = strip_time_tags(F.col("second"))
+    return df.withColumn("second", plain).withColumn(
+        "second_labelled",
+        labelled_variant(
+            strip_time_tags(F.col("second_labelled")),
+            F.col("second"),
+            F.col("non_speech_label"),
+            F.col("non_speech_confidence"),
+        ),
     )
-    return settled.withColumn("final", first_usable(F.col("polished"), F.col("merged")))
 
 
-def to_record(df: DataFrame, classification: Mapping[str, tuple[str, str]], compat: bool = False) -> DataFrame:
-    """Adds ``record``; expects the columns of ``with_transcripts`` plus the measurements.
+def with_merged(df: DataFrame, compat: bool = False) -> DataFrame:
+    """The judge's text from its ``reply``, or the second system's."""
+    cut = F.coalesce(F.col("truncated"), F.lit(False))
+    return df.withColumn("merged", extract_tagged(F.col("reply"), F.col("second"), F.col("lang"), cut, compat))
+
+
+def with_final(df: DataFrame) -> DataFrame:
+    """The polished text, or the merged one."""
+    return df.withColumn("final", first_usable(F.col("polished"), F.col("merged")))
+
 
-    These are ``segments`` (timed words), ``speech_segments`` (``"start end speaker"`` texts),
-    ``snr``, ``gender`` and ``duration``.
+WORDS = "array<struct<words:array<struct<word:string,start:double,end:double,probability:double>>>>"
+# Taggers of a recording, seconds to wait after a call of the second system.
+TAGGERS = ("non_speech", "noise", "emotion")
+PAUSE_S = 7.0
+
+
+def recording_stages(
+    models: Mapping[str, Callable[[], Predictor]],
+    speaker_attempts: Sequence[Attempt] = (FULL,),
+    pause_s: float = PAUSE_S,
+    compat: bool = False,
+) -> list[Stage]:
+    """All calls for one recording, in order, over ``content`` (bytes).
+
+    ``models`` names the makers: ``measure`` (to ``duration``, ``snr``), ``language`` (to
+    ``probs``), the taggers (to ``label``, ``confidence``), ``first`` (from ``lang``; to ``text``,
+    ``segments``), ``second`` (from ``request``; to ``text``) for plain and labelled transcripts,
+    ``third`` (to ``text``), ``judge`` (from ``request``; to ``text``, ``truncated``), ``polish``
+    (from ``request``; to ``text``), ``speakers`` (to ``segments``) and ``gender`` (to ``label``).
     """
+    audio, lang = {"content": "content"}, F.col("lang")
+
+    def asking(prompts: Mapping[str, str], **fields: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: df.withColumn("request", request(prompts, lang, {k: F.col(c) for k, c in fields.items()}))
+
+    def judging(df: DataFrame) -> DataFrame:
+        return asking(CORRECTION_PROMPTS, base="second", first="first", third="third")(with_second(df))
+
+    def polishing(df: DataFrame) -> DataFrame:
+        return asking(POLISH_PROMPTS, text="merged")(with_merged(df, compat))
+
+    label, sure = F.col("non_speech_label"), F.col("non_speech_confidence")
+    heard = {**audio, "request": "request"}
+    asked = {"request": "request"}
+    return [
+        Stage("measure", models["measure"], audio, {"duration": ("duration", "double"), "snr": ("snr", "double")}),
+        Stage("language", models["language"], audio, {"probs": ("language_probs", "map<string,double>")}),
+        *[
+            Stage(t, models[t], audio, {"label": (f"{t}_label", "string"), "confidence": (f"{t}_confidence", "double")})
+            for t in TAGGERS
+        ],
+        Stage(
+            "first",
+            models["first"],
+            {**audio, "lang": "lang"},
+            {"text": ("first", "string"), "segments": ("segments", WORDS)},
+            before=with_language,
+        ),
+        Stage(
+            "second",
+            models["second"],
+            heard,
+            {"text": ("second", "string")},
+            before=asking(TRANSCRIPTION_PROMPTS),
+            default={"second": ""},
+            min_interval_s=pause_s,
+        ),
+        Stage(
+            "labelled",
+            models["second"],
+            heard,
+            {"text": ("second_labelled", "string")},
+            before=asking(LABELLED_PROMPTS, label="non_speech_label"),
+            only=label_is_sure(label, sure),
+            default={"second_labelled": ""},
+            min_interval_s=pause_s,
+        ),
+        Stage("third", models["third"], audio, {"text": ("third", "string")}, only=third_system_wanted(lang)),
+        Stage(
+            "judge",
+            models["judge"],
+            asked,
+            {"text": ("reply", "string"), "truncated": ("truncated", "boolean")},
+            before=judging,
+        ),
+        Stage("polish", models["polish"], asked, {"text": ("polished", "string")}, before=polishing),
+        Stage(
+            "speakers", models["speakers"], audio, {"segments": ("speech_segments", "array<string>")}, attempts=speaker_attempts
+        ),
+        Stage("gender", models["gender"], audio, {"label": ("gender", "string")}),
+    ]
+
+
+def to_record(df: DataFrame, taggers: Sequence[str] = TAGGERS, compat: bool = False) -> DataFrame:
+    """Adds ``record`` to rows with the columns of ``recording_stages`` and the settled transcripts."""
     record = annotated_record(
-        {k: (F.col(lb), F.col(cf)) for k, (lb, cf) in classification.items()},
+        {t: (F.col(f"{t}_label"), F.col(f"{t}_confidence")) for t in taggers},
         F.col("lang"),
         F.col("first"),
         F.col("second"),
@@ -118,13 +240,22 @@ def to_record(df: DataFrame, classification: Mapping[str, tuple[str, str]], comp
 
 def annotate(
     recordings: DataFrame,
-    stages: Sequence[Stage],
-    classification: Mapping[str, tuple[str, str]],
+    models: Mapping[str, Callable[[], Predictor]],
+    speaker_attempts: Sequence[Attempt] = (FULL,),
+    pause_s: float = PAUSE_S,
     compat: bool = False,
 ) -> DataFrame:
-    """Recordings through all stages to ``(utt_id, rel_path, record)``."""
-    done = with_transcripts(with_language(run_stages(recordings, stages)), compat)
-    return to_record(done, classification, compat).select("utt_id", "rel_path", "record")
+    """Recordings (``utt_id, rel_path, content``) through all models to ``(utt_id, rel_path, record)``."""
+    done = run_stages(recordings, recording_stages(models, speaker_attempts, pause_s, compat))
+    return to_record(with_final(done), compat=compat).select("utt_id", "rel_path", "record")
+
+
+def annotate_folder(
+    spark: SparkSession, audio: str, out: str, models: Mapping[str, Callable[[], Predictor]], **options
+) -> None:
+    """Annotate the audio files of a folder and write their records below the same folders."""
+    files = scan_audio(spark, audio).select("utt_id", "rel_path", "content")
+    write_annotations(annotate(files, models, **options), out)
 
 
 def write_annotations(records: DataFrame, path: str) -> None:

@@ -647,7 +647,7 @@ def nonblank_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns through the annotation plan, with the models' answers made by rule."""
+    """Turns as records, with the models' answers made by rule."""
     text = F.col("text")
     kind = (F.col("conv_id") + F.col("turn")) % 4
     label = F.when(kind == 1, "laugh").otherwise("no_sounds")
@@ -661,12 +661,12 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("[0m1s2ms] "), text).alias("second"),
         F.concat(F.lit("[laugh] "), text).alias("second_labelled"),
         text.alias("third"),
-        label.alias("label"),
-        sure.alias("confidence"),
+        label.alias("non_speech_label"),
+        sure.alias("non_speech_confidence"),
         F.when(kind == 0, F.concat(F.lit("<corrected>"), F.upper(text), F.lit("</corrected>"))).alias("reply"),
         F.lit(False).alias("truncated"),
         F.when(kind != 2, F.concat(text, F.lit(" ok"))).alias("polished"),
-        F.lit("quiet").alias("noise"),
+        F.lit("quiet").alias("noise_label"),
         F.lit(0.25).alias("noise_confidence"),
         "segments",
         F.lit(12.5).alias("snr"),
@@ -674,8 +674,8 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("turn") % 2 == 0, "f").otherwise("m").alias("gender"),
         "duration",
     )
-    tags = {"non_speech": ("label", "confidence"), "noise": ("noise", "noise_confidence")}
-    return A.annotate(answered, [], tags)
+    settled = A.with_final(A.with_merged(A.with_second(A.with_language(answered))))
+    return A.to_record(settled, ("non_speech", "noise")).select("utt_id", "rel_path", "record")
 
 
 def flat_record(df: DataFrame) -> DataFrame:
