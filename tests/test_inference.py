@@ -62,6 +62,14 @@ def test_only_some_rows(texts):
     assert {(r.n, r.tags, r.status, r.error) for r in none.collect()} == {(None, None, "skipped", None)}
 
 
+def test_the_model_runs_once_however_its_results_are_used(texts):
+    done = infer_stage(texts, counter(10), ["text"], "n long, tags array<string>")
+    used = done.where("error IS NULL AND n > 1").select("id", (F.col("n") + F.size("tags")).alias("m"), "n")
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(r.n for r in used.collect()) == [2, 3, 5]
+
+
 def test_wrong_number_of_results(texts):
     def make():
         return lambda batch: pd.DataFrame({"n": [1, 2]})

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
@@ -55,14 +56,12 @@ def infer_stage(
     if isinstance(out_schema, str):
         out_schema = T.StructType.fromDDL(out_schema)
     out_names = out_schema.fieldNames()
-    kept = df.columns
-    taken = set(kept) & {*out_names, "attempt", "status", "error"}
+    added = [*out_names, "attempt", "status", "error"]
+    taken = set(df.columns) & {*added}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are there already")
     notes = [T.StructField(n, T.StringType()) for n in ("attempt", "status", "error")]
-    schema = T.StructType([*df.schema.fields, *out_schema.fields, *notes])
     inputs, ladder, fallback = list(input_cols), list(attempts), dict(default or {})
-    added = [*out_names, "attempt", "status", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[int, Predictor] = {}
@@ -95,9 +94,10 @@ def infer_stage(
             return {**{n: fallback.get(n) for n in out_names}, "attempt": None, "status": "default", "error": error}
 
         for frame in frames:
+            parts = []
             for at in range(0, len(frame), batch_size):
                 part = frame.iloc[at : at + batch_size].reset_index(drop=True)
-                chosen = part.index if only is None else part.index[part[only].fillna(False).astype(bool)]
+                chosen = part.index if only is None else part.index[part["_only"].fillna(False).astype(bool)]
                 batch = part.loc[chosen, inputs].reset_index(drop=True)
                 try:
                     made = call(0, batch).assign(attempt=ladder[0].name, status="ok", error=None) if len(batch) else batch
@@ -109,6 +109,12 @@ def infer_stage(
                     made = made.reindex(columns=added).astype(object).set_axis(chosen).reindex(part.index)
                     made = made.where(made.notna(), None)
                     made.loc[part.index.difference(chosen), "status"] = "skipped"
-                yield pd.concat([part[kept], made], axis=1)
-
-    return df.mapInPandas(run, schema)
+                parts.append(made[added])
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=added)
+
+    # only the inputs go to Python and only the results come back; the mark keeps the optimizer from
+    # running the model once per use of a result
+    result = T.StructType([*out_schema.fields, *notes])
+    model = F.pandas_udf(run, result).asNondeterministic()
+    given = [F.col(c) for c in inputs] + ([F.col(only).alias("_only")] if only else [])
+    return df.withColumn("_made", model(F.struct(*given))).select(*df.columns, "_made.*")
