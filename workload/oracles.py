@@ -286,16 +286,17 @@ SELECT doc_id, line, text FROM (
   SELECT doc_id, line, regexp_replace(t, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text FROM (
     SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM (
       SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE text <> ''"""
-RECORDS = f"""
+def annotated(first: str, judged: str, final: str) -> str:
+    return f"""
 WITH r AS (SELECT *, (conv_id + turn) % 4 AS k, {UTT} AS u, {squeeze('text')} AS second,
     regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS bare,
     len(string_split(text, chr(10))) AS segs, len({words('text')}) AS n FROM conversations),
-m AS (SELECT *, CASE WHEN k = 0 AND length(bare) >= 0.3 * length(second) THEN {upper('bare')} ELSE second END AS merged FROM r)
+m AS (SELECT *, CASE WHEN k = 0 AND length({judged}) >= 0.3 * length(second) THEN {upper(judged)} ELSE second END AS merged FROM r)
 SELECT u AS utt_id, role || '/' || u || '.wav' AS rel_path, CASE WHEN k < 3 THEN 'en' ELSE 'ar' END AS lang,
-  lower(text) AS first, second, CASE WHEN k < 3 THEN text END AS third,
+  {first} AS first, second, CASE WHEN k < 3 THEN text END AS third,
   CASE WHEN k = 3 THEN 'skipped (ar audio)' END AS third_status, merged,
   CASE WHEN k = 1 AND turn % 2 = 0 THEN '[laugh] ' || second ELSE second END AS with_label,
-  CASE WHEN k <> 2 THEN text || ' ok' ELSE merged END AS final,
+  {final} AS final,
   CASE WHEN k = 1 THEN 'laugh' ELSE 'no_sounds' END AS label, 0.25::DOUBLE AS noise_confidence,
   n::BIGINT AS n_aligned, 12.5::DOUBLE AS snr, least(segs, 3)::BIGINT AS num_speakers,
   CASE WHEN turn % 2 = 0 THEN 'f' ELSE 'm' END AS gender,
@@ -303,8 +304,14 @@ SELECT u AS utt_id, role || '/' || u || '.wav' AS rel_path, CASE WHEN k < 3 THEN
   CASE WHEN turn % 5 = 4 OR n = 0 THEN NULL
     ELSE round(len({words('merged')}) / (n / 2), 6) END AS word_per_sec
 FROM m"""
+
+
+RECORDS = annotated("lower(text)", "bare", "CASE WHEN k <> 2 THEN text || ' ok' ELSE merged END")
 ORACLES["annotated_record"] = RECORDS
 ORACLES["record_sink"] = RECORDS
+ORACLES["annotate_recordings"] = annotated(
+    "lower(text) || ' ' || k", "second", "CASE WHEN contains(merged, 'zz') THEN merged ELSE merged || ' ok' END"
+)
 # only the judge's polished text differs from the turn, by one more word of two letters
 ORACLES["evaluate_annotations"] = f"""
 WITH r AS (SELECT (conv_id + turn) % 4 AS k, len({words(generic('text'))}) AS n, length(replace({generic('text')}, ' ', '')) AS chars

@@ -707,6 +707,75 @@ def annotated_record(spark: SparkSession, sf: str) -> DataFrame:
     return flat_record(records(spark, sf).select("utt_id", "rel_path", "record.*"))
 
 
+def row_model(answer: Callable[[int, int, str, str], dict]) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    """A stub model that answers row by row from conversation, turn, text and request."""
+
+    def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            for row in batch.to_dict("records"):
+                head, _, text = (bytes(row["content"]).decode() if "content" in row else "0-0|").partition("|")
+                conv, turn = map(int, head.split("-"))
+                rows.append(answer(conv, turn, text, row.get("request", "")))
+            return pd.DataFrame(rows)
+
+        return predict
+
+    return make
+
+
+def judge_reply(conv: int, turn: int, text: str, asked: str) -> dict:
+    """Marked requests come back in capitals or fail, English ones as they are, others too short."""
+    base = asked.partition("Text: ")[2].partition("\nReference 1: ")
+    kind = base[2].partition("\nReference 2: ")[0][-1:]
+    if kind == "2":
+        raise RuntimeError("no judgement")
+    return {"text": f"{base[0].upper() if kind == '0' else base[0]}</corrected>" if base[1] else "-", "truncated": False}
+
+
+def polish_reply(conv: int, turn: int, text: str, asked: str) -> dict:
+    merged = asked.partition("\n")[2]
+    if "zz" in merged:
+        raise RuntimeError("no polish")
+    return {"text": f"{merged} ok"}
+
+
+def timed_segments(text: str) -> list[dict]:
+    timed = [{"word": f" {w}", "start": i / 2, "end": (i + 1) / 2, "probability": None} for i, w in enumerate(text.split())]
+    return [{"words": timed}, {"words": None}]
+
+
+MODELS = {
+    "measure": row_model(lambda c, t, x, r: {"duration": 0.0 if t % 5 == 4 else len(x.split()) / 2, "snr": 12.5}),
+    "language": row_model(lambda c, t, x, r: {"probs": {"en" if (c + t) % 4 < 3 else "ar": 0.75, "fr": 0.25}}),
+    "non_speech": row_model(
+        lambda c, t, x, r: {"label": "laugh" if (c + t) % 4 == 1 else "no_sounds", "confidence": 0.5 if t % 2 else 0.9}
+    ),
+    "noise": row_model(lambda c, t, x, r: {"label": "quiet", "confidence": 0.25}),
+    "emotion": row_model(lambda c, t, x, r: {"label": "calm", "confidence": 0.5}),
+    "first": row_model(lambda c, t, x, r: {"text": f"{x.lower()} {(c + t) % 4}", "segments": timed_segments(x)}),
+    "second": row_model(lambda c, t, x, r: {"text": f"[laugh] {x}" if "[laugh]" in r else f"[0m1s2ms] {x}"}),
+    "third": row_model(lambda c, t, x, r: {"text": x}),
+    "judge": row_model(judge_reply),
+    "polish": row_model(polish_reply),
+    "speakers": row_model(
+        lambda c, t, x, r: {"segments": [f"{i}.0 {i + 1}.0 spk_{(i + t) % 3}" for i in range(x.count("\n") + 1)]}
+    ),
+    "gender": row_model(lambda c, t, x, r: {"label": "m" if t % 2 else "f"}),
+}
+
+
+@query
+def annotate_recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as recordings through the whole annotation job with stub models."""
+    sound = F.encode(F.concat(F.col("utt_id"), F.lit("|"), F.col("text")), "UTF-8")
+    recordings = spread(turns(spark, sf), "utt_id").select(
+        "utt_id", F.concat_ws("/", "role", F.concat("utt_id", F.lit(".wav"))).alias("rel_path"), sound.alias("content")
+    )
+    made = A.annotate(recordings, MODELS, pause_s=0.0)
+    return flat_record(made.select("utt_id", "rel_path", "record.*"))
+
+
 @query
 def evaluate_annotations(spark: SparkSession, sf: str) -> DataFrame:
     """The transcripts of annotated records against their turns."""
