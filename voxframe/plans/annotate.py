@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,7 @@ from voxframe.operators.records import (
     labelled_variant,
     third_system_wanted,
 )
+from voxframe.session import cut_lineage
 from voxframe.sources.files import scan_audio
 from voxframe.sources.sinks import write_records
 
@@ -83,8 +84,13 @@ def _renaming(make: Callable[[], Predictor], stage: Stage) -> Callable[[], Predi
     return built
 
 
-def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
-    """Stages one after the other; each leaves its error under ``<name>_error``."""
+def run_stages(df: DataFrame, stages: Sequence[Stage], cut_after: Collection[str] = ()) -> DataFrame:
+    """Stages one after the other; each leaves its error under ``<name>_error``.
+
+    Stages run in one pass over the rows, each with a worker of its own per task. ``cut_after``
+    names stages after which the table is written to the shared folder: models before and after
+    are then never loaded together, and a lost executor costs no finished calls.
+    """
     for s in stages:
         if s.before:
             df = s.before(df)
@@ -101,6 +107,8 @@ def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
             only="_sent" if s.only is not None else None,
         )
         df = done.withColumnRenamed("error", f"{s.name}_error").drop("attempt", "status", "_sent")
+        if s.name in cut_after:
+            df = cut_lineage(df)
     return df
 
 
@@ -244,9 +252,10 @@ def annotate(
     speaker_attempts: Sequence[Attempt] = (FULL,),
     pause_s: float = PAUSE_S,
     compat: bool = False,
+    cut_after: Collection[str] = (),
 ) -> DataFrame:
     """Recordings (``utt_id, rel_path, content``) through all models to ``(utt_id, rel_path, record)``."""
-    done = run_stages(recordings, recording_stages(models, speaker_attempts, pause_s, compat))
+    done = run_stages(recordings, recording_stages(models, speaker_attempts, pause_s, compat), cut_after)
     return to_record(with_final(done), compat=compat).select("utt_id", "rel_path", "record")
 
 
