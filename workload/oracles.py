@@ -142,6 +142,9 @@ ORACLES["system_scores"] = f"{made_scores(generic('text'))} {SUMMARY} UNION ALL
 ORACLES["utterance_scores"] = f"""{made_scores(generic('text'))}
 SELECT utt_id, system, {', '.join(f'{c}::BIGINT AS {c}' for c in ('distance', 'ref_words', 'hyp_words', 'substitutions', 'deletions', 'insertions'))},
   {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM scored"""
+ORACLES["system_scores_compat"] = f"""{made_scores(generic('text'))}
+SELECT system, count(*) AS n_files, count(*) AS n_scored, 0::BIGINT AS n_missing,
+  round(avg(coalesce(wer, 1)) * 100, 6) AS wer, round(avg(coalesce(cer, 1)) * 100, 6) AS cer FROM scored GROUP BY system"""
 ORACLES["evaluate_arabic"] = f"{made_scores(arabic(arabic_script('text')))} {SUMMARY}"
 
 LINES = f"""
@@ -173,6 +176,37 @@ SELECT utt_id, d[len(d)]::BIGINT AS distance, len(r)::BIGINT AS ref_words, len(h
   d[len(d)]::BIGINT AS n_edits, (len(r) - len(h))::BIGINT AS net_deleted, round(d[len(d)] / len(r), 6) AS wer
 FROM dp JOIN w USING (utt_id) WHERE i = len(r)"""
 
+# The same table with the substitutions on the way to each cell and where that way leaves the border
+# (a row above 0, a column below). A cell reached from the left continues the way of the last cell
+# that was not: the running minimum of (cost without the slope, latest cell first) in one number.
+ORACLES["edit_ops_adjacent_turns"] = f"""
+WITH RECURSIVE {ADJACENT},
+w AS (SELECT utt_id, {words('ref')} AS r, {words('hyp')} AS h FROM pairs),
+dp AS (
+  SELECT utt_id, 0 AS i, range(len(h) + 1) AS d, list_transform(range(len(h) + 1), lambda j: 0::BIGINT) AS s,
+    list_transform(range(len(h) + 1), lambda j: -j) AS b FROM w
+  UNION ALL
+  SELECT utt_id, i + 1, list_transform(m, lambda x, j: x // 100000 - 100000 + j - 1),
+    list_transform(m, lambda x: sb[100000 - x % 100000]), list_transform(m, lambda x: bb[100000 - x % 100000])
+  FROM (SELECT *, list_transform(range(1, len(k) + 1), lambda j: list_min(k[1:j])) AS m
+    FROM (SELECT *, list_transform(base, lambda v, x: (v - x + 1 + 100000) * 100000 + 100000 - x) AS k
+      FROM (SELECT dp.utt_id, dp.i,
+          list_prepend(dp.i + 1, list_transform(n, lambda x, j: least(dp.d[j] + x, dp.d[j + 1] + 1))) AS base,
+          list_prepend(0::BIGINT, list_transform(n, lambda x, j:
+            CASE WHEN dp.d[j] + x <= dp.d[j + 1] + 1 THEN dp.s[j] + x ELSE dp.s[j + 1] END)) AS sb,
+          list_prepend(dp.i + 1, list_transform(n, lambda x, j:
+            CASE WHEN dp.d[j] + x <= dp.d[j + 1] + 1 THEN dp.b[j] ELSE dp.b[j + 1] END)) AS bb
+        FROM (SELECT dp.*, list_transform(h, lambda x: CASE WHEN x = r[dp.i + 1] THEN 0 ELSE 1 END) AS n
+          FROM dp JOIN w USING (utt_id) WHERE dp.i < len(r)) AS dp)))
+),
+ends AS (SELECT utt_id, d[len(d)] AS d, s[len(s)] AS s, b[len(b)] AS b, len(r) - len(h) AS more
+  FROM dp JOIN w USING (utt_id) WHERE i = len(r))
+SELECT utt_id, d::BIGINT AS distance, s::BIGINT AS substitutions, ((d - s + more) // 2)::BIGINT AS deletions,
+  ((d - s - more) // 2)::BIGINT AS insertions,
+  ((d - s + more) // 2 - CASE WHEN b > 0 THEN b - 1 ELSE 0 END)::BIGINT AS compat_deletions,
+  ((d - s - more) // 2 + CASE WHEN b > 0 THEN 0 ELSE b + 1 END)::BIGINT AS compat_insertions
+FROM ends"""
+
 # DuckDB counts bytes: each accented letter of the normalised texts becomes one spare ASCII letter.
 ACCENTED = "éßóçäñèíêüö"
 ORACLES["cer_adjacent_turns"] = f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import paths as P
 from voxframe.functions import text as X
 from voxframe.functions import tokens as K
-from voxframe.functions.scoring import cer_stats, char_distance
+from voxframe.functions.scoring import cer_stats, char_distance, edit_ops
 from voxframe.functions.voting import align_to_reference
 from voxframe.operators import consensus as C
 from voxframe.operators import records as R
@@ -270,6 +270,13 @@ def system_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(system_summary(scores, [*SYSTEMS, "unused"]))
 
 
+@query
+def system_scores_compat(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing transcripts scored as blank ones."""
+    scores = score_systems(transcripts(spark, sf), SYSTEMS, "en", compat=True)
+    return rounded(system_summary(scores, list(SYSTEMS))).select("system", "n_files", "n_scored", "n_missing", "wer", "cer")
+
+
 @query
 def utterance_scores(spark: SparkSession, sf: str) -> DataFrame:
     scores = score_systems(transcripts(spark, sf), SYSTEMS, "en")
@@ -319,6 +326,21 @@ def wer_adjacent_turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def edit_ops_adjacent_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by kind of edit, and by the historical way of counting."""
+    ref, hyp = X.words(F.col("ref")), X.words(F.col("hyp"))
+    counted = spread(adjacent_turns(spark, sf), "utt_id").select(
+        "utt_id", edit_ops(ref, hyp).alias("e"), edit_ops(ref, hyp, compat=True).alias("c")
+    )
+    return counted.select(
+        "utt_id",
+        *[F.col(f"e.{c}").cast("long").alias(c) for c in ("distance", "substitutions", "deletions", "insertions")],
+        F.col("c.deletions").cast("long").alias("compat_deletions"),
+        F.col("c.insertions").cast("long").alias("compat_insertions"),
+    )
+
+
 @query
 def cer_adjacent_turns(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spread(adjacent_turns(spark, sf), "utt_id").withColumn("_d", char_distance("ref", "hyp"))
