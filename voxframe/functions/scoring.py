@@ -78,12 +78,12 @@ def char_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(_char_distances(a.to_pylist(), b.to_pylist()), type=pa.int32())
 
 
-@F.arrow_udf(T.IntegerType())
-def word_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Edit distance of two arrays of tokens."""
+@F.arrow_udf(T.DoubleType())
+def word_error_rate(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Edit distance of two arrays of words over the length of the first; null where that is 0."""
     return pa.array(
-        [None if x is None or y is None else distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())],
-        type=pa.int32(),
+        [distance(x, y) / len(x) if x and y is not None else None for x, y in zip(a.to_pylist(), b.to_pylist())],
+        type=pa.float64(),
     )
 
 
@@ -133,10 +133,8 @@ def _raw_words(c: Column, compat: bool) -> Column:
 
 def wer_raw(ref: Column, hyp: Column, compat: bool = False) -> Column:
     """WER of stripped, un-normalised texts; null where the reference has no words."""
-    said, heard = (_raw_words(strip_ws(c), compat) for c in (ref, hyp))
-    n = F.size(said)
-    return F.when(n > 0, word_distance(said, heard) / n)
+    return word_error_rate(*(_raw_words(strip_ws(c), compat) for c in (ref, hyp)))
 
 
 def wer_raw_status(ref: Column) -> Column:
-    return F.when(F.size(words(ref)) > 0, F.lit("scored")).otherwise(F.lit("empty_ref"))
+    return F.when(strip_ws(ref) != "", F.lit("scored")).otherwise(F.lit("empty_ref"))
