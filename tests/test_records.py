@@ -6,6 +6,7 @@ from voxframe.functions import tokens as K
 from voxframe.operators import records as R
 from voxframe.operators.inference import Attempt
 from voxframe.plans.annotate import annotate, annotate_folder, recording_stages, run_stages
+from voxframe.plans.evaluate import evaluate_chapters, evaluate_folder
 from voxframe.sources.files import scan_audio
 
 
@@ -181,3 +182,23 @@ def test_annotation_compat_and_errors(spark, folder):
     assert staged._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
     errors = {r.utt_id: (r.first_error, r.judge_error) for r in staged.select("utt_id", "first_error", "judge_error").collect()}
     assert errors["bad"] == ("RuntimeError: no sound", None) and errors["a"] == (None, None)
+
+
+def test_evaluation_of_folders(spark, tmp_path):
+    for name in ("u1", "u2", "u3"):
+        for file, body in ((f"wav/{name}.wav", "x"), (f"lab/{name}.lab", "third"), (f"s/c/{name}.flac", "english")):
+            (tmp_path / file).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / file).write_text(body)
+    (tmp_path / "s/c/c.trans.txt").write_text("u1 THIRD\nu3 Third!\nu9 NONE\n")
+    arabic = evaluate_folder(spark, str(tmp_path / "wav"), str(tmp_path / "lab"), MODELS, first=2, pause_s=0.0)
+    rows = {r.system: r for r in arabic.summary.collect()}
+    assert (rows["first"].n_files, rows["third"].n_scored, rows["third"].n_missing) == (2, 0, 2)
+    english = evaluate_chapters(spark, str(tmp_path / "s"), MODELS, pause_s=0.0)
+    rows = {r.system: r for r in english.summary.collect()}
+    assert (rows["third"].n_files, rows["third"].wer, rows["second"].wer) == (2, 0.0, 300.0)
+    assert evaluate_chapters(spark, str(tmp_path / "s"), MODELS, first=1, pause_s=0.0).scores.select("utt_id").distinct().count() == 1
+    english.write(str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/details")).count() == 2
+    (tmp_path / "lab/u2.lab").unlink()
+    with pytest.raises(Exception, match="no partner for u2"):
+        evaluate_folder(spark, str(tmp_path / "wav"), str(tmp_path / "lab"), MODELS, pause_s=0.0)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import buckwalter_to_arabic
+from voxframe.operators.inference import Predictor
 from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import pair_inner, pair_left, pair_strict
 from voxframe.operators.scores import coverage, raw_wer, score_systems, system_summary
-from voxframe.sources.files import scan_texts
+from voxframe.plans.annotate import annotate
+from voxframe.session import cut_lineage
+from voxframe.sources.files import first_audio, scan_audio, scan_labels, scan_texts, scan_utterance_lines
 from voxframe.sources.sinks import write_report
 
 
@@ -92,6 +95,43 @@ def evaluate_lines(
     return _report(pairs, "ref", systems, lang, key, compat)
 
 
+def evaluate_folder(
+    spark: SparkSession,
+    audio: str,
+    labels: str,
+    models: Mapping[str, Callable[[], Predictor]],
+    first: int | None = None,
+    compat: bool = False,
+    **options,
+) -> Report:
+    """Annotate a folder of wav files (or its first ones by name) and score them against label files.
+
+    Labels are transliterated Arabic; a file without label fails the job.
+    """
+    files = scan_audio(spark, audio, ("wav",))
+    wanted = first_audio(spark, audio, files, first, "utt_id") if first else files
+    # labels are checked before any model runs, and the models run once for all parts of the report
+    refs = cut_lineage(scan_labels(spark, wanted.select("utt_id"), labels))
+    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, compat=compat, **options))
+    return evaluate_records(records, refs.select("utt_id", F.col("label_text").alias("ref")), "ar", compat=compat)
+
+
+def evaluate_chapters(
+    spark: SparkSession,
+    root: str,
+    models: Mapping[str, Callable[[], Predictor]],
+    first: int | None = None,
+    compat: bool = False,
+    **options,
+) -> Report:
+    """Annotate the flac files of chapter folders that have a line in their chapter, and score them."""
+    lines = scan_utterance_lines(spark, root).select("utt_id", F.col("text").alias("ref"))
+    files = pair_inner(scan_audio(spark, root, ("flac",)), lines.select("utt_id"))
+    wanted = first_audio(spark, root, files, first, "utt_id") if first else files
+    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, compat=compat, **options))
+    return evaluate_records(records, lines, "en", compat=compat)
+
+
 def compare_texts(refs: DataFrame, hyps: DataFrame, key: str = "utt_id", compat: bool = False) -> DataFrame:
     """Raw WER per reference of two ``(key, text)`` tables."""
     paired = pair_left(

@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.paths import parent, relative_to, stem
 from voxframe.functions.text import strip_ws
+from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import last_wins, pair_strict
 
 # Audio suffixes that are picked up.
 AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
 
 
+def _audio_rows(files: DataFrame, root: str) -> DataFrame:
+    plain = F.regexp_replace(F.col("path"), r"^file:/*(?=/)", "")
+    return files.select(
+        stem(F.col("path")).alias("utt_id"),
+        "path",
+        relative_to(plain, root.rstrip("/")).alias("rel_path"),
+        "length",
+        "modificationTime",
+        "content",
+    )
+
+
 def scan_audio(spark: SparkSession, path: str, exts: Sequence[str] = AUDIO_SUFFIXES) -> DataFrame:
     """All audio files below a folder: key, path, relative path, length, time and bytes.
 
@@ -26,16 +39,18 @@ def scan_audio(spark: SparkSession, path: str, exts: Sequence[str] = AUDIO_SUFFI
         .option("pathGlobFilter", f"*.{{{','.join(exts)}}}")
         .load(path)
     )
-    root = F.lit(path.rstrip("/"))
-    plain = F.regexp_replace(F.col("path"), r"^file:/*(?=/)", "")
-    return files.select(
-        stem(F.col("path")).alias("utt_id"),
-        "path",
-        relative_to(plain, root).alias("rel_path"),
-        "length",
-        "modificationTime",
-        "content",
-    )
+    return _audio_rows(files, path)
+
+
+def first_audio(spark: SparkSession, path: str, chosen: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` of the ``chosen`` files (rows of ``scan_audio``) with their bytes.
+
+    The ``n`` paths come to the driver, so that no other file is read.
+    """
+    paths = [r.path for r in first_n(chosen.select("path", *order), n, *order).collect()]
+    if not paths:
+        return scan_audio(spark, path).limit(0)
+    return _audio_rows(spark.read.format("binaryFile").load(paths), path)
 
 
 def scan_texts(
