@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 
 from voxframe.plans.evaluate import compare_texts
-from voxframe.plans.folders import embed_folder, synthesise, transcribe_folder
+from voxframe.plans.folders import embed_folder, process_new_audio, synthesise, transcribe_folder
 from voxframe.plans.sequences import speaker_similarity
 from voxframe.operators.scores import coverage
 
@@ -35,7 +35,9 @@ def encoder():
     return lambda batch: pd.DataFrame({"embedding": [[float(len(c)), 1.0] for c in batch["content"]]})
 
 
-def test_transcription_skips_retries_and_audits(spark, audio, tmp_path):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_transcription_skips_retries_and_audits(spark, audio, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("voxframe.plans.folders.FEW_FILES", few)
     out = str(tmp_path / "text")
     first = transcribe_folder(spark, audio, out, recogniser, skip_first=1).first()
     assert tuple(first) == (4, 2, 2, 0)
@@ -51,6 +53,22 @@ def test_transcription_skips_retries_and_audits(spark, audio, tmp_path):
     assert (found.n_matched, found.mean_wer) == (4, 0.0)
 
 
+def test_only_new_files_are_processed(spark, audio, tmp_path):
+    out, state = str(tmp_path / "text"), str(tmp_path / "state")
+
+    def run():
+        process_new_audio(spark, audio, out, state, recogniser, "text string", ("wav",), files_per_batch=3)
+        return sorted((r.utt_id, r.text, r.error) for r in spark.read.parquet(out).collect())
+
+    first = run()
+    assert [r[0] for r in first] == ["a", "b", "c", "d"] and first[2][2] == "ValueError: noise"
+    assert run() == first
+    (tmp_path / "wav" / "e.wav").write_bytes(b"six")
+    assert run() == [*first, ("e", "six", None)]
+    # the failed one is left to the batch job
+    assert tuple(transcribe_folder(spark, audio, out, patient_recogniser).first()) == (5, 5, 0, 0)
+
+
 def test_embeddings_of_two_folders(spark, audio, tmp_path):
     for name in ("x", "y"):
         assert tuple(embed_folder(spark, audio, str(tmp_path / name), encoder).first()) == (4, 4, 0, 0)

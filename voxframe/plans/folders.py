@@ -11,8 +11,13 @@ from voxframe.functions.tokens import synthesis_prompt
 from voxframe.operators.inference import FULL, Attempt, Predictor, infer_stage
 from voxframe.operators.ordering import skip_n
 from voxframe.operators.pairing import audit_summary, pair_reporting, skip_done
-from voxframe.sources.files import AUDIO_SUFFIXES, scan_audio
+from voxframe.sources.files import AUDIO_SUFFIXES, audio_options, audio_rows, scan_audio
 from voxframe.sources.sinks import read_done, write_texts
+from voxframe.streaming.resume import run_new_files
+
+
+# So many paths may be named one by one.
+FEW_FILES = 10_000
 
 
 def finished(spark: SparkSession, out: str, key_schema: str) -> DataFrame:
@@ -59,16 +64,50 @@ def process_audio(
 ) -> DataFrame:
     """Run a model over the ``content`` of audio files; returns the audit of inputs and outputs.
 
-    ``skip_first`` leaves out the first files by name.
+    ``skip_first`` leaves out the first files by name. Where few files are left to do, only their
+    bytes are read; a scan of the whole folder reads finished ones too (see ``process_new_audio``).
     """
     files = scan_audio(spark, audio, exts)
     wanted = skip_n(files, skip_first, ["path"])
+    left = skip_done(wanted.select("utt_id", "path"), finished(spark, out, "utt_id string"))
+    paths = [r.path for r in left.select("path").limit(FEW_FILES + 1).collect()]
+    if len(paths) <= FEW_FILES:
+        wanted = audio_rows(spark.read.format("binaryFile").load(paths), audio) if paths else wanted.limit(0)
     done = run_missing(
         wanted, out, make_predictor, ["content"], out_schema, batch_size=batch_size, min_interval_s=min_interval_s
     )
     return audit_summary(files.select("utt_id"), done)
 
 
+def process_new_audio(
+    spark: SparkSession,
+    audio: str,
+    out: str,
+    checkpoint: str,
+    make_predictor: Callable[[], Predictor],
+    out_schema: str,
+    exts: Sequence[str] = AUDIO_SUFFIXES,
+    files_per_batch: int = 10_000,
+    batch_size: int = 8,
+) -> None:
+    """``process_audio`` for the files no earlier run has seen; others are not read.
+
+    A batch scan has to read the bytes of finished files too. Files the model fails on keep their
+    error here, until ``process_audio`` tries them again.
+    """
+    run_new_files(
+        spark,
+        audio,
+        "path string, modificationTime timestamp, length long, content binary",
+        lambda batch: run_missing(
+            audio_rows(batch, audio), out, make_predictor, ["content"], out_schema, batch_size=batch_size
+        ),
+        checkpoint,
+        "binaryFile",
+        {**audio_options(exts), "maxFilesPerTrigger": files_per_batch},
+    )
+
+
 def transcribe_folder(
     spark: SparkSession, audio: str, out: str, make_recogniser: Callable[[], Predictor], skip_first: int = 0
 ) -> DataFrame:

@@ -16,7 +16,13 @@ from voxframe.operators.pairing import last_wins, pair_strict
 AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
 
 
-def _audio_rows(files: DataFrame, root: str) -> DataFrame:
+def audio_options(exts: Sequence[str] = AUDIO_SUFFIXES) -> dict[str, object]:
+    """Reader options for all files below a folder with one of the suffixes."""
+    return {"recursiveFileLookup": True, "pathGlobFilter": f"*.{{{','.join(exts)}}}"}
+
+
+def audio_rows(files: DataFrame, root: str) -> DataFrame:
+    """Rows of a binary file scan with their keys."""
     plain = F.regexp_replace(F.col("path"), r"^file:/*(?=/)", "")
     return files.select(
         stem(F.col("path")).alias("utt_id"),
@@ -33,13 +39,7 @@ def scan_audio(spark: SparkSession, path: str, exts: Sequence[str] = AUDIO_SUFFI
 
     Bytes are read only where ``content`` is selected.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{{{','.join(exts)}}}")
-        .load(path)
-    )
-    return _audio_rows(files, path)
+    return audio_rows(spark.read.format("binaryFile").options(**audio_options(exts)).load(path), path)
 
 
 def first_audio(spark: SparkSession, path: str, chosen: DataFrame, n: int, *order: str) -> DataFrame:
@@ -50,7 +50,7 @@ def first_audio(spark: SparkSession, path: str, chosen: DataFrame, n: int, *orde
     paths = [r.path for r in first_n(chosen.select("path", *order), n, *order).collect()]
     if not paths:
         return scan_audio(spark, path).limit(0)
-    return _audio_rows(spark.read.format("binaryFile").load(paths), path)
+    return audio_rows(spark.read.format("binaryFile").load(paths), path)
 
 
 def scan_texts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,33 +10,26 @@ from pyspark.sql import functions as F
 from voxframe.sources.sinks import write_missing
 
 
-def resume_run(
+def run_new_files(
     spark: SparkSession,
     source: str,
     schema: str,
-    transform: Callable[[DataFrame], DataFrame],
-    out: str,
+    work: Callable[[DataFrame], None],
     checkpoint: str,
-    key: str | list[str],
-    key_schema: str,
-    files_per_batch: int | None = None,
-    by: str | None = None,
+    fmt: str = "parquet",
+    options: Mapping[str, object] | None = None,
 ) -> None:
-    """Process the files of ``source`` that no earlier run has seen, then stop.
+    """Hand the files of ``source`` that no earlier run has seen to ``work``, then stop.
 
-    The checkpoint remembers finished files; a batch that is repeated after a failure writes only
-    rows whose key the output does not hold.
+    The checkpoint remembers finished files, so nothing else is read. A batch is handed over again
+    after a failure: ``work`` must bear that.
     """
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-
-    def write(batch: DataFrame, _: int) -> None:
-        write_missing(transform(batch), out, key, key_schema, by)
-
     run = (
-        reader.parquet(source)
-        .writeStream.foreachBatch(write)
+        spark.readStream.format(fmt)
+        .schema(schema)
+        .options(**(options or {}))
+        .load(source)
+        .writeStream.foreachBatch(lambda batch, _: work(batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -44,6 +37,30 @@ def resume_run(
     run.awaitTermination()
 
 
+def resume_run(
+    spark: SparkSession,
+    source: str,
+    schema: str,
+    transform: Callable[[DataFrame], DataFrame],
+    out: str,
+    checkpoint: str,
+    key: str | list[str],
+    key_schema: str,
+    files_per_batch: int | None = None,
+    by: str | None = None,
+) -> None:
+    """Transform the rows of new files into ``out``; rows whose key it holds are left alone."""
+    options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    run_new_files(
+        spark,
+        source,
+        schema,
+        lambda batch: write_missing(transform(batch), out, key, key_schema, by),
+        checkpoint,
+        options=options,
+    )
+
+
 def stream_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Run an append stream over what is there, into a table, and return the table."""
     run = (
