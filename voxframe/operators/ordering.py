@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.session import cut_lineage
+from voxframe.session import cut_lineage, range_partitions
 
 
 def order_by_key(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -61,12 +61,10 @@ def number_rows(
     folder so that both of its uses see the same split. Only the last group of a partition can go
     on in the next one, so a table with one row per partition holds all that must be added.
     ``group + order`` must identify a row; ``partitions`` defaults to the session's shuffle
-    partitions.
+    partitions, fewer for small inputs.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(partitions or range_partitions(df), *keys).sortWithinPartitions(*keys)
     if group:
         schema = T.StructType([*df.schema.fields, T.StructField("_own", T.LongType())])
         ranged = ranged.mapInArrow(_number_runs(group), schema)

@@ -55,6 +55,19 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(voxframe)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of all that a plan reads; very large where it is unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def range_partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, fewer for small inputs: explicit ones are not merged later."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(most, input_bytes(df) // MIN_BYTES_PER_TASK + 1), min(most, spark.sparkContext.defaultParallelism))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give compute-heavy stages enough tasks when the input is too small to make them.
 
@@ -63,8 +76,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     the scan's own splits are kept and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    if read >= cores * MIN_BYTES_PER_TASK:
+    if input_bytes(df) >= cores * MIN_BYTES_PER_TASK:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
