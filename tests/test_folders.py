@@ -11,7 +11,7 @@ from voxframe.operators.scores import coverage
 def audio(tmp_path):
     folder = tmp_path / "wav"
     folder.mkdir()
-    for name, said in (("a", b"one two"), ("b", b"three"), ("c", b"?"), ("d", b"four five")):
+    for name, said in (("a", b"one two"), ("b", b"three"), ("c", b"?"), ("d [1] {x}", b"four five")):
         (folder / f"{name}.wav").write_bytes(said)
     (folder / "note.txt").write_text("no audio")
     return str(folder)
@@ -44,7 +44,7 @@ def test_transcription_skips_retries_and_audits(spark, audio, tmp_path, monkeypa
     assert tuple(transcribe_folder(spark, audio, out, recogniser).first()) == (4, 3, 1, 0)
     assert tuple(transcribe_folder(spark, audio, out, patient_recogniser).first()) == (4, 4, 0, 0)
     done = spark.read.parquet(out).where("error IS NULL")
-    assert sorted((r.utt_id, r.text) for r in done.collect()) == [("a", "one two"), ("b", "three"), ("c", "?"), ("d", "four five")]
+    assert sorted((r.utt_id, r.text) for r in done.collect()) == [("a", "one two"), ("b", "three"), ("c", "?"), ("d [1] {x}", "four five")]
     before = spark.read.parquet(out).count()
     transcribe_folder(spark, audio, out, recogniser)
     assert spark.read.parquet(out).count() == before
@@ -61,7 +61,7 @@ def test_only_new_files_are_processed(spark, audio, tmp_path):
         return sorted((r.utt_id, r.text, r.error) for r in spark.read.parquet(out).collect())
 
     first = run()
-    assert [r[0] for r in first] == ["a", "b", "c", "d"] and first[2][2] == "ValueError: noise"
+    assert [r[0] for r in first] == ["a", "b", "c", "d [1] {x}"] and first[2][2] == "ValueError: noise"
     assert run() == first
     (tmp_path / "wav" / "e.wav").write_bytes(b"six")
     assert run() == [*first, ("e", "six", None)]

@@ -11,7 +11,7 @@ from voxframe.functions.tokens import synthesis_prompt
 from voxframe.operators.inference import FULL, Attempt, Predictor, infer_stage
 from voxframe.operators.ordering import skip_n
 from voxframe.operators.pairing import audit_summary, pair_reporting, skip_done
-from voxframe.sources.files import AUDIO_SUFFIXES, audio_options, audio_rows, scan_audio
+from voxframe.sources.files import AUDIO_SUFFIXES, audio_options, audio_rows, load_audio, scan_audio
 from voxframe.sources.sinks import read_done, write_texts
 from voxframe.streaming.resume import run_new_files
 
@@ -72,7 +72,7 @@ def process_audio(
     left = skip_done(wanted.select("utt_id", "path"), finished(spark, out, "utt_id string"))
     paths = [r.path for r in left.select("path").limit(FEW_FILES + 1).collect()]
     if len(paths) <= FEW_FILES:
-        wanted = audio_rows(spark.read.format("binaryFile").load(paths), audio) if paths else wanted.limit(0)
+        wanted = load_audio(spark, paths, audio) if paths else wanted.limit(0)
     done = run_missing(
         wanted, out, make_predictor, ["content"], out_schema, batch_size=batch_size, min_interval_s=min_interval_s
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,12 @@ def audio_rows(files: DataFrame, root: str) -> DataFrame:
     )
 
 
+def load_audio(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
+    """The named files with their bytes; signs that patterns use stand for themselves."""
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    return audio_rows(spark.read.format("binaryFile").load(plain), root)
+
+
 def scan_audio(spark: SparkSession, path: str, exts: Sequence[str] = AUDIO_SUFFIXES) -> DataFrame:
     """All audio files below a folder: key, path, relative path, length, time and bytes.
 
@@ -50,7 +57,7 @@ def first_audio(spark: SparkSession, path: str, chosen: DataFrame, n: int, *orde
     paths = [r.path for r in first_n(chosen.select("path", *order), n, *order).collect()]
     if not paths:
         return scan_audio(spark, path).limit(0)
-    return audio_rows(spark.read.format("binaryFile").load(paths), path)
+    return load_audio(spark, paths, path)
 
 
 def scan_texts(

@@ -138,6 +138,9 @@ SELECT system, count(*) AS n_files, count(wer) AS n_scored, count(*) - count(wer
 FROM scored GROUP BY system"""
 UNUSED = "SELECT 'unused', 0, 0, 0, " + ", ".join(f"NULL::DOUBLE" for _ in METRICS)
 
+ORACLES["wide_to_long"] = """
+SELECT doc_id AS utt_id, lang, 'a' AS system, text AS hyp FROM documents
+UNION ALL SELECT doc_id, lang, 'b', lower(source) FROM documents UNION ALL SELECT doc_id, lang, 'c', NULL FROM documents"""
 ORACLES["system_scores"] = f"{made_scores(generic('text'))} {SUMMARY} UNION ALL {UNUSED}"
 ORACLES["utterance_scores"] = f"""{made_scores(generic('text'))}
 SELECT utt_id, system, {', '.join(f'{c}::BIGINT AS {c}' for c in ('distance', 'ref_words', 'hyp_words', 'substitutions', 'deletions', 'insertions'))},

@@ -264,6 +264,13 @@ def file_keys(spark: SparkSession, sf: str) -> DataFrame:
 # --- scores --------------------------------------------------------------------------------------
 
 
+@query
+def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document and system, also where a system has nothing."""
+    wide = documents_by_id(spark, sf).withColumn("short", F.lower("source")).withColumn("none", F.lit(None).cast("string"))
+    return to_long(wide, {"a": "text", "b": "short", "c": "none"}, ["utt_id", "lang"])
+
+
 @query
 def system_scores(spark: SparkSession, sf: str) -> DataFrame:
     scores = score_systems(transcripts(spark, sf), SYSTEMS, "en")
