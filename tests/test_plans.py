@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import normalize_generic
-from voxframe.operators.pairing import audit_summary, last_wins
+from voxframe.operators.pairing import audit_summary, last_wins, pair_left, skip_done
 from voxframe.operators.scores import score_systems, system_summary
 from voxframe.operators.sequence import chunk_windows, overlap_add
 from voxframe.session import MIN_BYTES_PER_TASK, spread
-from voxframe.sources.files import scan_audio
+from voxframe.sources.files import parse_utterance_lines, scan_audio
+from voxframe.sources.sinks import write_texts
+from voxframe.streaming.resume import with_end_mark
 
 
 def plan_of(df):
@@ -95,3 +97,61 @@ def test_audio_listing_reads_no_bytes(spark, tmp_path):
     listing = scan_audio(spark, str(tmp_path)).select("utt_id", "length")
     schema = re.search(r"ReadSchema: (\S+)", plan_of(listing)).group(1)
     assert "content" not in schema and "path" in schema
+
+
+@pytest.fixture()
+def small_targets(spark):
+    """Thresholds of adaptive execution that small tables reach."""
+    conf = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    yield
+    for name in conf:
+        spark.conf.unset(name)
+
+
+def hot_rows(spark, name):
+    """Seven rows in ten belong to one key."""
+    payload = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.sha2(F.concat_ws("-", F.col("id"), i), 256)), "")
+    key = F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20))
+    return spark.range(0, 4000, 1, 8).select(key.alias(name), F.col("id"), payload.alias("text"))
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path, small_targets):
+    write_texts(hot_rows(spark, "split"), str(tmp_path / "out"), by="split")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    assert files["split=hot"] > 4
+    # eight tasks wrote rows of every folder before they were brought together
+    assert max(n for d, n in files.items() if d != "split=hot") <= 4
+
+
+def test_a_hot_join_key_is_split(spark, tmp_path, small_targets):
+    hot_rows(spark, "utt_id").write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    left.select("utt_id").distinct().withColumn("label", F.lit("x")).write.parquet(str(tmp_path / "right"))
+    right = spark.read.parquet(str(tmp_path / "right"))
+    for joined in (pair_left(left, right), skip_done(left, right.where("utt_id <> 'hot'"))):
+        assert len(joined.collect()) >= 2800
+        assert "skew=true" in plan_of(joined)
+
+
+def test_a_hot_chapter_is_matched_in_several_tasks(spark, uncoalesced):
+    lines = spark.range(3000).select(
+        F.when(F.col("id") < 2900, "/c/hot/a.trans.txt").otherwise(F.concat(F.lit("/c/"), F.col("id"), F.lit("/a.trans.txt"))).alias("path"),
+        F.col("id").alias("line_no"),
+        F.concat(F.lit("u"), F.col("id"), F.lit(" text")).alias("value"),
+    )
+    parsed = parse_utterance_lines(lines)
+    tasks = parsed.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 3000
+    assert max(t["count"] for t in tasks) < 1500
+
+
+def test_end_marks_are_joined_by_key_and_position(tables):
+    marked = plan_of(with_end_mark(tables["tokens"].hint("merge"), "utt_id", "seq"))
+    assert not re.search(r"SortMergeJoin \[utt_id#\d+\], ", marked)

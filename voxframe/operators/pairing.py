@@ -35,7 +35,7 @@ def pair_reporting(left: DataFrame, right: DataFrame, key: str = "utt_id") -> tu
 
 def common_names(a: DataFrame, b: DataFrame, key: str = "name") -> DataFrame:
     """Names on both sides, once each."""
-    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
 
 
 def skip_done(df: DataFrame, done: DataFrame, key: str | Sequence[str] = "utt_id") -> DataFrame:
@@ -52,20 +52,23 @@ def last_wins(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
 
 
+def _sides(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """Each key once, with 1 or 0 for either side; repeated keys are merged before they move."""
+    sides = inputs.select(key, F.lit(1).alias("_i"), F.lit(0).alias("_o")).unionByName(
+        outputs.select(key, F.lit(0).alias("_i"), F.lit(1).alias("_o"))
+    )
+    return sides.groupBy(key).agg(F.max("_i").alias("_i"), F.max("_o").alias("_o"))
+
+
 def audit(inputs: DataFrame, outputs: DataFrame, key: str = "utt_id") -> DataFrame:
     """Keys found on one side only, with the side they miss on."""
-    missing = inputs.join(outputs, key, "left_anti").select(key, F.lit("output").alias("missing_in"))
-    extra = outputs.join(inputs, key, "left_anti").select(key, F.lit("input").alias("missing_in"))
-    return missing.unionByName(extra)
+    alone = _sides(inputs, outputs, key).where("_i <> _o")
+    return alone.select(key, F.when(F.col("_i") == 1, "output").otherwise("input").alias("missing_in"))
 
 
 def audit_summary(inputs: DataFrame, outputs: DataFrame, key: str = "utt_id") -> DataFrame:
     """Counts of input and output keys and of those without counterpart; one row."""
-    sides = inputs.select(key, F.lit(1).alias("_i"), F.lit(0).alias("_o")).unionByName(
-        outputs.select(key, F.lit(0).alias("_i"), F.lit(1).alias("_o"))
-    )
-    per_key = sides.groupBy(key).agg(F.max("_i").alias("_i"), F.max("_o").alias("_o"))
-    return per_key.agg(
+    return _sides(inputs, outputs, key).agg(
         F.coalesce(F.sum("_i"), F.lit(0)).alias("n_input"),
         F.coalesce(F.sum("_o"), F.lit(0)).alias("n_output"),
         F.count_if((F.col("_i") == 1) & (F.col("_o") == 0)).alias("n_missing"),

@@ -16,6 +16,9 @@ from voxframe.operators.pairing import last_wins, pair_strict
 # Audio suffixes that are picked up.
 AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
 
+# Parts a chapter's lines are divided into where they meet its one row.
+SALTS = 32
+
 
 def audio_options(exts: Sequence[str] = AUDIO_SUFFIXES) -> dict[str, object]:
     """Reader options for all files below a folder with one of the suffixes."""
@@ -89,7 +92,11 @@ def parse_utterance_lines(lines: DataFrame, order: Sequence[str] = ("line_no",))
     utt_id, text = F.get("_p", F.lit(0)), strip_ws(F.get("_p", F.lit(1)))
     kept = parsed.where(F.size("_p") == 2).select("chapter", utt_id.alias("utt_id"), text.alias("text"), *order)
     last = last_wins(kept, ["chapter", "utt_id"], order)
-    return last.join(single, "chapter", "left_semi").select("chapter", "utt_id", "text")
+    # a large chapter's lines are matched in several tasks
+    salt = F.pmod(F.xxhash64("utt_id"), F.lit(SALTS)).cast("int")
+    salted = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    matched = last.withColumn("_salt", salt).join(salted, ["chapter", "_salt"], "left_semi")
+    return matched.select("chapter", "utt_id", "text")
 
 
 def scan_utterance_lines(spark: SparkSession, path: str, glob: str = "*.trans.txt") -> DataFrame:
