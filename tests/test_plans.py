@@ -35,8 +35,10 @@ def uncoalesced(spark):
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("plans")
-    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), (i + F.col("id")).cast("string"))), " ")
-    spark.range(2000).select(F.col("id").cast("string").alias("utt_id"), words.alias("ref"), words.alias("h"), F.rand(1).alias("other")).write.parquet(str(root / "pairs"))
+    ten = F.sequence(F.lit(0), F.lit(9))
+    words = F.array_join(F.transform(ten, lambda i: F.concat(F.lit("w"), (i + F.col("id")).cast("string"))), " ")
+    pairs = spark.range(2000).select(F.col("id").cast("string").alias("utt_id"), words.alias("ref"), words.alias("h"))
+    pairs.withColumn("other", F.rand(1)).write.parquet(str(root / "pairs"))
     spark.range(9000).select(
         F.when(F.col("id") < 6000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 30)).alias("utt_id"),
         F.when(F.col("id") < 6000, F.col("id")).otherwise(F.floor((F.col("id") - 6000) / 30)).alias("seq"),

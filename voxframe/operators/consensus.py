@@ -61,13 +61,12 @@ def merge_transcripts(
     base = base.withColumn("_ref", words(F.get("_texts", F.col("_ref_at"))))
     slots = []
     for i in range(len(systems)):
-        name = f"_slots_{i}"
         own = words(F.get("_texts", F.lit(i)))
         aligned = aligned_slots(F.col("_ref"), F.col(f"_words_{i}"), compat)
         base = base.withColumn(f"_words_{i}", F.when(F.col("_ref_at").isNotNull(), own)).withColumn(
             f"_aligned_{i}", aligned
         )
-        slots.append(F.when(F.col("_ref_at") == i, F.col("_ref")).otherwise(F.col(f"_aligned_{i}")).alias(name))
+        slots.append(F.when(F.col("_ref_at") == i, F.col("_ref")).otherwise(F.col(f"_aligned_{i}")))
     voted = F.array_join(vote(slots), " ")
     merged = (
         F.when(F.size("_texts") == 0, F.lit(""))

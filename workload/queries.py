@@ -28,7 +28,7 @@ from voxframe.operators.pairing import (
     pair_strict,
     skip_done,
 )
-from voxframe.operators.scores import coverage, raw_wer, score_pairs, score_systems, system_summary, to_long
+from voxframe.operators.scores import coverage, score_pairs, score_systems, system_summary, to_long
 from voxframe.operators.sequence import Chunking, chunk_windows, overlap_add, to_samples
 from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
@@ -597,7 +597,12 @@ def spoken(spark: SparkSession, sf: str) -> DataFrame:
     )
     speech = F.transform(
         F.split("text", r"\n"),
-        lambda s, i: F.concat_ws(" ", i.cast("double").cast("string"), (i + 1).cast("double").cast("string"), F.concat(F.lit("spk_"), ((i + F.col("turn")) % 3).cast("string"))),
+        lambda s, i: F.concat_ws(
+            " ",
+            i.cast("double").cast("string"),
+            (i + 1).cast("double").cast("string"),
+            F.concat(F.lit("spk_"), ((i + F.col("turn")) % 3).cast("string")),
+        ),
     )
     return spread(turns(spark, sf), "utt_id").withColumn("_ws", X.words(F.col("text"))).withColumn("segments", segments).withColumn(
         "speech_segments", speech
