@@ -184,6 +184,15 @@ def test_annotation_compat_and_errors(spark, folder):
     assert errors["bad"] == ("RuntimeError: no sound", None) and errors["a"] == (None, None)
 
 
+def test_fixed_language_and_no_third_system(spark, folder):
+    files = scan_audio(spark, str(folder / "audio")).select("utt_id", "rel_path", "content")
+    models = {name: make for name, make in MODELS.items() if name != "language"}
+    made = annotate(files, models, pause_s=0.0, language="en", third_enabled=False)
+    said = {r.utt_id: r.record.transcriptions for r in made.collect()}
+    assert (said["b"].detected_language, said["b"].first, said["b"].third) == ("en", "first in en", "")
+    assert said["b"].third_status is None
+
+
 def test_evaluation_of_folders(spark, tmp_path):
     for name in ("u1", "u2", "u3"):
         for file, body in ((f"wav/{name}.wav", "x"), (f"lab/{name}.lab", "third"), (f"s/c/{name}.flac", "english")):

@@ -153,9 +153,13 @@ def recording_stages(
     speaker_attempts: Sequence[Attempt] = (FULL,),
     pause_s: float = PAUSE_S,
     compat: bool = False,
+    language: str | None = None,
+    third_enabled: bool | None = None,
 ) -> list[Stage]:
     """All calls for one recording, in order, over ``content`` (bytes).
 
+    A fixed ``language`` is not detected; ``third_enabled=False`` switches the third system off.
+
     ``models`` names the makers: ``measure`` (to ``duration``, ``snr``), ``language`` (to
     ``probs``), the taggers (to ``label``, ``confidence``), ``first`` (from ``lang``; to ``text``,
     ``segments``), ``second`` (from ``request``; to ``text``) for plain and labelled transcripts,
@@ -164,6 +168,9 @@ def recording_stages(
     """
     audio, lang = {"content": "content"}, F.col("lang")
 
+    def fixed(df: DataFrame) -> DataFrame:
+        return df.withColumn("lang", F.lit(language))
+
     def asking(prompts: Mapping[str, str], **fields: str) -> Callable[[DataFrame], DataFrame]:
         return lambda df: df.withColumn("request", request(prompts, lang, {k: F.col(c) for k, c in fields.items()}))
 
@@ -178,7 +185,11 @@ def recording_stages(
     asked = {"request": "request"}
     return [
         Stage("measure", models["measure"], audio, {"duration": ("duration", "double"), "snr": ("snr", "double")}),
-        Stage("language", models["language"], audio, {"probs": ("language_probs", "map<string,double>")}),
+        *(
+            []
+            if language
+            else [Stage("language", models["language"], audio, {"probs": ("language_probs", "map<string,double>")})]
+        ),
         *[
             Stage(t, models[t], audio, {"label": (f"{t}_label", "string"), "confidence": (f"{t}_confidence", "double")})
             for t in TAGGERS
@@ -188,7 +199,7 @@ def recording_stages(
             models["first"],
             {**audio, "lang": "lang"},
             {"text": ("first", "string"), "segments": ("segments", WORDS)},
-            before=with_language,
+            before=fixed if language else with_language,
         ),
         Stage(
             "second",
@@ -209,7 +220,7 @@ def recording_stages(
             default={"second_labelled": ""},
             min_interval_s=pause_s,
         ),
-        Stage("third", models["third"], audio, {"text": ("third", "string")}, only=third_system_wanted(lang)),
+        Stage("third", models["third"], audio, {"text": ("third", "string")}, only=third_system_wanted(lang, third_enabled)),
         Stage(
             "judge",
             models["judge"],
@@ -252,10 +263,13 @@ def annotate(
     speaker_attempts: Sequence[Attempt] = (FULL,),
     pause_s: float = PAUSE_S,
     compat: bool = False,
+    language: str | None = None,
+    third_enabled: bool | None = None,
     cut_after: Collection[str] = (),
 ) -> DataFrame:
     """Recordings (``utt_id, rel_path, content``) through all models to ``(utt_id, rel_path, record)``."""
-    done = run_stages(recordings, recording_stages(models, speaker_attempts, pause_s, compat), cut_after)
+    stages = recording_stages(models, speaker_attempts, pause_s, compat, language, third_enabled)
+    done = run_stages(recordings, stages, cut_after)
     return to_record(with_final(done), compat=compat).select("utt_id", "rel_path", "record")
 
 
