@@ -112,7 +112,8 @@ def evaluate_folder(
     wanted = first_audio(spark, audio, files, first, "utt_id") if first else files
     # labels are checked before any model runs, and the models run once for all parts of the report
     refs = cut_lineage(scan_labels(spark, wanted.select("utt_id"), labels))
-    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, compat=compat, **{"language": "ar", **options}))
+    options = {"language": "ar", "compat": compat, **options}
+    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, **options))
     return evaluate_records(records, refs.select("utt_id", F.col("label_text").alias("ref")), "ar", compat=compat)
 
 
@@ -128,7 +129,8 @@ def evaluate_chapters(
     lines = scan_utterance_lines(spark, root).select("utt_id", F.col("text").alias("ref"))
     files = pair_inner(scan_audio(spark, root, ("flac",)), lines.select("utt_id"))
     wanted = first_audio(spark, root, files, first, "utt_id") if first else files
-    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, compat=compat, **{"language": "en", **options}))
+    options = {"language": "en", "compat": compat, **options}
+    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, **options))
     return evaluate_records(records, lines, "en", compat=compat)
 
 
