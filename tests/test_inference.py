@@ -72,13 +72,31 @@ def test_the_model_runs_once_however_its_results_are_used(texts):
 
 def test_wrong_number_of_results(texts):
     def make():
-        return lambda batch: pd.DataFrame({"n": [1, 2]})
+        return lambda batch: pd.DataFrame({"n": [1, 2, 3]})
 
     got = infer_stage(texts, make, ["text"], "n long", 4)
     assert {r.status for r in got.collect()} <= {"ok", "default"}
     assert got.where(F.col("error").contains("results for")).count() > 0
 
 
+def test_one_bad_row_costs_few_calls(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def make():
+        def predict(batch):
+            with log.open("a") as out:
+                out.write(f"{len(batch)}\n")
+            if (batch["id"] == 37).any():
+                raise ValueError("bad")
+            return pd.DataFrame({"n": batch["id"] * 2})
+
+        return predict
+
+    done = infer_stage(spark.range(64).coalesce(1), make, ["id"], "n long", 64).collect()
+    assert [(r.n, r.error) for r in done] == [(None, "ValueError: bad") if i == 37 else (2 * i, None) for i in range(64)]
+    assert len(log.read_text().split()) == 13
+
+
 def test_raise(texts):
     with pytest.raises(Exception, match="too long"):
         infer_stage(texts, counter(10), ["text"], "n long, tags array<string>", on_error="raise").collect()

@@ -45,11 +45,12 @@ def infer_stage(
     """Adds the predictor's columns, ``attempt``, ``status`` and ``error`` to every row.
 
     The predictor gets a frame of ``input_cols`` and returns one of ``out_schema`` with as many
-    rows. Where a batch fails, its rows are tried one by one, then on the next attempt; rows that
-    no attempt could do get ``default`` (or nulls) and the last error, or fail the task with
-    ``on_error="raise"``. ``status`` is ``ok``, ``retried`` or ``default``. With ``min_interval_s``
-    a task waits that long after each call, so the overall rate is the number of concurrent tasks
-    per interval. ``only`` names a boolean column; rows without it are ``skipped`` and get nulls.
+    rows. A batch that fails is halved until the rows that make it fail stand alone; these go on
+    to the next attempt together. Rows that no attempt could do get ``default`` (or nulls) and the
+    last error, or fail the task with ``on_error="raise"``. ``status`` is ``ok``, ``retried`` or
+    ``default``. With ``min_interval_s`` a task waits that long after each call, so the overall rate
+    is the number of concurrent tasks per interval. ``only`` names a boolean column; rows without it
+    are ``skipped`` and get nulls.
     """
     if on_error not in ("record", "raise"):
         raise ValueError(f"on_error is {on_error!r}: record or raise")
@@ -70,9 +71,9 @@ def infer_stage(
             attempt = ladder[rung]
             if rung not in built:
                 built[rung] = (attempt.make or make_predictor)()
-            given = attempt.prepare(batch.copy()) if attempt.prepare else batch
+            given = batch.reset_index(drop=True)
             try:
-                made = built[rung](given)
+                made = built[rung](attempt.prepare(given) if attempt.prepare else given)
             finally:
                 if min_interval_s:
                     time.sleep(min_interval_s)
@@ -80,36 +81,46 @@ def infer_stage(
                 raise ValueError(f"{len(made)} results for {len(batch)} inputs")
             return made[out_names].set_axis(batch.index)
 
-        def one(row: pd.DataFrame, first: str | None) -> dict:
-            error = first
-            for rung in range(1 if first is not None else 0, len(ladder)):
-                try:
-                    made = call(rung, row)
-                    status = "ok" if rung == 0 else "retried"
-                    return {**made.iloc[0].to_dict(), "attempt": ladder[rung].name, "status": status, "error": None}
-                except Exception as problem:
-                    error = f"{type(problem).__name__}: {problem}"
-            if on_error == "raise":
-                raise RuntimeError(error)
-            return {**{n: fallback.get(n) for n in out_names}, "attempt": None, "status": "default", "error": error}
+        def isolate(rung: int, batch: pd.DataFrame, done: list[pd.DataFrame], errors: dict[int, str]) -> None:
+            """Results of the rows this attempt can do; a batch that fails is halved down to its culprits."""
+            try:
+                made = call(rung, batch)
+                done.append(made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None))
+            except Exception as problem:
+                if len(batch) == 1:
+                    errors[batch.index[0]] = f"{type(problem).__name__}: {problem}"
+                    return
+                half = len(batch) // 2
+                isolate(rung, batch.iloc[:half], done, errors)
+                isolate(rung, batch.iloc[half:], done, errors)
+
+        def solve(batch: pd.DataFrame) -> pd.DataFrame:
+            done: list[pd.DataFrame] = []
+            left, errors = batch, {}
+            for rung in range(len(ladder)):
+                errors = {}
+                isolate(rung, left, done, errors)
+                left = left.loc[list(errors)]
+                if left.empty:
+                    break
+            if errors and on_error == "raise":
+                raise RuntimeError(next(iter(errors.values())))
+            if errors:
+                given_up = [[*[fallback.get(n) for n in out_names], None, "default", e] for e in errors.values()]
+                done.append(pd.DataFrame(given_up, columns=added, index=list(errors), dtype=object))
+            return done[0] if len(done) == 1 else pd.concat([d.astype(object) for d in done])
 
         for frame in frames:
             parts = []
             for at in range(0, len(frame), batch_size):
                 part = frame.iloc[at : at + batch_size].reset_index(drop=True)
                 chosen = part.index if only is None else part.index[part["_only"].fillna(False).astype(bool)]
-                batch = part.loc[chosen, inputs].reset_index(drop=True)
-                try:
-                    made = call(0, batch).assign(attempt=ladder[0].name, status="ok", error=None) if len(batch) else batch
-                except Exception as problem:
-                    alone = f"{type(problem).__name__}: {problem}" if len(batch) == 1 else None
-                    rows = [one(batch.iloc[i : i + 1], alone) for i in range(len(batch))]
-                    made = pd.DataFrame(rows, columns=added, dtype=object)
+                made = solve(part.loc[chosen, inputs]) if len(chosen) else pd.DataFrame(columns=added)
                 if len(chosen) < len(part):
-                    made = made.reindex(columns=added).astype(object).set_axis(chosen).reindex(part.index)
+                    made = made.astype(object).reindex(part.index)
                     made = made.where(made.notna(), None)
                     made.loc[part.index.difference(chosen), "status"] = "skipped"
-                parts.append(made[added])
+                parts.append(made.loc[part.index, added])
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=added)
 
     # only the inputs go to Python and only the results come back; the mark keeps the optimizer from
