@@ -29,6 +29,9 @@ class Attempt:
 
 FULL = Attempt("full")
 
+# A batch that fails is divided into so many parts.
+PARTS = 8
+
 
 def infer_stage(
     df: DataFrame,
@@ -45,8 +48,8 @@ def infer_stage(
     """Adds the predictor's columns, ``attempt``, ``status`` and ``error`` to every row.
 
     The predictor gets a frame of ``input_cols`` and returns one of ``out_schema`` with as many
-    rows. A batch that fails is halved until the rows that make it fail stand alone; these go on
-    to the next attempt together. Rows that no attempt could do get ``default`` (or nulls) and the
+    rows. A batch that fails is divided until the rows that make it fail stand alone; these go
+    on to the next attempt together. Rows that no attempt could do get ``default`` (or nulls) and the
     last error, or fail the task with ``on_error="raise"``. ``status`` is ``ok``, ``retried`` or
     ``default``. With ``min_interval_s`` a task waits that long after each call, so the overall rate
     is the number of concurrent tasks per interval. ``only`` names a boolean column; rows without it
@@ -81,34 +84,36 @@ def infer_stage(
                 raise ValueError(f"{len(made)} results for {len(batch)} inputs")
             return made[out_names].set_axis(batch.index)
 
-        def isolate(rung: int, batch: pd.DataFrame, done: list[pd.DataFrame], errors: dict[int, str]) -> None:
-            """Results of the rows this attempt can do; a batch that fails is halved down to its culprits."""
+        def isolate(rung: int, batch: pd.DataFrame, rows: dict[int, tuple], errors: dict[int, str]) -> None:
+            """Results of the rows this attempt can do; a batch that fails is divided down to its culprits."""
             try:
                 made = call(rung, batch)
-                done.append(made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None))
             except Exception as problem:
                 if len(batch) == 1:
                     errors[batch.index[0]] = f"{type(problem).__name__}: {problem}"
                     return
-                half = len(batch) // 2
-                isolate(rung, batch.iloc[:half], done, errors)
-                isolate(rung, batch.iloc[half:], done, errors)
+                size = -(-len(batch) // PARTS)
+                for at in range(0, len(batch), size):
+                    isolate(rung, batch.iloc[at : at + size], rows, errors)
+                return
+            notes = (ladder[rung].name, "retried" if rung else "ok", None)
+            for at, row in zip(made.index, made.itertuples(index=False, name=None)):
+                rows[at] = (*row, *notes)
 
         def solve(batch: pd.DataFrame) -> pd.DataFrame:
-            done: list[pd.DataFrame] = []
+            rows: dict[int, tuple] = {}
             left, errors = batch, {}
             for rung in range(len(ladder)):
                 errors = {}
-                isolate(rung, left, done, errors)
-                left = left.loc[list(errors)]
-                if left.empty:
+                isolate(rung, left, rows, errors)
+                if not errors:
                     break
+                left = left.loc[list(errors)]
             if errors and on_error == "raise":
                 raise RuntimeError(next(iter(errors.values())))
-            if errors:
-                given_up = [[*[fallback.get(n) for n in out_names], None, "default", e] for e in errors.values()]
-                done.append(pd.DataFrame(given_up, columns=added, index=list(errors), dtype=object))
-            return done[0] if len(done) == 1 else pd.concat([d.astype(object) for d in done])
+            for at, error in errors.items():
+                rows[at] = (*[fallback.get(n) for n in out_names], None, "default", error)
+            return pd.DataFrame([rows[at] for at in batch.index], columns=added, index=batch.index, dtype=object)
 
         for frame in frames:
             parts = []
