@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import decontaminate, licenses
+from voxframe.llm import decontaminate, licenses, minhash
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
