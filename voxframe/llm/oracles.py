@@ -77,3 +77,20 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM words UNION SELECT reach.doc
 parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM parts LEFT JOIN sizes USING (doc_id)"""
+
+ORACLES["op2_line_dedup"] = r"""
+WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+spoken AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+two AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS line2 FROM spoken),
+starts AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, pos) AS nth2, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM two),
+gone AS (
+  SELECT doc_id, seq FROM starts WHERE line2 IS NOT NULL AND nth2 > 1
+  UNION SELECT doc_id, seq + 1 FROM starts WHERE line2 IS NOT NULL AND nth2 > 1
+  UNION SELECT doc_id, seq FROM starts WHERE length(line) >= 200 AND nth > 1),
+kept AS (SELECT line.doc_id, string_agg(line.line, chr(10) ORDER BY line.pos) AS text
+         FROM line LEFT JOIN spoken USING (doc_id, pos) LEFT JOIN gone ON gone.doc_id = spoken.doc_id AND gone.seq = spoken.seq
+         WHERE gone.doc_id IS NULL GROUP BY line.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS lines_before, coalesce(n, 0)::BIGINT AS lines_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import decontaminate, licenses, minhash
+from voxframe.llm import decontaminate, licenses, line_dedup, minhash
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,8 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "lines_before", "lines_removed", "text")
