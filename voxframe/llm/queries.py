@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import decontaminate, licenses, line_dedup, minhash
+from voxframe.llm import decontaminate, licenses, line_dedup, minhash, substring_dedup
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,8 @@ def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "lines_before", "lines_removed", "text")
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.spans_by_document(table(spark, sf, "documents")).drop("form")
