@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, licenses, line_dedup, minhash, substring_dedup
+from voxframe.llm import decontaminate, licenses, line_dedup, minhash, quality, substring_dedup, toxicity
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,38 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def remainder(parts: int) -> Column:
+    """Which part of the labelled rows a document falls into."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def labelled(spark: SparkSession, sf: str, name: str, fold: Column) -> DataFrame:
+    return table(spark, sf, "labels").where(fold).select("doc_id", F.col(name).alias("label"))
+
+
+def judged(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def toxicity_model(spark: SparkSession, sf: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf, "documents"), labelled(spark, sf, "toxic", remainder(4) != 2))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    scores = toxicity.score_toxicity(table(spark, sf, "documents").select("doc_id", "text"), toxicity_model(spark, sf), "score")
+    return judged(scores, remainder(4) == 2)
+
+
+@query
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    measured = quality.measure(table(spark, sf, "documents"))
+    model = quality.train(measured, labelled(spark, sf, "quality", remainder(5) != 0))
+    return judged(quality.score_measured(measured, model, "score"), remainder(5) == 0)
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     seen = licenses.scan_licenses(table(spark, sf, "documents"))
