@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, licenses, line_dedup, minhash, quality, substring_dedup, toxicity
+from voxframe.llm import decontaminate, licenses, line_dedup, minhash, quality, sentencepiece, substring_dedup, toxicity
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,24 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return judged(quality.score_measured(measured, model, "score"), remainder(5) == 0)
 
 
+def piece_vocabulary() -> sentencepiece.Vocabulary:
+    import public_tokenizers
+
+    return sentencepiece.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = piece_vocabulary()
+    encoded = sentencepiece.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
+    return sentencepiece.decode(encoded, vocabulary).select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     seen = licenses.scan_licenses(table(spark, sf, "documents"))
