@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, licenses, line_dedup, minhash, quality, sentencepiece, substring_dedup, toxicity
+from voxframe.llm import decontaminate, licenses, line_dedup, minhash, quality, sentencepiece, substring_dedup, token_files, toxicity
 from voxframe.llm.common import table
+from voxframe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,17 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch_path(spark, "tokens")
+    manifest = token_files.write_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_tokens(manifest).select(
+        "doc_id", "start", (F.length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32")
+    )
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     seen = licenses.scan_licenses(table(spark, sf, "documents"))
