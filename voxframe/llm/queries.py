@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, licenses, line_dedup, minhash, quality, sentencepiece, substring_dedup, token_files, toxicity
+from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, quality, sentencepiece, substring_dedup, token_files, toxicity
 from voxframe.llm.common import table
 from voxframe.session import scratch_path
 
@@ -92,6 +92,11 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op8_edit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
