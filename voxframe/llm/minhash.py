@@ -169,35 +169,45 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, found: DataFrame) -> Da
     """Links among ``nodes`` (node, n, component) that lie in different components.
 
     Shingles are ordered by how many of these sets hold them. Two sets at 0.75 share at least ceil(0.75 n) shingles of
-    the larger, so their n - ceil(0.75 n) + 1 rarest ones have one in common. A shingle's smallest set is compared
-    with the others first; pairs across the components that remain then follow.
+    the larger, so their n - ceil(0.75 n) + 1 rarest ones have one in common. If the first one in common stands at
+    place i of a set of n, they share n - i at most, which bounds the size of the other set: its ``reach``. Within the
+    sets of a shingle, the one that reaches furthest is compared with the others first, and those larger than that
+    reach are out: a frequent passage leaves only texts that hardly hold more than it, and these join one component.
+    Pairs across the components that remain, within each other's reach, then follow.
     """
     spread = nodes.join(sets, "node").select("node", "n", "component", F.explode("shingles").alias("at"))
     often = spread.groupBy("at").agg(F.count("*").alias("df")).where("df > 1")
     keep = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    reach = F.floor((F.col("n") - F.col("place")) * (100 + PERCENT) / PERCENT) - F.col("n")
     rarest = (
         spread.join(often, "at", "left")
         .groupBy("node", "n", "component")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "at"))).alias("all"))
-        .select("node", "n", "component", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("t"))
+        .select("node", "n", "component", F.posexplode(F.slice("all", F.lit(1), keep.cast("int"))).alias("place", "t"))
         .where("t.df > 1")
-        .select("node", "n", "component", F.col("t.at").alias("at"))
+        .select("node", "n", "component", F.col("t.at").alias("at"), reach.alias("reach"))
     )
     rarest = stored(rarest, "rarest")
-    hubs = _open(rarest)
-    stars = (
-        rarest.join(hubs, "at")
-        .where(F.col("node") != F.col("hub"))
-        .where(_alike_in_size("n", "hub_n"))
-        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    )
-    first = stored(_links(stars, sets), "first")
+
+    def still_open(members: DataFrame) -> DataFrame:
+        hubs = rarest.groupBy("at").agg(F.min(F.struct(-F.col("reach"), "node", "n")).alias("h"))
+        hubs = hubs.select("at", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), (-F.col("h.col1")).alias("hub_reach"))
+        near = members.join(hubs, "at").where((F.col("node") == F.col("hub")) | (F.col("n") <= F.col("hub_reach")))
+        of_hub = F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("main")
+        groups = near.groupBy("at").agg(F.min("component").alias("low"), F.max("component").alias("high"), of_hub).where("low <> high")
+        return near.join(groups.select("at", "main"), "at").where(F.col("node") != F.col("hub"))
+
+    stars = still_open(rarest).where((F.col("hub_n") <= F.col("reach")) & _alike_in_size("n", "hub_n"))
+    first = stored(_links(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "first")
     better = stored(components(found.union(first)), "found")
-    placed = _with_component(rarest.drop("component"), better)
-    left = _open(placed).select("at", "hub")
-    # a hub's pairs are settled only where it was the hub before; it is the smallest set both times
-    rest = placed.join(left, "at").where(F.col("node") != F.col("hub"))
-    return first.union(_links(_across(rest), sets))
+    rest = still_open(_with_component(rarest.drop("component"), better))
+    # one of a pair at least is outside the hub's component
+    outside = rest.where(F.col("component") != F.col("main"))
+    a = outside.select("at", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("reach").alias("reach_a"))
+    b = rest.select("at", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("reach").alias("reach_b"))
+    in_reach = (F.col("n_a") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach_a"))
+    pairs = a.join(b, "at").where((F.col("c_a") != F.col("c_b")) & in_reach & _alike_in_size("n_a", "n_b"))
+    return first.union(_links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
