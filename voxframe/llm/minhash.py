@@ -213,4 +213,4 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, found: DataFrame) -> Da
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents kept, with all their columns; of rows that repeat a doc_id all stay or go together."""
     gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
