@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from voxframe.llm.common import stored
 
@@ -78,7 +79,7 @@ def statistics(text: str | None) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _statistics(text: pd.Series) -> pd.Series:
     return pd.Series([statistics(t) for t in text], dtype=object)
 

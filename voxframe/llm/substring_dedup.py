@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from voxframe.llm.common import stored
 from voxframe.llm.shingles import mixed
@@ -136,7 +137,7 @@ def _without(data: bytes, spans: list) -> str:
     return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([_without(t.encode("utf-8", "surrogatepass"), s) for t, s in zip(text, spans)], dtype=object)
 
