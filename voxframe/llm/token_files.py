@@ -13,15 +13,19 @@ a file that nobody reads.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +34,11 @@ from voxframe.llm.common import stored
 
 MANIFEST = "shard int, path string, records bigint, tokens bigint, bytes bigint, width int"
 _HEAD, _LENGTH, _SUM = "<?q", "<Q", "<I"
-_LOT, _CACHE, _CHUNK = 1 << 20, 400_000, 1 << 22
-_BESIDE = re.compile(r" \s|\s ")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+_LOT, _CHUNK = 1 << 20, 1 << 22
+# Cuts that a process remembers, and the longest of them: about 150 MB.
+_CACHE, _LONG = 600_000, 64
+# Fixed value: how byte-level BPE cuts a text before it merges.
+PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def masked(data: bytes) -> int:
@@ -70,8 +76,9 @@ def _files(path: str):
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, without its special tokens, an end id after each.
 
-    A space between two characters that are no white space always begins a pre-token, so texts are cut before such
-    spaces and each distinct cut is encoded once. Texts that hold an added token are encoded in one piece.
+    Under byte-level BPE the library merges within pre-tokens only, so a text is cut into these and each distinct one
+    is encoded once per process, as long as the cache holds it. Texts that hold an added token, and those of other kinds
+    of tokenizers, are encoded in one piece.
     """
 
     def __init__(self, path: str, end: int):
@@ -79,33 +86,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.cut = regex.compile(PRE_TOKEN).findall if plain and not made["normalizer"] else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
 
-    def _cuts(self, text: str) -> list[str]:
-        if any(t in text for t in self.added):
-            return [text]
-        if _BESIDE.search(text):
-            return _SAFE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    @staticmethod
+    def of_process(path: str, end: int) -> Encoder:
+        """The one that earlier tasks in this process have made, with the cuts it knows."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("encoders of this process", {})
+        if (path, end) not in held:
+            held[path, end] = Encoder(path, end)
+        return held[path, end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE:
             self.known.clear()
-        cuts = [self._cuts(t) for t in texts]
-        new = list({c for row in cuts for c in row} - self.known.keys())
+        cuts = [self.cut(t) if self.cut and not any(a in t for a in self.added) else [t] for t in texts]
+        new = list(set(chain.from_iterable(cuts)) - self.known.keys())
+        whole = {}
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, row)) + self.end for row in cuts]
+            (self.known if len(c) <= _LONG else whole)[c] = np.array(e.ids, self.kind).tobytes()
+        ids = ChainMap(self.known, whole).__getitem__ if whole else self.known.__getitem__
+        return [b"".join(map(ids, row)) + self.end for row in cuts]
 
 
 def _writer(tokenizer: str, folder: str, end: int) -> Callable:
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer, end)
+        encoder = Encoder.of_process(tokenizer, end)
         context = TaskContext.get()
         shard = context.partitionId()
         name = f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex}"
