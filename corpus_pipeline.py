@@ -42,10 +42,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its piece ids, their number, and whether they decode to its text."""
-    vocabulary = queries.piece_vocabulary()
-    decoded = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    encoded = sentencepiece.encode(docs.select("doc_id", "text"), queries.piece_vocabulary(), "ids", "round_trip")
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -14,14 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: How much less likely than the least likely piece a character without a piece is, as a log.
 UNKNOWN = 10.0
 _CUTS = re.compile(r" *[^ ]+| +")
-_LOT = 1 << 20
+_LOT = 1 << 18
 
 
 @dataclass
@@ -220,28 +223,41 @@ class Vocabulary:
         return data[1 if data[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids", round_trip: str | None = None) -> DataFrame:
     """``docs`` with all their columns and the ids of the whole ``text``; null and empty texts have none.
 
-    A column named like the new one is replaced; an empty table stays empty.
+    ``round_trip`` names one more column: whether decoding the ids gives the text back (for null, the empty one).
+    Columns named like the new ones are replaced; an empty table stays empty. Rows are handled in lots of some texts, so
+    memory is bounded by a lot and the longest text.
     """
+    new = [T.StructField(column, T.ArrayType(T.IntegerType()))]
+    if round_trip:
+        new.append(T.StructField(round_trip, T.BooleanType()))
+    names = {f.name for f in new}
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // _LOT, append=-1)) + 1
+            for lo, hi in zip([0, *ends], ends):
+                part = batch.slice(lo, hi - lo)
+                yield part, [t or "" for t in part["text"].to_pylist()]
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out: list[np.ndarray] = []
-            lot: list[str] = []
-            size = 0
-            for text in texts:
-                lot.append(text or "")
-                size += len(lot[-1])
-                if size >= _LOT:
-                    out += vocabulary.encode(lot)
-                    lot, size = [], 0
-            out += vocabulary.encode(lot)
-            yield pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in lots(batches):
+            ids = vocabulary.encode(texts)
+            added = [_lists(ids)]
+            if round_trip:
+                added.append(pa.array([vocabulary.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *[f.name for f in new]])
 
-    return docs.withColumn(column, ids("text"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -250,7 +266,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", column: st
     Encoding and decoding gives back every text but for U+2581, the marker, which comes back as a space.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             yield pd.Series([vocabulary.decode(r) if r is not None else "" for r in rows], dtype=object)
