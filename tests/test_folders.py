@@ -2,9 +2,11 @@ import pandas as pd
 import pytest
 
 from voxframe.plans.evaluate import compare_texts
-from voxframe.plans.folders import embed_folder, process_new_audio, synthesise, transcribe_folder
+from voxframe.operators.pairing import skip_done
+from voxframe.plans.folders import embed_folder, errors_of, process_new_audio, synthesise, transcribe_folder
 from voxframe.plans.sequences import speaker_similarity
 from voxframe.operators.scores import coverage
+from voxframe.sources.files import open_files, scan_audio
 
 
 @pytest.fixture()
@@ -35,15 +37,14 @@ def encoder():
     return lambda batch: pd.DataFrame({"embedding": [[float(len(c)), 1.0] for c in batch["content"]]})
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_transcription_skips_retries_and_audits(spark, audio, tmp_path, monkeypatch, few):
-    monkeypatch.setattr("voxframe.plans.folders.FEW_FILES", few)
+def test_transcription_skips_retries_and_audits(spark, audio, tmp_path):
     out = str(tmp_path / "text")
     first = transcribe_folder(spark, audio, out, recogniser, skip_first=1).first()
     assert tuple(first) == (4, 2, 2, 0)
     assert tuple(transcribe_folder(spark, audio, out, recogniser).first()) == (4, 3, 1, 0)
     assert tuple(transcribe_folder(spark, audio, out, patient_recogniser).first()) == (4, 4, 0, 0)
-    done = spark.read.parquet(out).where("error IS NULL")
+    assert spark.read.parquet(errors_of(out)).count() == 0
+    done = spark.read.parquet(out)
     assert sorted((r.utt_id, r.text) for r in done.collect()) == [("a", "one two"), ("b", "three"), ("c", "?"), ("d [1] {x}", "four five")]
     before = spark.read.parquet(out).count()
     transcribe_folder(spark, audio, out, recogniser)
@@ -58,13 +59,16 @@ def test_only_new_files_are_processed(spark, audio, tmp_path):
 
     def run():
         process_new_audio(spark, audio, out, state, recogniser, "text string", ("wav",), files_per_batch=3)
-        return sorted((r.utt_id, r.text, r.error) for r in spark.read.parquet(out).collect())
+        return sorted((r.utt_id, r.text) for r in spark.read.parquet(out).collect())
+
+    def failed():
+        return [tuple(r) for r in spark.read.parquet(errors_of(out)).select("utt_id", "error").collect()]
 
     first = run()
-    assert [r[0] for r in first] == ["a", "b", "c", "d [1] {x}"] and first[2][2] == "ValueError: noise"
+    assert [r[0] for r in first] == ["a", "b", "d [1] {x}"] and failed() == [("c", "ValueError: noise")]
     assert run() == first
     (tmp_path / "wav" / "e.wav").write_bytes(b"six")
-    assert run() == [*first, ("e", "six", None)]
+    assert run() == [*first, ("e", "six")] and failed() == [("c", "ValueError: noise")]
     # the failed one is left to the batch job
     assert tuple(transcribe_folder(spark, audio, out, patient_recogniser).first()) == (5, 5, 0, 0)
 
@@ -76,6 +80,40 @@ def test_embeddings_of_two_folders(spark, audio, tmp_path):
     assert pairs.count() == 4 and mean.first().mean_similarity == pytest.approx(1.0)
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, said in (("x", b"one two"), ("y", b"?")):
+        (tmp_path / "wav" / folder).mkdir(parents=True)
+        (tmp_path / "wav" / folder / "u1.wav").write_bytes(said)
+    audio, out = str(tmp_path / "wav"), str(tmp_path / "text")
+    assert tuple(transcribe_folder(spark, audio, out, recogniser).first()) == (2, 1, 1, 0)
+    failed = spark.read.parquet(errors_of(out)).collect()
+    assert [(r.rel_path, r.utt_id, r.error) for r in failed] == [("y/u1.wav", "u1", "ValueError: noise")]
+    assert tuple(transcribe_folder(spark, audio, out, patient_recogniser).first()) == (2, 2, 0, 0)
+    assert sorted((r.rel_path, r.text) for r in spark.read.parquet(out).collect()) == [("x/u1.wav", "one two"), ("y/u1.wav", "?")]
+
+
+def test_a_retried_embedding_is_one_pair(spark, audio, tmp_path):
+    def shy():
+        def embed(batch):
+            if b"?" in [bytes(c) for c in batch["content"]]:
+                raise ValueError("noise")
+            return encoder()(batch)
+
+        return embed
+
+    for make in (shy, shy, encoder):
+        embed_folder(spark, audio, str(tmp_path / "x"), make)
+    pairs, mean = speaker_similarity(spark, str(tmp_path / "x"), str(tmp_path / "x"), "utt_id")
+    assert pairs.count() == 4 and tuple(mean.first())[:2] == (4, 4)
+
+
+def test_finished_files_are_listed_without_bytes(spark, audio):
+    files = scan_audio(spark, audio, ("wav",)).select("utt_id", "path", "rel_path")
+    left = skip_done(files, files.select("rel_path").limit(0), "rel_path")
+    scans = [x for x in open_files(left)._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert scans and not any("content" in x for x in scans)
+
+
 def voice():
     def speak(batch):
         assert batch["request"].str.contains("<|speech_", regex=False).all()

@@ -208,6 +208,14 @@ def test_evaluation_of_folders(spark, tmp_path):
     assert evaluate_chapters(spark, str(tmp_path / "s"), MODELS, first=1, pause_s=0.0).scores.select("utt_id").distinct().count() == 1
     english.write(str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/details")).count() == 2
+    # the same ids in another chapter, where other words are said
+    for name in ("u1", "u2"):
+        (tmp_path / "s/d").mkdir(exist_ok=True)
+        (tmp_path / f"s/d/{name}.flac").write_text("english")
+    (tmp_path / "s/d/d.trans.txt").write_text("u1 something else\nu3 THIRD\n")
+    both = evaluate_chapters(spark, str(tmp_path / "s"), MODELS, pause_s=0.0)
+    third = {r.utt_id: r.wer for r in both.scores.where("system = 'third'").collect()}
+    assert third == {"c/u1": 0.0, "c/u3": 0.0, "d/u1": 1.0}
     (tmp_path / "lab/u2.lab").unlink()
     with pytest.raises(Exception, match="no partner for u2"):
         evaluate_folder(spark, str(tmp_path / "wav"), str(tmp_path / "lab"), MODELS, pause_s=0.0)

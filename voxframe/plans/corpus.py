@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.functions.paths import with_suffix
 from voxframe.functions.text import clean_profile
 from voxframe.operators.inference import Predictor
 from voxframe.operators.pairing import audit, audit_summary
 from voxframe.plans.folders import run_missing
 from voxframe.session import spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, with_roles
-from voxframe.sources.files import scan_audio, scan_texts
+from voxframe.sources.files import scan_audio
 from voxframe.sources.sinks import fan_out, progress, write_missing
 
 
@@ -78,6 +79,10 @@ def prepare_corpus(
 
 
 def audit_folders(spark: SparkSession, audio: str, texts: str) -> tuple[DataFrame, DataFrame]:
-    """Counts, and the keys that miss, of a folder of audio and the folder of its transcripts."""
-    have, made = scan_audio(spark, audio).select("utt_id"), scan_texts(spark, texts).select("utt_id")
+    """Counts, and the keys that miss, of a folder of audio and the folder of its transcripts.
+
+    The key is the path below the folder without suffix, so files of one name in two folders are two.
+    """
+    name = with_suffix(F.col("rel_path"), "").alias("utt_id")
+    have, made = scan_audio(spark, audio).select(name), scan_audio(spark, texts, ("txt",)).select(name)
     return audit_summary(have, made), audit(have, made)

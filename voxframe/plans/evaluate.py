@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.functions.paths import parent, with_suffix
 from voxframe.functions.text import buckwalter_to_arabic
 from voxframe.operators.inference import Predictor
 from voxframe.operators.ordering import first_n
@@ -15,7 +16,16 @@ from voxframe.operators.pairing import pair_inner, pair_left, pair_strict
 from voxframe.operators.scores import coverage, raw_wer, score_systems, system_summary
 from voxframe.plans.annotate import annotate
 from voxframe.session import cut_lineage
-from voxframe.sources.files import first_audio, scan_audio, scan_labels, scan_texts, scan_utterance_lines
+from voxframe.sources.files import (
+    audio_options,
+    audio_rows,
+    first_audio,
+    open_files,
+    scan_audio,
+    scan_labels,
+    scan_texts,
+    scan_utterance_lines,
+)
 from voxframe.sources.sinks import write_report
 
 
@@ -125,13 +135,23 @@ def evaluate_chapters(
     compat: bool = False,
     **options,
 ) -> Report:
-    """Annotate the flac files of chapter folders that have a line in their chapter, and score them."""
-    lines = scan_utterance_lines(spark, root).select("utt_id", F.col("text").alias("ref"))
-    files = pair_inner(scan_audio(spark, root, ("flac",)), lines.select("utt_id"))
-    wanted = first_audio(spark, root, files, first, "utt_id") if first else files
+    """Annotate the flac files of chapter folders that have a line in their chapter, and score them.
+
+    An utterance is known by its chapter and id, so two chapters may use one id; ``utt_id`` of the report is the path
+    of the file without suffix. ``first`` takes the first by that path.
+    """
+    kept = ["chapter", "utt_id"]
+    lines = scan_utterance_lines(spark, root).select(*kept, F.col("text").alias("ref"))
+    found = spark.read.format("binaryFile").options(**audio_options(("flac",))).load(root)
+    files = audio_rows(found, root, parent(F.col("_metadata.file_path")).alias("chapter")).drop("content")
+    named = files.join(lines, kept).withColumn("name", with_suffix(F.col("rel_path"), ""))
+    # narrow rows; the bytes of the wanted files are read by the tasks that annotate them
+    wanted = cut_lineage(named.select("name", "path", "rel_path", "ref"))
+    chosen = first_n(wanted, first, "name") if first else wanted
+    content = open_files(chosen.select(F.col("name").alias("utt_id"), "path", "rel_path")).drop("path")
     options = {"language": "en", "compat": compat, **options}
-    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, **options))
-    return evaluate_records(records, lines, "en", compat=compat)
+    records = cut_lineage(annotate(content, models, **options))
+    return evaluate_records(records, wanted.select(F.col("name").alias("utt_id"), "ref"), "en", compat=compat)
 
 
 def compare_texts(refs: DataFrame, hyps: DataFrame, key: str = "utt_id", compat: bool = False) -> DataFrame:

@@ -11,19 +11,20 @@ from voxframe.functions.tokens import synthesis_prompt
 from voxframe.operators.inference import FULL, Attempt, Predictor, infer_stage
 from voxframe.operators.ordering import skip_n
 from voxframe.operators.pairing import audit_summary, pair_reporting, skip_done
-from voxframe.sources.files import AUDIO_SUFFIXES, audio_options, audio_rows, load_audio, scan_audio
+from voxframe.session import scratch_path
+from voxframe.sources.files import AUDIO_SUFFIXES, audio_options, audio_rows, open_files, scan_audio
 from voxframe.sources.sinks import read_done, write_texts
 from voxframe.streaming.resume import run_new_files
 
 
-# So many paths may be named one by one.
-FEW_FILES = 10_000
+def errors_of(out: str) -> str:
+    """Where the rows go that a model failed on, beside its output."""
+    return f"{out.rstrip('/')}_errors"
 
 
 def finished(spark: SparkSession, out: str, key_schema: str) -> DataFrame:
-    """Keys whose output was made without error."""
-    done = read_done(spark, out, f"{key_schema}, error string")
-    return done.where("error IS NULL").drop("error")
+    """Keys that have output."""
+    return read_done(spark, out, key_schema)
 
 
 def run_missing(
@@ -37,17 +38,28 @@ def run_missing(
     batch_size: int = 16,
     attempts: Sequence[Attempt] = (FULL,),
     min_interval_s: float = 0.0,
+    label: Sequence[str] = (),
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
+    errors: str = "overwrite",
 ) -> DataFrame:
-    """Run a model on the rows without finished output and append key, results and error.
+    """Run a model on the rows without output; append key, ``label`` columns and results.
 
-    Rows it fails on keep their error and are tried again by the next run. Returns the finished
-    keys.
+    Rows it fails on go with their error to ``errors_of(out)`` and are tried again by the next run, so a run
+    over everything that is left overwrites them, one over new rows only (``errors="append"``) adds to them.
+    ``fetch`` adds inputs that only the rows left need, such as the bytes of their files. Returns the finished keys.
     """
     spark, kinds = df.sparkSession, dict(df.dtypes)
     key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in key)
-    todo = skip_done(df.select(*key, *inputs), finished(spark, out, key_schema), key)
-    made = infer_stage(todo, make_predictor, inputs, out_schema, batch_size, attempts, min_interval_s=min_interval_s)
-    write_texts(made.drop(*inputs, "attempt", "status"), out, by=by)
+    given = df if fetch else df.select(*key, *label, *inputs)
+    todo = skip_done(given, finished(spark, out, key_schema), key)
+    rows = (fetch(todo) if fetch else todo).select(*key, *label, *inputs)
+    made = infer_stage(rows, make_predictor, inputs, out_schema, batch_size, attempts, min_interval_s=min_interval_s)
+    # the model runs once for both tables
+    once = scratch_path(spark, "made")
+    write_texts(made.drop(*inputs, "attempt", "status"), once)
+    results = spark.read.parquet(once)
+    write_texts(results.where("error IS NULL").drop("error"), out, by=by)
+    write_texts(results.where("error IS NOT NULL").select(*key, *label, "error"), errors_of(out), mode=errors)
     return finished(spark, out, key_schema)
 
 
@@ -64,19 +76,24 @@ def process_audio(
 ) -> DataFrame:
     """Run a model over the ``content`` of audio files; returns the audit of inputs and outputs.
 
-    ``skip_first`` leaves out the first files by name. Where few files are left to do, only their
-    bytes are read; a scan of the whole folder reads finished ones too (see ``process_new_audio``).
+    A file is known by its relative path; ``utt_id``, its stem, is a label that files of several folders may share.
+    The folder is listed without bytes, the paths are compared with those of the output, and only files that are left are
+    opened, by the tasks that run the model. ``skip_first`` leaves out the first files by name.
     """
-    files = scan_audio(spark, audio, exts)
-    wanted = skip_n(files, skip_first, ["path"])
-    left = skip_done(wanted.select("utt_id", "path"), finished(spark, out, "utt_id string"))
-    paths = [r.path for r in left.select("path").limit(FEW_FILES + 1).collect()]
-    if len(paths) <= FEW_FILES:
-        wanted = load_audio(spark, paths, audio) if paths else wanted.limit(0)
+    files = scan_audio(spark, audio, exts).select("utt_id", "path", "rel_path")
     done = run_missing(
-        wanted, out, make_predictor, ["content"], out_schema, batch_size=batch_size, min_interval_s=min_interval_s
+        skip_n(files, skip_first, ["path"]),
+        out,
+        make_predictor,
+        ["content"],
+        out_schema,
+        ("rel_path",),
+        batch_size=batch_size,
+        min_interval_s=min_interval_s,
+        label=("utt_id",),
+        fetch=open_files,
     )
-    return audit_summary(files.select("utt_id"), done)
+    return audit_summary(files, done, "rel_path")
 
 
 def process_new_audio(
@@ -92,15 +109,22 @@ def process_new_audio(
 ) -> None:
     """``process_audio`` for the files no earlier run has seen; others are not read.
 
-    A batch scan has to read the bytes of finished files too. Files the model fails on keep their
-    error here, until ``process_audio`` tries them again.
+    Files the model fails on keep their error until ``process_audio`` tries them again.
     """
     run_new_files(
         spark,
         audio,
         "path string, modificationTime timestamp, length long, content binary",
         lambda batch: run_missing(
-            audio_rows(batch, audio), out, make_predictor, ["content"], out_schema, batch_size=batch_size
+            audio_rows(batch, audio),
+            out,
+            make_predictor,
+            ["content"],
+            out_schema,
+            ("rel_path",),
+            batch_size=batch_size,
+            label=("utt_id",),
+            errors="append",
         ),
         checkpoint,
         "binaryFile",

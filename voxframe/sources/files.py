@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions.paths import parent, relative_to, stem
@@ -25,8 +26,8 @@ def audio_options(exts: Sequence[str] = AUDIO_SUFFIXES) -> dict[str, object]:
     return {"recursiveFileLookup": True, "pathGlobFilter": f"*.{{{','.join(exts)}}}"}
 
 
-def audio_rows(files: DataFrame, root: str) -> DataFrame:
-    """Rows of a binary file scan with their keys."""
+def audio_rows(files: DataFrame, root: str, *more: Column) -> DataFrame:
+    """Rows of a binary file scan with their keys, and ``more`` columns of the scan."""
     plain = F.regexp_replace(F.col("path"), r"^file:/*(?=/)", "")
     return files.select(
         stem(F.col("path")).alias("utt_id"),
@@ -35,6 +36,7 @@ def audio_rows(files: DataFrame, root: str) -> DataFrame:
         "length",
         "modificationTime",
         "content",
+        *more,
     )
 
 
@@ -44,6 +46,35 @@ def load_audio(spark: SparkSession, paths: Sequence[str], root: str) -> DataFram
     return audio_rows(spark.read.format("binaryFile").load(plain), root)
 
 
+def open_files(rows: DataFrame, path: str = "path", per_frame: int = 16) -> DataFrame:
+    """``rows`` with the bytes of the file each names as ``content``, opened by the task that holds the row.
+
+    Local paths and those of the file systems that Arrow knows (hdfs, s3, gs) can be opened.
+    """
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        known: dict[str, FileSystem] = {}
+
+        def read(name: str) -> bytes:
+            root, rest = re.match(r"((?!file:)\w[\w+.-]*://[^/]*)?(?:file:/*(?=/))?(.*)", name, re.S).groups()
+            if root not in known:
+                known[root] = FileSystem.from_uri(f"{root}/")[0] if root else LocalFileSystem()
+            where = rest if not root or root.startswith("hdfs") else root.partition("://")[2] + rest
+            with known[root].open_input_stream(where) as stream:
+                return stream.readall()
+
+        for frame in frames:
+            for at in range(0, len(frame), per_frame):
+                part = frame.iloc[at : at + per_frame]
+                yield part.assign(content=[read(p) for p in part[path]])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    # few paths can mean many bytes: they are dealt out before they are opened
+    return rows.hint("rebalance", path).mapInPandas(opened, f"{kinds}, content binary")
+
+
 def scan_audio(spark: SparkSession, path: str, exts: Sequence[str] = AUDIO_SUFFIXES) -> DataFrame:
     """All audio files below a folder: key, path, relative path, length, time and bytes.
 

@@ -21,33 +21,49 @@ def stream_chunk_windows(
     n_ref: str | None = None,
     size: Chunking = Chunking(),
     chunks_per_block: int = 64,
+    forget_after_s: int | None = None,
 ) -> DataFrame:
     """The rows of ``chunk_windows`` from a stream of tokens (integers) in any order.
 
     The state is kept per block of chunks and holds only the tokens its next chunk still needs; a
     token belongs to one block, or to two near their border. So a long sequence neither lives in
-    one task nor grows in memory, and a finished block leaves nothing behind. Chunks of a block
-    come out in order. The row marked ``is_last`` ends a sequence and lets its remainder out.
-    Tokens must arrive once each.
+    one task nor grows in memory. Chunks of a block come out in order. The row marked ``is_last`` ends
+    a sequence and lets its remainder out. Tokens may be delivered again: a position counts once,
+    and a finished block leaves three numbers, by which it knows what comes late. With ``forget_after_s`` a block
+    that gets nothing for so long is forgotten, finished or not, so that a sequence that broke off does not
+    stay for ever; that is for queries that run on, as Spark keeps a query with such a clock awake.
     """
     rows = in_blocks(tokens, key, seq, token, n_ref, size, chunks_per_block, F.col(is_last).alias("_last"))
     kind = dict(rows.dtypes)[key]
     names = [key, "chunk", "n", "ctx_start", "ctx_end", "is_final", "tokens"]
 
+    def keep(state: GroupState) -> None:
+        if forget_after_s:
+            state.setTimeoutDuration(forget_after_s * 1000)
+
     def collect(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         ident, ref_len, block = group
+        if state.hasTimedOut:
+            state.remove()
+            return
         total, chunk, seen, seqs, values = state.get if state.exists else (-1, block * chunks_per_block, 0, [], [])
+        after = (block + 1) * chunks_per_block
+        # every position before it was there when the chunk before was made
+        floor = ref_len + chunk * size.chunk - size.back if chunk > block * chunks_per_block else -1
         held = dict(zip(seqs, values))
         for batch in batches:
-            held.update(zip(batch["_seq"].tolist(), batch["_token"].tolist()))
-            seen += len(batch)
+            if chunk >= after:
+                continue
+            for s, t in zip(batch["_seq"].tolist(), batch["_token"].tolist()):
+                if s >= floor and s not in held:
+                    held[s] = t
+                    seen += 1
             ends = batch.loc[batch["_last"], "_seq"]
             if len(ends):
                 total = int(ends.iloc[0]) + 1
 
-        after = (block + 1) * chunks_per_block
         made = []
         while chunk < after:
             n = ref_len + chunk * size.chunk
@@ -65,12 +81,13 @@ def stream_chunk_windows(
         first = ref_len + block * chunks_per_block * size.chunk
         last = first + (chunks_per_block - 1) * size.chunk + size.ahead
         expected = (min(last, total) if total >= 0 else last) - max(first - size.back, 0)
-        if seen < expected:
-            needed = ref_len + chunk * size.chunk - size.back if chunk < after else last
-            kept = {s: t for s, t in held.items() if s >= needed}
-            state.update((total, chunk, seen, list(kept), list(kept.values())))
-        elif state.exists:
-            state.remove()
+        if seen < expected and chunk < after:
+            needed = ref_len + chunk * size.chunk - size.back
+            held = {s: t for s, t in held.items() if s >= needed}
+        else:
+            chunk, held = after, {}
+        state.update((total, chunk, seen, list(held), list(held.values())))
+        keep(state)
         if made:
             yield pd.DataFrame(made, columns=names)
 
@@ -79,5 +96,5 @@ def stream_chunk_windows(
         f"`{key}` {kind}, chunk long, n long, ctx_start long, ctx_end long, is_final boolean, tokens array<long>",
         "total long, chunk long, seen long, seqs array<long>, held array<long>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if forget_after_s else GroupStateTimeout.NoTimeout,
     )

@@ -11,6 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxframe.operators.sequence import Chunking, cut_frames, frame_pieces, weights
 
+# The state of a block whose samples are out.
+_FINISHED = -1
+
 
 def stream_stitch(
     chunks: DataFrame,
@@ -18,35 +21,53 @@ def stream_stitch(
     samples: str = "samples",
     size: Chunking = Chunking(),
     weight: str = "ramp",
+    forget_after_s: int | None = None,
 ) -> DataFrame:
     """The rows of ``stitch`` from a stream of decoded chunks in any order.
 
+    A chunk that is delivered again counts once: a finished block leaves a mark. With ``forget_after_s``, for
+    queries that run on, a block that gets nothing for so long is forgotten, finished or not.
+
     A block waits for its own chunk and for the tail of the one before; the part of a final chunk
     past its own block comes out at once. The state of a block is the one piece that came first.
     """
     if size.lookforward + size.overlap - 1 > size.chunk or 2 * size.overlap > size.chunk:
         raise ValueError("a frame may reach into the next block only")
     frames = cut_frames(chunks, samples, size)
-    pieces = frame_pieces(frames, key, size.stride, keep=("chunk", "is_final")).select(
+    parts = frame_pieces(frames, key, size.stride, keep=("chunk", "is_final")).select(
         key, "block", "chunk", "is_final", "end", "piece.*"
     )
-    kind = dict(pieces.dtypes)[key]
+    kind = dict(parts.dtypes)[key]
     fields = ["chunk", "is_final", "end", "at", "len", "low", "x"]
 
+    def keep(state: GroupState) -> None:
+        if forget_after_s:
+            state.setTimeoutDuration(forget_after_s * 1000)
+
     def collect(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ident, block = group
-        held = [tuple(state.get)] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pieces = {state.get[0]: tuple(state.get)} if state.exists else {}
+        finished = _FINISHED in pieces
         for batch in batches:
-            held.extend(batch[fields].itertuples(index=False, name=None))
+            for piece in batch[fields].itertuples(index=False, name=None):
+                pieces.setdefault(piece[0], piece)
+        if finished:
+            keep(state)
+            return
+        held = list(pieces.values())
         own = [p for p in held if p[0] == block]
         before = [p for p in held if p[0] < block]
         ended = any(p[1] for p in before)
         if not ended and not (own and (before or block == 0 or not size.overlap)):
             chunk, final, end, at, length, low, x = held[0]
             state.update((int(chunk), bool(final), int(end), int(at), int(length), int(low), [float(v) for v in x]))
+            keep(state)
             return
-        if state.exists:
-            state.remove()
+        state.update((_FINISHED, True, 0, 0, 0, 0, []))
+        keep(state)
         start, end = block * size.stride, max(p[2] for p in held)
         total, weight_sum = np.zeros(end - start), np.zeros(end - start)
         for _, _, _, at, length, low, x in sorted(held, key=lambda p: p[3]):
@@ -55,11 +76,11 @@ def stream_stitch(
             weight_sum[low - start : low - start + len(x)] += w
         yield pd.DataFrame({key: [ident], "block": [block], "samples": [(total / weight_sum).tolist()]})
 
-    return pieces.groupBy(key, "block").applyInPandasWithState(
+    return parts.groupBy(key, "block").applyInPandasWithState(
         collect,
         f"`{key}` {kind}, block long, samples array<double>",
         "chunk long, is_final boolean, end long, at long, len long, low long, x array<double>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if forget_after_s else GroupStateTimeout.NoTimeout,
     )
 

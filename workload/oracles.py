@@ -383,6 +383,13 @@ SELECT doc_id, CASE WHEN length(text) <= 2000 THEN len({words('text')}) ELSE -1
 ORACLES["folder_run"] = """
 SELECT n AS n_bytes, NULL::VARCHAR AS error, count(*) AS n_files FROM (SELECT strlen(text) + 1 AS n FROM benchmark) GROUP BY n
 UNION ALL SELECT NULL, 'ValueError: too large', count(*) FROM benchmark WHERE strlen(text) + 1 > 150 HAVING count(*) > 0"""
+ORACLES["folder_collision"] = """
+SELECT 'folder=' || (item_id % 5) AS folder, count(*) AS n_files, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM benchmark GROUP BY ALL
+UNION ALL SELECT 'missing', 0, 0"""
+ORACLES["gaps_of_labels"] = """
+SELECT coalesce(l.doc_id, d.doc_id) AS utt_id, CASE WHEN d.doc_id IS NULL THEN 'output' ELSE 'input' END AS missing_in
+FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE length(text) > 1000) d ON l.doc_id = d.doc_id
+WHERE l.doc_id IS NULL OR d.doc_id IS NULL"""
 ORACLES["prepare_corpus"] = """
 SELECT lang AS split, count(*) AS n_done, max(doc_id) AS last_key, count(*) AS n_codes,
   sum(list_sum(list_transform(string_split(source, ''), lambda ch: ascii(ch) % 32)))::BIGINT AS sum_codes,

@@ -34,7 +34,7 @@ from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
 from voxframe.plans.corpus import clean_transcripts, prepare_table
 from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_records, evaluate_transliterated
-from voxframe.plans.folders import process_audio
+from voxframe.plans.folders import errors_of, process_audio
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
@@ -431,8 +431,17 @@ def audit_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents in order of id against those that come out of a shuffle by another key, cleaned."""
     docs = documents_by_id(spark, sf)
-    return assert_complete(docs, clean_transcripts(docs, "extreme"))
+    dealt = table(spark, sf, "documents").repartition("source", "lang").select(F.col("doc_id").alias("utt_id"), "text")
+    return assert_complete(docs, clean_transcripts(dealt, "extreme").where(F.col("text").isNotNull()))
+
+
+@query
+def gaps_of_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables that differ: what of the labelled documents has no long text, and the other way round."""
+    long = documents_by_id(spark, sf).where(F.length("text") > 1000).select("utt_id")
+    return audit(labels_by_id(spark, sf).select("utt_id"), long)
 
 
 @query
@@ -944,11 +953,31 @@ def byte_counter(limit: int) -> Callable[[], Callable[[pd.DataFrame], pd.DataFra
 @query
 def folder_run(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of files through a model in two runs; the second does what the first could not."""
-    files, out = scratch_path(spark, "audio"), scratch_path(spark, "made")
+    files, out, kept = (scratch_path(spark, n) for n in ("audio", "made", "failed"))
     table(spark, sf, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(files)
+    process_audio(spark, files, out, byte_counter(150), "n_bytes long", exts=["txt"])
+    # the second run overwrites the errors of the first
+    spark.read.parquet(errors_of(out)).select("error").write.parquet(kept)
+    process_audio(spark, files, out, byte_counter(10**9), "n_bytes long", exts=["txt"])
+    made = spark.read.parquet(out).select("n_bytes", F.lit(None).cast("string").alias("error"))
+    failed = spark.read.parquet(kept).select(F.lit(None).cast("long").alias("n_bytes"), "error")
+    return made.union(failed).groupBy("n_bytes", "error").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def folder_collision(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the same names in several folders, some of which fail at first: none is lost."""
+    files, out = scratch_path(spark, "folders"), scratch_path(spark, "made")
+    rows = table(spark, sf, "benchmark").select((F.col("item_id") % 5).alias("folder"), F.col("text").alias("value"))
+    # one task names its files alike in every folder
+    rows.coalesce(1).write.partitionBy("folder").option("maxRecordsPerFile", 1).text(files)
     for limit in (150, 10**9):
-        process_audio(spark, files, out, byte_counter(limit), "n_bytes long", exts=["txt"])
-    return spark.read.parquet(out).groupBy("n_bytes", "error").agg(F.count(F.lit(1)).alias("n_files"))
+        counts = process_audio(spark, files, out, byte_counter(limit), "n_bytes long", exts=["txt"])
+    made = spark.read.parquet(out).groupBy(P.parent(F.col("rel_path")).alias("folder")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes")
+    )
+    audited = counts.select(F.lit("missing").alias("folder"), F.col("n_missing").alias("n_files"), F.lit(0).cast("long").alias("n_bytes"))
+    return made.union(audited)
 
 
 def corpus_rows(spark: SparkSession, sf: str) -> DataFrame:
