@@ -29,7 +29,7 @@ def folder(spark, tmp_path_factory):
             labels.append((k, 1, int(toxic)))
     items = [(i, words(rng, 30)) for i in range(5)]
     clean = [t for k, t in rows if k >= 200]
-    rows += [(400, clean[0]), (401, clean[1] + " and"), (402, words(rng, 30) + " " + items[2][1] + " " + words(rng, 30))]
+    rows += [(400, clean[0]), (401, clean[1].replace("\n", " ") + " and"), (402, words(rng, 30) + " " + items[2][1] + " " + words(rng, 30))]
     rows += [(403, words(rng, 40) + " blockhead numskull " + words(rng, 10) + " numskull blockhead"), (404, None), (405, ""), (None, words(rng, 20))]
     root = str(tmp_path_factory.mktemp("tables"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
