@@ -84,7 +84,7 @@ def infer_stage(
                 raise ValueError(f"{len(made)} results for {len(batch)} inputs")
             return made[out_names].set_axis(batch.index)
 
-        def isolate(rung: int, batch: pd.DataFrame, rows: dict[int, tuple], errors: dict[int, str]) -> None:
+        def isolate(rung: int, batch: pd.DataFrame, done: list[pd.DataFrame], errors: dict[int, str]) -> None:
             """Results of the rows this attempt can do; a batch that fails is divided down to its culprits."""
             try:
                 made = call(rung, batch)
@@ -94,26 +94,27 @@ def infer_stage(
                     return
                 size = -(-len(batch) // PARTS)
                 for at in range(0, len(batch), size):
-                    isolate(rung, batch.iloc[at : at + size], rows, errors)
+                    isolate(rung, batch.iloc[at : at + size], done, errors)
                 return
-            notes = (ladder[rung].name, "retried" if rung else "ok", None)
-            for at, row in zip(made.index, made.itertuples(index=False, name=None)):
-                rows[at] = (*row, *notes)
+            done.append(made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None))
 
         def solve(batch: pd.DataFrame) -> pd.DataFrame:
-            rows: dict[int, tuple] = {}
+            done: list[pd.DataFrame] = []
             left, errors = batch, {}
             for rung in range(len(ladder)):
                 errors = {}
-                isolate(rung, left, rows, errors)
+                isolate(rung, left, done, errors)
                 if not errors:
                     break
                 left = left.loc[list(errors)]
             if errors and on_error == "raise":
                 raise RuntimeError(next(iter(errors.values())))
-            for at, error in errors.items():
-                rows[at] = (*[fallback.get(n) for n in out_names], None, "default", error)
-            return pd.DataFrame([rows[at] for at in batch.index], columns=added, index=batch.index, dtype=object)
+            if not errors and len(done) == 1:
+                return done[0]
+            # columns of several origins: values stay as they are, none becomes another type
+            blank = [(*[fallback.get(n) for n in out_names], None, "default", e) for e in errors.values()]
+            rest = [pd.DataFrame(blank, columns=added, index=list(errors), dtype=object)] if errors else []
+            return pd.concat([d.astype(object) for d in done] + rest).loc[batch.index]
 
         for frame in frames:
             parts = []
@@ -126,6 +127,8 @@ def infer_stage(
                     made = made.where(made.notna(), None)
                     made.loc[part.index.difference(chosen), "status"] = "skipped"
                 parts.append(made.loc[part.index, added])
+            if len({tuple(p.dtypes) for p in parts}) > 1:
+                parts = [p.astype(object) for p in parts]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=added)
 
     # only the inputs go to Python and only the results come back; the mark keeps the optimizer from
