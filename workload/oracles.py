@@ -155,6 +155,9 @@ SELECT {UTT} AS utt_id, conv_id, role, turn, trim(CASE WHEN turn = 0 THEN lower(
 FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations)
 WHERE (turn % 4 <> 3) AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 7)"""
 ORACLES["utterance_lines"] = f"SELECT '/corpus/' || conv_id AS chapter, utt_id, text FROM ({LINES})"
+ORACLES["chapter_lines"] = f"""
+SELECT 'chapter=' || (conv_id % 7) AS chapter, 'u' || turn || '-' || (conv_id // 7) AS utt_id,
+  regexp_replace(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text FROM conversations"""
 FIRST_LINES = f"(SELECT * FROM ({LINES}) ORDER BY utt_id LIMIT 100)"
 ORACLES["evaluate_first_lines"] = f"{made_scores(generic('text'), FIRST_LINES)} {SUMMARY}"
 
@@ -414,6 +417,7 @@ SELECT w.user_id, chunk, n, ctx_start, ctx_end, is_final, string_agg(token::VARC
 FROM w JOIN t ON t.user_id = w.user_id AND seq >= ctx_start AND seq < ctx_end GROUP BY ALL"""
 ORACLES["chunk_windows_batch"] = CHUNKS
 ORACLES["chunk_stream"] = CHUNKS
+ORACLES["chunk_stream_redelivered"] = CHUNKS
 
 
 def overlapped(weight: str) -> str:

@@ -38,7 +38,7 @@ from voxframe.plans.folders import errors_of, process_audio
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
-from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts
+from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts, scan_utterance_lines
 from voxframe.sources.sinks import add_progress, progress, write_records, write_report, write_texts
 from voxframe.streaming.chunks import stream_chunk_windows
 from voxframe.streaming.stitching import stream_stitch
@@ -891,6 +891,18 @@ def utterance_lines(spark: SparkSession, sf: str) -> DataFrame:
     return utterance_table(spark, sf)
 
 
+@query
+def chapter_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line files in chapter folders that use the same ids, written and read back."""
+    root = scratch_path(spark, "chapters")
+    name = F.concat(F.lit("u"), "turn", F.lit("-"), F.floor(F.col("conv_id") / 7))
+    body = F.concat_ws(" ", name, F.regexp_replace("text", r"[\r\n]", " "))
+    lines = table(spark, sf, "conversations").select((F.col("conv_id") % 7).alias("chapter"), body.alias("value"))
+    lines.coalesce(1).write.partitionBy("chapter").text(root)
+    found = scan_utterance_lines(spark, root, "*.txt")
+    return found.select(F.substring_index("chapter", "/", -1).alias("chapter"), "utt_id", "text")
+
+
 @query
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts as one file each, scanned as whole files."""
@@ -1071,6 +1083,17 @@ def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
     return flat_chunks(stream_to_table(stream_chunk_windows(stream, "user_id", n_ref="n_ref"), out, state))
 
 
+@query
+def chunk_stream_redelivered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chunks from a source that delivers a part of the tokens twice, and some of them after all others."""
+    source, out, state = (scratch_path(spark, n) for n in ("tokens", "chunks", "state"))
+    tokens = with_end_mark(event_tokens(spark, sf), "user_id", "seq")
+    for lot in ("seq % 3 = 0", "seq % 2 = 0", "true", "seq % 5 = 0"):
+        tokens.where(lot).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return flat_chunks(stream_to_table(stream_chunk_windows(stream, "user_id", n_ref="n_ref"), out, state))
+
+
 def vector_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of a label as consecutive frames."""
     vectors = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
