@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import paths as P
 from voxframe.plans.corpus import audit_folders, clean_corpus, prepare_corpus
+from voxframe.plans.folders import errors_of
 from voxframe.plans.evaluate import compare_folders, evaluate_lines, evaluate_transliterated
 from voxframe.plans.sequences import speaker_similarity
 from voxframe.session import scratch_path, shared_dir
@@ -129,9 +130,11 @@ def test_prepare_corpus_twice(spark, dataset):
     for _ in range(2):
         done = prepare_corpus(spark, catalog, root, out, codec)["p/n"]
     assert sorted(tuple(r) for r in done.collect()) == [("train", 2, "b")]
-    codes = sorted((r.id, r.codes, r.error) for r in spark.read.parquet(f"{out}/p/n/codes").collect())
-    # the silent one is tried by both runs
-    assert codes == [("a", [3], None), ("b", [1, 2], None), *[("c", None, "ValueError: silence")] * 2]
+    codes = sorted((r.id, r.codes) for r in spark.read.parquet(f"{out}/p/n/codes").collect())
+    assert codes == [("a", [3]), ("b", [1, 2])]
+    # the silent one is tried by both runs, and its last error is kept
+    failed = spark.read.parquet(errors_of(f"{out}/p/n/codes")).select("id", "error")
+    assert [tuple(r) for r in failed.collect()] == [("c", "ValueError: silence")]
     assert spark.read.parquet(f"{out}/p/n/wavs").count() == spark.read.parquet(f"{out}/p/n/text").count() == 3
 
 
