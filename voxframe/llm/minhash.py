@@ -28,6 +28,8 @@ from voxframe.llm.shingles import mixed, shingle_set
 PERMUTATIONS, ROWS, PERCENT = 64, 4, 75
 #: Members of a bucket up to which pairs across components are taken straight; larger buckets take the other way.
 FEW = 16
+#: Counters by which shingles are ordered from rare to frequent.
+SLOTS = 1 << 20
 _STEP = 4096
 
 
@@ -168,26 +170,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """Links among ``nodes`` (node, n, component) that lie in different components.
 
-    Shingles are ordered by how many of these sets hold them. Two sets at 0.75 share at least ceil(0.75 n) shingles of
+    Shingles are ordered by how many of these sets hold them, as counted in a table of SLOTS hashed counters (any order
+    that all sets share is right; a good one keeps frequent shingles last). Two sets at 0.75 share at least ceil(0.75 n) shingles of
     the larger, so their n - ceil(0.75 n) + 1 rarest ones have one in common. If the first one in common stands at
     place i of a set of n, they share n - i at most, which bounds the size of the other set: its ``reach``. Within the
     sets of a shingle, the one that reaches furthest is compared with the others first, and those larger than that
     reach are out: a frequent passage leaves only texts that hardly hold more than it, and these join one component.
     Pairs across the components that remain, within each other's reach, then follow.
     """
-    spread = nodes.join(sets, "node").select("node", "n", "component", F.explode("shingles").alias("at"))
-    often = spread.groupBy("at").agg(F.count("*").alias("df")).where("df > 1")
-    keep = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    reach = F.floor((F.col("n") - F.col("place")) * (100 + PERCENT) / PERCENT) - F.col("n")
-    rarest = (
-        spread.join(often, "at", "left")
-        .groupBy("node", "n", "component")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "at"))).alias("all"))
-        .select("node", "n", "component", F.posexplode(F.slice("all", F.lit(1), keep.cast("int"))).alias("place", "t"))
-        .where("t.df > 1")
-        .select("node", "n", "component", F.col("t.at").alias("at"), reach.alias("reach"))
-    )
-    rarest = stored(rarest, "rarest")
+    held = nodes.join(sets, "node")
+    slots = held.select(F.explode("shingles").alias("at")).groupBy(F.pmod("at", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("df")).toPandas()
+    often = np.zeros(SLOTS, np.int32)  # 4 MB, whatever the corpus
+    often[slots["slot"].to_numpy()] = np.minimum(slots["df"], 2**31 - 1)
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for node, component, shingles in zip(frame["node"], frame["component"], frame["shingles"]):
+                at = np.asarray(shingles, np.int64)
+                df, n = often[at % SLOTS], len(at)
+                place = np.arange(n + (-PERCENT * n // 100) + 1)  # n - ceil(0.75 n) + 1
+                first = np.lexsort((at, df))[: len(place)]
+                shared = df[first] > 1
+                reach = (n - place) * (100 + PERCENT) // PERCENT - n
+                yield pd.DataFrame({"node": node, "n": n, "component": component, "at": at[first][shared], "reach": reach[shared]})
+
+    kind = dict(nodes.dtypes)["node"]
+    rarest = stored(held.mapInPandas(prefixes, f"node {kind}, n bigint, component {kind}, at bigint, reach bigint"), "rarest")
 
     def still_open(members: DataFrame) -> DataFrame:
         hubs = rarest.groupBy("at").agg(F.min(F.struct(-F.col("reach"), "node", "n")).alias("h"))
