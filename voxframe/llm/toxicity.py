@@ -133,7 +133,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
     if not usable.any() or len(set(labels[usable])) < 2:
         return Model(np.zeros(size, np.float32), float(np.log((base + 1e-6) / (1 - base + 1e-6))), base)
     words = np.concatenate(rows)
-    lengths = np.array([len(r) for r in rows])[usable]
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))[usable]
     labels, weights = labels[usable], weights[usable] / weights[usable].sum()
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     doc_of_word = np.repeat(np.arange(len(lengths)), lengths)
@@ -145,9 +145,11 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
 
     codes, _ = _spelled(list(number))
     word_at = np.cumsum(codes == 0) - 1  # of the place before the word's first letter on
-    found = [(b[v], word_at[: len(b)][v]) for b, v in _buckets(codes)]
-    grams, gram_word = np.concatenate([b for b, _ in found]), np.concatenate([w for _, w in found])
-    grams_in_word = np.bincount(gram_word, minlength=len(number))
+    # per n apart, so that the steps below make small arrays only
+    found = [(b[v].astype(np.int32), word_at[: len(b)][v].astype(np.int32)) for b, v in _buckets(codes)]
+    n_words = len(number)
+    del number, codes, word_at, rows
+    grams_in_word = sum(np.bincount(w, minlength=n_words) for _, w in found)
     in_window = np.maximum(np.bincount(window, grams_in_word[words]), 1)
 
     rng = np.random.default_rng(seed)
@@ -158,7 +160,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
     for epoch in range(1, EPOCHS + 1):
         s = E @ W  # of both classes
         delta = s[:, 1] - s[:, 0]
-        of_word = np.bincount(gram_word, delta[grams], minlength=len(number))
+        of_word = sum(np.bincount(w, delta[g], minlength=n_words) for g, w in found)
         z = np.bincount(window, of_word[words]) / in_window + bias[1] - bias[0]
         top = np.maximum.reduceat(z, first_window)
         share = np.exp(z - top[doc_of_window])
@@ -166,8 +168,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
         odds = np.log(total / n_windows) + top
         wrong = weights * (1 / (1 + np.exp(-odds)) - labels)
         back = wrong[doc_of_window] * share / total[doc_of_window]
-        by_word = np.bincount(words, (back / in_window)[window], minlength=len(number))
-        by_gram = np.bincount(grams, by_word[gram_word], minlength=size)
+        by_word = np.bincount(words, (back / in_window)[window], minlength=n_words)
+        by_gram = sum(np.bincount(g, by_word[w], minlength=size) for g, w in found)
         d = W[:, 1] - W[:, 0]
         dw = by_gram @ E
         grads = (by_gram[:, None] * d + DECAY * E, np.stack([-dw, dw], 1) + DECAY * W, np.array([-back.sum(), back.sum()]))
