@@ -71,3 +71,47 @@ def test_many_detections_repeated_rows_and_empty_table(make):
 def test_no_python_and_no_exchange_in_the_plan(make):
     plan = L.scan_licenses(make([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def sentences(pattern):
+    """Texts that match ``pattern``: each choice of each of its alternatives once, the others as short as they can be and as long."""
+    from re import _parser
+
+    def made(parsed, pick):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += made([pick(arg)], pick)
+            elif name == "BRANCH":
+                out += made(pick(arg[1]), pick)
+            elif name == "SUBPATTERN":
+                out += made(arg[3], pick)
+            else:
+                assert name == "MAX_REPEAT" and arg[:2] == (0, 1)
+                out += made(pick([[], arg[2]]), pick)
+        return out
+
+    parsed = _parser.parse(pattern)
+    most = 80
+    return {made(parsed, lambda of, k=k, d=d: of[(k if len(of) > 2 else d) % len(of)]) for k in range(most) for d in (0, 1)}
+
+
+def test_gate_lets_a_sentence_per_alternative_of_every_rule_through():
+    import re
+
+    verbs = set()
+    for pattern, _, _, keyword in L.rules():
+        for norm in sentences(pattern):
+            assert re.search(pattern, norm)
+            verbs |= set(norm.split()) & {"licensed", "released", "distributed", "available", "published"}
+            for text in (norm, norm.replace("  ", "\n"), norm.upper().replace("  ", " (_* ")):
+                assert keyword not in norm or re.search(L.GATE, text), text
+    assert len(verbs) == 5
+
+
+def test_texts_that_hold_no_other_word_of_the_gate(make):
+    texts = ["Code released under the GPL v3.", "Available under MIT", "PUBLISHED\n* under: the Apache", "It was released -- under some conditions", "It is available, under the bed"]
+    assert [r[5:] for r in scan(make, texts)] == [("gpl-3.0", 1.0), ("mit", 0.8), ("apache", 0.8), ("unspecified", 0.4), ("", 0.0)]

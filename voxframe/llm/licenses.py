@@ -89,12 +89,14 @@ SINGLE: list[tuple[str, str, int, str]] = [
     ("unspecified", "(?:see|read) the licen[cs]e(?: file)?", 3, "licen"),
 ]
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: A text that matches none of the keywords is not looked at further. Each rule's keyword contains one of these.
-GATE = "(?i)licen|spdx|granted|distribut|warranty|unencumbered|domain|copyright|reserved|proprietary"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
+#: The same words before lower-casing, and what stands between them.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A text that matches none of these is not looked at further, as no rule can match it: each rule's keyword contains one
+#: of the words, or is "under" after a verb that contains one or is named here.
+GATE = f"(?i)licen|spdx|granted|distribut|warranty|unencumbered|domain|copyright|reserved|proprietary|(?:released|available|published){BETWEEN}under"
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.4}
 
 
