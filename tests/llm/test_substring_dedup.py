@@ -101,3 +101,36 @@ def test_nulls_empty_repeats_and_rows_without_id(make):
 
 def test_empty_table(make):
     assert S.spans_by_document(make([])).count() == 0 and S.dedup_substrings(make([])).count() == 0
+
+
+def test_repeated_passage_at_two_offsets_without_spaces(make):
+    rng = random.Random(5)
+
+    def han(n):
+        return "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+
+    def code(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(n))
+
+    rows, passages = [], {}
+    for k, (some, n) in enumerate([(han, 250), (han, 2000), (code, 700), (code, 6000)]):
+        passage = passages[k] = some(n)
+        rows += [(2 * k, some(701) + passage + some(900)), (2 * k + 1, some(1400) + passage + some(333))]
+    rows += [(8, "short words " + passages[0] + " and more words")]
+    got = {r.doc_id: r.removed_bytes for r in S.spans_by_document(make(rows)).collect()}
+    assert set(got) == {1, 3, 5, 7, 8}
+    for key, k in ((1, 0), (3, 1), (5, 2), (7, 3), (8, 0)):
+        size = len(passages[k].encode())
+        assert size - 400 <= got[key] <= size
+    texts = dict(rows)
+    for key, cut in rows_of(S.dedup_substrings(make(rows)), "doc_id", "text"):
+        assert len(texts[key].encode()) - len(cut.encode()) == got.get(key, 0)
+
+
+def test_ends_without_spaces_are_character_ends_and_come_back_after_an_insertion():
+    rng = random.Random(6)
+    text = "".join(rng.choice("語日本é😀a") for _ in range(4000))
+    a, b = (x.encode() for x in (text, text[:50] + "字" + text[50:]))
+    chunks = [[d[i:j] for i, j in zip([0, *e], e)] for d, e in ((x, S.chunk_ends(x).tolist()) for x in (a, b))]
+    assert all(c.decode() for own in chunks for c in own) and max(map(len, chunks[0])) <= S.LARGEST
+    assert len(set(chunks[0]) - set(chunks[1])) <= 4 and b"".join(chunks[1]) == b

@@ -3,7 +3,9 @@
 A gear hash rolls over the UTF-8 bytes of a text (each step shifts it left and adds a random number for the byte; here
 its last 32 bytes are summed by doubling). A chunk ends after a white-space byte whose mixed hash is the largest of all
 white-space bytes within REACH on either side, so a boundary hangs on the bytes around it alone: after an insertion the
-very next boundaries fall as before. Chunks are told apart by digest and length; the first of equal chunks stays, and
+very next boundaries fall as before. Inside stretches of STRETCH bytes or more without ASCII white space (Chinese or
+Japanese, encoded data) every character may end a chunk in the same way; only runs that repeat within REACH bytes, where
+no hash is the largest, are cut into blocks of LARGEST. Chunks are told apart by digest and length; the first of equal chunks stays, and
 later copies go where consecutive ones add up to MIN_BYTES or more, so that single chance repeats are left alone.
 """
 
@@ -23,6 +25,8 @@ from voxframe.llm.shingles import mixed
 
 REACH, WINDOW, LARGEST = 24, 32, 1024
 MIN_BYTES = 96
+#: From so many bytes on without white space the ends of characters are looked at.
+STRETCH = 96
 GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -37,22 +41,40 @@ def rolled(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes) -> np.ndarray:
-    """Where the chunks of a text end, in bytes; the last end is that of the text."""
-    if not data:
-        return np.empty(0, np.int64)
-    b = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero(_SPACE[b])
-    value = mixed(rolled(b)[at])
+def _largest(at: np.ndarray, value: np.ndarray, first: bool) -> np.ndarray:
+    """Of the places ``at``, those whose value is the largest within REACH; of equal ones the ``first``, or none."""
     top = np.ones(len(at), bool)
     for k in range(1, len(at)):
         near = at[k:] - at[:-k] <= REACH
         if not near.any():
             break
-        # of equal values the first one counts
-        top[:-k] &= ~near | (value[:-k] >= value[k:])
+        top[:-k] &= ~near | (value[:-k] > value[k:]) | (first & (value[:-k] == value[k:]))
         top[k:] &= ~near | (value[k:] > value[:-k])
-    ends = at[top] + 1
+    return at[top]
+
+
+def _without_space(b: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The last bytes of characters in long stretches, where a whole window of the hash lies in the stretch."""
+    edges = np.concatenate([[-1], space, [len(b)]])
+    long = np.flatnonzero(np.diff(edges) > STRETCH)
+    if not len(long):
+        return np.empty(0, np.int64)
+    at = np.concatenate([np.arange(edges[i] + WINDOW, edges[i + 1] - 1) for i in long])
+    return at[b[at + 1] & 0xC0 != 0x80]
+
+
+def chunk_ends(data: bytes) -> np.ndarray:
+    """Where the chunks of a text end, in bytes; the last end is that of the text."""
+    if not data:
+        return np.empty(0, np.int64)
+    b = np.frombuffer(data, np.uint8)
+    space = np.flatnonzero(_SPACE[b])
+    inside = _without_space(b, space)
+    hashes = rolled(b)
+    tops = _largest(space, mixed(hashes[space]), True)
+    if len(inside):
+        tops = np.sort(np.concatenate([tops, _largest(inside, mixed(hashes[inside]), False)]))
+    ends = tops + 1
     ends = ends[ends < len(b)]
     ends = np.append(ends, len(b))
     begins = np.concatenate([[0], ends[:-1]])
