@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, quality, sentencepiece, substring_dedup, token_files, toxicity
-from voxframe.llm.common import table
+from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, quality, runs, sentencepiece, substring_dedup, token_files, toxicity
+from voxframe.llm.common import let, table
 from voxframe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,36 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.spans_by_document(table(spark, sf, "documents")).drop("form")
+
+
+def with_planted_period(docs: DataFrame) -> Column:
+    """The text of every tenth document by hash, from some word on, as repeats of a few of its words; others as they are."""
+    spoken = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        at = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), " ")).otherwise("")
+
+    return F.when(h % 10 == 0, let(spoken, repeated)).otherwise(F.col("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = runs.find_runs(docs, with_planted_period(docs)).withColumn("best", runs.greatest_run(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat(listed, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
