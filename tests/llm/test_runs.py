@@ -79,9 +79,9 @@ def test_long_texts_alone_and_in_lots(make):
     long[1000:61000] = long[1000:7000] * 10
     docs = make([(1, " ".join(long)), (2, "x " * 30_000), (3, " ".join(long[:30_000])), (4, "a b c")])
     got = {r.doc_id: r for r in R.find_runs(docs).collect()}
-    assert (1000, 60000, 6000) in [tuple(x) for x in got[1].runs]
+    assert any(s <= 1000 and s + n >= 61_000 and p == 6000 for s, n, p in got[1].runs)
     assert [tuple(x) for x in got[2].runs] == [(0, 30_000, 1)] and got[2].collapsed == "x"
-    assert (1000, 29000, 6000) in [tuple(x) for x in got[3].runs]
+    assert any(s <= 1000 and s + n == 30_000 and p == 6000 for s, n, p in got[3].runs)
     assert got[4].collapsed == "a b c"
 
 
