@@ -120,3 +120,73 @@ kept AS (SELECT tok.doc_id, string_agg(word, ' ' ORDER BY tok.i) AS text FROM to
 SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
        (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE nth = 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _drawn(name: str, classes: str, goals: str) -> str:
+    """CTEs of one draw: ``name``_decided (source, class, whole, chance), ``name``_more (doc_id), ``name``_spent (source, spent)."""
+    return f"""
+{name}_e AS ({_rates(classes, goals)}),
+{name}_decided AS (SELECT source, class, words, goal, floor(copies)::BIGINT AS whole, copies - floor(copies) AS chance FROM {name}_e),
+{name}_budget AS (SELECT source, sum(whole * words)::BIGINT AS certain, round(any_value(goal))::BIGINT - sum(whole * words)::BIGINT AS budget FROM {name}_decided GROUP BY source),
+{name}_ranked AS (
+  SELECT u.*, budget, sum(size) OVER (PARTITION BY u.source ORDER BY odds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
+  FROM (SELECT r.*, (luck / (1 - luck)) / (chance / (1 - chance)) AS odds FROM r JOIN {name}_decided c ON r.source IS NOT DISTINCT FROM c.source AND r.class = c.class WHERE chance > 0) u
+  JOIN {name}_budget b ON u.source IS NOT DISTINCT FROM b.source),
+{name}_more AS (SELECT doc_id FROM {name}_ranked WHERE upto <= budget),
+{name}_spent AS (
+  SELECT b.source, any_value(certain) + coalesce(sum(size), 0)::BIGINT AS spent
+  FROM {name}_budget b LEFT JOIN (SELECT source, size FROM {name}_ranked SEMI JOIN {name}_more USING (doc_id)) m ON b.source IS NOT DISTINCT FROM m.source GROUP BY b.source)"""
+
+
+def _rates(classes: str, goals: str) -> str:
+    """Expected copies of each class, so that the words of a source are its goal."""
+    return f"""
+  WITH summed AS (
+    SELECT c.source, c.class, c.words, goal, sqrt(sqrt((1::BIGINT << c.class)::DOUBLE)) AS liking, sum(words) OVER (PARTITION BY c.source)::BIGINT AS words_all,
+           sum(words) OVER shorter::BIGINT AS upto, sum(sqrt(sqrt((1::BIGINT << c.class)::DOUBLE)) * words) OVER shorter AS liked
+    FROM {classes} c JOIN {goals} t ON c.source IS NOT DISTINCT FROM t.source
+    WINDOW shorter AS (PARTITION BY c.source ORDER BY c.class ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  rated AS (SELECT *, (goal - 3 * (words_all - upto)) / liked AS rate FROM summed),
+  lowest AS (SELECT source, max(class) AS top, max_by(rate, class) AS rate FROM rated WHERE rate * liking < 3 GROUP BY source)
+  SELECT a.source, a.class, a.words, a.goal, CASE WHEN top IS NULL OR a.class > top THEN 3::DOUBLE ELSE l.rate * liking END AS copies
+  FROM rated a LEFT JOIN lowest l ON a.source IS NOT DISTINCT FROM l.source"""
+
+
+ORACLES["op11_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('mix ' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS luck FROM documents),
+r AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class FROM d),
+named AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM r GROUP BY source),
+ordered AS (
+  SELECT *, 3 * source_size AS most, sum(source_size) OVER ()::BIGINT AS words, sum(weight) OVER ()::BIGINT AS weighs,
+         coalesce(sum(3 * source_size) OVER lower_limits, 0)::BIGINT AS most_before, coalesce(sum(weight) OVER lower_limits, 0)::BIGINT AS weight_before
+  FROM named WINDOW lower_limits AS (ORDER BY 3 * source_size / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+limited AS (SELECT *, most::DOUBLE * (weighs - weight_before) <= weight::DOUBLE * (words - most_before) AS is_full FROM ordered),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN most::DOUBLE
+              ELSE ((words - coalesce(sum(most) FILTER (is_full) OVER (), 0)::BIGINT) * weight)::DOUBLE / (weighs - coalesce(sum(weight) FILTER (is_full) OVER (), 0)::BIGINT) END AS target
+  FROM limited),
+aims AS (SELECT source, target AS goal FROM targets),
+classes AS (SELECT source, class, sum(size)::BIGINT AS words FROM r WHERE class > 0 GROUP BY source, class),
+split AS (SELECT *, (1::BIGINT << class) * 16 > goal AS is_large FROM ({_rates("classes", "aims")})),
+large AS (SELECT * EXCLUDE (goal) FROM split WHERE is_large),
+small AS (SELECT * EXCLUDE (goal) FROM split WHERE NOT is_large),
+of_large AS (SELECT source, sum(copies * words) AS goal FROM split WHERE is_large GROUP BY source),
+{_drawn("one", "large", "of_large")},
+of_small AS (SELECT a.source, greatest(goal - coalesce(spent, 0), 0::DOUBLE) AS goal FROM aims a LEFT JOIN one_spent s ON a.source IS NOT DISTINCT FROM s.source),
+{_drawn("two", "small", "of_small")},
+whole AS (SELECT source, class, whole FROM one_decided UNION ALL SELECT source, class, whole FROM two_decided),
+more AS (SELECT doc_id FROM one_more UNION SELECT doc_id FROM two_more),
+drawn AS (
+  SELECT r.*, coalesce(whole, 0) + (more.doc_id IS NOT NULL)::BIGINT AS copies
+  FROM r LEFT JOIN whole ON r.source IS NOT DISTINCT FROM whole.source AND r.class = whole.class LEFT JOIN more ON r.doc_id = more.doc_id),
+gaps AS (
+  SELECT t.source, round(any_value(target))::BIGINT - sum(copies * size)::BIGINT AS gap
+  FROM targets t JOIN drawn d ON t.source IS NOT DISTINCT FROM d.source GROUP BY t.source),
+closing AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY d.source ORDER BY abs(gap - size), luck) AS nth
+  FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source WHERE copies < 3 AND size > 0 AND size < 2 * gap)
+SELECT r.doc_id, r.size, source_size, target, r.size * (copies + (c.doc_id IS NOT NULL)::BIGINT) AS taken, copies + (c.doc_id IS NOT NULL)::BIGINT AS copies
+FROM drawn r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN (SELECT doc_id FROM closing WHERE nth = 1) c ON r.doc_id = c.doc_id"""

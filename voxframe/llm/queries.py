@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, quality, runs, sentencepiece, substring_dedup, token_files, toxicity
-from voxframe.llm.common import let, table
+from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, mixing, quality, runs, sentencepiece, substring_dedup, token_files, toxicity
+from voxframe.llm.common import let, stored, table
 from voxframe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,13 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.spans_by_document(table(spark, sf, "documents")).drop("form")
 
 
+@query
+def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    measured = mixing.measure(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text")
+    # sizes and numbers, not texts, are read again
+    return mixing.mix(stored(measured, "measured")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def with_planted_period(docs: DataFrame) -> Column:
     """The text of every tenth document by hash, from some word on, as repeats of a few of its words; others as they are."""
     spoken = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")
