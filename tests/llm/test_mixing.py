@@ -47,8 +47,9 @@ def test_targets_are_met(make, seed):
         taken[r.source] += r.taken
     assert len(got) == len(rows)
     for s, words in want.items():
-        least = min(len(t.split()) for _, t, x in rows if x == s)
-        assert abs(taken[s] - words) <= max(least, 0.02 * words)
+        largest = max(len(t.split()) for _, t, x in rows if x == s)
+        # a source of which one document holds most words can only be met as its size allows
+        assert abs(taken[s] - words) <= (0.01 * words + 1 if largest < 0.25 * sizes[s] else largest / 2)
 
 
 def test_result_depends_on_rows_alone(make, spark):

@@ -157,8 +157,8 @@ def _draw(narrow: DataFrame, classes: DataFrame, goals: DataFrame, epochs: int)
 def mix(measured: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """``measured`` (doc_id, source, size, luck, any others) with ``source_size``, ``target``, ``copies`` and ``taken``.
 
-    ``taken`` is copies times size: the words of the document in the mix. A source's taken words differ from its target by less
-    than the size of a document that would have fitted. Sources are told apart by name; null is one of its own. Documents without words
+    ``taken`` is copies times size: the words of the document in the mix. The words a source falls short of its target by
+    after the draws are met as nearly as one document more can. Sources are told apart by name; null is one of its own. Documents without words
     have no copies. Rows that share luck and length class in a source (those that repeat a doc_id and a text) are taken
     together, each as often. The result depends on the rows alone, not on their order or partitioning. The new columns
     replace any of that name; others come through. An empty table gives an empty result.
