@@ -190,3 +190,18 @@ closing AS (
   FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source WHERE copies < 3 AND size > 0 AND size < 2 * gap)
 SELECT r.doc_id, r.size, source_size, target, r.size * (copies + (c.doc_id IS NOT NULL)::BIGINT) AS taken, copies + (c.doc_id IS NOT NULL)::BIGINT AS copies
 FROM drawn r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN (SELECT doc_id FROM closing WHERE nth = 1) c ON r.doc_id = c.doc_id"""
+
+ORACLES["op12_ranked_search"] = rf"""
+WITH doc AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+item AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM item GROUP BY ALL),
+length AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM length),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM doc WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, n_docs),
+sized AS (SELECT doc_id, 100 - 75 + (75 * n * n_docs) // n_terms AS m FROM length, whole),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM tf JOIN asked USING (term) JOIN df USING (term) JOIN sized USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, mixing, quality, runs, sentencepiece, substring_dedup, token_files, toxicity
+from voxframe.llm import decontaminate, edit_fingerprints, licenses, line_dedup, minhash, mixing, quality, ranked_search, runs, sentencepiece, substring_dedup, token_files, toxicity
 from voxframe.llm.common import let, stored, table
 from voxframe.session import scratch_path
 
@@ -114,6 +114,11 @@ def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(stored(measured, "measured")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def with_planted_period(docs: DataFrame) -> Column:
     """The text of every tenth document by hash, from some word on, as repeats of a few of its words; others as they are."""
     spoken = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")
