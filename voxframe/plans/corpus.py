@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.paths import with_suffix
 from voxframe.functions.text import clean_profile
-from voxframe.operators.inference import Predictor
+from voxframe.operators.inference import Predictor, infer_stage
 from voxframe.operators.pairing import audit, audit_summary
-from voxframe.plans.folders import run_missing
+from voxframe.plans.folders import errors_of
 from voxframe.session import spread
+from voxframe.sources.addresses import missing
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, with_roles
+from voxframe.sources.commits import LOG, append_run, read_output, total_progress, write_together
 from voxframe.sources.files import scan_audio
-from voxframe.sources.sinks import fan_out, progress, write_missing
+from voxframe.sources.sinks import progress, read_done, write_missing, write_texts
 
 
 def clean_transcripts(df: DataFrame, profile: str, text: str = "text") -> DataFrame:
@@ -41,32 +43,68 @@ def datasets(spark: SparkSession, catalog: str, root: str) -> list[tuple[str, Da
 def clean_corpus(
     spark: SparkSession, catalog: str, root: str, out: str, profile: str = "capitalize_remove_punctuation"
 ) -> None:
-    """Clean texts of all active datasets, by split; rows cleaned before are left alone."""
+    """Clean texts of all active datasets, by split; rows cleaned before are left alone, where they lie."""
     for folder, df in datasets(spark, catalog, root):
-        cleaned = clean_transcripts(df.select("split", "id", "text"), profile)
-        kinds = dict(cleaned.dtypes)
+        texts = df.select("split", "id", "text")
+        kinds = dict(texts.dtypes)
         write_missing(
-            cleaned, f"{out}/{folder}/clean_text", ["split", "id"], f"split {kinds['split']}, id {kinds['id']}", "split"
+            texts,
+            f"{out}/{folder}/clean_text",
+            ["split", "id"],
+            f"split {kinds['split']}, id {kinds['id']}",
+            "split",
+            lambda rows: rows.withColumn("text", clean_profile(F.col("text"), profile)),
         )
 
 
 def prepare_table(
-    df: DataFrame, out: str, make_codec: Callable[[], Predictor], batch_size: int = 8
+    df: DataFrame,
+    out: str,
+    make_codec: Callable[[], Predictor],
+    batch_size: int = 8,
+    before: Callable[[str], None] | None = None,
 ) -> DataFrame:
-    """Write text, audio and codes of a dataset, each only where missing; returns the progress.
+    """Write text, audio and codes of a dataset, each only where missing; returns the progress of all runs.
 
-    ``make_codec`` builds a predictor from ``audio`` to ``codes array<int>``; rows it fails on keep
-    their error and are tried again by the next run. Progress counts rows with codes.
+    ``df`` is a scan of Parquet files. ``make_codec`` builds a predictor from ``audio`` to ``codes array<int>``; rows it
+    fails on keep their error and are tried again by the next run. Progress counts rows with codes. What is missing is
+    decided on keys and addresses; the codec's results are first written beside the audio they come from, so ``audio``
+    is read once. The outputs of a run count together when all have ended (``read_output`` reads those). Of an id
+    that repeats in a split the first row counts. ``before`` hears the name of each output as its turn comes.
     """
-    kinds = dict(df.dtypes)
-    schema = f"split {kinds['split']}, id {kinds['id']}"
-    outputs = {
-        "wavs": lambda fresh: fresh.select("split", "id", "audio"),
-        "text": lambda fresh: fresh.select("split", "id", "text"),
-    }
-    fan_out(df, outputs, out, ["split", "id"], schema, "split")
-    done = run_missing(df, f"{out}/codes", make_codec, ["audio"], "codes array<int>", ("split", "id"), "split", batch_size)
-    return progress(done)
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    keys, error = ["split", "id"], "error string"
+    key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    done = {name: read_output(spark, out, name, key_schema) for name in ("text", "codes")}
+    left = missing(df, keys, done)
+    fresh, again = left.of("text"), left.of("codes", having=["text"])
+
+    def encoded(rows: DataFrame) -> DataFrame:
+        return infer_stage(rows, make_codec, ["audio"], "codes array<int>", batch_size).drop("attempt", "status")
+
+    def wavs(run: str) -> None:
+        for part in fresh.parts("split", "id", "audio"):
+            append_run(encoded(part), out, "wavs", run, "split")
+
+    def codes(run: str) -> None:
+        repeated = f"{out}/{LOG}/again"
+        for part in again.parts("split", "id", "audio"):
+            append_run(encoded(part).drop("audio"), repeated, "codes", run)
+        columns = f"{key_schema}, codes array<int>, {error}, run string"
+        made = [read_done(spark, path, columns).where(F.col("run") == run).drop("run") for path in (f"{out}/wavs", f"{repeated}/codes")]
+        results = made[0].unionByName(made[1])
+        append_run(results.where("error IS NULL").drop("error"), out, "codes", run, "split")
+        write_texts(results.where("error IS NOT NULL").select(*keys, "error"), errors_of(f"{out}/codes"), mode="overwrite")
+
+    def texts(run: str) -> None:
+        for part in fresh.parts("split", "id", "text"):
+            append_run(part, out, "text", run, "split")
+
+    def added(run: str) -> DataFrame:
+        return progress(read_done(spark, f"{out}/codes", f"{key_schema}, run string").where(F.col("run") == run))
+
+    write_together(spark, out, {"wavs": wavs, "codes": codes, "text": texts}, added, before)
+    return total_progress(spark, out, "split", "id", kinds)
 
 
 def prepare_corpus(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from voxframe.functions.paths import parent, with_suffix
 from voxframe.operators.pairing import skip_done
+from voxframe.sources.addresses import has_addresses, missing
 
 
 def gather(df: DataFrame, by: str) -> DataFrame:
@@ -52,25 +53,28 @@ def read_done(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_missing(df: DataFrame, path: str, key: str | list[str], key_schema: str, by: str | None = None) -> None:
-    """Append the rows whose key the output does not hold yet."""
-    fresh = skip_done(df, read_done(df.sparkSession, path, key_schema), key)
-    write_texts(fresh, path, by=by)
-
-
-def fan_out(
+def write_missing(
     df: DataFrame,
-    outputs: Mapping[str, Callable[[DataFrame], DataFrame]],
     path: str,
     key: str | list[str],
     key_schema: str,
     by: str | None = None,
+    transform: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Write several outputs of one table, each working only on the rows it does not hold yet."""
-    for name, make in outputs.items():
-        out = f"{path.rstrip('/')}/{name}"
-        fresh = skip_done(df, read_done(df.sparkSession, out, key_schema), key)
-        write_texts(make(fresh), out, by=by)
+    """Append the rows whose key the output does not hold yet, transformed; of a key that repeats the first.
+
+    Where ``df`` is a scan of Parquet files, keys and addresses are compared and only missing rows are read, in place. Other
+    tables are compared by key, which moves their rows. ``transform`` leaves keys as they are.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    done = read_done(df.sparkSession, path, key_schema)
+    change = transform or (lambda rows: rows)
+    if has_addresses(df):
+        for part in missing(df, keys, {"output": done}).parts(*df.columns):
+            writer = change(part).write.mode("append")
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        return
+    write_texts(change(skip_done(df, done, keys).dropDuplicates(keys)), path, by=by)
 
 
 def progress(df: DataFrame, split: str = "split", key: str = "id") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.sources.addresses import FILE
 from voxframe.sources.sinks import write_missing
 
 
@@ -18,8 +19,9 @@ def run_new_files(
     checkpoint: str,
     fmt: str = "parquet",
     options: Mapping[str, object] | None = None,
+    columns: Sequence[str] = ("*",),
 ) -> None:
-    """Hand the files of ``source`` that no earlier run has seen to ``work``, then stop.
+    """Hand the ``columns`` of the files of ``source`` that no earlier run has seen to ``work``, then stop.
 
     The checkpoint remembers finished files, so nothing else is read. A batch is handed over again
     after a failure: ``work`` must bear that.
@@ -29,6 +31,7 @@ def run_new_files(
         .schema(schema)
         .options(**(options or {}))
         .load(source)
+        .select(*columns)
         .writeStream.foreachBatch(lambda batch, _: work(batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -49,16 +52,19 @@ def resume_run(
     files_per_batch: int | None = None,
     by: str | None = None,
 ) -> None:
-    """Transform the rows of new files into ``out``; rows whose key it holds are left alone."""
+    """Transform the rows of new Parquet files into ``out``; rows whose key it holds are left alone.
+
+    The stream carries the names of new files; what the output lacks of them is then read where it lies.
+    ``transform`` leaves keys as they are.
+    """
     options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
-    run_new_files(
-        spark,
-        source,
-        schema,
-        lambda batch: write_missing(transform(batch), out, key, key_schema, by),
-        checkpoint,
-        options=options,
-    )
+
+    def work(batch: DataFrame) -> None:
+        files = [r[0] for r in batch.distinct().collect()]  # the names of one batch of files
+        rows = batch.sparkSession.read.schema(schema).parquet(source).where(F.col(FILE).isin(files))
+        write_missing(rows, out, key, key_schema, by, transform)
+
+    run_new_files(spark, source, schema, work, checkpoint, options=options, columns=[FILE])
 
 
 def stream_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:

@@ -397,6 +397,11 @@ ORACLES["prepare_corpus"] = """
 SELECT lang AS split, count(*) AS n_done, max(doc_id) AS last_key, count(*) AS n_codes,
   sum(list_sum(list_transform(string_split(source, ''), lambda ch: ascii(ch) % 32)))::BIGINT AS sum_codes,
   sum(length(text))::BIGINT AS n_chars, sum(length(source))::BIGINT AS n_samples FROM documents GROUP BY lang"""
+ORACLES["prepare_broken_off"] = """
+SELECT lang AS split, count(*) AS n_done, max(doc_id) AS last_key, count(*) AS n_codes,
+  coalesce(sum(list_sum(list_transform(range(length(text)), lambda i: i % 97 % 32))), 0)::BIGINT AS sum_codes,
+  sum(length(text))::BIGINT AS n_chars, sum(length(text))::BIGINT AS n_samples FROM documents GROUP BY lang"""
+ORACLES["clean_catalog"] = f"{ORACLES['normalize_generic']} WHERE lang <> 'fr'"
 ORACLES["resume_clean"] = ORACLES["normalize_extreme"]
 ORACLES["progress_counts"] = "SELECT source, count(*) AS n_done, max(doc_id) AS last_key FROM documents GROUP BY source"
 

@@ -32,12 +32,13 @@ from voxframe.operators.scores import coverage, score_pairs, score_systems, syst
 from voxframe.operators.sequence import Chunking, chunk_windows, overlap_add, to_samples
 from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
-from voxframe.plans.corpus import clean_transcripts, prepare_table
+from voxframe.plans.corpus import clean_corpus, clean_transcripts, prepare_table
 from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_records, evaluate_transliterated
 from voxframe.plans.folders import errors_of, process_audio
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
+from voxframe.sources.commits import read_output
 from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts, scan_utterance_lines
 from voxframe.sources.sinks import add_progress, progress, write_records, write_report, write_texts
 from voxframe.streaming.chunks import stream_chunk_windows
@@ -1024,6 +1025,59 @@ def prepare_corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def prepare_broken_off(spark: SparkSession, sf: str) -> DataFrame:
+    """Every id twice, sound as long as the text, and a first run that breaks off between the second and third output.
+
+    The first of two rows counts, what the broken run left does not, and progress adds up over the runs that ended.
+    """
+    root, out = scratch_path(spark, "dataset"), scratch_path(spark, "prepared")
+    places = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1)).otherwise(F.array().cast("array<int>"))
+    sound = F.struct(F.transform(places, lambda i: (i % 97).cast("float")).alias("array"), F.lit(16000).alias("sampling_rate"))
+    copies = F.explode(F.array(F.lit(""), F.lit(" again"))).alias("copy")
+    rows = corpus_rows(spark, sf).select("split", "segment_id", F.col("text").alias("said"), sound.alias("audio"))
+    twice = rows.select("*", copies).select("split", "segment_id", F.concat("said", "copy").alias("text"), "audio", "copy")
+    twice.sortWithinPartitions("split", "segment_id", "copy").drop("copy").write.partitionBy("split").parquet(f"{root}/docs/all")
+    df = scan_dataset(spark, root, "docs", "all", "segment_id", "text", "audio")
+
+    def break_off(name: str) -> None:
+        if name == "text":
+            raise InterruptedError(name)
+
+    try:
+        prepare_table(df, out, sample_codec, before=break_off)
+    except InterruptedError:
+        pass
+    prepare_table(df.where("split = 'en'"), out, sample_codec)
+    done = prepare_table(df, out, sample_codec)
+    key = "split string, id long"
+    codes = read_output(spark, out, "codes", f"{key}, codes array<int>").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_codes"), F.sum(F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a + c)).alias("sum_codes")
+    )
+    texts = read_output(spark, out, "text", f"{key}, text string").groupBy("split").agg(F.sum(F.length("text").cast("long")).alias("n_chars"))
+    heard = read_output(spark, out, "wavs", f"{key}, audio struct<array:array<float>,sampling_rate:int>")
+    wavs = heard.groupBy("split").agg(F.sum(F.size("audio.array").cast("long")).alias("n_samples"))
+    return done.join(codes, "split").join(texts, "split").join(wavs, "split").select(
+        "split", "n_done", "last_key", "n_codes", "sum_codes", "n_chars", "n_samples"
+    )
+
+
+@query
+def clean_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The languages as datasets of a catalog, one of them to be skipped, cleaned by two runs between which half the rows arrive."""
+    root, out, catalog = (scratch_path(spark, n) for n in ("datasets", "cleaned", "catalog"))
+    docs = table(spark, sf, "documents").select(F.col("source").alias("split"), F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("name"))
+    entry = F.struct(
+        F.lit("docs").alias("path"), F.concat(F.lit("name="), "name").alias("name"), (F.col("name") == "fr").alias("skip"), F.lit("body").alias("text_column_name")
+    )
+    docs.select("name").distinct().select(F.to_json(F.collect_list(entry)).alias("value")).write.text(catalog)
+    for half in (0, 1):
+        docs.where(F.col("id") % 2 == half).write.mode("append").partitionBy("name", "split").parquet(f"{root}/docs")
+        clean_corpus(spark, catalog, root, out, "extreme")
+    cleaned = spark.read.schema("id long, text string").option("recursiveFileLookup", True).parquet(out)
+    return cleaned.select(F.col("id").alias("doc_id"), F.col("text").alias("clean"))
+
+
 @query
 def resume_clean(spark: SparkSession, sf: str) -> DataFrame:
     """A corpus that arrives in two lots, cleaned by two runs of the same stream."""
