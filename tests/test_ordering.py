@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from voxframe.operators.ordering import first_n, number_rows, skip_n
@@ -50,3 +51,18 @@ def test_rest_is_filtered_at_the_scan(spark, tmp_path):
     assert rest.count() == 90
     plan = rest._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,9)" in plan and "Exchange" not in plan
+
+
+def test_other_columns_meet_their_numbers(spark):
+    rows = [(None, 2, "x"), (None, 5, "y"), ("a", None, "z"), ("a", 1, None), ("b", 0, "w")]
+    df = spark.createDataFrame(rows, "k string, n int, `odd.name` string")
+    got = number_rows(df, ["n"], ["k"], "no")
+    assert got.columns == [*df.columns, "no"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, 2, "x", 1), (None, 5, "y", 2), ("a", None, "z", 1), ("a", 1, None, 2), ("b", 0, "w", 1)], key=repr)
+
+
+def test_keys_that_do_not_identify_a_row_are_refused(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, t string")
+    with pytest.raises(Exception, match=r"two rows have \[2\]"):
+        number_rows(df, ["k"])
+    assert sorted(r.row_no for r in number_rows(df.select("k"), ["k"]).collect()) == [1, 2, 3]

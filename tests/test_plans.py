@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import normalize_generic
+from voxframe.operators.consensus import longest_transcript, vote_tokens
+from voxframe.operators.ordering import number_rows
 from voxframe.operators.pairing import audit_summary, last_wins, pair_left, skip_done
 from voxframe.operators.scores import score_systems, system_summary
 from voxframe.operators.sequence import chunk_windows, overlap_add
@@ -87,9 +89,25 @@ def test_hot_series_is_stitched_in_many_tasks(spark, uncoalesced):
     assert len(tasks) > 3 and max(t["count"] for t in tasks) < 300
 
 
+def test_the_greatest_row_is_found_by_hash_aggregates(tables):
+    last = last_wins(tables["tokens"], "utt_id", ["seq", "token"])
+    voted = vote_tokens(tables["tokens"].select("utt_id", F.col("seq").alias("pos"), F.lit("w").alias("word"), F.lit(1).alias("rank")))
+    longest = longest_transcript(tables["pairs"].select("utt_id", F.col("ref").alias("text"), F.length("ref").alias("rank")))
+    for df in (last, voted, longest):
+        assert "SortAggregate" not in plan_of(df) and "HashAggregate" in plan_of(df)
+    assert "partial_max" in plan_of(last)
+
+
+def test_numbers_are_given_to_keys_alone(spark, tables):
+    """What is written and ranged holds keys and numbers; other columns meet them in one join."""
+    numbered = number_rows(tables["pairs"].select("utt_id", "ref", "h"), ["utt_id"], name="no")
+    plan = plan_of(numbered)
+    assert "ExistingRDD" not in plan and "rangepartitioning" not in plan
+    assert "numbers-" in plan and re.search(r"ReadSchema: struct<utt_id:string,_own:bigint,_id:bigint>", plan)
+    assert numbered.select("no").distinct().count() == 2000
+
+
 def test_aggregations_are_partial(tables):
-    last = plan_of(last_wins(tables["tokens"], "utt_id", ["seq"]))
-    assert "partial_max_by" in last
     counts = audit_summary(tables["pairs"], tables["tokens"])
     assert "partial_max" in plan_of(counts)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import strip_ws, words
 from voxframe.functions.voting import aligned_slots, longest_first, vote
+from voxframe.operators.pairing import greatest_rows
 from voxframe.session import spread
 
 
@@ -17,10 +18,15 @@ def drop_blank(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, strip_ws(F.col(text))).where(F.col(text) != "")
 
 
+def _before(number: Column, rank: Column) -> Column:
+    """One number by which larger numbers come first, then lower ranks; ranks are below 2^31."""
+    return F.shiftleft(number.cast("bigint"), 31) + (F.lit((1 << 31) - 1) - rank)
+
+
 def longest_transcript(df: DataFrame, key: str = "utt_id", text: str = "text", rank: str = "rank") -> DataFrame:
     """Long form: the transcript with most words per key, the lowest rank on ties."""
-    best = F.max_by(F.struct(rank, text), F.struct(F.size(words(F.col(text))), -F.col(rank)))
-    return df.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
+    order = _before(F.size(words(F.col(text))), F.col(rank))
+    return greatest_rows(df, key, [order]).select(key, rank, text)
 
 
 def vote_tokens(
@@ -28,13 +34,12 @@ def vote_tokens(
 ) -> DataFrame:
     """Long form: most frequent lower-cased word per (key, position), ties to the lowest rank.
 
-    Counting is partial and keyed by position, so one long utterance is spread over the cluster.
+    Counting is keyed by position, so one long utterance is spread over the cluster.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    said = df.where(F.col(word) != "").withColumn(word, F.lower(word))
-    counts = said.groupBy(*keys, pos, word).agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_rank"))
-    best = F.max_by(F.col(word), F.struct(F.col("_n"), -F.col("_rank")))
-    return counts.groupBy(*keys, pos).agg(best.alias(word))
+    keys = [*([key] if isinstance(key, str) else key), pos]
+    said = df.where(F.col(word) != "").select(*keys, F.lower(word).alias(word), rank)
+    counts = said.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_rank"))
+    return greatest_rows(counts, keys, [_before(F.col("_n"), F.col("_rank"))]).select(*keys, word)
 
 
 def join_tokens(df: DataFrame, key: str | Sequence[str] = "utt_id", pos: str = "pos", word: str = "word") -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.session import cut_lineage, range_partitions
+from voxframe.session import range_partitions, stored
 
 
 def order_by_key(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -22,25 +23,43 @@ def first_n(df: DataFrame, n: int, *keys: str | Column) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def _number_runs(group: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _repeats(column: pa.Array) -> np.ndarray:
+    """Which values are the same as the one before; null is the same as null."""
+    this, last = column[1:], column[:-1]
+    nulls = pc.and_(pc.is_null(this), pc.is_null(last))
+    return np.concatenate([[False], pc.or_(pc.fill_null(pc.equal(this, last), False), nulls).to_numpy(zero_copy_only=False)])
+
+
+def _number_runs(
+    group: Sequence[str], order: Sequence[str], unique: bool
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds ``_own``: the number of a row, from 1, among the rows of its group in a sorted partition."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, count = None, 0
+        last, last_row, count = None, None, 0
         for batch in batches:
             rows = batch.num_rows
             if not rows:
                 continue
-            keys = [batch.column(g) for g in group]
-            opens = np.zeros(rows, bool)
-            for key in keys:
-                codes = key.dictionary_encode(null_encoding="encode").indices.to_numpy()
-                opens[1:] |= codes[1:] != codes[:-1]
-            opens[0] = tuple(k[0].as_py() for k in keys) != last
+            groups, orders = [batch.column(g) for g in group], [batch.column(o) for o in order]
+            goes_on = np.ones(rows, bool)
+            for column in groups:
+                goes_on &= _repeats(column)
+            first, first_row = tuple(c[0].as_py() for c in groups), tuple(c[0].as_py() for c in orders)
+            goes_on[0] = last is not None and first == last
+            if unique:
+                twice = goes_on.copy()
+                for column in orders:
+                    twice &= _repeats(column)
+                twice[0] = goes_on[0] and first_row == last_row
+                if twice.any():
+                    at = int(np.flatnonzero(twice)[0])
+                    raise ValueError(f"two rows have {[c[at].as_py() for c in groups + orders]} in {[*group, *order]}")
             at = np.arange(rows)
-            opened = np.maximum.accumulate(np.where(opens, at, -1))
+            opened = np.maximum.accumulate(np.where(goes_on, -1, at))
             own = np.where(opened >= 0, at - opened, at + count) + 1
-            last, count = tuple(k[rows - 1].as_py() for k in keys), int(own[-1])
+            last, last_row = tuple(c[rows - 1].as_py() for c in groups), tuple(c[rows - 1].as_py() for c in orders)
+            count = int(own[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "_own"])
 
     return number
@@ -56,36 +75,38 @@ def number_rows(
 ) -> DataFrame:
     """Running number in ``order`` within each group, without giving a group to one task.
 
-    The rows are range-partitioned by group and order, so a large group is spread over many
-    partitions; each partition numbers its own rows, and the result is written once to the shared
-    folder so that both of its uses see the same split. Only the last group of a partition can go
-    on in the next one, so a table with one row per partition holds all that must be added.
-    ``group + order`` must identify a row; ``partitions`` defaults to the session's shuffle
-    partitions, fewer for small inputs.
+    Only keys are numbered: they are range-partitioned by group and order, so a large group is spread over many
+    partitions, each of which numbers its own share; keys and numbers are written once as Parquet to the shared folder.
+    Only the last group of a partition can go on in the next one, so a table with one row per partition holds all that must be
+    added. The numbers then meet the other columns in one join on the keys, if there are others. ``group + order`` must
+    identify a row (else running it fails, where there are other columns); ``partitions`` defaults to the session's shuffle partitions, fewer for small
+    inputs.
     """
     keys = [*group, *order]
-    ranged = df.repartitionByRange(partitions or range_partitions(df), *keys).sortWithinPartitions(*keys)
-    if group:
-        schema = T.StructType([*df.schema.fields, T.StructField("_own", T.LongType())])
-        ranged = ranged.mapInArrow(_number_runs(group), schema)
-    ranged = ranged.withColumn("_id", F.monotonically_increasing_id())
-    if not group:
-        ranged = ranged.withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    ranged = cut_lineage(ranged).withColumn("_part", F.shiftright("_id", 33))
-
-    ends = ranged.groupBy("_part").agg(F.max_by(F.struct(*group, "_own"), "_id").alias("_end"))
+    others = [c for c in df.columns if c not in keys]
+    ranged = df.select(*keys).repartitionByRange(partitions or range_partitions(df), *keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_own", T.LongType())])
+    numbered = ranged.mapInArrow(_number_runs(group, order, bool(others)), schema).withColumn("_id", F.monotonically_increasing_id())
+    numbered = stored(numbered, "numbers").withColumn("_part", F.shiftright("_id", 33))
+
+    ends = numbered.groupBy("_part").agg(F.max("_id").alias("_id"))
+    ends = numbered.join(ends, ["_part", "_id"]).select("_part", *group, "_own")
     # one row per partition from here on
     following = F.lead("_part").over(Window.orderBy("_part"))
     offsets = (
-        ends.select(following.alias("_part"), F.col("_part").alias("_from"), "_end.*")
+        ends.select(following.alias("_part"), F.col("_part").alias("_from"), *group, "_own")
         .select("_part", *group, F.sum("_own").over(Window.partitionBy(*group).orderBy("_from")).alias("_before"))
         .where("_part IS NOT NULL")
     )
     same = [F.col("r._part") == F.col("o._part")]
     same += [F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}")) for g in group]
-    joined = ranged.alias("r").join(F.broadcast(offsets.alias("o")), same, "left")
-    number = F.col("r._own") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)
-    return joined.select("r.*", number.cast("long").alias(name)).drop("_id", "_part", "_own")
+    joined = numbered.alias("r").join(F.broadcast(offsets.alias("o")), same, "left")
+    number = (F.col("r._own") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)).cast("long").alias(name)
+    numbers = joined.select(*[F.col(f"r.`{k}`") for k in keys], number)
+    if not others:
+        return numbers.select(*df.columns, name)
+    met = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]
+    return df.alias("d").join(numbers.alias("n"), met).select("d.*", f"n.{name}")
 
 
 def skip_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,12 +44,27 @@ def skip_done(df: DataFrame, done: DataFrame, key: str | Sequence[str] = "utt_id
     return df.join(done.select(*keys), keys, "left_anti")
 
 
+def greatest_rows(df: DataFrame, key: str | Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The row with the greatest ``order`` per key, its columns as they are; of rows that tie any one.
+
+    The greatest first part of the order is found by a hash aggregate, so that part must be a number or a time. Rows that have it
+    are picked by a join; the other parts of the order decide among the few that are left of a key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    first, rest = order[0], [F.desc(c) if isinstance(c, str) else c.desc() for c in order[1:]]
+    first = F.col(first) if isinstance(first, str) else first
+    rows = df.withColumn("_first", first)
+    tops = rows.groupBy(*keys).agg(F.max("_first").alias("_top")).select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_top")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    left = rows.join(tops, [*same, F.col("_first").eqNullSafe(F.col("_top"))])
+    nth = F.row_number().over(Window.partitionBy(*[f"_key_{i}" for i in range(len(keys))]).orderBy(F.desc("_top"), *rest))
+    return left.withColumn("_nth", nth).where("_nth = 1").select(*df.columns)
+
+
 def last_wins(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row per key in ``order``; kept by partial aggregation, so a hot key costs no more."""
+    """The last row per key in ``order``, whose first column is a number or a time."""
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+    return greatest_rows(df, keys, order).select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def _sides(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
