@@ -2,16 +2,17 @@
 
 The scores are sums of whole numbers over an item's terms (see ``search``), so bounds are exact, too.
 
-1. Documents become vectors of (term, impact) over the terms of the items, stored once.
+1. Documents become vectors of (term, impact) over the terms of the items.
 2. The documents that are best for some term in one of a few shards are scored against all items: the k-th best score is
    a threshold that the k-th result can't fall below.
 3. Terms of an item whose greatest impacts together stay below its threshold can't make a result alone. The posting lists
    of the other terms are all that must be read.
-4. Each posting list is cut into blocks by similarity of its documents: signs of random projections of their weighted
-   vectors, as many as make blocks of some ``BLOCK`` documents. A block has a summary, the greatest impact for each term
-   of the items concerned, coordinate by coordinate.
+4. The documents are put in order of the signs of random projections of their weighted vectors, so that similar ones
+   lie together, and stored in segments of that order. In each segment the posting list of each term is cut into blocks of
+   at most ``BLOCK`` documents. A block has a summary, the greatest impact for each term of the items concerned,
+   coordinate by coordinate, which is stored with it.
 5. The weighted sum of a summary bounds every score in its block. Blocks whose bound is below the item's threshold are
-   skipped, the documents of all others are scored from the impacts kept in their postings.
+   skipped, the documents of all others are scored from their vectors.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import sent_if_small, stored
 
 K = 10
-BLOCK = 32
-PLANES = 24
-SHARDS = 8
+BLOCK = 16
+PLANES = 30
+SHARDS = 16
 #: Rows (item, term) of a slice of the items; each slice reads the documents once.
-SLICE = 1 << 18
-#: Cells of the matrices that a task fills at a time.
+SLICE = 1 << 15
+#: Numbers that a task holds in matrices and lookups at a time.
 CELLS = 1 << 22
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,6 +89,9 @@ class _Items:
         self.item_of, self.weight_of = self.item[by_term], self.weight[by_term]
         self.first_of = np.searchsorted(self.term[by_term], np.arange(terms + 1))
 
+    def only(self, rows: np.ndarray) -> _Items:
+        return _Items(self.item[rows], self.term[rows], self.weight[rows], self.items, self.terms)
+
     def essential(self, top: np.ndarray, need: np.ndarray) -> np.ndarray:
         """Which (item, term) rows a document must hold one of to reach ``need``, given each term's greatest impact."""
         most = self.weight * top[self.term]
@@ -116,19 +120,24 @@ def _postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row, term, (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Batches of so few rows that a matrix of rows by ``width`` stays within CELLS."""
-    step = max(1, CELLS // max(width, 1))
+def _pieces(batches: Iterator[pa.RecordBatch], reads: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches cut such that what is looked up at ``reads`` per posting stays within CELLS."""
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        terms = batch.column("terms")
+        upto = np.concatenate([[0], np.cumsum(reads[terms.flatten().to_numpy()])])
+        ends = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+        piece = np.cumsum(upto[ends[1:]] - upto[ends[:-1]]) // CELLS
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if high > low:
+                yield batch.slice(low, high - low)
 
 
 def _best(items: _Items, k: int):
     """Per batch and item the k best scores above 0."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches, items.items):
+        for batch in _pieces(batches, 8 * np.diff(items.first_of) + 1):
             row, term, impact = _postings(batch)
             at, entry = _expanded(items.first_of, term)
             cell = row[at] * items.items + items.item_of[entry]
@@ -143,52 +152,157 @@ def _best(items: _Items, k: int):
     return make
 
 
-def _lists(items: _Items, essential: np.ndarray, bits: np.ndarray, weight: np.ndarray):
-    """Postings of essential terms with the block they fall into and the document's impacts for terms of the items concerned."""
-    lists = _Items(items.item[essential], items.term[essential], items.weight[essential], items.items, items.terms)
-    planes = np.random.default_rng(20).choice(np.array([-1.0, 1.0], np.float32), (items.terms, PLANES))
+def _coded(weight: np.ndarray):
+    """Adds ``code``, the sides of random planes on which a document's weighted vector lies."""
+    planes = np.random.default_rng(20).choice(np.array([-1.0, 1.0], np.float32), (len(weight), PLANES))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches, items.terms):
+        for batch in _pieces(batches, np.full(len(weight), PLANES)):
             row, term, impact = _postings(batch)
-            if not len(row):
-                continue
-            # which side of each plane a document lies on
             lean = np.zeros((batch.num_rows, PLANES))
-            held, begin = np.unique(row, return_index=True)
-            lean[held] = np.add.reduceat(planes[term] * (weight[term] * impact)[:, None].astype(np.float32), begin, axis=0)
+            if len(row):
+                held, begin = np.unique(row, return_index=True)
+                lean[held] = np.add.reduceat(planes[term] * (weight[term] * impact)[:, None].astype(np.float32), begin, axis=0)
             code = (lean > 0) @ (1 << np.arange(PLANES - 1, -1, -1))
-            dense = np.zeros((batch.num_rows, items.terms), np.int32)
-            dense[row, term] = impact
-            # posting x item for which its term is essential x terms of that item that the document holds
-            listed = np.flatnonzero(np.diff(lists.first_of)[term])
-            of, entry = _expanded(lists.first_of, term[listed])
-            pair, at = _expanded(items.first, lists.item_of[entry])
-            posting, other = of[pair], items.term[at]
-            found = dense[row[listed][posting], other]
-            hit = found > 0
-            keys = np.unique(posting[hit] * items.terms + other[hit])
-            posting, other = keys // items.terms, keys % items.terms
-            ends = np.searchsorted(posting, np.arange(len(listed) + 1)).astype(np.int32)
-            docs, head = row[listed], term[listed]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row").take(pa.array(docs)),
-                    batch.column("doc_id").take(pa.array(docs)),
-                    pa.array(head.astype(np.int32)),
-                    pa.array((code[docs] >> (PLANES - bits[head])).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(other.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(dense[docs[posting], other])),
-                ],
-                ["row", "doc_id", "head", "block", "terms", "impacts"],
-            )
+            impacts = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.array(impact.astype(np.int32)))
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(code.astype(np.int64)), _flat(batch.column("terms")), impacts]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "code", "terms", "impacts"])
+
+    return make
+
+
+def _flat(lists: pa.ListArray) -> pa.ListArray:
+    """The same lists, without what lies before and after a slice of them."""
+    return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32()), lists.flatten())
+
+
+def _one(values: np.ndarray | pa.Array) -> pa.ListArray:
+    """A column of one row that holds all values."""
+    values = values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+SEGMENT = ("ends", "terms", "impacts", "heads", "member_ends", "members", "summary_ends", "summary_terms", "summary_most")
+
+
+def _segments(items: _Items, essential: np.ndarray):
+    """A row per stretch of similar documents: their vectors, and the blocks of the lists of essential terms with their summaries."""
+    lists = items.only(essential)
+    heads = np.flatnonzero(np.diff(lists.first_of))
+    # the terms of the items for which a list is read
+    concerned = {}
+    for head in heads.tolist():
+        _, at = _expanded(items.first, lists.item_of[lists.first_of[head] : lists.first_of[head + 1]])
+        concerned[head] = np.unique(items.term[at])
+    listed = np.zeros(items.terms, bool)
+    listed[heads] = True
+    rows_at_once = max(BLOCK, min(4096, CELLS // max(items.terms, 1)))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(low, rows_at_once)
+                ends = batch.column("terms").offsets.to_numpy() - batch.column("terms").offsets[0].as_py()
+                row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+                term, impact = batch.column("terms").flatten().to_numpy(), batch.column("impacts").flatten().to_numpy()
+                dense = np.zeros((batch.num_rows, items.terms), np.int32)
+                dense[row, term] = impact
+                own = listed[term]
+                order = np.lexsort((row[own], term[own]))
+                head_of, doc_of = term[own][order], row[own][order]
+                first = np.flatnonzero(np.diff(head_of, prepend=-1))
+                block_heads, members, summary_terms, summary_most, member_ends, summary_ends = [], [], [], [], [0], [0]
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(head_of)]):
+                    head = int(head_of[a])
+                    terms = concerned[head]
+                    starts = np.arange(0, b - a, BLOCK)
+                    most = np.maximum.reduceat(dense[np.ix_(doc_of[a:b], terms)], starts, axis=0)
+                    block, at = np.nonzero(most)
+                    block_heads.append(np.full(len(starts), head))
+                    members.append(doc_of[a:b])
+                    member_ends.extend((member_ends[-1] + np.append(starts[1:], b - a)).tolist())
+                    summary_terms.append(terms[at])
+                    summary_most.append(most[block, at])
+                    summary_ends.extend((summary_ends[-1] + np.searchsorted(block, np.arange(1, len(starts) + 1))).tolist())
+                joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
+                columns = [ends, term, impact, joined(block_heads), np.array(member_ends), joined(members), np.array(summary_ends), joined(summary_terms), joined(summary_most)]
+                yield pa.RecordBatch.from_arrays([_one(batch.column("row")), _one(batch.column("doc_id")), *map(_one, columns)], ["rows", "doc_ids", *SEGMENT])
 
     return make
 
 
-def _slice(docs: DataFrame, item_rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
-    """Results (item, doc_id, row, score) and blocks (item, head, block, bound, need, kept) of a bounded number of items."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+def _looked_up(items: _Items, of: np.ndarray, item: np.ndarray, ends: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For pairs (of, item): the sum over the item's terms of weight times value of the term in list ``of`` (0 where it isn't)."""
+    keys = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * items.terms + terms
+    order = np.argsort(keys, kind="stable")
+    keys, values = np.append(keys[order], -1), np.append(values[order], 0)
+    out = np.zeros(len(of), np.int64)
+    load = np.cumsum(np.diff(items.first)[item]) // (CELLS // 4)
+    cuts = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), len(of)]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            pair, at = _expanded(items.first, item[low:high])
+            wanted = of[low:high][pair] * items.terms + items.term[at]
+            place = np.searchsorted(keys[:-1], wanted)
+            found = keys[place] == wanted
+            # whole numbers far below 2^53
+            out[low:high] = np.bincount(pair[found], items.weight[at[found]] * values[place[found]], high - low)
+    return out
+
+
+def _bounds(items: _Items, lists: _Items, segment: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block and an item for which its list is read, with the bound of the scores."""
+    block, entry = _expanded(lists.first_of, segment["heads"])
+    item = lists.item_of[entry]
+    return block, item, _looked_up(items, block, item, segment["summary_ends"], segment["summary_terms"], segment["summary_most"])
+
+
+def _read(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    return {name: batch.column(name)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for name in SEGMENT}
+
+
+def _scored(items: _Items, essential: np.ndarray, need: np.ndarray):
+    """Scores, of the needed height, of the documents in blocks that are not skipped."""
+    lists = items.only(essential)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment = _read(batch, i)
+                block, item, bound = _bounds(items, lists, segment)
+                kept = bound >= need[item]
+                at, member = _expanded(segment["member_ends"], block[kept])
+                # a document may stand in several lists
+                pairs = np.unique(segment["members"][member] * items.items + item[kept][at])
+                doc, item = pairs // items.items, pairs % items.items
+                score = _looked_up(items, doc, item, segment["ends"], segment["terms"], segment["impacts"])
+                high = score >= need[item]
+                doc, item, score = (pa.array(x[high]) for x in (doc, item, score))
+                columns = [item.cast(pa.int32()), batch.column("rows")[i].values.take(doc), batch.column("doc_ids")[i].values.take(doc), score]
+                yield pa.RecordBatch.from_arrays(columns, ["item", "row", "doc_id", "score"])
+
+    return make
+
+
+def _bounded(items: _Items, essential: np.ndarray, need: np.ndarray):
+    """Every block and item with bound, need, and whether the block is looked into."""
+    lists = items.only(essential)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment = _read(batch, i)
+                block, item, bound = _bounds(items, lists, segment)
+                size = np.diff(segment["member_ends"])[block]
+                columns = [item.astype(np.int32), segment["heads"][block].astype(np.int32), size, bound, need[item], bound >= need[item]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["item", "head", "documents", "bound", "need", "kept"])
+
+    return make
+
+
+def _slice(docs: DataFrame, item_rows: DataFrame, k: int, bounds: bool = False) -> DataFrame | None:
+    """(item, row, doc_id, score) of a bounded number of items, not below the k-th best; or all blocks with their bounds."""
+    kind = dict(docs.dtypes)["doc_id"]
     asked = item_rows.select("item", "term", "times").toPandas()  # at most some SLICE rows
     if asked.empty:
         return None
@@ -213,8 +327,8 @@ def _slice(docs: DataFrame, item_rows: DataFrame, k: int) -> tuple[DataFrame, Da
     )
     weigh = F.floor(F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1)) * 1000).cast("bigint")
     held = champions.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top")).withColumn("weight", weigh).toPandas()
-    weight, top, df = (np.zeros(len(names), np.int64) for _ in range(3))
-    for target, column in ((weight, "weight"), (top, "top"), (df, "df")):
+    weight, top = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for target, column in ((weight, "weight"), (top, "top")):
         target[held["term"].to_numpy(np.int64)] = held[column]
     n_items = int(asked["item"].max()) + 1
     items = _Items(asked["item"].to_numpy(np.int64), term.astype(np.int64), asked["times"].to_numpy(np.int64) * weight[term], n_items, len(names))
@@ -227,42 +341,13 @@ def _slice(docs: DataFrame, item_rows: DataFrame, k: int) -> tuple[DataFrame, Da
     need[found["item"].to_numpy(np.int64)] = found["score"]
 
     essential = items.essential(top, need)
-    bits = np.clip(np.ceil(np.log2(np.maximum(df, 1) / BLOCK)), 0, PLANES).astype(np.int64)
-    lists = stored(
-        vectors.mapInArrow(_lists(items, essential, bits, weight), f"row bigint, doc_id {kind}, head int, block int, terms array<int>, impacts array<int>"), "lists"
-    )
-    summaries = (
-        lists.select("head", "block", F.explode(F.arrays_zip("terms", "impacts")).alias("p"))
-        .groupBy("head", "block", F.col("p.terms").alias("term"))
-        .agg(F.max("p.impacts").alias("most"))
-    )
-    weights = spark.createDataFrame(pa.table({"item": items.item.astype(np.int32), "term": items.term.astype(np.int32), "weight": items.weight}))
-    heads = spark.createDataFrame(
-        pa.table({"item": items.item[essential].astype(np.int32), "head": items.term[essential].astype(np.int32), "need": need[items.item[essential]]})
-    )
-    weights, heads = stored(weights, "weights"), stored(heads, "heads")
-    asks = stored(heads.join(sent_if_small(weights, len(items.item)), "item"), "asks")
-    blocks = (
-        summaries.join(sent_if_small(asks, asks.count()), ["head", "term"])
-        .groupBy("item", "head", "block", "need")
-        .agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
-        .withColumn("kept", F.col("bound") >= F.col("need"))
-    )
-    blocks = stored(blocks, "blocks")
-    kept = blocks.where("kept").select("item", "head", "block", "need")
-    opened = lists.join(sent_if_small(kept, kept.count()), ["head", "block"])
-    results = (
-        opened.select("item", "need", "row", "doc_id", "head", F.explode(F.arrays_zip("terms", "impacts")).alias("p"))
-        .select("item", "need", "row", "doc_id", "head", F.col("p.terms").alias("term"), F.col("p.impacts").alias("impact"))
-        .join(sent_if_small(weights, len(items.item)), ["item", "term"])
-        .groupBy("item", "need", "row", "doc_id", "head")
-        .agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-        .where("score >= need")
-        # a document may stand in several lists
-        .select("item", "row", "doc_id", "score")
-        .distinct()
-    )
-    return results, blocks
+    coded = vectors.mapInArrow(_coded(weight), f"row bigint, doc_id {kind}, code bigint, terms array<int>, impacts array<int>")
+    similar = stored(coded, "coded").repartitionByRange("code", "row").sortWithinPartitions("code", "row").drop("code")
+    arrays = ", ".join(f"{name} array<int>" for name in SEGMENT)
+    index = stored(similar.mapInArrow(_segments(items, essential), f"rows array<bigint>, doc_ids array<{kind}>, {arrays}"), "index")
+    if bounds:
+        return index.mapInArrow(_bounded(items, essential, need), "item int, head int, documents bigint, bound bigint, need bigint, kept boolean")
+    return index.mapInArrow(_scored(items, essential, need), f"item int, row bigint, doc_id {kind}, score bigint")
 
 
 def _numbered(items: DataFrame) -> list[DataFrame]:
@@ -288,11 +373,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     documents are not counted, such items and empty tables give no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    parts = []
-    for rows in _numbered(items):
-        found = _slice(docs, rows, k)
-        if found:
-            parts.append(found[0].join(rows.select("item", "item_id").distinct(), "item"))
+    parts = _parts(docs, items, k)
     kinds = f"item_id {dict(items.dtypes)['item_id']}, rank int, doc_id {dict(docs.dtypes)['doc_id']}, score bigint"
     if not parts:
         return docs.sparkSession.createDataFrame([], kinds)
@@ -302,11 +383,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
 
 
 def block_bounds(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, head, block, bound, need, kept) for every block of every list that ``search`` looks at."""
+    """(item_id, head, documents, bound, need, kept) for every block of every list that ``search`` reads."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return reduce(DataFrame.unionByName, _parts(docs, items, k, bounds=True)).drop("item")
+
+
+def _parts(docs: DataFrame, items: DataFrame, k: int, bounds: bool = False) -> list[DataFrame]:
     parts = []
     for rows in _numbered(items):
-        found = _slice(docs, rows, k)
-        if found:
-            parts.append(found[1].join(rows.select("item", "item_id").distinct(), "item").drop("item"))
-    return reduce(DataFrame.unionByName, parts)
+        found = _slice(docs, rows, k, bounds)
+        if found is not None:
+            names = rows.select("item", "item_id").distinct()
+            parts.append(found.join(sent_if_small(names, SLICE), "item"))
+    return parts
