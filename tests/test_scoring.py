@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -151,3 +152,38 @@ def test_raw_words(spark):
     r, h, g = (F.col(c) for c in "rhg")
     got = df.select(S.wer_raw(r, h), S.wer_raw(r, h, True), S.wer_raw(h, g, True), S.wer_raw(h, g)).first()
     assert tuple(got) == (0.0, 1.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("group_bytes", [2_000, 100_000, 64_000_000])
+def test_many_pairs_side_by_side(monkeypatch, group_bytes):
+    """Pairs of all lengths in groups of all sizes count as each does alone."""
+    monkeypatch.setattr(E, "GROUP_BYTES", group_bytes)
+    rng = random.Random(group_bytes)
+    pairs = []
+    for _ in range(400):
+        a = [rng.randint(0, rng.choice([1, 3, 20])) for _ in range(rng.choice([0, 1, 5, 60, 64, 65, 130]))]
+        b = list(a) if rng.random() < 0.6 else [rng.randint(0, 20) for _ in range(rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 8) if b else 0):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [99] * rng.randint(0, 2)
+        pairs.append((a, b))
+    ends = [np.cumsum([0, *map(len, side)]) for side in zip(*pairs)]
+    flat = [np.array([x for t in side for x in t], np.int64) for side in zip(*pairs)]
+    for compat in (False, True):
+        got = E.edit_counts_of(flat[0], ends[0], flat[1], ends[1], compat)
+        assert [tuple(x) for x in got.tolist()] == [E.edit_counts(a, b, compat) for a, b in pairs]
+
+
+def test_words_of_texts_are_those_between_white_space():
+    import pyarrow as pa
+
+    from voxframe.functions.scoring import _words
+
+    texts = ["", " ", "a", " a  b\n", None, *[f"x{chr(c)}y{chr(c)}" for c in (*range(1, 0x3100), 0xFEFF, 0x1F600)]]
+    assert _words(pa.array(texts)).to_pylist() == [(t or "").split() for t in texts]
+
+
+def test_edit_ops_of_nulls_and_empty_lists(spark):
+    rows = [(["a", "b"], ["b"]), (None, ["a"]), (["a"], None), ([], ["x"]), (["x", None], ["x", None]), ([], [])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select(S.edit_ops(F.col("a"), F.col("b")).alias("e"))
+    assert [r.e and tuple(r.e) for r in df.collect()] == [(1, 0, 1, 0), None, None, (1, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]

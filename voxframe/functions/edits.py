@@ -238,3 +238,138 @@ def edit_counts(
     if not compat:
         return total, subs, dels + i, ins + j
     return total, subs, dels + (1 if i else 0), ins + (0 if i else 1)
+
+
+# Bytes of the vectors that one group of pairs keeps for the way back; a longer pair takes ``edit_counts``.
+GROUP_BYTES = 64_000_000
+
+
+def _cost(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
+    """Bytes of the four vectors of every column."""
+    return 32 * (hyp + 1) * -(-ref // 64)
+
+
+def edit_counts_of(
+    ref: np.ndarray, ref_ends: np.ndarray, hyp: np.ndarray, hyp_ends: np.ndarray, compat: bool = False
+) -> np.ndarray:
+    """``edit_counts`` of many pairs side by side, one row per pair.
+
+    The tokens of all references stand one after the other as numbers, those of all hypotheses too; ``*_ends`` holds
+    where each begins and the last ends. Columns and way back advance one step for all pairs of a group at a time.
+    """
+    n = len(ref_ends) - 1
+    m, k = np.diff(ref_ends), np.diff(hyp_ends)
+    out = np.zeros((n, 4), np.int64)
+    # pairs without differences, and those with an empty side, need no table
+    out[:, 0] = np.maximum(m, k)
+    out[:, 2], out[:, 3] = np.where(k == 0, m, 0), np.where(m == 0, k, 0)
+    alike = np.flatnonzero((m == k) & (m > 0))
+    at, place = _spread(m[alike])
+    differ = np.bincount(at, ref[ref_ends[alike][at] + place] != hyp[hyp_ends[alike][at] + place], len(alike)) if len(alike) else np.zeros(0)
+    alike = alike[differ == 0]
+    out[alike, 0] = 0
+    if compat:
+        plain = (m == 0) | (k == 0)
+        plain[alike] = True
+        out[plain, 2] = (m > 0)[plain] & (k == 0)[plain]
+        out[plain, 3] = 1 - out[plain, 2]
+    left = np.setdiff1d(np.flatnonzero((m > 0) & (k > 0)), alike)
+    cost = _cost(m[left], k[left])
+    for p in left[cost > GROUP_BYTES].tolist():
+        out[p] = edit_counts(ref[ref_ends[p] : ref_ends[p + 1]].tolist(), hyp[hyp_ends[p] : hyp_ends[p + 1]].tolist(), compat)
+    left = left[cost <= GROUP_BYTES]
+    left = left[np.lexsort((m[left], k[left]))]
+    while len(left):
+        # the longest first; a group is padded to its longest sides
+        longest = _cost(np.maximum.accumulate(m[left[::-1]]), np.full(len(left), k[left[-1]]))
+        size = int(np.searchsorted(longest * np.arange(1, len(left) + 1), GROUP_BYTES, "right"))
+        similar = int((k[left] * 2 >= k[left[-1]]).sum())
+        size = max(1, min(size, similar))
+        group, left = left[len(left) - size :], left[: len(left) - size]
+        out[group] = _counts_side_by_side(ref, ref_ends, hyp, hyp_ends, group, compat)
+    return out
+
+
+def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of these lengths one after the other: the list of each element and its place there."""
+    at = np.repeat(np.arange(len(lengths)), lengths)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _counts_side_by_side(
+    ref: np.ndarray, ref_ends: np.ndarray, hyp: np.ndarray, hyp_ends: np.ndarray, group: np.ndarray, compat: bool
+) -> np.ndarray:
+    n = len(group)
+    m, k = (ends[group + 1] - ends[group] for ends in (ref_ends, hyp_ends))
+    width, steps = -(-int(m.max()) // 64), int(k.max())
+    r_pair, r_at = _spread(m)
+    h_pair, h_at = _spread(k)
+    said, heard = np.full((n, int(m.max())), -1, np.int64), np.full((n, steps), -2, np.int64)
+    said[r_pair, r_at] = ref[ref_ends[group][r_pair] + r_at]
+    heard[h_pair, h_at] = hyp[hyp_ends[group][h_pair] + h_at]
+
+    # where each pair's reference has a token: a column per (pair, token), and one for tokens it has nowhere
+    span = max(int(said.max()), int(heard.max())) + 1
+    keys, column = np.unique(r_pair * span + said[r_pair, r_at], return_inverse=True)
+    table = np.zeros((width, len(keys) + 1), np.uint64)
+    np.bitwise_or.at(table, (r_at // 64, column), np.uint64(1) << (r_at % 64).astype(np.uint64))
+    wanted = h_pair * span + heard[h_pair, h_at]
+    found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    look = np.full((steps, n), len(keys))
+    look[h_at, h_pair] = np.where(keys[found] == wanted, found, len(keys))
+
+    bits = np.clip(m - 64 * np.arange(width)[:, None], 0, 64)
+    every = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % 64).astype(np.uint64)) - np.uint64(1))
+    # steps down within a column, and from it to the one on its right
+    up, down, more, less = (np.zeros((steps + 1, width, n), np.uint64) for _ in range(4))
+    up[0] = every
+    for j in range(1, steps + 1):
+        same, u, d = table[:, look[j - 1]], up[j - 1], down[j - 1]
+        level = same & u
+        level += u
+        carry = level < u
+        for w in range(1, width):
+            level[w] += carry[w - 1]
+            carry[w] |= carry[w - 1] & (level[w] == 0)
+        level ^= u
+        level |= same
+        np.bitwise_and(u, level, out=less[j])
+        level |= u
+        np.invert(level, out=level)
+        level &= every
+        np.bitwise_or(level, d, out=more[j])
+        right, fall = more[j].copy(), less[j].copy()
+        _shift(right)
+        right[0] |= np.uint64(1)
+        _shift(fall)
+        same |= d
+        np.bitwise_and(right, same, out=down[j])
+        down[j] &= every
+        same |= right
+        np.invert(same, out=same)
+        same |= fall
+        np.bitwise_and(same, every, out=up[j])
+
+    counts = np.zeros((n, 3), np.int64)  # substitutions, deletions, insertions
+    i, j, live = m.copy(), k.copy(), np.arange(n)
+    one = np.uint64(1)
+    while len(live):
+        row, col = i[live] - 1, j[live]
+        equal = said[live, row] == heard[live, col - 1]
+        p, row, col = live[~equal], row[~equal], col[~equal]
+        word, bit = row // 64, (row % 64).astype(np.uint64)
+        at = lambda vectors, c: ((vectors[c, word, p] >> bit) & one).astype(np.int8)
+        rise = at(more, col) - at(less, col) + at(up, col - 1) - at(down, col - 1)
+        kind = np.where(rise == 1, 0, np.where(at(up, col) == 1, 1, 2))
+        counts[p, kind] += 1
+        i[p] -= kind != 2
+        j[p] -= kind != 1
+        even = live[equal]
+        i[even] -= 1
+        j[even] -= 1
+        live = live[(i[live] > 0) & (j[live] > 0)]
+    subs, dels, ins = counts.T
+    total = subs + dels + i + ins + j
+    if compat:
+        return np.stack([total, subs, dels + (i > 0), ins + (i == 0)], 1)
+    return np.stack([total, subs, dels + i, ins + j], 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.functions.edits import distance, distances, edit_counts
+from voxframe.functions.edits import distance, distances, edit_counts_of
 from voxframe.functions.text import WS, strip_ws, words
 
 EDIT_FIELDS = ("distance", "substitutions", "deletions", "insertions")
@@ -18,9 +20,29 @@ def _spark_type(names: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(n, T.IntegerType()) for n in names])
 
 
-def _rows(names: tuple[str, ...], rows: list[tuple | None]) -> pa.Array:
-    kind = pa.struct([(n, pa.int32()) for n in names])
-    return pa.array([None if r is None else dict(zip(names, r)) for r in rows], type=kind)
+def _rows(columns: dict[str, np.ndarray], known: np.ndarray, fields: dict[str, np.ndarray] | None = None) -> pa.Array:
+    """Structs of whole numbers, null where not ``known``; ``fields`` says where single fields are known."""
+    masks = fields or {}
+    values = [pa.array(v.astype(np.int32), mask=~masks[n] if n in masks else None) for n, v in columns.items()]
+    return pa.StructArray.from_arrays(values, list(columns), mask=pa.array(~known))
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text between white space; none of a null text."""
+    parts = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    lengths, flat = pc.list_value_length(parts).to_numpy(zero_copy_only=False), parts.flatten()
+    kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    held = np.bincount(np.repeat(np.arange(len(texts)), lengths)[kept], minlength=len(texts))
+    ends = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(kept)))
+
+
+def _edits(ref: pa.ListArray, hyp: pa.ListArray, compat: bool) -> np.ndarray:
+    """Distance, substitutions, deletions and insertions of pairs of token lists without nulls."""
+    ends = [np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int64) for x in (ref, hyp)]
+    tokens = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode").indices
+    numbers = tokens.to_numpy(zero_copy_only=False).astype(np.int64)
+    return edit_counts_of(numbers[: ends[0][-1]], ends[0], numbers[ends[0][-1] :], ends[1], compat)
 
 
 def edit_ops(ref: Column, hyp: Column, compat: bool = False) -> Column:
@@ -28,11 +50,11 @@ def edit_ops(ref: Column, hyp: Column, compat: bool = False) -> Column:
 
     @F.arrow_udf(_spark_type(EDIT_FIELDS))
     def counts(a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = [
-            None if x is None or y is None else edit_counts(x, y, compat)
-            for x, y in zip(a.to_pylist(), b.to_pylist())
-        ]
-        return _rows(EDIT_FIELDS, rows)
+        known = pc.and_(a.is_valid(), b.is_valid())
+        both = known.to_numpy(zero_copy_only=False)
+        found = np.zeros((len(a), len(EDIT_FIELDS)), np.int64)
+        found[both] = _edits(a.filter(known), b.filter(known), compat)
+        return _rows(dict(zip(EDIT_FIELDS, found.T)), both)
 
     return counts(ref, hyp)
 
@@ -45,19 +67,14 @@ def pair_edits(ref: Column, hyp: Column, compat: bool = False) -> Column:
 
     @F.arrow_udf(_spark_type(PAIR_FIELDS))
     def counts(a: pa.Array, b: pa.Array) -> pa.Array:
-        said, heard = a.to_pylist(), b.to_pylist()
-        chars = _char_distances(said, heard)
-        rows = []
-        for x, y, d in zip(said, heard, chars):
-            if x is None:
-                rows.append(None)
-                continue
-            r, h = x.split(), None if y is None else y.split()
-            if h is None:
-                rows.append((*[None] * len(EDIT_FIELDS), len(r), None, None))
-            else:
-                rows.append((*edit_counts(r, h, compat), len(r), len(h), d))
-        return _rows(PAIR_FIELDS, rows)
+        said, heard = _words(a), _words(b)
+        known, paired = (x.to_numpy(zero_copy_only=False) for x in (a.is_valid(), pc.and_(a.is_valid(), b.is_valid())))
+        found = np.zeros((len(a), len(EDIT_FIELDS)), np.int64)
+        found[paired] = _edits(said.filter(pa.array(paired)), heard.filter(pa.array(paired)), compat)
+        chars = np.array([d or 0 for d in _char_distances(a.to_pylist(), b.to_pylist())], np.int64)
+        lengths = [pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (said, heard)]
+        columns = {**dict(zip(EDIT_FIELDS, found.T)), "ref_words": lengths[0], "hyp_words": lengths[1], "char_distance": chars}
+        return _rows(columns, known, {n: paired for n in PAIR_FIELDS if n != "ref_words"})
 
     return counts(ref, hyp)
 
