@@ -37,7 +37,7 @@ def exchanged(df):
 def test_missing_rows_are_read_where_they_lie(spark, tmp_path, no_broadcast):
     df = source(spark, str(tmp_path / "s"))
     done = df.where("id < 150 OR id % 7 = 0").select("id")
-    parts = list(missing(df, ["id"], {"out": done}).parts("id", "text", "audio"))
+    parts = list(missing(df, ["id"], {"out": done}).parts(["id", "text", "audio"], "out"))
     assert sorted(r.id for p in parts for r in p.collect()) == [i for i in range(400) if not (i < 150 or i % 7 == 0)]
     for part in parts:
         assert exchanged(part) == []
@@ -48,7 +48,7 @@ def test_files_that_are_done_are_not_read(spark, tmp_path):
     names = sorted({r[0] for r in df.select("_metadata.file_path").distinct().collect()})
     first = df.where(F.col("_metadata.file_path").isin(names[:2])).select("id")
     chosen = missing(df, ["id"], {"out": first})
-    parts = list(chosen.parts("id", "text"))
+    parts = list(chosen.parts(["id", "text"], "out"))
     assert len(parts) == 1
     # the scan is of fewer tasks than files: those that are done are left out when files are listed
     assert parts[0].rdd.getNumPartitions() <= 2
@@ -59,7 +59,7 @@ def test_lots_of_bounded_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(addresses, "ADDRESSES", 30)
     monkeypatch.setattr(addresses, "FILES", 3)
     df = source(spark, str(tmp_path / "s"), files=9)
-    parts = list(missing(df, ["id"], {"out": df.where("id % 2 = 0").select("id")}).parts("id"))
+    parts = list(missing(df, ["id"], {"out": df.where("id % 2 = 0").select("id")}).parts(["id"], "out"))
     assert len(parts) > 5 and all(p.count() <= 30 for p in parts)
     assert sorted(r.id for p in parts for r in p.collect()) == list(range(1, 400, 2))
 
@@ -142,7 +142,7 @@ def test_outputs_count_together(spark, tmp_path):
         return lambda run: append_run(df, out, name, run)
 
     none = lambda run: spark.createDataFrame([], "split string, n_done long, last_key long")
-    write_together(spark, out, {"a": write("a"), "b": write("b")}, none)
-    write_together(spark, out, {"a": write("a"), "b": lambda run: None}, none)
+    write_together(spark, out, {"a": write("a"), "b": write("b")}, none, 0)
+    write_together(spark, out, {"a": write("a"), "b": lambda run: None}, none, 1)
     assert read_output(spark, out, "a", "id long").count() == 10 and read_output(spark, out, "b", "id long").count() == 5
     assert read_output(spark, out, "never", "id long").count() == 0

@@ -15,7 +15,7 @@ from voxframe.plans.folders import errors_of
 from voxframe.session import spread
 from voxframe.sources.addresses import missing
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, with_roles
-from voxframe.sources.commits import LOG, append_run, read_output, total_progress, write_together
+from voxframe.sources.commits import LOG, append_run, ended_runs, read_output, total_progress, write_together
 from voxframe.sources.files import scan_audio
 from voxframe.sources.sinks import progress, read_done, write_missing, write_texts
 
@@ -75,20 +75,20 @@ def prepare_table(
     spark, kinds = df.sparkSession, dict(df.dtypes)
     keys, error = ["split", "id"], "error string"
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    done = {name: read_output(spark, out, name, key_schema) for name in ("text", "codes")}
+    runs = ended_runs(spark, out)
+    done = {name: read_output(spark, out, name, key_schema, runs=runs) for name in ("text", "codes")}
     left = missing(df, keys, done)
-    fresh, again = left.of("text"), left.of("codes", having=["text"])
 
     def encoded(rows: DataFrame) -> DataFrame:
         return infer_stage(rows, make_codec, ["audio"], "codes array<int>", batch_size).drop("attempt", "status")
 
     def wavs(run: str) -> None:
-        for part in fresh.parts("split", "id", "audio"):
+        for part in left.parts(["split", "id", "audio"], "text"):
             append_run(encoded(part), out, "wavs", run, "split")
 
     def codes(run: str) -> None:
         repeated = f"{out}/{LOG}/again"
-        for part in again.parts("split", "id", "audio"):
+        for part in left.parts(["split", "id", "audio"], "codes", having=["text"]):
             append_run(encoded(part).drop("audio"), repeated, "codes", run)
         columns = f"{key_schema}, codes array<int>, {error}, run string"
         made = [read_done(spark, path, columns).where(F.col("run") == run).drop("run") for path in (f"{out}/wavs", f"{repeated}/codes")]
@@ -97,13 +97,13 @@ def prepare_table(
         write_texts(results.where("error IS NOT NULL").select(*keys, "error"), errors_of(f"{out}/codes"), mode="overwrite")
 
     def texts(run: str) -> None:
-        for part in fresh.parts("split", "id", "text"):
+        for part in left.parts(["split", "id", "text"], "text"):
             append_run(part, out, "text", run, "split")
 
     def added(run: str) -> DataFrame:
         return progress(read_done(spark, f"{out}/codes", f"{key_schema}, run string").where(F.col("run") == run))
 
-    write_together(spark, out, {"wavs": wavs, "codes": codes, "text": texts}, added, before)
+    write_together(spark, out, {"wavs": wavs, "codes": codes, "text": texts}, added, len(runs), before)
     return total_progress(spark, out, "split", "id", kinds)
 
 

@@ -12,7 +12,8 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -41,70 +42,77 @@ def has_addresses(df: DataFrame) -> bool:
     return True
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= ADDRESSES else df
+def files_of(df: DataFrame) -> list[tuple[str, int]]:
+    """The files of a scan in order of paths, with their numbers of rows; no column is read.
 
-
-def files_of(df: DataFrame) -> DataFrame:
-    """(file, number, rows) of a scan, numbered in order of paths; no column is read. A row per file."""
+    One entry per file comes to the driver, which lists the files of a scan in any case.
+    """
     counted = df.select(F.col(FILE).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
-    return counted.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number"), "rows")
+    return sorted((r.file, r.rows) for r in counted.collect())
+
+
+def _numbers(spark: SparkSession, files: Sequence[tuple[str, int]]) -> DataFrame:
+    """(_file, _number), sent to the tasks while they are few."""
+    names = pa.table({"_file": [f for f, _ in files], "_number": pa.array([n for _, n in files], pa.int64())})
+    table = spark.createDataFrame(names)
+    return F.broadcast(table) if len(files) <= ADDRESSES else table
 
 
-def addressed(df: DataFrame, key: Sequence[str], files: DataFrame, n_files: int) -> DataFrame:
+def addressed(df: DataFrame, key: Sequence[str], files: Sequence[tuple[str, int]]) -> DataFrame:
     """Key columns and ``address`` of every row."""
-    rows = df.select(*key, F.col(FILE).alias("file"), F.col(ROW).alias("place"))
-    numbered = rows.join(_sent(files.select("file", "number"), n_files), "file")
-    return numbered.select(*key, (F.shiftleft("number", ROW_BITS) + F.col("place")).alias("address"))
+    rows = df.select(*key, F.col(FILE).alias("_file"), F.col(ROW).alias("place"))
+    numbered = rows.join(_numbers(df.sparkSession, [(f, i) for i, (f, _) in enumerate(files)]), "_file")
+    return numbered.select(*key, (F.shiftleft("_number", ROW_BITS) + F.col("place")).alias("address"))
 
 
 @dataclass(frozen=True)
 class Missing:
-    """What several outputs lack of a table: an address per key, the first of its rows, and a flag per output."""
+    """What several outputs lack of a table: an address per key, the first of its rows, and a flag per output.
+
+    ``lots`` has (number of the file, lot, rows, the outputs that lack these): one entry per file and combination, or per ADDRESSES rows of a
+    large file.
+    """
 
     df: DataFrame
-    files: DataFrame
+    files: list[tuple[str, int]]
     rows: DataFrame
-    outputs: tuple[str, ...]
-
-    def of(self, *lacking: str, having: Sequence[str] = ()) -> Missing:
-        """Only the keys that all of ``lacking`` lack, and that all of ``having`` have."""
-        chosen = [F.col(f"`{o}`") for o in lacking] + [~F.col(f"`{o}`") for o in having]
-        return Missing(self.df, self.files, self.rows.where(reduce(Column.__and__, chosen)), self.outputs)
-
-    def parts(self, *columns: str) -> Iterator[DataFrame]:
-        """The missing rows with the given columns, in one or more tables that are read where they lie."""
-        lots = self.rows.groupBy(F.shiftright("address", ROW_BITS).alias("number"), _lot().alias("lot")).agg(F.count(F.lit(1)).alias("n"))
-        # one row per file, or per ADDRESSES rows of a large one
-        known = self.files.join(lots, "number").select("file", "number", "lot", "n", "rows").orderBy("number", "lot").collect()
+    lots: list[tuple[int, int, int, frozenset[str]]]
+
+    def parts(self, columns: Sequence[str], lacking: str, having: Sequence[str] = ()) -> Iterator[DataFrame]:
+        """The rows that output ``lacking`` lacks, and that all of ``having`` have, in tables that are read where they lie."""
+        wanted = [(n, lot, rows) for n, lot, rows, lacks in self.lots if lacking in lacks and not lacks & {*having}]
         per_file: dict[int, int] = {}
-        for r in known:
-            per_file[r.number] = per_file.get(r.number, 0) + r.n
-        whole = sorted({r.file for r in known if per_file[r.number] == r.rows})
-        partial = [r for r in known if per_file[r.number] < r.rows]
-        wanted = self.df.select(*columns)
-        if whole and len(whole) == self.files.count():
-            yield wanted
-        else:
-            for at in range(0, len(whole), FILES):
-                yield self.df.where(F.col(FILE).isin(whole[at : at + FILES])).select(*columns)
-        lot: list = []
-        for r in [*partial, None]:
-            full = lot and (r is None or len(lot) == FILES or sum(x.n for x in lot) + r.n > ADDRESSES)
-            if full:
-                yield self._picked(lot, columns)
-                lot = []
-            lot.append(r)
-
-    def _picked(self, lot: list, columns: Sequence[str]) -> DataFrame:
-        spark = self.df.sparkSession
-        names = spark.createDataFrame([(r.file, r.number) for r in {r.number: r for r in lot}.values()], "_file string, _number long")
+        for n, _, rows in wanted:
+            per_file[n] = per_file.get(n, 0) + rows
+        whole = sorted(n for n, rows in per_file.items() if rows == self.files[n][1])
+        if whole and len(whole) == len(self.files):
+            yield self.df.select(*columns)
+            return
+        for at in range(0, len(whole), FILES):
+            yield self.df.where(F.col(FILE).isin([self.files[n][0] for n in whole[at : at + FILES]])).select(*columns)
+        chosen = F.col(f"`{lacking}`")
+        for name in having:
+            chosen &= ~F.col(f"`{name}`")
+        open_lots: list[tuple[int, int]] = []
+        held = 0
+        for n, lot, rows in sorted(w for w in wanted if per_file[w[0]] < self.files[w[0]][1]):
+            if open_lots and (held + rows > ADDRESSES or len(open_lots) == FILES):
+                yield self._picked(open_lots, columns, chosen)
+                open_lots, held = [], 0
+            open_lots.append((n, lot))
+            held += rows
+        if open_lots:
+            yield self._picked(open_lots, columns, chosen)
+
+    def _picked(self, lots: list[tuple[int, int]], columns: Sequence[str], chosen: Column) -> DataFrame:
+        numbers = sorted({n for n, _ in lots})
+        names = _numbers(self.df.sparkSession, [(self.files[n][0], n) for n in numbers])
         number, place = F.shiftright("address", ROW_BITS), F.col("address").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
         # at most ADDRESSES rows, as counted, and FILES names
-        chosen = F.broadcast(self.rows.where(_lot().isin([r.lot for r in lot])).select(number.alias("_number"), place.alias("_place")))
-        here = self.df.where(F.col(FILE).isin(sorted({r.file for r in lot})))
+        rows = self.rows.where(chosen & _lot().isin([lot for _, lot in lots])).select(number.alias("_number"), place.alias("_place"))
+        here = self.df.where(F.col(FILE).isin([self.files[n][0] for n in numbers]))
         here = here.select(*columns, F.col(FILE).alias("_file"), F.col(ROW).alias("_place"))
-        return here.join(F.broadcast(names), "_file").join(chosen, ["_number", "_place"], "left_semi").select(*columns)
+        return here.join(names, "_file").join(F.broadcast(rows), ["_number", "_place"], "left_semi").select(*columns)
 
 
 def missing(df: DataFrame, key: Sequence[str], done: Mapping[str, DataFrame]) -> Missing:
@@ -112,12 +120,15 @@ def missing(df: DataFrame, key: Sequence[str], done: Mapping[str, DataFrame]) ->
 
     Null is a key like any other. One shuffle of keys and addresses, merged before they move.
     """
-    files = stored(files_of(df), "files")
-    rows = addressed(df, key, files, files.count()).select(*key, "address", *[F.lit(0).alias(f"has {o}") for o in done])
+    files = files_of(df)
+    rows = addressed(df, key, files).select(*key, "address", *[F.lit(0).alias(f"has {o}") for o in done])
     for name, keys in done.items():
         marks = [F.lit(int(o == name)).alias(f"has {o}") for o in done]
         rows = rows.unionByName(keys.select(*key, F.lit(None).cast("long").alias("address"), *marks))
     found = rows.groupBy(*key).agg(F.min("address").alias("address"), *[F.max(f"has {o}").alias(f"has {o}") for o in done])
     lacks = [(F.col(f"`has {o}`") == 0).alias(o) for o in done]
-    left = found.where("address IS NOT NULL").select("address", *lacks).where(reduce(Column.__or__, [F.col(f"`{o}`") for o in done]))
-    return Missing(df, files, stored(left, "addresses"), tuple(done))
+    any_lacks = reduce(Column.__or__, [F.col(f"`{o}`") for o in done])
+    left = stored(found.where("address IS NOT NULL").select("address", *lacks).where(any_lacks), "addresses")
+    lots = left.groupBy(F.shiftright("address", ROW_BITS).alias("n"), _lot().alias("lot"), *[F.col(f"`{o}`") for o in done])
+    listed = [(r["n"], r["lot"], r["count"], frozenset(o for o in done if r[o])) for r in lots.count().collect()]
+    return Missing(df, files, left, listed)

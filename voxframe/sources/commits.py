@@ -7,7 +7,7 @@ the next one does its work again. One run at a time writes to a folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +28,14 @@ def ended_runs(spark: SparkSession, out: str) -> list[str]:
     return [r.run for r in log.orderBy("number").collect()]
 
 
-def read_output(spark: SparkSession, out: str, name: str, schema: str, last: bool = False) -> DataFrame:
-    """The rows of one output that count, or those of the last run; other runs are not read."""
-    runs = ended_runs(spark, out)
+def read_output(
+    spark: SparkSession, out: str, name: str, schema: str, last: bool = False, runs: Sequence[str] | None = None
+) -> DataFrame:
+    """The rows of one output that count, or those of the last run; other runs are not read.
+
+    ``runs`` are those of ``ended_runs`` where they are known already.
+    """
+    runs = ended_runs(spark, out) if runs is None else list(runs)
     rows = read_done(spark, f"{out.rstrip('/')}/{name}", f"{schema}, run string")
     return rows.where(F.col("run").isin(runs[-1:] if last else runs)).drop("run")
 
@@ -46,14 +51,15 @@ def write_together(
     out: str,
     outputs: Mapping[str, Callable[[str], None]],
     progress: Callable[[str], DataFrame],
+    number: int,
     before: Callable[[str], None] | None = None,
 ) -> None:
     """Write several outputs, each by a function of the run's id, then the log row that makes all of them count.
 
     ``progress`` gives what the run has added (a few rows, one per split); ``before`` hears the name of each
-    output as its turn comes.
+    output as its turn comes; ``number`` is how many runs have ended.
     """
-    number, run = len(ended_runs(spark, out)), uuid.uuid4().hex
+    run = uuid.uuid4().hex
     for name, write in outputs.items():
         if before:
             before(name)

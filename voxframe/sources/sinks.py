@@ -70,7 +70,7 @@ def write_missing(
     done = read_done(df.sparkSession, path, key_schema)
     change = transform or (lambda rows: rows)
     if has_addresses(df):
-        for part in missing(df, keys, {"output": done}).parts(*df.columns):
+        for part in missing(df, keys, {"output": done}).parts(df.columns, "output"):
             writer = change(part).write.mode("append")
             (writer.partitionBy(by) if by else writer).parquet(path)
         return
