@@ -166,3 +166,45 @@ def test_tail_alignment_restores_the_tokens(spark):
     for key, (tokens, ref) in made.items():
         mine = [v for _, v in sorted((r.sample, r.value) for r in rows if r.utt_id == key)]
         assert mine == pytest.approx([t for t in tokens[ref:] for _ in range(3)]), key
+
+
+def test_many_frames_at_one_place_are_added_as_they_come(spark):
+    """100,000 frames over one block, among others: the sums are those of the weights, and no list holds them."""
+    n, length = 100_000, 8
+    rows = spark.range(0, n, 1, 7).select(
+        F.lit("s").alias("k"), F.lit(4).cast("long").alias("at"), F.transform(F.sequence(F.lit(1), F.lit(length)), lambda j: (j + F.col("id") % 10).cast("double")).alias("frame")
+    )
+    rest = spark.createDataFrame([("s", 0, [5.0] * 8), ("s", 40, [2.0]), (None, 0, [1.0, 3.0])], "k string, at long, frame array<double>")
+    blocks = overlap_add(rows.unionByName(rest), "k", 8)
+    assert "collect_list" not in blocks._jdf.queryExecution().executedPlan().toString()
+    got = {(r.k, r.block): r.samples for r in blocks.collect()}
+    w = [1 - (j + 1) / (length + 1) for j in range(length)]
+    total, weight = [0.0] * 16, [0.0] * 16
+    for j in range(length):
+        total[j], weight[j] = total[j] + 5.0 * w[j], weight[j] + w[j]
+        total[4 + j] += n * (j + 1 + 4.5) * w[j]
+        weight[4 + j] += n * w[j]
+    want = [t / v if v else None for t, v in zip(total, weight)]
+    assert got[("s", 0)] == pytest.approx(want[:8]) and got[("s", 1)] == pytest.approx(want[8:12])
+    assert got[("s", 5)] == [2.0] and got[(None, 0)] == pytest.approx([1.0, 3.0])
+
+
+def test_sums_of_parts_equal_the_whole(spark):
+    """The same blocks whatever the batches that pieces meet in."""
+    import random
+
+    rng = random.Random(3)
+    frames = [("ab"[rng.random() < 0.3], rng.randint(0, 60), [rng.random() for _ in range(rng.randint(1, 30))]) for _ in range(300)]
+    df = spark.createDataFrame(frames, "k string, at long, frame array<double>")
+    want = {}
+    for k, at, x in frames:
+        for j, v in enumerate(x):
+            t = want.setdefault((k, at + j), [0.0, 0.0])
+            w = 0.5 - abs((j + 1) / (len(x) + 1) - 0.5)
+            t[0], t[1] = t[0] + w * v, t[1] + w
+    for batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(r.k, r.sample): r.value for r in to_samples(overlap_add(df, "k", 16, weight="triangle"), "k", 16).collect()}
+        assert {p for p, v in got.items() if v is not None} == set(want)
+        assert all(got[p] == pytest.approx(t[0] / t[1]) for p, t in want.items())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

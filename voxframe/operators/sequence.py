@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+#: Samples of the blocks that are handed on together.
+OUT_SAMPLES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -161,31 +163,129 @@ def weights(low: int, count: int, at: int, length: int, kind: str) -> np.ndarray
     return 1 - t if kind == "ramp" else 0.5 - np.abs(t - 0.5)
 
 
-def _mean_of_pieces(kind: str) -> Callable[[pa.Array, pa.Array, pa.Array], pa.Array]:
-    """Weighted mean over the pieces of each block, on the batch's own buffers."""
-
-    def mean(pieces: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
-        flat = pieces.flatten()
-        at, length, low = (flat.field(n).to_numpy() for n in ("at", "len", "low"))
-        x = flat.field("x")
-        values = x.flatten().to_numpy(zero_copy_only=False)
-        edges = x.offsets.to_numpy() - x.offsets[0].as_py()
-        firsts = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        starts, sizes = start.to_numpy(), end.to_numpy() - start.to_numpy()
-        out_edges = np.concatenate([[0], np.cumsum(sizes)])
-        total, weight = np.zeros(out_edges[-1]), np.zeros(out_edges[-1])
-        for row in range(len(pieces)):
-            for p in range(firsts[row], firsts[row + 1]):
-                part = values[edges[p] : edges[p + 1]]
-                to = out_edges[row] + low[p] - starts[row]
-                w = weights(low[p], len(part), at[p], length[p], kind)
-                total[to : to + len(part)] += w * part
-                weight[to : to + len(part)] += w
+_PIECE = ("block", "end", "wanted", "at", "len", "low", "x", "w")
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists and where each list begins and ends among them."""
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def _summed(key: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per batch and block one piece in place of many: sums of weighted samples (``x``) and of weights (``w``).
+
+    A lone piece stays as it is, as do those that lie so far apart that their sums would be longer than they are.
+    """
+
+    whole, reals = pa.int64(), pa.list_(pa.float64())
+    kinds = [whole, whole, pa.bool_(), whole, whole, whole, reals, reals]
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(0), *[batch.column(c).cast(k) for c, k in zip(_PIECE, kinds)]]
+        return pa.RecordBatch.from_arrays(columns, [key, *_PIECE])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(alike, batches):
+            if not batch.num_rows:
+                continue
+            low, block = batch.column("low").to_numpy(), batch.column("block").to_numpy()
+            values, edges = _flat(batch.column("x"))
+            size = np.diff(edges)
+            codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+            order = np.lexsort((low, block, codes))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (codes[order][1:] != codes[order][:-1]) | (block[order][1:] != block[order][:-1])
+            firsts = np.flatnonzero(fresh)
+            counts = np.diff(np.append(firsts, len(order)))
+            begin = np.minimum.reduceat(low[order], firsts)
+            span = np.maximum.reduceat((low + size)[order], firsts) - begin
+            many = (counts > 1) & (span <= np.add.reduceat(size[order], firsts))
+            group = np.empty(len(order), np.int64)
+            group[order] = np.repeat(np.arange(len(firsts)), counts)
+            alone = pa.array(~many[group])
+            if not many.any():
+                yield batch
+                continue
+            yield batch.filter(alone)
+            # the pieces of all groups that are merged, sample by sample
+            rows = np.flatnonzero(many[group])
+            to = np.cumsum(span * many) - span * many
+            at, sample = np.repeat(rows, size[rows]), _places(size[rows])
+            t = (low[at] - batch.column("at").to_numpy()[at] + sample + 1) / (batch.column("len").to_numpy()[at] + 1)
+            w = 1 - t if kind == "ramp" else 0.5 - np.abs(t - 0.5)
+            place = to[group[at]] + low[at] - begin[group[at]] + sample
+            total = int((span * many).sum())
+            sums = np.bincount(place, w * values[edges[at] + sample], total)
+            weight = np.bincount(place, w, total)
+            kept = order[firsts[many]]
+            ends = pa.array(np.append(to[many], total).astype(np.int32))
+            end = np.maximum.reduceat(batch.column("end").to_numpy()[order], firsts)[many]
+            wanted = np.logical_or.reduceat(batch.column("wanted").to_numpy(zero_copy_only=False)[order], firsts)[many]
+            none = pa.nulls(len(kept), pa.int64())
+            columns = [
+                batch.column(key).take(pa.array(kept)), pa.array(block[kept]), pa.array(end), pa.array(wanted), none, none, pa.array(begin[many]),
+                pa.ListArray.from_arrays(ends, pa.array(sums)), pa.ListArray.from_arrays(ends, pa.array(weight)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [key, *_PIECE])
+
+    return merge
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of the lists of these lengths, one after the other."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _means(key: str, stride: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks from their pieces in order of key and block, by vector addition; one block is held at a time."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+        here, name, total, weight, end, wanted = None, None, np.zeros(stride), np.zeros(stride), 0, False
+        for batch in batches:
+            values, edges = _flat(batch.column("x"))
+            given, given_edges = _flat(batch.column("w"))
+            summed = batch.column("w").is_valid().to_numpy(zero_copy_only=False)
+            low, stops = batch.column("low").to_numpy(), batch.column("end").to_numpy()
+            at, length = (batch.column(c).fill_null(0).to_numpy() for c in ("at", "len"))
+            asked = batch.column("wanted").to_numpy(zero_copy_only=False)
+            places = list(zip(batch.column(key).to_pylist(), batch.column("block").to_pylist()))
+            for row, place in enumerate(places):
+                if place != here:
+                    if wanted:
+                        yield name, here[1], total[: end - here[1] * stride], weight[: end - here[1] * stride]
+                    here, name = place, batch.column(key).slice(row, 1)
+                    total, weight, end, wanted = np.zeros(stride), np.zeros(stride), 0, False
+                part = values[edges[row] : edges[row + 1]]
+                to = low[row] - place[1] * stride
+                if summed[row]:
+                    total[to : to + len(part)] += part
+                    weight[to : to + len(part)] += given[given_edges[row] : given_edges[row + 1]]
+                else:
+                    w = weights(low[row], len(part), at[row], length[row], kind)
+                    total[to : to + len(part)] += w * part
+                    weight[to : to + len(part)] += w
+                end, wanted = max(end, int(stops[row])), wanted or bool(asked[row])
+        if wanted:
+            yield name, here[1], total[: end - here[1] * stride], weight[: end - here[1] * stride]
+
+    def out(lot: list[tuple[pa.Array, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        total, weight = (np.concatenate([b[i] for b in lot]) for i in (2, 3))
         covered = weight > 0
         np.divide(total, weight, out=total, where=covered)
-        return pa.ListArray.from_arrays(
-            pa.array(out_edges, pa.int32()), pa.array(total, pa.float64(), mask=~covered)
-        )
+        ends = np.cumsum([0, *[len(b[2]) for b in lot]])
+        samples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total, pa.float64(), mask=~covered))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([b[0] for b in lot]), pa.array([b[1] for b in lot], pa.int64()), samples], [key, "block", "samples"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, held = [], 0
+        for block in blocks(batches):
+            lot.append(block)
+            held += len(block[2])
+            if held >= OUT_SAMPLES:
+                yield out(lot)
+                lot, held = [], 0
+        if lot:
+            yield out(lot)
 
     return mean
 
@@ -217,15 +317,13 @@ def _add_pieces(pieces: DataFrame, key: str, stride: int, weight: str, wanted: C
     """Blocks from their pieces; ``wanted`` must hold for one piece of a block at least."""
     if weight not in ("ramp", "triangle"):
         raise ValueError(f"unknown weight {weight!r}: ramp or triangle")
-    gathered = pieces.groupBy(key, "block").agg(
-        F.array_sort(F.collect_list("piece")).alias("_pieces"),
-        F.max("end").alias("_end"),
-        F.bool_or(F.lit(True) if wanted is None else wanted).alias("_wanted"),
-    )
-    if wanted is not None:
-        gathered = gathered.where("_wanted")
-    mean = F.arrow_udf(_mean_of_pieces(weight), T.ArrayType(T.DoubleType()))
-    return gathered.select(key, "block", mean(F.col("_pieces"), F.col("block") * stride, F.col("_end")).alias("samples"))
+    kind = dict(pieces.dtypes)[key]
+    flat = pieces.select(key, "block", "end", (F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).alias("wanted"), "piece.*")
+    fields = f"`{key}` {kind}, block bigint, end bigint, wanted boolean, at bigint, len bigint, low bigint, x array<double>, w array<double>"
+    # pieces of one batch are added up before they move, all others as they arrive
+    partial = flat.withColumn("w", F.lit(None).cast("array<double>")).mapInArrow(_summed(key, weight), fields)
+    ordered = partial.repartition(key, "block").sortWithinPartitions(key, "block", "low")
+    return ordered.mapInArrow(_means(key, stride, weight), f"`{key}` {kind}, block bigint, samples array<double>")
 
 
 def overlap_add(
@@ -233,8 +331,9 @@ def overlap_add(
 ) -> DataFrame:
     """Weighted mean of overlapping frames, one row per (key, block) of ``stride`` samples.
 
-    ``at`` is a frame's first sample position, one frame each. Only the pieces of frames are
-    shuffled; a block gathers the few that overlap it, so long series are spread over the cluster.
+    ``at`` is a frame's first sample position. Only the pieces of frames are shuffled, and those that a task has for
+    one block as their sum; a block adds up what arrives, so long series are spread over the cluster and a block with
+    many frames is never held as a list.
     ``samples`` starts at ``block * stride``; a position no frame covers is null, or left out at
     the end of its block.
     """
