@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators.inference import Attempt, infer_stage
+from voxframe.operators.inference import Attempt, Call, infer_group, infer_stage
 from voxframe.operators.records import split_failures
 
 
@@ -110,3 +110,68 @@ def test_pacing(texts):
     begun = time.time()
     infer_stage(texts, counter(100), ["text"], "n long, tags array<string>", 2, min_interval_s=0.3).collect()
     assert time.time() - begun > 0.9
+
+
+def test_errors_that_a_model_reports_cost_no_calls(spark, tmp_path):
+    """Rows with an error of their own go on to the next attempt; the others are not asked about again."""
+    calls = str(tmp_path / "calls")
+
+    def make(odd):
+        def built():
+            def predict(batch):
+                with open(calls, "a") as out:
+                    out.write(f"{len(batch)}\n")
+                bad = batch["id"] % 4 == odd
+                return pd.DataFrame({"n": batch["id"] * 10, "error": [f"bad {i}" if b else None for i, b in zip(batch["id"], bad)]})
+
+            return predict
+
+        return built
+
+    ladder = (Attempt("full"), Attempt("other", make=make(9)))
+    df = infer_stage(spark.range(0, 32, 1, 1), make(1), ["id"], "n long", 16, ladder)
+    got = {r.id: (r.n, r.attempt, r.status, r.error) for r in df.collect()}
+    assert all(got[i] == ((i * 10, "other", "retried", None) if i % 4 == 1 else (i * 10, "full", "ok", None)) for i in range(32))
+    assert sorted(map(int, open(calls).read().split())) == [4, 4, 16, 16]
+    alone = infer_stage(spark.range(4), make(1), ["id"], "n long", default={"n": -1}).where("id = 1").first()
+    assert (alone.n, alone.status, alone.error) == (-1, "default", "bad 1")
+
+
+def test_models_that_share_an_input_run_in_one_node(spark):
+    def times(k):
+        return lambda: lambda batch: pd.DataFrame({f"x{k}": batch["a"] * k})
+
+    def refusing():
+        def predict(batch):
+            raise ValueError("no")
+
+        return predict
+
+    df = spark.range(10).select("id", F.col("id").alias("a"), (F.col("id") > 4).alias("late"))
+    calls = [Call("two", times(2), ["a"], "x2 long"), Call("three", times(3), ["a"], "x3 long", only="late"), Call("never", refusing, ["a"], "y string")]
+    made = infer_group(df, calls)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in made.collect():
+        assert (r.x2, r.x3, r.y, r.two_error, r.never_error) == (r.id * 2, r.id * 3 if r.id > 4 else None, None, None, "ValueError: no")
+    with pytest.raises(ValueError, match="there already"):
+        infer_group(df, [Call("a", times(2), ["a"], "late long")])
+
+
+def test_sound_goes_to_python_twice_for_all_models(spark):
+    from voxframe.plans.annotate import annotate
+    from workload.queries import MODELS
+
+    rows = spark.createDataFrame([("1-1", "a.wav", b"1-1|hi there")], "utt_id string, rel_path string, content binary")
+    plan = annotate(rows, MODELS, pause_s=0.0)._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.split("\n") if "ArrowEvalPython" in line]
+    assert len(nodes) == 4 and sum("content#" in n.partition("], [")[0] for n in nodes) == 2
+
+
+def test_lanes_bound_the_callers(spark):
+    def make():
+        from pyspark import TaskContext
+
+        return lambda batch: pd.DataFrame({"lane": [TaskContext.get().partitionId()] * len(batch)})
+
+    df = infer_stage(spark.range(0, 1000, 1, 9), make, ["id"], "lane int", lanes=3)
+    assert df.select("lane").distinct().count() == 3 and df.count() == 1000

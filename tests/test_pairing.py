@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
+from voxframe.operators import pairing
 from voxframe.operators.pairing import (
     assert_complete,
+    audit_ranges,
     audit,
     audit_summary,
     common_names,
@@ -56,3 +59,22 @@ def test_audit(sides):
     with pytest.raises(Exception, match="1 inputs without output, 1 outputs without input"):
         assert_complete(left, right).collect()
     assert assert_complete(left, left.union(left)).first().n_output == 3
+
+
+def test_audit_of_ranges_compares_only_keys_of_ranges_that_differ(spark):
+    left = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("utt_id"))
+    right = left.where("utt_id NOT IN ('k7', 'k19999')").unionByName(spark.createDataFrame([("new",), ("k5",)], "utt_id string"))
+    found = audit_ranges(left, right)
+    assert sorted(map(tuple, found.collect())) == [("k19999", "output"), ("k7", "output"), ("new", "input")]
+    # three keys that miss and one that repeats lie in four ranges at most, which the last plan names
+    assert 1 <= len(pairing._differing(left, right, "utt_id", [pairing._range_of("utt_id", 1)])) <= 4
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(2") >= 2
+    assert audit_ranges(left, left.unionByName(left)).count() == 0
+    assert audit_ranges(left, left.limit(0)).count() == 20_000
+    assert audit_ranges(left.limit(0), left.limit(0)).count() == 0
+
+
+def test_audit_of_ranges_with_null_keys(spark):
+    a = spark.createDataFrame([("x",), (None,), ("y",)], "utt_id string")
+    b = spark.createDataFrame([("x",), ("y",), ("y",)], "utt_id string")
+    assert [tuple(r) for r in audit_ranges(a, b).collect()] == [(None, "output")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +33,108 @@ FULL = Attempt("full")
 PARTS = 8
 
 
+@dataclass(frozen=True)
+class Call:
+    """One model of a group: what it is built by, what it gets and returns, how it is tried (see ``infer_stage``)."""
+
+    name: str
+    make: Callable[[], Predictor]
+    inputs: Sequence[str]
+    out_schema: str | T.StructType
+    batch_size: int = 64
+    attempts: Sequence[Attempt] = (FULL,)
+    default: dict | None = None
+    on_error: str = "record"
+    min_interval_s: float = 0.0
+    only: str | None = None
+
+
+
+def _parsed(call: Call) -> Call:
+    """The call with its schema as a type, which workers can't make of text."""
+    return replace(call, out_schema=T.StructType.fromDDL(call.out_schema)) if isinstance(call.out_schema, str) else call
+
+
+def _solver(call: Call) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Builds each rung's predictor once; gives the outputs, ``attempt``, ``status`` and ``error`` of a frame's rows."""
+    out_names = call.out_schema.fieldNames()
+    added = [*out_names, "attempt", "status", "error"]
+    ladder, fallback, built = list(call.attempts), dict(call.default or {}), {}
+
+    def ask(rung: int, batch: pd.DataFrame) -> pd.DataFrame:
+        attempt = ladder[rung]
+        if rung not in built:
+            built[rung] = (attempt.make or call.make)()
+        given = batch.reset_index(drop=True)
+        try:
+            made = built[rung](attempt.prepare(given) if attempt.prepare else given)
+        finally:
+            if call.min_interval_s:
+                time.sleep(call.min_interval_s)
+        if len(made) != len(batch):
+            raise ValueError(f"{len(made)} results for {len(batch)} inputs")
+        reported = ["error"] if "error" in made.columns and "error" not in out_names else []
+        return made[[*out_names, *reported]].set_axis(batch.index)
+
+    def isolate(rung: int, batch: pd.DataFrame, done: list[pd.DataFrame], errors: dict[int, str]) -> None:
+        """Results of the rows this attempt can do; a batch that raises is divided down to its culprits."""
+        try:
+            made = ask(rung, batch)
+        except Exception as problem:
+            if len(batch) == 1:
+                errors[batch.index[0]] = f"{type(problem).__name__}: {problem}"
+                return
+            size = -(-len(batch) // PARTS)
+            for at in range(0, len(batch), size):
+                isolate(rung, batch.iloc[at : at + size], done, errors)
+            return
+        if "error" in made.columns and "error" not in out_names:
+            # rows the model itself reports are not asked about again
+            failed = made["error"].notna()
+            errors.update(made.loc[failed, "error"].astype(str).to_dict())
+            made = made.loc[~failed, out_names]
+        if len(made):
+            done.append(made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None))
+
+    def solve(batch: pd.DataFrame) -> pd.DataFrame:
+        done: list[pd.DataFrame] = []
+        left, errors = batch, {}
+        for rung in range(len(ladder)):
+            errors = {}
+            isolate(rung, left, done, errors)
+            if not errors:
+                break
+            left = left.loc[list(errors)]
+        if errors and call.on_error == "raise":
+            raise RuntimeError(next(iter(errors.values())))
+        if not errors and len(done) == 1:
+            return done[0]
+        # columns of several origins: values stay as they are, none becomes another type
+        blank = [(*[fallback.get(n) for n in out_names], None, "default", e) for e in errors.values()]
+        rest = [pd.DataFrame(blank, columns=added, index=list(errors), dtype=object)] if errors else []
+        return pd.concat([d.astype(object) for d in done] + rest).loc[batch.index]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for at in range(0, len(frame), call.batch_size):
+            part = frame.iloc[at : at + call.batch_size].reset_index(drop=True)
+            chosen = part.index if call.only is None else part.index[part[call.only].fillna(False).astype(bool)]
+            made = solve(part.loc[chosen, list(call.inputs)]) if len(chosen) else pd.DataFrame(columns=added)
+            if len(chosen) < len(part):
+                made = made.astype(object).reindex(part.index)
+                made = made.where(made.notna(), None)
+                made.loc[part.index.difference(chosen), "status"] = "skipped"
+            parts.append(made.loc[part.index, added])
+        if len({tuple(p.dtypes) for p in parts}) > 1:
+            parts = [p.astype(object) for p in parts]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=added)
+
+    return run
+
+
+NOTES = ("attempt", "status", "error")
+
+
 def infer_stage(
     df: DataFrame,
     make_predictor: Callable[[], Predictor],
@@ -44,96 +146,61 @@ def infer_stage(
     on_error: str = "record",
     min_interval_s: float = 0.0,
     only: str | None = None,
+    lanes: int | None = None,
 ) -> DataFrame:
     """Adds the predictor's columns, ``attempt``, ``status`` and ``error`` to every row.
 
     The predictor gets a frame of ``input_cols`` and returns one of ``out_schema`` with as many
-    rows. A batch that fails is divided until the rows that make it fail stand alone; these go
-    on to the next attempt together. Rows that no attempt could do get ``default`` (or nulls) and the
-    last error, or fail the task with ``on_error="raise"``. ``status`` is ``ok``, ``retried`` or
-    ``default``. With ``min_interval_s`` a task waits that long after each call, so the overall rate
-    is the number of concurrent tasks per interval. ``only`` names a boolean column; rows without it
-    are ``skipped`` and get nulls.
+    rows; it may report rows it can't do in a column ``error`` of its own. A batch that raises is divided until the rows
+    that make it fail stand alone; failed rows go on to the next attempt together. Rows that no attempt could do get
+    ``default`` (or nulls) and the last error, or fail the task with ``on_error="raise"``. ``status`` is ``ok``,
+    ``retried`` or ``default``. With ``min_interval_s`` a task waits that long after each call. ``lanes`` deals the rows to so many
+    tasks, whatever the size of the cluster: there are never more callers at once, nor more than ``lanes`` calls an
+    interval. ``only`` names a boolean column; rows without it are ``skipped`` and get nulls.
     """
     if on_error not in ("record", "raise"):
         raise ValueError(f"on_error is {on_error!r}: record or raise")
-    if isinstance(out_schema, str):
-        out_schema = T.StructType.fromDDL(out_schema)
-    out_names = out_schema.fieldNames()
-    added = [*out_names, "attempt", "status", "error"]
-    taken = set(df.columns) & {*added}
+    inputs = list(input_cols)
+    mark = "_only" if only else None
+    call = _parsed(Call("", make_predictor, inputs, out_schema, batch_size, attempts, default, on_error, min_interval_s, mark))
+    outputs = call.out_schema
+    taken = set(df.columns) & {*outputs.fieldNames(), *NOTES}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are there already")
-    notes = [T.StructField(n, T.StringType()) for n in ("attempt", "status", "error")]
-    inputs, ladder, fallback = list(input_cols), list(attempts), dict(default or {})
+    result = T.StructType([*outputs.fields, *[T.StructField(n, T.StringType()) for n in NOTES]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built: dict[int, Predictor] = {}
-
-        def call(rung: int, batch: pd.DataFrame) -> pd.DataFrame:
-            attempt = ladder[rung]
-            if rung not in built:
-                built[rung] = (attempt.make or make_predictor)()
-            given = batch.reset_index(drop=True)
-            try:
-                made = built[rung](attempt.prepare(given) if attempt.prepare else given)
-            finally:
-                if min_interval_s:
-                    time.sleep(min_interval_s)
-            if len(made) != len(batch):
-                raise ValueError(f"{len(made)} results for {len(batch)} inputs")
-            return made[out_names].set_axis(batch.index)
-
-        def isolate(rung: int, batch: pd.DataFrame, done: list[pd.DataFrame], errors: dict[int, str]) -> None:
-            """Results of the rows this attempt can do; a batch that fails is divided down to its culprits."""
-            try:
-                made = call(rung, batch)
-            except Exception as problem:
-                if len(batch) == 1:
-                    errors[batch.index[0]] = f"{type(problem).__name__}: {problem}"
-                    return
-                size = -(-len(batch) // PARTS)
-                for at in range(0, len(batch), size):
-                    isolate(rung, batch.iloc[at : at + size], done, errors)
-                return
-            done.append(made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None))
-
-        def solve(batch: pd.DataFrame) -> pd.DataFrame:
-            done: list[pd.DataFrame] = []
-            left, errors = batch, {}
-            for rung in range(len(ladder)):
-                errors = {}
-                isolate(rung, left, done, errors)
-                if not errors:
-                    break
-                left = left.loc[list(errors)]
-            if errors and on_error == "raise":
-                raise RuntimeError(next(iter(errors.values())))
-            if not errors and len(done) == 1:
-                return done[0]
-            # columns of several origins: values stay as they are, none becomes another type
-            blank = [(*[fallback.get(n) for n in out_names], None, "default", e) for e in errors.values()]
-            rest = [pd.DataFrame(blank, columns=added, index=list(errors), dtype=object)] if errors else []
-            return pd.concat([d.astype(object) for d in done] + rest).loc[batch.index]
-
+        solve = _solver(call)
         for frame in frames:
-            parts = []
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size].reset_index(drop=True)
-                chosen = part.index if only is None else part.index[part["_only"].fillna(False).astype(bool)]
-                made = solve(part.loc[chosen, inputs]) if len(chosen) else pd.DataFrame(columns=added)
-                if len(chosen) < len(part):
-                    made = made.astype(object).reindex(part.index)
-                    made = made.where(made.notna(), None)
-                    made.loc[part.index.difference(chosen), "status"] = "skipped"
-                parts.append(made.loc[part.index, added])
-            if len({tuple(p.dtypes) for p in parts}) > 1:
-                parts = [p.astype(object) for p in parts]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=added)
+            yield solve(frame)
 
     # only the inputs go to Python and only the results come back; the mark keeps the optimizer from
     # running the model once per use of a result
-    result = T.StructType([*out_schema.fields, *notes])
     model = F.pandas_udf(run, result).asNondeterministic()
     given = [F.col(c) for c in inputs] + ([F.col(only).alias("_only")] if only else [])
-    return df.withColumn("_made", model(F.struct(*given))).select(*df.columns, "_made.*")
+    dealt = df.repartition(lanes) if lanes else df
+    return dealt.withColumn("_made", model(F.struct(*given))).select(*df.columns, "_made.*")
+
+
+def infer_group(df: DataFrame, calls: Sequence[Call]) -> DataFrame:
+    """Adds the outputs of several models and ``<name>_error`` of each; the columns they share go to Python once.
+
+    All models of a group are built in one worker per task and run one after the other on each batch; none may need what
+    another one returns.
+    """
+    calls = [_parsed(call) for call in calls]
+    inputs = list(dict.fromkeys(c for call in calls for c in [*call.inputs, *([call.only] if call.only else [])]))
+    fields = [f for call in calls for f in [*call.out_schema.fields, T.StructField(f"{call.name}_error", T.StringType())]]
+    taken = set(df.columns) & {f.name for f in fields}
+    if taken or len({f.name for f in fields}) < len(fields):
+        raise ValueError(f"columns {sorted(taken) or sorted(f.name for f in fields)} are there already")
+    names = [(call.out_schema.fieldNames(), f"{call.name}_error") for call in calls]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        solvers = [_solver(call) for call in calls]
+        for frame in frames:
+            made = [solve(frame).rename(columns={"error": error})[[*outs, error]] for solve, (outs, error) in zip(solvers, names)]
+            yield pd.concat(made, axis=1)
+
+    model = F.pandas_udf(run, T.StructType(fields)).asNondeterministic()
+    return df.withColumn("_made", model(F.struct(*inputs))).select(*df.columns, "_made.*")

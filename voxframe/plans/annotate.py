@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import extract_tagged, prompt_by_language, strip_time_tags
 from voxframe.functions.tokens import argmax_map, parse_segments, word_timings
-from voxframe.operators.inference import FULL, Attempt, Predictor, infer_stage
+from voxframe.operators.inference import FULL, Attempt, Call, Predictor, infer_group
 from voxframe.operators.records import (
     DEFAULT_LANG,
     annotated_record,
@@ -55,7 +55,8 @@ class Stage:
 
     ``inputs`` maps what the model calls its inputs to columns, ``outputs`` what it returns to
     columns with their types. ``before`` adds columns the call needs; ``only`` is the condition
-    for rows that are sent at all.
+    for rows that are sent at all. Stages with the same ``together`` run where the first of them stands, in one worker
+    that gets the columns they share once; what any of them needs must be there before all of them.
     """
 
     name: str
@@ -68,6 +69,7 @@ class Stage:
     default: dict = field(default_factory=dict)
     batch_size: int = 16
     min_interval_s: float = 0.0
+    together: str | None = None
 
 
 def _renaming(make: Callable[[], Predictor], stage: Stage) -> Callable[[], Predictor]:
@@ -87,27 +89,39 @@ def _renaming(make: Callable[[], Predictor], stage: Stage) -> Callable[[], Predi
 def run_stages(df: DataFrame, stages: Sequence[Stage], cut_after: Collection[str] = ()) -> DataFrame:
     """Stages one after the other; each leaves its error under ``<name>_error``.
 
-    Stages run in one pass over the rows, each with a worker of its own per task. ``cut_after``
-    names stages after which the table is written to the shared folder: models before and after
+    Stages run in one pass over the rows, each group with a worker of its own per task. ``cut_after``
+    names stages after whose group the table is written to the shared folder: models before and after
     are then never loaded together, and a lost executor costs no finished calls.
     """
+    groups: dict[str, list[Stage]] = {}
     for s in stages:
-        if s.before:
-            df = s.before(df)
-        sent = df.withColumn("_sent", s.only) if s.only is not None else df
-        done = infer_stage(
-            sent,
-            _renaming(s.make, s),
-            list(s.inputs.values()),
-            ", ".join(f"`{column}` {kind}" for column, kind in s.outputs.values()),
-            s.batch_size,
-            [replace(a, make=_renaming(a.make, s)) if a.make else a for a in s.attempts],
-            s.default,
-            min_interval_s=s.min_interval_s,
-            only="_sent" if s.only is not None else None,
-        )
-        df = done.withColumnRenamed("error", f"{s.name}_error").drop("attempt", "status", "_sent")
-        if s.name in cut_after:
+        groups.setdefault(s.together or f"alone {s.name}", []).append(s)
+    for group in groups.values():
+        columns = df.columns
+        for s in group:
+            if s.before:
+                df = s.before(df)
+        kept = list(dict.fromkeys([*columns, *df.columns]))
+        for s in group:
+            if s.only is not None:
+                df = df.withColumn(f"_sent_{s.name}", s.only)
+        calls = [
+            Call(
+                s.name,
+                _renaming(s.make, s),
+                list(s.inputs.values()),
+                ", ".join(f"`{column}` {kind}" for column, kind in s.outputs.values()),
+                s.batch_size,
+                [replace(a, make=_renaming(a.make, s)) if a.make else a for a in s.attempts],
+                s.default,
+                min_interval_s=s.min_interval_s,
+                only=f"_sent_{s.name}" if s.only is not None else None,
+            )
+            for s in group
+        ]
+        made = [c for s in group for c in [*[column for column, _ in s.outputs.values()], f"{s.name}_error"]]
+        df = infer_group(df, calls).select(*kept, *made)
+        if any(s.name in cut_after for s in group):
             df = cut_lineage(df)
     return df
 
@@ -171,8 +185,8 @@ def recording_stages(
     def fixed(df: DataFrame) -> DataFrame:
         return df.withColumn("lang", F.lit(language))
 
-    def asking(prompts: Mapping[str, str], **fields: str) -> Callable[[DataFrame], DataFrame]:
-        return lambda df: df.withColumn("request", request(prompts, lang, {k: F.col(c) for k, c in fields.items()}))
+    def asking(prompts: Mapping[str, str], out: str = "request", **fields: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: df.withColumn(out, request(prompts, lang, {k: F.col(c) for k, c in fields.items()}))
 
     def judging(df: DataFrame) -> DataFrame:
         return asking(CORRECTION_PROMPTS, base="second", first="first", third="third")(with_second(df))
@@ -181,46 +195,76 @@ def recording_stages(
         return asking(POLISH_PROMPTS, text="merged")(with_merged(df, compat))
 
     label, sure = F.col("non_speech_label"), F.col("non_speech_confidence")
-    heard = {**audio, "request": "request"}
     asked = {"request": "request"}
     return [
-        Stage("measure", models["measure"], audio, {"duration": ("duration", "double"), "snr": ("snr", "double")}),
+        # those that need the sound alone
+        Stage(
+            "measure", models["measure"], audio, {"duration": ("duration", "double"), "snr": ("snr", "double")}, together="sound"
+        ),
         *(
             []
             if language
-            else [Stage("language", models["language"], audio, {"probs": ("language_probs", "map<string,double>")})]
+            else [
+                Stage("language", models["language"], audio, {"probs": ("language_probs", "map<string,double>")}, together="sound")
+            ]
         ),
         *[
-            Stage(t, models[t], audio, {"label": (f"{t}_label", "string"), "confidence": (f"{t}_confidence", "double")})
+            Stage(
+                t,
+                models[t],
+                audio,
+                {"label": (f"{t}_label", "string"), "confidence": (f"{t}_confidence", "double")},
+                together="sound",
+            )
             for t in TAGGERS
         ],
+        Stage(
+            "speakers",
+            models["speakers"],
+            audio,
+            {"segments": ("speech_segments", "array<string>")},
+            attempts=speaker_attempts,
+            together="sound",
+        ),
+        Stage("gender", models["gender"], audio, {"label": ("gender", "string")}, together="sound"),
+        # those that need language and label, too
         Stage(
             "first",
             models["first"],
             {**audio, "lang": "lang"},
             {"text": ("first", "string"), "segments": ("segments", WORDS)},
             before=fixed if language else with_language,
+            together="speech",
         ),
         Stage(
             "second",
             models["second"],
-            heard,
+            {**audio, "request": "request_second"},
             {"text": ("second", "string")},
-            before=asking(TRANSCRIPTION_PROMPTS),
+            before=asking(TRANSCRIPTION_PROMPTS, "request_second"),
             default={"second": ""},
             min_interval_s=pause_s,
+            together="speech",
         ),
         Stage(
             "labelled",
             models["second"],
-            heard,
+            {**audio, "request": "request_labelled"},
             {"text": ("second_labelled", "string")},
-            before=asking(LABELLED_PROMPTS, label="non_speech_label"),
+            before=asking(LABELLED_PROMPTS, "request_labelled", label="non_speech_label"),
             only=label_is_sure(label, sure),
             default={"second_labelled": ""},
             min_interval_s=pause_s,
+            together="speech",
+        ),
+        Stage(
+            "third",
+            models["third"],
+            audio,
+            {"text": ("third", "string")},
+            only=third_system_wanted(lang, third_enabled),
+            together="speech",
         ),
-        Stage("third", models["third"], audio, {"text": ("third", "string")}, only=third_system_wanted(lang, third_enabled)),
         Stage(
             "judge",
             models["judge"],
@@ -229,10 +273,6 @@ def recording_stages(
             before=judging,
         ),
         Stage("polish", models["polish"], asked, {"text": ("polished", "string")}, before=polishing),
-        Stage(
-            "speakers", models["speakers"], audio, {"segments": ("speech_segments", "array<string>")}, attempts=speaker_attempts
-        ),
-        Stage("gender", models["gender"], audio, {"label": ("gender", "string")}),
     ]
 
 

@@ -244,6 +244,9 @@ SELECT (SELECT count(DISTINCT doc_id) FROM labels) AS n_input, (SELECT count(DIS
   (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing,
   (SELECT count(DISTINCT vec_id) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS n_extra"""
 ORACLES["completeness"] = "SELECT count(*) AS n_input, count(*) AS n_output, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM documents"
+ORACLES["audit_differing"] = """
+SELECT doc_id AS utt_id, 'output' AS missing_in FROM documents WHERE doc_id = 17 OR doc_id = (SELECT max(doc_id) FROM documents)
+UNION ALL SELECT -max(doc_id), 'input' FROM documents"""
 ORACLES["last_event_wins"] = """
 SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
@@ -463,3 +466,9 @@ mixed AS (SELECT final.user_id, regular * 100 + final.o AS sample,
 SELECT user_id, sample, round(v, 6) AS value FROM (SELECT user_id, sample, v FROM regular UNION ALL SELECT * FROM mixed)"""
 ORACLES["stitched_layout"] = LAYOUT
 ORACLES["stitch_stream"] = LAYOUT
+
+ORACLES["paced_calls"] = """
+SELECT count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars, 0::BIGINT AS n_too_soon, 0::BIGINT AS n_too_many, 0::BIGINT AS n_failed FROM benchmark"""
+ORACLES["overlap_add_hot"] = f"""
+WITH s AS (SELECT event_id % 2 * 4 + j AS sample, 1 - (j + 1) / 9.0::DOUBLE AS w, value * (j + 1) AS x FROM events, range(8) r(j))
+SELECT 'all' AS label, sample::BIGINT AS sample, round(sum(w * x) / sum(w), 3) AS value FROM s GROUP BY sample"""

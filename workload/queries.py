@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import paths as P
@@ -20,6 +21,7 @@ from voxframe.operators.ordering import first_n, number_rows, order_by_key, skip
 from voxframe.operators.pairing import (
     assert_complete,
     audit,
+    audit_ranges,
     audit_summary,
     common_names,
     last_wins,
@@ -445,6 +447,15 @@ def gaps_of_labels(spark: SparkSession, sf: str) -> DataFrame:
     return audit(labels_by_id(spark, sf).select("utt_id"), long)
 
 
+@query
+def audit_differing(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents against a copy of which three keys differ: only their ranges are compared key by key."""
+    docs = documents_by_id(spark, sf).select("utt_id")
+    lost = docs.agg(F.max("utt_id").alias("last"))
+    copy = docs.where("utt_id <> 17").join(F.broadcast(lost), F.col("utt_id") != F.col("last")).select("utt_id")
+    return audit_ranges(docs, copy.unionByName(lost.select((-F.col("last")).alias("utt_id"))))
+
+
 @query
 def last_event_wins(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", r6("value").alias("value"))
@@ -950,6 +961,33 @@ def infer_stub(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "n_spoken", "attempt", "status", "error")
 
 
+def clock(rows: pd.DataFrame) -> pd.DataFrame:
+    """A stub model that writes down which lane calls it, and when."""
+    from pyspark import TaskContext
+
+    return pd.DataFrame({"lane": TaskContext.get().partitionId(), "called": time.time(), "size": rows["text"].str.len()})
+
+
+@query
+def paced_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts through a paced model in two lanes: calls of a lane that came too soon, and callers beyond the bound."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    made = infer_stage(items, lambda: clock, ["text"], "lane int, called double, size long", 8, min_interval_s=0.05, lanes=2)
+    # one look at the clock: the model runs once
+    out = scratch_path(spark, "calls")
+    made.select("lane", "called", "size", "error").write.parquet(out)
+    calls = spark.read.parquet(out).groupBy("lane", "called").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"), F.count("error").alias("failed"))
+    since = F.col("called") - F.lag("called").over(Window.partitionBy("lane").orderBy("called"))
+    timed = calls.withColumn("soon", (since < 0.05).cast("int"))
+    return timed.agg(
+        F.sum("rows").alias("n_rows"),
+        F.sum("size").alias("n_chars"),
+        F.coalesce(F.sum("soon"), F.lit(0)).cast("long").alias("n_too_soon"),
+        F.greatest(F.countDistinct("lane") - 2, F.lit(0)).cast("long").alias("n_too_many"),
+        F.sum("failed").alias("n_failed"),
+    )
+
+
 def byte_counter(limit: int) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
     def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
         def predict(batch: pd.DataFrame) -> pd.DataFrame:
@@ -1161,6 +1199,16 @@ def overlap_add_ramp(spark: SparkSession, sf: str) -> DataFrame:
     return to_samples(blocks, "label", 48).select("label", "sample", r6("value").alias("value"))
 
 
+@query
+def overlap_add_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event a frame, all of them over the same few samples."""
+    value = F.col("value")
+    frames = table(spark, sf, "events").select(
+        F.lit("all").alias("label"), (F.col("event_id") % 2 * 4).alias("at"), F.array(*[value * (j + 1) for j in range(8)]).alias("frame")
+    )
+    return to_samples(overlap_add(frames, "label", 48), "label", 48).select("label", "sample", F.round("value", 3).alias("value"))
+
+
 @query
 def overlap_add_triangle(spark: SparkSession, sf: str) -> DataFrame:
     blocks = overlap_add(vector_frames(spark, sf), "label", 48, weight="triangle")
