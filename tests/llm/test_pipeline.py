@@ -75,3 +75,16 @@ def test_stages_of_no_documents_and_of_clashing_columns(spark, folder, number):
         assert out.columns == more.columns
         assert out.select("score", "seqs", "node", "lines_removed", "toxicity").distinct().count() == 1
     assert out.count() > 10
+
+
+def test_silent_texts_stay_where_most_labels_are_toxic(spark, tmp_path):
+    """With two labels in three toxic the base rate alone is above the threshold."""
+    rng = random.Random(4)
+    rows = [(k, (words(rng, 20) + (" blockhead numskull" * 4 if k % 3 else ""))) for k in range(90)]
+    silent = [(100, None), (101, ""), (102, " \n\t"), (103, "?! -- ..."), (None, None)]
+    docs = spark.createDataFrame(rows + silent, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 3 > 0)) for k in range(90)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r.doc_id for r in corpus_pipeline.not_toxic(spark, docs, str(tmp_path)).collect()]
+    assert {100, 101, 102, 103, None} <= set(kept) and kept.count(None) == 1
+    assert len([k for k in kept if k is not None and k < 90 and k % 3]) < 10
