@@ -14,10 +14,14 @@ from voxframe.llm.common import stored, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold; the model learns from the labelled rows that op1 learns from."""
+    """Documents whose score is below the threshold; the model learns from the labelled rows that op1 learns from.
+
+    Texts without a letter or digit (null, empty, blank, punctuation) say nothing and stay, whatever the share of toxic labels.
+    """
     score = "toxicity score of this stage"
     scored = toxicity.score_toxicity(docs, queries.toxicity_model(spark, sf_dir), score)
-    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    silent = F.col("text").isNull() | ~F.col("text").rlike(r"[\p{L}\p{N}]")
+    return scored.where(silent | (F.col(score) < toxicity.THRESHOLD)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
