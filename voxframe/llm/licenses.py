@@ -1,15 +1,20 @@
 """License scans: ordered signature rules over the words of a text, with DataFrame operations only.
 
 A rule is a regex over words, a label, a priority (1 is strongest) and a keyword. Only texts that match the gate are
-split into words at all, and of the rules only those whose keyword the text contains are run. Detections of all rules
-are sorted by place; one that lies inside another of the same or a stronger priority is suppressed.
+split into words at all, and of the rules only those are run whose family's name and whose keyword the text contains.
+Detections of all rules are sorted by place; one that lies inside another of the same or a stronger priority is suppressed.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.common import let
+
 # Licence families: label, names in words, versions in words and as they are labelled, SPDX words.
 FAMILIES: list[tuple[str, str, list[tuple[str, str]]]] = [
     ("afl", "academic free|afl", [("2 1", "2.1"), ("3 0", "3.0")]),
@@ -91,12 +96,12 @@ SINGLE: list[tuple[str, str, int, str]] = [
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing, and what stands between them.
+#: The same words before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text that matches none of these is not looked at further, as no rule can match it: each rule's keyword contains one
+#: A text that holds none of these is not looked at further, as no rule can match it: each rule's keyword contains one
 #: of the words, or is "under" after a verb that contains one or is named here.
-GATE = f"(?i)licen|spdx|granted|distribut|warranty|unencumbered|domain|copyright|reserved|proprietary|(?:released|available|published){BETWEEN}under"
+GATE = ("licen", "spdx", "granted", "distribut", "warranty", "unencumbered", "domain", "copyright", "reserved", "proprietary")
+UNDER = ("released", "available", "published")
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.4}
 
 
@@ -122,15 +127,42 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def literals(names: str) -> list[str]:
+    """For each alternative of a family's name what any match spells out: the words up to the first sign with a meaning of its own."""
+    found = []
+    for name in names.split("|"):
+        spelled = re.match(r"[a-z0-9 ]*", name)[0]
+        whole = spelled == name
+        # a sign that follows may make the last letter optional
+        found.append(" " + (spelled if whole else spelled[:-1]).replace(" ", "  ") + (" " if whole else ""))
+    return found
+
+
+def gated() -> list[tuple[list[str], list[tuple[str, str, int, str, int]]]]:
+    """The rules, with their numbers, by what one of must stand in a text for any of them to match."""
+    per_label = {label: literals(names) for label, names, _ in FAMILIES}
+    groups: dict[tuple[str, ...], list] = {}
+    singles = len(rules()) - len(SINGLE)
+    for i, (pattern, label, priority, keyword) in enumerate(rules()):
+        family = next((f for f in (label, label.rsplit("-", 1)[0]) if f in per_label and i < singles), None)
+        needed = per_label[family] if family else [keyword]
+        groups.setdefault(tuple(needed), []).append((pattern, label, priority, keyword, i))
+    return [(list(needed), made) for needed, made in groups.items()]
+
+
 def _rules_column() -> Column:
-    rows = (f"named_struct('pattern', {_quoted(p)}, 'label', {_quoted(n)}, 'priority', {k}, 'keyword', {_quoted(w)}, 'ord', {i})" for i, (p, n, k, w) in enumerate(rules()))
-    return F.expr(f"array({', '.join(rows)})")
+    groups = []
+    for needed, made in gated():
+        rows = (f"named_struct('pattern', {_quoted(p)}, 'label', {_quoted(n)}, 'priority', {k}, 'keyword', {_quoted(w)}, 'ord', {i})" for p, n, k, w, i in made)
+        groups.append(f"named_struct('needed', array({', '.join(map(_quoted, needed))}), 'rules', array({', '.join(rows)}))")
+    return F.expr(f"array({', '.join(groups)})")
 
 
 def _detections() -> str:
     """Of ``norm``, all matches of the active rules with their places in it, in order of place."""
     return r"""
-    array_sort(flatten(transform(filter(rules, r -> contains(norm, r.keyword)), r ->
+    array_sort(flatten(transform(
+        filter(flatten(transform(filter(rules, g -> exists(g.needed, w -> contains(norm, w))), g -> g.rules)), r -> contains(norm, r.keyword)), r ->
         transform(array(struct(regexp_extract_all(norm, r.pattern, 0) AS found, split(norm, r.pattern, -1) AS between)), m ->
             aggregate(sequence(1, greatest(size(m.found), 1)),
                 named_struct('at', 0, 'all', cast(array() AS array<struct<start:int, stop:int, priority:int, ord:int, label:string>>)),
@@ -161,6 +193,14 @@ def _places(phrase: str) -> str:
     return f"if(size(words) >= {len(parts)}, filter(sequence(0, greatest(size(words) - {len(parts)}, 0)), i -> {same}), cast(array() AS array<int>))"
 
 
+def _may_match(lowered: Column) -> Column:
+    return let(
+        lowered,
+        lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in GATE])
+        | (F.contains(t, F.lit("under")) & reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in UNDER])),
+    )
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns ignored): counts, places and labels of licence texts.
 
@@ -183,7 +223,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         .select(
             "doc_id",
             F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-            F.when(F.col("text").rlike(GATE), F.expr(whole)).alias("seen"),
+            F.when(_may_match(F.lower("text")), F.expr(whole)).alias("seen"),
         )
         .select(
             "doc_id",
