@@ -22,8 +22,8 @@ from voxframe.sources.files import (
     first_audio,
     open_files,
     scan_audio,
-    scan_labels,
     scan_texts,
+    scan_texts_by_path,
     scan_utterance_lines,
 )
 from voxframe.sources.sinks import write_report
@@ -116,15 +116,18 @@ def evaluate_folder(
 ) -> Report:
     """Annotate a folder of wav files (or its first ones by name) and score them against label files.
 
-    Labels are transliterated Arabic; a file without label fails the job.
+    Labels are transliterated Arabic; a file without label fails the job. A recording and its label have the same path
+    below their folders but for the suffix, so two folders may use one name; ``utt_id`` of the report is that path.
     """
     files = scan_audio(spark, audio, ("wav",))
-    wanted = first_audio(spark, audio, files, first, "utt_id") if first else files
+    wanted = first_audio(spark, audio, files, first, "rel_path") if first else files
+    name = with_suffix(F.col("rel_path"), "").alias("utt_id")
     # labels are checked before any model runs, and the models run once for all parts of the report
-    refs = cut_lineage(scan_labels(spark, wanted.select("utt_id"), labels))
+    texts = scan_texts_by_path(spark, labels, ("lab",)).withColumnRenamed("text", "ref")
+    refs = cut_lineage(pair_strict(wanted.select(name), texts, "utt_id"))
     options = {"language": "ar", "compat": compat, **options}
-    records = cut_lineage(annotate(wanted.select("utt_id", "rel_path", "content"), models, **options))
-    return evaluate_records(records, refs.select("utt_id", F.col("label_text").alias("ref")), "ar", compat=compat)
+    records = cut_lineage(annotate(wanted.select(name, "rel_path", "content"), models, **options))
+    return evaluate_records(records, refs, "ar", compat=compat)
 
 
 def evaluate_chapters(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.functions.paths import parent, relative_to, stem
+from voxframe.functions.paths import parent, relative_to, stem, with_suffix
 from voxframe.functions.text import strip_ws
 from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import last_wins, pair_strict
@@ -153,3 +153,7 @@ def scan_labels(spark: SparkSession, files: DataFrame, path: str, glob: str = "*
     return pair_strict(files, labels, "utt_id")
 
 
+def scan_texts_by_path(spark: SparkSession, path: str, exts: Sequence[str] = ("txt",)) -> DataFrame:
+    """One row per text file below a folder: its path there without suffix as ``utt_id``, its whole stripped content."""
+    files = scan_audio(spark, path, exts)
+    return files.select(with_suffix(F.col("rel_path"), "").alias("utt_id"), strip_ws(F.decode("content", "UTF-8")).alias("text"))

@@ -150,6 +150,25 @@ SELECT system, count(*) AS n_files, count(*) AS n_scored, 0::BIGINT AS n_missing
   round(avg(coalesce(wer, 1)) * 100, 6) AS wer, round(avg(coalesce(cer, 1)) * 100, 6) AS cer FROM scored GROUP BY system"""
 ORACLES["evaluate_arabic"] = f"{made_scores(arabic(arabic_script('text')))} {SUMMARY}"
 
+
+# The first system makes no errors, the second and the judge those of the first rule; the third is asked in English only.
+def job_summary(third: str) -> str:
+    return f"""
+, job AS (
+  SELECT 'second' AS system, {', '.join(METRICS)} FROM scored WHERE system = 'asr_a'
+  UNION ALL SELECT 'judge', {', '.join(METRICS)} FROM scored WHERE system = 'asr_a'
+  UNION ALL SELECT 'first', (ref_words = 0)::INT, (ref_words = 0)::INT, 0, 0, 0 FROM scored WHERE system = 'asr_a'
+  UNION ALL SELECT 'third', {third} FROM scored WHERE system = 'asr_a')
+SELECT system, count(*) AS n_files, count(wer) AS n_scored, count(*) - count(wer) AS n_missing, {MEANS} FROM job GROUP BY system"""
+
+
+ORACLES["evaluate_folder_job"] = f"{made_scores(arabic(arabic_script('text')))} {job_summary('NULL, NULL, NULL, NULL, NULL')}"
+ORACLES["evaluate_chapters_job"] = f"{made_scores(generic('text'))} {job_summary('(ref_words = 0)::INT, (ref_words = 0)::INT, 0, 0, 0')}"
+ORACLES["compare_folders_job"] = f"""
+WITH d AS (SELECT len({words('text')}) AS n, turn % 4 <> 3 AS m FROM conversations)
+SELECT count(*) AS n_refs, count(*) FILTER (m) AS n_matched, count(*) FILTER (NOT m) AS n_unmatched,
+  round(avg((n // 7) / n) FILTER (m), 6) AS mean_wer, round(count(*) FILTER (NOT m) / count(*) * 100, 6) AS pct_unmatched FROM d"""
+
 LINES = f"""
 SELECT {UTT} AS utt_id, conv_id, role, turn, trim(CASE WHEN turn = 0 THEN lower(t) ELSE t END) AS text
 FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations)

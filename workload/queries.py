@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,7 +35,15 @@ from voxframe.operators.sequence import Chunking, chunk_windows, overlap_add, to
 from voxframe.operators.similarity import mean_similarity, pair_similarity
 from voxframe.plans import annotate as A
 from voxframe.plans.corpus import clean_corpus, clean_transcripts, prepare_table
-from voxframe.plans.evaluate import compare_texts, evaluate_lines, evaluate_records, evaluate_transliterated
+from voxframe.plans.evaluate import (
+    compare_folders,
+    compare_texts,
+    evaluate_chapters,
+    evaluate_folder,
+    evaluate_lines,
+    evaluate_records,
+    evaluate_transliterated,
+)
 from voxframe.plans.folders import errors_of, process_audio
 from voxframe.plans.sequences import chunk_and_stitch
 from voxframe.session import scratch_path, spread
@@ -310,6 +318,86 @@ def evaluate_arabic(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate_transliterated(refs, made.drop("ref"), SYSTEMS).summary)
 
 
+def put_files(rows: DataFrame, root: str) -> None:
+    """Write a file per row (``path`` below the root, ``body``), each by the task that holds the row."""
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        files, top = FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+        for frame in frames:
+            for path, body in zip(frame["path"], frame["body"]):
+                files.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(f"{top}/{path}") as out:
+                    out.write(body.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows.select("path", "body").mapInPandas(put, "n int").write.format("noop").mode("overwrite").save()
+
+
+def told(answer: Callable[[str], dict]) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    """A stub model that answers from what a recording says."""
+
+    def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda batch: pd.DataFrame([answer(bytes(c).decode()) for c in batch["content"]])
+
+    return make
+
+
+def asked(answer: Callable[[str], dict]) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    return lambda: lambda batch: pd.DataFrame([answer(r) for r in batch["request"]])
+
+
+#: The first and third system hear all, the second misses every 7th word, the judge finds nothing, the polish changes nothing.
+JOB_MODELS = {
+    "measure": told(lambda said: {"duration": 1.0, "snr": 0.0}),
+    **{tagger: told(lambda said: {"label": "no_sounds", "confidence": 0.0}) for tagger in A.TAGGERS},
+    "first": told(lambda said: {"text": said, "segments": []}),
+    "second": told(lambda said: {"text": " ".join(w for i, w in enumerate(said.split(), 1) if i % 7)}),
+    "third": told(lambda said: {"text": said}),
+    "judge": asked(lambda request: {"text": "-", "truncated": False}),
+    "polish": asked(lambda request: {"text": request.partition("\n")[2]}),
+    "speakers": told(lambda said: {"segments": []}),
+    "gender": told(lambda said: {"label": "f"}),
+}
+
+
+@query
+def evaluate_folder_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings and label files in folders that use the same names, through annotation to the scores of each system."""
+    sounds, labels = scratch_path(spark, "wavs"), scratch_path(spark, "labels")
+    said = turns(spark, sf).withColumn("name", F.concat_ws("/", F.col("conv_id") % 3, "conv_id", F.concat(F.lit("u"), "turn")))
+    arabic = F.array_join(X.words(X.normalize_ar(X.buckwalter_to_arabic(F.col("text")))), " ")
+    put_files(said.select(F.concat("name", F.lit(".wav")).alias("path"), arabic.alias("body")), sounds)
+    put_files(said.select(F.concat("name", F.lit(".lab")).alias("path"), F.col("text").alias("body")), labels)
+    return rounded(evaluate_folder(spark, sounds, labels, JOB_MODELS, pause_s=0.0).summary)
+
+
+@query
+def evaluate_chapters_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapter folders with a line file and recordings, all of them with the same ids, through annotation to scores."""
+    root = scratch_path(spark, "chapters")
+    said = turns(spark, sf).select(F.col("conv_id").cast("string").alias("chapter"), "turn", "text")
+    heard = F.array_join(X.words(X.normalize_generic(F.col("text"))), " ")
+    put_files(said.select(F.concat("chapter", F.lit("/u"), "turn", F.lit(".flac")).alias("path"), heard.alias("body")), root)
+    line = F.concat(F.lit("u"), "turn", F.lit(" "), F.regexp_replace("text", r"[\r\n]", " "))
+    lines = said.groupBy("chapter").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    put_files(lines.select(F.concat("chapter", F.lit("/c.trans.txt")).alias("path"), "body"), root)
+    return rounded(evaluate_chapters(spark, root, JOB_MODELS, pause_s=0.0).summary)
+
+
+@query
+def compare_folders_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of texts against one that lacks every fourth of them, and of the others every 7th word."""
+    refs, hyps = scratch_path(spark, "refs"), scratch_path(spark, "hyps")
+    said = turns(spark, sf).withColumn("path", F.concat("utt_id", F.lit(".txt")))
+    put_files(said.select("path", F.col("text").alias("body")), refs)
+    put_files(said.where("turn % 4 <> 3").select("path", dropped(X.words(F.col("text"))).alias("body")), hyps)
+    return compare_folders(spark, refs, hyps).select(
+        "n_refs", "n_matched", "n_unmatched", r6("mean_wer").alias("mean_wer"), r6("pct_unmatched").alias("pct_unmatched")
+    )
+
+
 @query
 def evaluate_first_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The first 100 utterances by id against their line files."""
