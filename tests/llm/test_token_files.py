@@ -91,3 +91,21 @@ def test_a_broken_file_is_noticed(make, path, tmp_path):
     file.write_bytes(bytes(data))
     with pytest.raises(Exception, match="broken record"):
         X.read_tokens(manifest).collect()
+
+
+def test_both_patterns_cut_latin_texts_alike():
+    import random
+    import re
+
+    import regex
+
+    latin, every = re.compile(X.LATIN_PRE_TOKEN).findall, regex.compile(X.PRE_TOKEN).findall
+    around = ("a{}b", " {}1", "{}{}", "x {} y", "\n{}\n", "'{}s 's", "{} ", " {}")
+    texts = [ctx.replace("{}", chr(c)) for c in range(256) for ctx in around]
+    rng = random.Random(1)
+    texts += ["".join(chr(rng.choice([rng.randrange(256), 32, 39, 97, 0x2009, 0x3A9])) for _ in range(200)) for _ in range(300)]
+    cut = X.cutter()
+    for text in texts:
+        assert cut(text) == every(text)
+        if max(text) < "\u0100":
+            assert latin(text) == every(text)

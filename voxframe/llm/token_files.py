@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections import ChainMap
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -39,6 +40,9 @@ _LOT, _CHUNK = 1 << 20, 1 << 22
 _CACHE, _LONG = 600_000, 64
 # Fixed value: how byte-level BPE cuts a text before it merges.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same for texts of Latin-1 alone, with its letters, numbers and white space spelled out.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PRE_TOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
 def masked(data: bytes) -> int:
@@ -73,6 +77,20 @@ def _files(path: str):
     return FileSystem.from_uri(path if re.match(r"\w[\w+.-]*:", path) else f"file://{path}")
 
 
+def cutter() -> Callable[[str], list[str]]:
+    """Cuts a text into pre-tokens; texts of Latin-1 alone by a pattern that takes half the time."""
+    latin, every = re.compile(LATIN_PRE_TOKEN).findall, regex.compile(PRE_TOKEN).findall
+
+    def cut(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return every(text)
+        return latin(text)
+
+    return cut
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, without its special tokens, an end id after each.
 
@@ -89,9 +107,10 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         before = made["pre_tokenizer"] or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.cut = regex.compile(PRE_TOKEN).findall if plain and not made["normalizer"] else None
+        self.cut = cutter() if plain and not made["normalizer"] else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
 
@@ -112,7 +131,7 @@ class Encoder:
         new = list(set(chain.from_iterable(cuts)) - self.known.keys())
         whole = {}
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (self.known if len(c) <= _LONG else whole)[c] = np.array(e.ids, self.kind).tobytes()
+            (self.known if len(c) <= _LONG else whole)[c] = array(self.code, e.ids).tobytes()
         ids = ChainMap(self.known, whole).__getitem__ if whole else self.known.__getitem__
         return [b"".join(map(ids, row)) + self.end for row in cuts]
 
