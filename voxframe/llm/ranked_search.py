@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import sent_if_small, stored
 
 K = 10
-BLOCK = 16
+BLOCK = 4
 PLANES = 30
 SHARDS = 16
 #: Rows (item, term) of a slice of the items; each slice reads the documents once.
