@@ -539,9 +539,9 @@ def gaps_of_labels(spark: SparkSession, sf: str) -> DataFrame:
 def audit_differing(spark: SparkSession, sf: str) -> DataFrame:
     """The documents against a copy of which three keys differ: only their ranges are compared key by key."""
     docs = documents_by_id(spark, sf).select("utt_id")
-    lost = docs.agg(F.max("utt_id").alias("last"))
-    copy = docs.where("utt_id <> 17").join(F.broadcast(lost), F.col("utt_id") != F.col("last")).select("utt_id")
-    return audit_ranges(docs, copy.unionByName(lost.select((-F.col("last")).alias("utt_id"))))
+    last = docs.agg(F.max("utt_id").alias("utt_id"))
+    copy = docs.where("utt_id <> 17").join(last, "utt_id", "left_anti")
+    return audit_ranges(docs, copy.unionByName(last.select((-F.col("utt_id")).alias("utt_id"))))
 
 
 @query
