@@ -89,3 +89,19 @@ def test_repeated_rows_are_one_sequence(make):
     assert rows_of(D.dedup_lines(make(rows)), "doc_id", "text") == sorted(rows, key=repr)
     run = [(1, "p\nq\nr"), (1, "p\nq\nr"), (2, "o\np\nq\nr"), (2, "o\np\nq\nr")]
     assert rows_of(D.dedup_lines(make(run), min_lines=3), "doc_id", "text") == [(1, "p\nq\nr")] * 2 + [(2, "o")] * 2
+
+
+def test_doubling_goes_on_until_ties_end_and_gives_maximal_runs(make):
+    """A run of 37 lines that ends before its document does, a copy of a whole text, a long line, and what is nowhere else."""
+    run = [f"line {i}" for i in range(37)]
+    long = "x" * 250
+    rows = [(1, run + ["one", long]), (2, ["two", *run, "three", long, "four"]), (3, ["two", *run, "three", long, "four"]), (4, ["five", "six"])]
+    found, depth = D.repeated_runs(make([(k, "\n".join(t)) for k, t in rows]))
+    # document 3 is equal to 2 up to its end, all 41 lines
+    assert rows_of(found, "doc_id", "start", "n_lines") == [(2, 1, 37), (2, 39, 1), (3, 0, 41)]
+    assert depth == 64
+
+
+def test_runs_of_single_lines_of_any_length(make):
+    rows = [(1, "a\nb"), (2, "c\na\nd")]
+    assert rows_of(D.dedup_lines(make(rows), min_lines=1), "doc_id", "text") == brute(rows, 1)

@@ -7,8 +7,9 @@ row), sorts these by range, and turns running counts into ranks: the rank is the
 with that prefix begin. Suffixes of one rank after depth h are an interval of the array whose longest common prefix
 is at least h. A suffix that is alone keeps its place and goes on only as a neighbour.
 
-Which lines go depends on whether a common prefix reaches ``min_lines`` and no more: a longer run is the union of its
-windows of that length. So deletion stops doubling at that depth; ``suffix_array`` goes on to the end.
+Doubling goes on until every suffix is alone or equal to the others of its interval up to its end; documents without an
+interval that goes on leave the rounds. At each depth from ``min_lines`` on, the later suffixes of an interval begin a
+repeated run of that many lines. Spans that meet or overlap make up the maximal runs, which are cut.
 """
 
 from __future__ import annotations
@@ -83,10 +84,24 @@ def _first_ranks(docs: DataFrame) -> DataFrame:
     return stored(_ranked(stored(line_ids(docs).withColumn("base", F.lit(0).cast("long")), "lines")), "suffixes")
 
 
-def _deeper(suffixes: DataFrame, shift: int) -> DataFrame:
-    """Ranks for ``shift`` more lines. Alone is alone; where the sequence ends, the end sorts first."""
-    ahead = F.lead("rank", shift).over(Window.partitionBy(*_DOC).orderBy("seq"))
+def _goes_on(h: int) -> Column:
+    """Whether a suffix ties after ``h`` lines and has more of them: a tie at the end of a sequence is settled."""
+    return (F.col("members") > 1) & (F.col("seq") + h < F.col("n_lines"))
+
+
+def _deeper(suffixes: DataFrame, shift: int, h: int | None = None) -> DataFrame:
+    """Ranks for ``shift`` more lines. Alone is alone; where the sequence ends, the end sorts first.
+
+    With the depth ``h`` of the ranks, documents are left out none of whose suffixes goes on: what ties deeper
+    with another suffix has gone on before.
+    """
+    document = Window.partitionBy(*_DOC)
+    if h is not None:
+        suffixes = suffixes.withColumn("open", F.max(_goes_on(h)).over(document))
+    ahead = F.lead("rank", shift).over(document.orderBy("seq"))
     paired = suffixes.withColumn("k1", F.coalesce(ahead, F.lit(0)))
+    if h is not None:
+        paired = paired.where("open").drop("open")
     tied = F.col("members") > 1
     again = paired.where(tied).withColumnRenamed("rank", "base").drop("members").withColumn("k2", F.lit(0).cast("long"))
     # places inside a tied interval count from where it begins
@@ -105,7 +120,7 @@ def suffix_array(docs: DataFrame, depth: int | None = None) -> tuple[DataFrame,
     """
     suffixes, h = _first_ranks(docs), 1
     while depth is None or h < depth:
-        if depth is None and suffixes.where((F.col("members") > 1) & (F.col("seq") + h < F.col("n_lines"))).isEmpty():
+        if depth is None and suffixes.where(_goes_on(h)).isEmpty():
             break
         shift = h if depth is None else min(h, depth - h)
         suffixes, h = _deeper(suffixes, shift), h + shift
@@ -113,27 +128,42 @@ def suffix_array(docs: DataFrame, depth: int | None = None) -> tuple[DataFrame,
 
 
 def _later(suffixes: DataFrame, long: Column, covers: int) -> DataFrame:
-    """(doc_id, form, seq) of lines covered by intervals of which the suffix is not the first."""
+    """(doc_id, form, seq, upto): stretches covered by intervals of which the suffix is not the first."""
     tied = suffixes.where((F.col("members") > 1) & long).select("doc_id", "form", "seq", "rank")
     first = tied.groupBy("rank").agg(F.min(F.struct("doc_id", "form", "seq")).alias("first"))
     here = F.struct("doc_id", "form", "seq")
     return (
         tied.join(first, "rank")
         .where(~here.eqNullSafe(F.col("first")))
-        .select("doc_id", "form", F.explode(F.sequence("seq", F.col("seq") + covers - 1)).alias("seq"))
+        .select("doc_id", "form", "seq", (F.col("seq") + covers).alias("upto"))
     )
 
 
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, int]:
+    """(doc_id, form, start, n_lines), maximal stretches of lines that come again, and the depth at which ties ended.
+
+    Lines that are not blank are numbered from 0. Stretches that touch count as one.
+    """
+    suffixes, h = _first_ranks(docs), 1
+    spans = _later(suffixes, F.lit(True) if min_lines == 1 else F.col("chars") >= min_chars, 1)
+    while not suffixes.where(_goes_on(h)).isEmpty():
+        shift = min(h, min_lines - h) if h < min_lines else h
+        suffixes, h = _deeper(suffixes, shift, h), h + shift
+        if h >= min_lines:
+            spans = spans.union(_later(suffixes, F.col("seq") + h <= F.col("n_lines"), h))
+    document = Window.partitionBy(*_DOC).orderBy("seq")
+    before = F.max("upto").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("seq") > F.col("before"), F.lit(True)).cast("int")
+    numbered = spans.withColumn("before", before).withColumn("run", F.sum(opens).over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy(*_DOC, "run").agg(F.min("seq").alias("start"), F.max("upto").alias("upto"))
+    return runs.select(*_DOC, "start", (F.col("upto") - F.col("start")).alias("n_lines")), h
+
+
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, form, seqs): per text the numbers, among its lines that are not blank, of lines that come again."""
-    single = _first_ranks(docs)
-    gone = _later(single, F.col("chars") >= min_chars, 1)
-    suffixes, h = single, 1
-    while h < min_lines:
-        shift = min(h, min_lines - h)
-        suffixes, h = _deeper(suffixes, shift), h + shift
-    gone = gone.union(_later(suffixes, F.col("seq") + min_lines <= F.col("n_lines"), min_lines))
-    return gone.groupBy(*_DOC).agg(F.collect_set("seq").alias("seqs"))
+    runs, _ = repeated_runs(docs, min_lines, min_chars)
+    lines = F.sequence("start", F.col("start") + F.col("n_lines") - 1)
+    return runs.groupBy(*_DOC).agg(F.flatten(F.collect_list(lines)).alias("seqs"))
 
 
 def dedup_lines(
