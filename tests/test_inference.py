@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators.inference import Attempt, Call, infer_group, infer_stage
+from voxframe.operators.inference import Attempt, Call, _handed_on, infer_group, infer_stage
 from voxframe.operators.records import split_failures
 
 
@@ -175,3 +175,21 @@ def test_lanes_bound_the_callers(spark):
 
     df = infer_stage(spark.range(0, 1000, 1, 9), make, ["id"], "lane int", lanes=3)
     assert df.select("lane").distinct().count() == 3 and df.count() == 1000
+
+
+def test_results_are_handed_on_in_lots_of_whole_batches():
+    """What a frame of thousands of rows makes is never held at once."""
+    calls = [Call("a", None, ["x"], "n long", 16), Call("b", None, ["x"], "m long", 64)]
+    lots = list(_handed_on(pd.DataFrame({"x": range(1000)}), calls))
+    assert [len(lot) for lot in lots] == [256, 256, 256, 232]
+    assert pd.concat(lots)["x"].tolist() == list(range(1000))
+    assert [len(lot) for lot in _handed_on(pd.DataFrame({"x": range(700)}), [Call("c", None, ["x"], "n long", 100)])] == [300, 300, 100]
+    assert [len(lot) for lot in _handed_on(pd.DataFrame({"x": []}), calls)] == [0]
+
+
+def test_batches_that_fail_in_part_among_lots_of_good_ones(spark):
+    rows = spark.range(2000).selectExpr("cast(id as int) id", "repeat('a', if(id % 700 = 3, 30, 5)) text").coalesce(1)
+    got = rows_of(infer_stage(rows, counter(10), ["text"], "n long, tags array<string>", batch_size=16))
+    failed = {3, 703, 1403}
+    assert [r[1] for r in got] == [None if i in failed else 5 for i in range(2000)]
+    assert [r[2:4] for r in got] == [(None, "default") if i in failed else ("full", "ok") for i in range(2000)]

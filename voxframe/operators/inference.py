@@ -31,6 +31,8 @@ FULL = Attempt("full")
 
 # A batch that fails is divided into so many parts.
 PARTS = 8
+# About so many rows are handed back at once, in whole batches of the largest size.
+HANDED_ON = 256
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,14 @@ def _parsed(call: Call) -> Call:
     return replace(call, out_schema=T.StructType.fromDDL(call.out_schema)) if isinstance(call.out_schema, str) else call
 
 
+def _handed_on(frame: pd.DataFrame, calls: Sequence[Call]) -> Iterator[pd.DataFrame]:
+    """The frame in lots of whole batches: results of a lot, which may be larger than its inputs, leave before the next."""
+    largest = max(call.batch_size for call in calls)
+    size = largest * max(1, -(-HANDED_ON // largest))
+    for at in range(0, max(len(frame), 1), size):
+        yield frame.iloc[at : at + size]
+
+
 def _solver(call: Call) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Builds each rung's predictor once; gives the outputs, ``attempt``, ``status`` and ``error`` of a frame's rows."""
     out_names = call.out_schema.fieldNames()
@@ -73,10 +83,14 @@ def _solver(call: Call) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 time.sleep(call.min_interval_s)
         if len(made) != len(batch):
             raise ValueError(f"{len(made)} results for {len(batch)} inputs")
-        reported = ["error"] if "error" in made.columns and "error" not in out_names else []
-        return made[[*out_names, *reported]].set_axis(batch.index)
+        wanted = [*out_names, *(["error"] if "error" in made.columns and "error" not in out_names else [])]
+        # models are asked for a few rows at a time, so what is done per call is kept short
+        return (made if list(made.columns) == wanted else made[wanted]).set_axis(batch.index)
+
+    def noted(made: pd.DataFrame, rung: int) -> pd.DataFrame:
+        return made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None)
 
-    def isolate(rung: int, batch: pd.DataFrame, done: list[pd.DataFrame], errors: dict[int, str]) -> None:
+    def isolate(rung: int, batch: pd.DataFrame, done: list[tuple[pd.DataFrame, int]], errors: dict[int, str]) -> None:
         """Results of the rows this attempt can do; a batch that raises is divided down to its culprits."""
         try:
             made = ask(rung, batch)
@@ -94,10 +108,11 @@ def _solver(call: Call) -> Callable[[pd.DataFrame], pd.DataFrame]:
             errors.update(made.loc[failed, "error"].astype(str).to_dict())
             made = made.loc[~failed, out_names]
         if len(made):
-            done.append(made.assign(attempt=ladder[rung].name, status="retried" if rung else "ok", error=None))
+            done.append((made, rung))
 
-    def solve(batch: pd.DataFrame) -> pd.DataFrame:
-        done: list[pd.DataFrame] = []
+    def solve(batch: pd.DataFrame) -> tuple[pd.DataFrame, int | None]:
+        """The outputs of a batch and the rung that gave them all; without such a rung, with their notes."""
+        done: list[tuple[pd.DataFrame, int]] = []
         left, errors = batch, {}
         for rung in range(len(ladder)):
             errors = {}
@@ -112,22 +127,33 @@ def _solver(call: Call) -> Callable[[pd.DataFrame], pd.DataFrame]:
         # columns of several origins: values stay as they are, none becomes another type
         blank = [(*[fallback.get(n) for n in out_names], None, "default", e) for e in errors.values()]
         rest = [pd.DataFrame(blank, columns=added, index=list(errors), dtype=object)] if errors else []
-        return pd.concat([d.astype(object) for d in done] + rest).loc[batch.index]
+        return pd.concat([noted(*d).astype(object) for d in done] + rest).loc[batch.index], None
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        parts: list[tuple[pd.DataFrame, int | None]] = []
         for at in range(0, len(frame), call.batch_size):
             part = frame.iloc[at : at + call.batch_size].reset_index(drop=True)
             chosen = part.index if call.only is None else part.index[part[call.only].fillna(False).astype(bool)]
-            made = solve(part.loc[chosen, list(call.inputs)]) if len(chosen) else pd.DataFrame(columns=added)
-            if len(chosen) < len(part):
-                made = made.astype(object).reindex(part.index)
-                made = made.where(made.notna(), None)
-                made.loc[part.index.difference(chosen), "status"] = "skipped"
-            parts.append(made.loc[part.index, added])
-        if len({tuple(p.dtypes) for p in parts}) > 1:
-            parts = [p.astype(object) for p in parts]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=added)
+            if len(chosen) == len(part):
+                parts.append(solve(part[list(call.inputs)]))
+                continue
+            made = pd.DataFrame(columns=added)
+            if len(chosen):
+                made, rung = solve(part.loc[chosen, list(call.inputs)])
+                made = made if rung is None else noted(made, rung)
+            made = made.astype(object).reindex(part.index)
+            made = made.where(made.notna(), None)
+            made.loc[part.index.difference(chosen), "status"] = "skipped"
+            parts.append((made.loc[part.index, added], None))
+        if not parts:
+            return pd.DataFrame(columns=added)
+        rungs = {rung for _, rung in parts}
+        alike = len(rungs) == 1 and None not in rungs
+        frames = [made if alike or rung is None else noted(made, rung) for made, rung in parts]
+        if len({tuple(f.dtypes) for f in frames}) > 1:
+            frames = [f.astype(object) for f in frames]
+        whole = pd.concat(frames, ignore_index=True)
+        return noted(whole, rungs.pop()) if alike else whole
 
     return run
 
@@ -172,7 +198,8 @@ def infer_stage(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solve = _solver(call)
         for frame in frames:
-            yield solve(frame)
+            for lot in _handed_on(frame, [call]):
+                yield solve(lot)
 
     # only the inputs go to Python and only the results come back; the mark keeps the optimizer from
     # running the model once per use of a result
@@ -199,8 +226,9 @@ def infer_group(df: DataFrame, calls: Sequence[Call]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solvers = [_solver(call) for call in calls]
         for frame in frames:
-            made = [solve(frame).rename(columns={"error": error})[[*outs, error]] for solve, (outs, error) in zip(solvers, names)]
-            yield pd.concat(made, axis=1)
+            for lot in _handed_on(frame, calls):
+                made = [solve(lot).rename(columns={"error": error})[[*outs, error]] for solve, (outs, error) in zip(solvers, names)]
+                yield pd.concat(made, axis=1)
 
     model = F.pandas_udf(run, T.StructType(fields)).asNondeterministic()
     return df.withColumn("_made", model(F.struct(*inputs))).select(*df.columns, "_made.*")
