@@ -94,3 +94,26 @@ def test_longest_transcript(spark):
     df = spark.createDataFrame(rows, "utt_id string, rank int, text string")
     got = longest_transcript(drop_blank(df)).collect()
     assert sorted(tuple(r) for r in got) == [("u", 0, "c d"), ("v", 4, "x")]
+
+
+def test_words_leave_a_batch_in_lots():
+    """Never more than a lot of rows as Python objects; nulls and the order of rows stay."""
+    import pyarrow as pa
+
+    from voxframe.functions import voting
+
+    rows = [None if i % 50 == 7 else [f"w{i}", "x"] for i in range(3 * voting.LOT + 5)]
+    column, lots = pa.array(rows, pa.list_(pa.string())), []
+
+    class Seen:
+        def __len__(self):
+            return len(column)
+
+        def slice(self, at, size):
+            lots.append(size)
+            return column.slice(at, size)
+
+    made = voting._pairwise(Seen(), Seen(), lambda a, b: [len(a), len(b)], pa.list_(pa.int32()))
+    assert made.to_pylist() == [None if r is None else [2, 2] for r in rows]
+    assert lots and max(lots) == voting.LOT
+    assert voting._pairwise(column[:0], column[:0], list, pa.list_(pa.int32())).to_pylist() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -42,16 +43,23 @@ def _slots(ref: list[str], tgt: list[str], compat: bool) -> list[str | None]:
     return slots
 
 
+# Rows whose words are Python objects at a time.
+LOT = 256
+
+
+def _pairwise(ref: pa.Array, tgt: pa.Array, work: Callable[[list[str], list[str]], list], kind: pa.DataType) -> pa.Array:
+    """``work`` on the words of each pair, null where a side is; words are taken out of the batch in lots."""
+    made = [
+        pa.array([None if a is None or b is None else work(a, b) for a, b in zip(ref.slice(at, LOT).to_pylist(), tgt.slice(at, LOT).to_pylist())], type=kind)
+        for at in range(0, len(ref), LOT)
+    ]
+    return pa.concat_arrays(made) if made else pa.array([], type=kind)
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def align_to_reference(ref: pa.Array, tgt: pa.Array) -> pa.Array:
     """Reference position of each target word, null where it has none; case counts."""
-    return pa.array(
-        [
-            None if a is None or b is None else _alignment(a, b)
-            for a, b in zip(ref.to_pylist(), tgt.to_pylist())
-        ],
-        type=pa.list_(pa.int32()),
-    )
+    return _pairwise(ref, tgt, _alignment, pa.list_(pa.int32()))
 
 
 def aligned_slots(ref: Column, tgt: Column, compat: bool = False) -> Column:
@@ -63,13 +71,7 @@ def aligned_slots(ref: Column, tgt: Column, compat: bool = False) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def slots(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                None if x is None or y is None else _slots(x, y, compat)
-                for x, y in zip(a.to_pylist(), b.to_pylist())
-            ],
-            type=pa.list_(pa.string()),
-        )
+        return _pairwise(a, b, lambda x, y: _slots(x, y, compat), pa.list_(pa.string()))
 
     return slots(ref, tgt)
 
