@@ -11,7 +11,7 @@ from voxframe.operators.ordering import number_rows
 from voxframe.operators.pairing import audit_summary, last_wins, pair_left, skip_done
 from voxframe.operators.scores import score_systems, system_summary
 from voxframe.operators.sequence import chunk_windows, overlap_add
-from voxframe.session import MIN_BYTES_PER_TASK, spread
+from voxframe.session import HEAVY_BYTES_PER_TASK, MIN_BYTES_PER_TASK, input_bytes, spread
 from voxframe.sources.files import parse_utterance_lines, scan_audio
 from voxframe.sources.sinks import write_texts
 from voxframe.streaming.resume import with_end_mark
@@ -175,3 +175,12 @@ def test_a_hot_chapter_is_matched_in_several_tasks(spark, uncoalesced):
 def test_end_marks_are_joined_by_key_and_position(tables):
     marked = plan_of(with_end_mark(tables["tokens"].hint("merge"), "utt_id", "seq"))
     assert not re.search(r"SortMergeJoin \[utt_id#\d+\], ", marked)
+
+
+def test_heavy_rows_get_tasks_by_the_size_of_the_input(spark, tables):
+    """Tasks of rows that take milliseconds each grow in number, not in length."""
+    small = spread(tables["pairs"], "utt_id", heavy=True)
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(4_000_000)
+    tasks = spread(large, "id", heavy=True).rdd.getNumPartitions()
+    assert tasks == -(-input_bytes(large) // HEAVY_BYTES_PER_TASK) > spark.sparkContext.defaultParallelism

@@ -61,7 +61,7 @@ def merge_transcripts(
     texts = F.filter(
         F.array(*[strip_ws(F.col(s)) for s in systems]), lambda t: t.isNotNull() & (t != "")
     )
-    base = spread(df).withColumn("_texts", texts)
+    base = spread(df, heavy=True).withColumn("_texts", texts)
     base = base.withColumn("_ref_at", F.when(F.size("_texts") > 1, longest_first(F.col("_texts"))))
     base = base.withColumn("_ref", words(F.get("_texts", F.col("_ref_at"))))
     slots = []

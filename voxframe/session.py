@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 # Spark's own estimate of what opening a file costs, below which it packs splits into one task.
 MIN_BYTES_PER_TASK = 4 * 1024 * 1024
+# The same where each row takes milliseconds: a task of so many stored bytes takes seconds to a few minutes.
+HEAVY_BYTES_PER_TASK, HEAVY_TASKS = 256 * 1024, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,14 +77,18 @@ def range_partitions(df: DataFrame) -> int:
     return max(min(most, input_bytes(df) // MIN_BYTES_PER_TASK + 1), min(most, spark.sparkContext.defaultParallelism))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, heavy: bool = False) -> DataFrame:
     """Give compute-heavy stages enough tasks when the input is too small to make them.
 
     A scan splits its files into one task per core from about 4 MB a core upwards. Where all that
     is read is below that, the rows are hashed over the cores, which moves little data; above it
-    the scan's own splits are kept and nothing is shuffled.
+    the scan's own splits are kept and nothing is shuffled. ``heavy`` is for rows that take milliseconds
+    each: tasks then get smaller and more with the input, never longer, at the cost of a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if heavy:
+        tasks = max(cores, min(-(-input_bytes(df) // HEAVY_BYTES_PER_TASK), HEAVY_TASKS))
+        return df.repartition(tasks, *keys) if keys else df.repartition(tasks)
     if input_bytes(df) >= cores * MIN_BYTES_PER_TASK:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)

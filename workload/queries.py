@@ -634,10 +634,10 @@ def longest_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return C.longest_transcript(C.drop_blank(said), "conv_id").select("conv_id", "rank", "text")
 
 
-def numbered_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of each turn, told apart by their position."""
+def numbered_words(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    """Words of each turn, told apart by their position; ``heavy`` where they are aligned row by row."""
     ws = F.transform(X.words(F.col("text")), lambda w, i: F.concat_ws("_", w, i.cast("string")))
-    return spread(turns(spark, sf), "utt_id").select("utt_id", ws.alias("ws"))
+    return spread(turns(spark, sf), "utt_id", heavy=heavy).select("utt_id", ws.alias("ws"))
 
 
 @query
@@ -672,7 +672,7 @@ def align_words(spark: SparkSession, sf: str) -> DataFrame:
             F.transform(ws, lambda w, i: F.when((i + 1) % 9 == 0, F.array(w, F.lit("ж"))).otherwise(F.array(w)))
         ),
     }
-    placed = numbered_words(spark, sf).select(
+    placed = numbered_words(spark, sf, heavy=True).select(
         "utt_id", *[align_to_reference(ws, t).alias(name) for name, t in targets.items()]
     )
     each = F.inline(F.array(*[F.struct(F.lit(name).alias("target"), F.col(name).alias("places")) for name in targets]))
