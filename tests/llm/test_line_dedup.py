@@ -105,3 +105,15 @@ def test_doubling_goes_on_until_ties_end_and_gives_maximal_runs(make):
 def test_runs_of_single_lines_of_any_length(make):
     rows = [(1, "a\nb"), (2, "c\na\nd")]
     assert rows_of(D.dedup_lines(make(rows), min_lines=1), "doc_id", "text") == brute(rows, 1)
+
+
+def test_plans_do_not_grow_with_the_rounds(make):
+    """What the rounds found is read back, not joined and sorted again in one plan for all depths."""
+    plans = []
+    for lines in (3, 70):
+        same = "\n".join(f"line {i}" for i in range(lines))
+        found, _ = D.repeated_runs(make([(1, same), (2, same)]))
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        assert rows_of(found, "doc_id", "start", "n_lines") == [(2, 0, lines)]
+    shallow, deep = [{x: p.count(x) for x in ("Join", "Aggregate", "Window")} for p in plans]
+    assert shallow == deep == {"Join": 0, "Aggregate": 1, "Window": deep["Window"]}

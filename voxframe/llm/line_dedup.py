@@ -15,6 +15,7 @@ repeated run of that many lines. Spans that meet or overlap make up the maximal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -52,64 +53,66 @@ def line_ids(docs: DataFrame) -> DataFrame:
 
 
 def _running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Within a sorted partition, how many suffixes come before each key."""
-    total = 0
+    """Within a sorted partition, how many suffixes of the same base come before each key; ``upto`` counts those of all."""
+    total, last, begun = 0, None, 0
     for frame in frames:
-        counts = frame["members"].to_numpy()
+        if frame.empty:
+            continue
+        base, counts = frame["base"].to_numpy(), frame["members"].to_numpy()
         upto = total + np.cumsum(counts)
-        yield frame.assign(before=upto - counts)
-        total = int(upto[-1]) if len(upto) else total
+        opens = np.concatenate([[base[0] != last], base[1:] != base[:-1]])
+        first = np.maximum.accumulate(np.where(opens, upto - counts, begun))
+        yield frame.assign(before=upto - counts - first, upto=upto)
+        total, last, begun = int(upto[-1]), base[-1], int(first[-1])
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``rank`` in place of (base, k1, k2): where the suffixes with that key begin; ``members``, how many there are."""
+    """``rank`` in place of (base, k1, k2): where the suffixes with that key begin in the interval at ``base``; ``members``, how many there are."""
     keys = rows.groupBy("base", "k1", "k2").agg(F.count("*").alias("members"))
     placed = stored(
         keys.repartitionByRange("base", "k1", "k2")
         .sortWithinPartitions("base", "k1", "k2")
-        .mapInPandas(_running, "base bigint, k1 bigint, k2 bigint, members bigint, before bigint")
+        .mapInPandas(_running, "base bigint, k1 bigint, k2 bigint, members bigint, before bigint, upto bigint")
         .withColumn("part", F.spark_partition_id()),
         "ranks",
     )
-    # one row per partition
-    parts = placed.groupBy("part").agg(F.sum("members").alias("held"))
-    offsets = parts.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("offset"))
-    ranks = placed.join(F.broadcast(offsets), "part").select(
-        "base", "k1", "k2", "members", (F.col("offset") + F.col("before") + 1).alias("rank")
+    # one row per partition: only its last interval can go on in the next one
+    ends = placed.groupBy("part").agg(F.max_by("base", "upto").alias("base"), F.max_by(F.col("before") + F.col("members"), "upto").alias("held"))
+    carried = ends.select(
+        F.lead("part").over(Window.orderBy("part")).alias("part"),
+        "base",
+        F.sum("held").over(Window.partitionBy("base").orderBy("part")).alias("carried"),
+    ).where("part IS NOT NULL")
+    ranks = placed.join(F.broadcast(carried), ["part", "base"], "left").select(
+        "base", "k1", "k2", "members", (F.col("base") + F.col("before") + F.coalesce("carried", F.lit(0))).alias("rank")
     )
     return rows.join(ranks, ["base", "k1", "k2"]).drop("base", "k1", "k2")
 
 
-def _first_ranks(docs: DataFrame) -> DataFrame:
-    return stored(_ranked(stored(line_ids(docs).withColumn("base", F.lit(0).cast("long")), "lines")), "suffixes")
-
-
 def _goes_on(h: int) -> Column:
     """Whether a suffix ties after ``h`` lines and has more of them: a tie at the end of a sequence is settled."""
     return (F.col("members") > 1) & (F.col("seq") + h < F.col("n_lines"))
 
 
-def _deeper(suffixes: DataFrame, shift: int, h: int | None = None) -> DataFrame:
-    """Ranks for ``shift`` more lines. Alone is alone; where the sequence ends, the end sorts first.
-
-    With the depth ``h`` of the ranks, documents are left out none of whose suffixes goes on: what ties deeper
-    with another suffix has gone on before.
+def _paired(suffixes: DataFrame, h: int, shift: int) -> DataFrame:
+    """Suffixes ranked for ``h`` lines, stored with ``ahead``, the rank ``shift`` lines on (0 where the sequence ends), and whether
+    their document has one that goes on (``open``).
     """
     document = Window.partitionBy(*_DOC)
-    if h is not None:
-        suffixes = suffixes.withColumn("open", F.max(_goes_on(h)).over(document))
-    ahead = F.lead("rank", shift).over(document.orderBy("seq"))
-    paired = suffixes.withColumn("k1", F.coalesce(ahead, F.lit(0)))
-    if h is not None:
-        paired = paired.where("open").drop("open")
+    ahead = F.coalesce(F.lead("rank", shift).over(document.orderBy("seq")), F.lit(0))
+    return stored(suffixes.select("*", ahead.alias("ahead"), F.max(_goes_on(h)).over(document).alias("open")), "suffixes")
+
+
+def _first_ranks(docs: DataFrame, shift: int) -> DataFrame:
+    return _paired(_ranked(stored(line_ids(docs).withColumn("base", F.lit(1).cast("long")), "lines")), 1, shift)
+
+
+def _deeper(paired: DataFrame, h: int, shift: int) -> DataFrame:
+    """Of paired suffixes those ranked for ``h`` lines now, paired for ``shift`` more. Alone is alone; where the sequence ends, the end sorts first."""
+    columns = ["doc_id", "form", "n_lines", "seq", "rank", "members"]
     tied = F.col("members") > 1
-    again = paired.where(tied).withColumnRenamed("rank", "base").drop("members").withColumn("k2", F.lit(0).cast("long"))
-    # places inside a tied interval count from where it begins
-    ranked = _ranked(again.withColumn("held", F.col("base")))
-    start = ranked.groupBy("held").agg(F.min("rank").alias("least"))
-    inner = ranked.join(start, "held").withColumn("rank", F.col("held") + F.col("rank") - F.col("least")).drop("held", "least")
-    columns = ["doc_id", "form", "n_lines", "seq", "chars", "rank", "members"]
-    return stored(paired.where(~tied).select(columns).unionByName(inner.select(columns)), "suffixes")
+    again = paired.where(tied).select("doc_id", "form", "n_lines", "seq", F.col("rank").alias("base"), F.col("ahead").alias("k1"), F.lit(0).cast("long").alias("k2"))
+    return _paired(paired.where(~tied).select(columns).unionByName(_ranked(again).select(columns)), h, shift)
 
 
 def suffix_array(docs: DataFrame, depth: int | None = None) -> tuple[DataFrame, int]:
@@ -118,13 +121,17 @@ def suffix_array(docs: DataFrame, depth: int | None = None) -> tuple[DataFrame,
     Equal ranks share their first ``depth`` lines, or all lines to the end of the sequence. Without ``depth`` doubling
     goes on until every suffix is alone or ties only with suffixes equal to their end.
     """
-    suffixes, h = _first_ranks(docs), 1
+
+    def step(h: int) -> int:
+        return h if depth is None or depth <= h else min(h, depth - h)
+
+    suffixes, h = _first_ranks(docs, step(1)), 1
     while depth is None or h < depth:
-        if depth is None and suffixes.where(_goes_on(h)).isEmpty():
+        if depth is None and suffixes.where("open").isEmpty():
             break
-        shift = h if depth is None else min(h, depth - h)
-        suffixes, h = _deeper(suffixes, shift), h + shift
-    return suffixes, h
+        h += step(h)
+        suffixes = _deeper(suffixes, h, step(h))
+    return suffixes.drop("ahead", "open"), h
 
 
 def _later(suffixes: DataFrame, long: Column, covers: int) -> DataFrame:
@@ -142,19 +149,26 @@ def _later(suffixes: DataFrame, long: Column, covers: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, int]:
     """(doc_id, form, start, n_lines), maximal stretches of lines that come again, and the depth at which ties ended.
 
-    Lines that are not blank are numbered from 0. Stretches that touch count as one.
+    Lines that are not blank are numbered from 0. Stretches that touch count as one. Documents none of whose suffixes
+    goes on are left out of the next round: what ties deeper with another suffix has gone on before.
     """
-    suffixes, h = _first_ranks(docs), 1
-    spans = _later(suffixes, F.lit(True) if min_lines == 1 else F.col("chars") >= min_chars, 1)
-    while not suffixes.where(_goes_on(h)).isEmpty():
-        shift = min(h, min_lines - h) if h < min_lines else h
-        suffixes, h = _deeper(suffixes, shift, h), h + shift
+
+    def step(h: int) -> int:
+        return min(h, min_lines - h) if h < min_lines else h
+
+    suffixes, h = _first_ranks(docs, step(1)), 1
+    # spans are stored at each depth, so that no plan grows with the number of rounds
+    spans = [stored(_later(suffixes, F.lit(True) if min_lines == 1 else F.col("chars") >= min_chars, 1), "spans")]
+    while not (rest := suffixes.where("open")).isEmpty():
+        h += step(h)
+        suffixes = _deeper(rest, h, step(h))
         if h >= min_lines:
-            spans = spans.union(_later(suffixes, F.col("seq") + h <= F.col("n_lines"), h))
+            spans.append(stored(_later(suffixes, F.col("seq") + h <= F.col("n_lines"), h), "spans"))
+    found = reduce(DataFrame.union, spans)
     document = Window.partitionBy(*_DOC).orderBy("seq")
     before = F.max("upto").over(document.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("seq") > F.col("before"), F.lit(True)).cast("int")
-    numbered = spans.withColumn("before", before).withColumn("run", F.sum(opens).over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = found.withColumn("before", before).withColumn("run", F.sum(opens).over(document.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy(*_DOC, "run").agg(F.min("seq").alias("start"), F.max("upto").alias("upto"))
     return runs.select(*_DOC, "start", (F.col("upto") - F.col("start")).alias("n_lines")), h
 
