@@ -116,3 +116,30 @@ def test_resume_processes_every_row_once(spark, tmp_path):
     assert sorted(r.id for r in done.collect()) == list(range(9))
     # a lost checkpoint reads everything again and still writes nothing twice
     assert run(state + "-new").count() == 9
+
+
+def sent_to_python(stream):
+    """Columns that the state function of a stream gets; Spark converts each of them for each group."""
+    plan = stream._jdf.queryExecution().analyzed()
+    output = plan.children().apply(0).output()
+    return {output.apply(i).name() for i in range(output.size())}
+
+
+def test_finished_blocks_are_not_written_again(spark, tmp_path):
+    tokens = with_end_mark(token_table(spark, make_sequences()), "utt_id", "seq")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for _ in range(2):
+        tokens.coalesce(1).write.mode("append").parquet(source)
+    stream = stream_chunk_windows(spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(source), n_ref="n_ref")
+    assert sent_to_python(stream) == {"utt_id", "_ref", "_block", "_place", "_token"}
+    run = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress if p["numInputRows"]]
+    assert len(updated) == 2 and updated[0] > 0 and updated[1] == 0
+
+
+def test_a_piece_is_one_column(spark, tmp_path):
+    schema = "utt_id string, chunk long, n long, ctx_start long, ctx_end long, is_final boolean, tokens array<long>, samples array<double>"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    stream = stream_stitch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    assert sent_to_python(stream) == {"utt_id", "block", "piece"}

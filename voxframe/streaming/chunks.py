@@ -34,6 +34,9 @@ def stream_chunk_windows(
     stay for ever; that is for queries that run on, as Spark keeps a query with such a clock awake.
     """
     rows = in_blocks(tokens, key, seq, token, n_ref, size, chunks_per_block, F.col(is_last).alias("_last"))
+    # Spark converts column by column for each block, so a position and whether it is the last are one number
+    place = (F.col("_seq") * 2 + F.coalesce(F.col("_last"), F.lit(False)).cast("long")).alias("_place")
+    rows = rows.select(key, "_ref", "_block", place, "_token")
     kind = dict(rows.dtypes)[key]
     names = [key, "chunk", "n", "ctx_start", "ctx_end", "is_final", "tokens"]
 
@@ -50,19 +53,21 @@ def stream_chunk_windows(
             return
         total, chunk, seen, seqs, values = state.get if state.exists else (-1, block * chunks_per_block, 0, [], [])
         after = (block + 1) * chunks_per_block
+        if chunk >= after:  # finished: what comes late changes nothing
+            keep(state)
+            return
         # every position before it was there when the chunk before was made
         floor = ref_len + chunk * size.chunk - size.back if chunk > block * chunks_per_block else -1
         held = dict(zip(seqs, values))
         for batch in batches:
-            if chunk >= after:
-                continue
-            for s, t in zip(batch["_seq"].tolist(), batch["_token"].tolist()):
+            places = batch["_place"].to_numpy()
+            for s, t in zip((places >> 1).tolist(), batch["_token"].to_numpy().tolist()):
                 if s >= floor and s not in held:
                     held[s] = t
                     seen += 1
-            ends = batch.loc[batch["_last"], "_seq"]
+            ends = places[places & 1 == 1]
             if len(ends):
-                total = int(ends.iloc[0]) + 1
+                total = int(ends[0] >> 1) + 1
 
         made = []
         while chunk < after:
@@ -89,7 +94,7 @@ def stream_chunk_windows(
         state.update((total, chunk, seen, list(held), list(held.values())))
         keep(state)
         if made:
-            yield pd.DataFrame(made, columns=names)
+            yield pd.DataFrame(dict(zip(names, map(list, zip(*made)))))
 
     return rows.groupBy(key, "_ref", "_block").applyInPandasWithState(
         collect,

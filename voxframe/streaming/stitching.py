@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxframe.operators.sequence import Chunking, cut_frames, frame_pieces, weights
 
 # The state of a block whose samples are out.
 _FINISHED = -1
+# Numbers before the samples of a piece.
+_HEAD = 6
 
 
 def stream_stitch(
@@ -34,11 +37,12 @@ def stream_stitch(
     if size.lookforward + size.overlap - 1 > size.chunk or 2 * size.overlap > size.chunk:
         raise ValueError("a frame may reach into the next block only")
     frames = cut_frames(chunks, samples, size)
+    # Spark converts column by column for each block, so a piece is one column: whole numbers (exact in doubles) and then its samples
+    head = [F.col(c).cast("double") for c in ("chunk", "is_final", "end", "piece.at", "piece.len", "piece.low")]
     parts = frame_pieces(frames, key, size.stride, keep=("chunk", "is_final")).select(
-        key, "block", "chunk", "is_final", "end", "piece.*"
+        key, "block", F.concat(F.array(*head), "piece.x").alias("piece")
     )
     kind = dict(parts.dtypes)[key]
-    fields = ["chunk", "is_final", "end", "at", "len", "low", "x"]
 
     def keep(state: GroupState) -> None:
         if forget_after_s:
@@ -49,21 +53,24 @@ def stream_stitch(
         if state.hasTimedOut:
             state.remove()
             return
-        pieces = {state.get[0]: tuple(state.get)} if state.exists else {}
-        finished = _FINISHED in pieces
+        pieces = {}
+        if state.exists:
+            chunk, *rest = state.get
+            if chunk == _FINISHED:
+                keep(state)
+                return
+            pieces[chunk] = (chunk, *rest)
         for batch in batches:
-            for piece in batch[fields].itertuples(index=False, name=None):
-                pieces.setdefault(piece[0], piece)
-        if finished:
-            keep(state)
-            return
+            for piece in batch["piece"].array:
+                chunk, final, end, at, length, low = map(int, piece[:_HEAD])
+                pieces.setdefault(chunk, (chunk, bool(final), end, at, length, low, piece[_HEAD:]))
         held = list(pieces.values())
         own = [p for p in held if p[0] == block]
         before = [p for p in held if p[0] < block]
         ended = any(p[1] for p in before)
         if not ended and not (own and (before or block == 0 or not size.overlap)):
             chunk, final, end, at, length, low, x = held[0]
-            state.update((int(chunk), bool(final), int(end), int(at), int(length), int(low), [float(v) for v in x]))
+            state.update((chunk, final, end, at, length, low, np.asarray(x, float).tolist()))
             keep(state)
             return
         state.update((_FINISHED, True, 0, 0, 0, 0, []))
@@ -74,7 +81,7 @@ def stream_stitch(
             w = weights(low, len(x), at, length, weight)
             total[low - start : low - start + len(x)] += w * np.asarray(x)
             weight_sum[low - start : low - start + len(x)] += w
-        yield pd.DataFrame({key: [ident], "block": [block], "samples": [(total / weight_sum).tolist()]})
+        yield pd.DataFrame({key: [ident], "block": [block], "samples": [total / weight_sum]})
 
     return parts.groupBy(key, "block").applyInPandasWithState(
         collect,

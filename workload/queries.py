@@ -46,7 +46,7 @@ from voxframe.plans.evaluate import (
 )
 from voxframe.plans.folders import errors_of, process_audio
 from voxframe.plans.sequences import chunk_and_stitch
-from voxframe.session import scratch_path, spread
+from voxframe.session import scratch_path, spread, stored
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
 from voxframe.sources.commits import read_output
 from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts, scan_utterance_lines
@@ -1267,10 +1267,12 @@ def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_stream_redelivered(spark: SparkSession, sf: str) -> DataFrame:
     """The same chunks from a source that delivers a part of the tokens twice, and some of them after all others."""
     source, out, state = (scratch_path(spark, n) for n in ("tokens", "chunks", "state"))
-    tokens = with_end_mark(event_tokens(spark, sf), "user_id", "seq")
+    # numbered once; each lot is written by as many tasks as there are cores and arrives as one batch
+    tokens = stored(with_end_mark(event_tokens(spark, sf), "user_id", "seq"), "numbered")
+    files = spark.sparkContext.defaultParallelism
     for lot in ("seq % 3 = 0", "seq % 2 = 0", "true", "seq % 5 = 0"):
-        tokens.where(lot).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        tokens.where(lot).repartition(files).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", files).parquet(source)
     return flat_chunks(stream_to_table(stream_chunk_windows(stream, "user_id", n_ref="n_ref"), out, state))
 
 
