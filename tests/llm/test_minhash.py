@@ -88,3 +88,20 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 30)] + [(200, 200)] + [(29, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert got == {**{i: 100 for i in range(101, 161)}, **{k: 5 for k in range(6, 30)}}
+
+
+def test_settled_links_need_no_round_and_small_buckets_no_rare_shingles(spark, make, monkeypatch):
+    def unneeded(*_, **__):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr("voxframe.llm.components._star", unneeded)
+    monkeypatch.setattr(M, "_by_rare_shingles", unneeded)
+    links = [(k, 1) for k in range(2, 9)] + [(20, 30), (30, 20), (7, 7)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert got == {**{k: 1 for k in range(2, 9)}, 30: 20}
+    rng = random.Random(3)
+    rows = []
+    for k in range(0, 12, 3):
+        base = words(rng, 80)
+        rows += [(k, " ".join(base)), (k + 1, " ".join([*base, "one"])), (k + 2, " ".join([*base, "two"]))]
+    assert rows_of(M.near_duplicates(make(rows)), "doc_id", "n_shingles", "component_id", "kept") == brute(rows)

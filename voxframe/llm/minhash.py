@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs.join(involved, docs.doc_id == involved.node, "left_semi").mapInPandas(_sets, f"node {kind}, shingles array<bigint>"), "sets"
     )
     links = _links(stars, sets)
-    found = stored(components(links), "found")
+    found = components(links)
 
     placed = stored(_with_component(members, found), "placed")
     left = _open(placed.drop("hub"))
@@ -154,9 +154,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # pairs with the bucket's hub are settled: the hub is the least member
     hubs_of = members.select("at", F.col("hub").alias("node")).distinct()
     few = rest.where(F.col("members") <= FEW).join(hubs_of, ["at", "node"], "left_anti")
-    direct = _links(_across(few), sets)
-    many = rest.where(F.col("members") > FEW).select("node", "n", "component").distinct()
-    found = stored(components(found.union(direct).union(_by_rare_shingles(stored(many, "many"), sets, found))), "found")
+    # each way's links are stored, so that no plan holds several of them
+    more = stored(_links(_across(few), sets), "direct")
+    many = stored(rest.where(F.col("members") > FEW).select("node", "n", "component").distinct(), "many")
+    if not many.isEmpty():
+        more = more.union(_by_rare_shingles(many, sets, found))
+    found = components(found.union(more))
 
     named_classes = classes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return (
@@ -207,7 +210,7 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, found: DataFrame) -> Da
 
     stars = still_open(rarest).where((F.col("hub_n") <= F.col("reach")) & _alike_in_size("n", "hub_n"))
     first = stored(_links(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "first")
-    better = stored(components(found.union(first)), "found")
+    better = components(found.union(first))
     rest = still_open(_with_component(rarest.drop("component"), better))
     # one of a pair at least is outside the hub's component
     outside = rest.where(F.col("component") != F.col("main"))
@@ -215,7 +218,7 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, found: DataFrame) -> Da
     b = rest.select("at", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("reach").alias("reach_b"))
     in_reach = (F.col("n_a") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach_a"))
     pairs = a.join(b, "at").where((F.col("c_a") != F.col("c_b")) & in_reach & _alike_in_size("n_a", "n_b"))
-    return first.union(_links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets))
+    return first.union(stored(_links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets), "rest"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
