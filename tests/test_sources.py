@@ -1,9 +1,11 @@
+import gzip
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions import paths as P
+from voxframe.functions.text import strip_ws
 from voxframe.plans.corpus import audit_folders, clean_corpus, prepare_corpus
 from voxframe.plans.folders import errors_of
 from voxframe.plans.evaluate import compare_folders, evaluate_lines, evaluate_transliterated
@@ -202,3 +204,18 @@ def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == named
     assert scratch_path(spark, "x").startswith(named + "/x-")
+
+
+def test_whole_texts_are_read_as_bytes(spark, tmp_path):
+    """The reader of whole texts takes milliseconds a file; packed files are still left to it."""
+    texts = {"a b": b" one\r\ntwo \n", "bom": "﻿three".encode(), "odd": b"\xff\xfe four", "none": b"", "d%20": "жук".encode()}
+    for name, body in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(body)
+    (tmp_path / "packed.txt.gz").write_bytes(gzip.compress(b"five"))
+    found = scan_texts(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Format: BinaryFile" in plan or "Scan binaryFile" in plan
+    whole = spark.read.text(str(tmp_path / "*.txt"), wholetext=True).select(F.col("_metadata.file_name").alias("f"), strip_ws(F.col("value")).cast("binary").alias("b"))
+    want = {(r.f.removesuffix(".txt"), bytes(r.b)) for r in whole.collect()}
+    assert {(r.utt_id, bytes(r.b)) for r in found.select("utt_id", F.col("text").cast("binary").alias("b")).collect()} == want
+    assert [r.text for r in scan_texts(spark, str(tmp_path), "*.txt.gz").collect()] == ["five"]

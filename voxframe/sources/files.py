@@ -13,6 +13,7 @@ from voxframe.functions.paths import parent, relative_to, stem, with_suffix
 from voxframe.functions.text import strip_ws
 from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import last_wins, pair_strict
+from voxframe.session import input_bytes
 
 # Audio suffixes that are picked up.
 AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
@@ -20,6 +21,12 @@ AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
 # Parts a chapter's lines are divided into where they meet its one row.
 SALTS = 32
 
+# What a task that handles whole files takes: files of about so many bytes, in so many scan tasks or so many rows at most.
+TASK_BYTES, TASK_SCANS, TASK_FILES = 64 * 1024 * 1024, 32, 1024
+
+# Suffixes by which Spark's text reader unpacks a file.
+PACKED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst")
+
 
 def audio_options(exts: Sequence[str] = AUDIO_SUFFIXES) -> dict[str, object]:
     """Reader options for all files below a folder with one of the suffixes."""
@@ -40,15 +47,33 @@ def audio_rows(files: DataFrame, root: str, *more: Column) -> DataFrame:
     )
 
 
+def packed(files: DataFrame) -> DataFrame:
+    """A scan of whole files in fewer tasks where the files are small; large ones stay as Spark divides them.
+
+    Spark counts 4 MB for opening a file, so 32 small ones make a task, which takes less time than to start it and its models.
+    """
+    scans = files._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(cores, -(-scans // TASK_SCANS), -(-input_bytes(files) // TASK_BYTES)))
+
+
+def file_tasks(rows: DataFrame, length: str = "length") -> int:
+    """Tasks for files that are listed with their lengths: none holds more rows or bytes as the list grows."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, n), -(-n // TASK_FILES), -(-size // TASK_BYTES))
+
+
 def load_audio(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
     """The named files with their bytes; signs that patterns use stand for themselves."""
     plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
     return audio_rows(spark.read.format("binaryFile").load(plain), root)
 
 
-def open_files(rows: DataFrame, path: str = "path", per_frame: int = 16) -> DataFrame:
+def open_files(rows: DataFrame, path: str = "path", per_frame: int = 16, tasks: int | None = None) -> DataFrame:
     """``rows`` with the bytes of the file each names as ``content``, opened by the task that holds the row.
 
+    The rows are dealt to ``tasks`` tasks, by default to as many as the paths alone fill.
     Local paths and those of the file systems that Arrow knows (hdfs, s3, gs) can be opened.
     """
 
@@ -72,7 +97,8 @@ def open_files(rows: DataFrame, path: str = "path", per_frame: int = 16) -> Data
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     # few paths can mean many bytes: they are dealt out before they are opened
-    return rows.hint("rebalance", path).mapInPandas(opened, f"{kinds}, content binary")
+    dealt = rows.repartition(tasks, path) if tasks else rows.hint("rebalance", path)
+    return dealt.mapInPandas(opened, f"{kinds}, content binary")
 
 
 def scan_audio(spark: SparkSession, path: str, exts: Sequence[str] = AUDIO_SUFFIXES) -> DataFrame:
@@ -98,10 +124,15 @@ def scan_texts(
     spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = False, encoding: str = "UTF-8"
 ) -> DataFrame:
     """One row per text file: its stem and its whole stripped content."""
-    reader = spark.read.option("pathGlobFilter", glob).option("encoding", encoding)
+    reader = spark.read.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    files = reader.text(path, wholetext=True)
+    suffix = re.search(r"\.(\w+)$", glob)
+    if suffix and suffix[1] not in PACKED and encoding == "UTF-8":
+        # the reader of whole texts copies Hadoop's settings for each file, which takes longer than the file
+        files = packed(reader.format("binaryFile").load(path)).withColumn("value", F.col("content").cast("string"))
+    else:
+        files = reader.option("encoding", encoding).text(path, wholetext=True)
     return files.select(
         stem(F.col("_metadata.file_name")).alias("utt_id"), strip_ws(F.col("value")).alias("text")
     )

@@ -325,9 +325,13 @@ def put_files(rows: DataFrame, root: str) -> None:
         from pyarrow.fs import FileSystem
 
         files, top = FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+        last = None
         for frame in frames:
             for path, body in zip(frame["path"], frame["body"]):
-                files.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                folder = f"{top}/{path}".rsplit("/", 1)[0]
+                if folder != last:
+                    files.create_dir(folder, recursive=True)
+                    last = folder
                 with files.open_output_stream(f"{top}/{path}") as out:
                     out.write(body.encode())
             yield pd.DataFrame({"n": [len(frame)]})
