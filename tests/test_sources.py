@@ -12,7 +12,7 @@ from voxframe.plans.evaluate import compare_folders, evaluate_lines, evaluate_tr
 from voxframe.plans.sequences import speaker_similarity
 from voxframe.session import scratch_path, shared_dir
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
-from voxframe.sources.files import scan_audio, scan_labels, scan_texts, scan_utterance_lines
+from voxframe.sources.files import file_tasks, open_files, packed, scan_audio, scan_labels, scan_texts, scan_utterance_lines
 from voxframe.sources.sinks import add_progress, progress, write_records
 
 
@@ -219,3 +219,29 @@ def test_whole_texts_are_read_as_bytes(spark, tmp_path):
     want = {(r.f.removesuffix(".txt"), bytes(r.b)) for r in whole.collect()}
     assert {(r.utt_id, bytes(r.b)) for r in found.select("utt_id", F.col("text").cast("binary").alias("b")).collect()} == want
     assert [r.text for r in scan_texts(spark, str(tmp_path), "*.txt.gz").collect()] == ["five"]
+
+
+def test_small_files_are_packed_into_few_tasks(spark, tmp_path):
+    for k in range(300):
+        put(tmp_path / f"u{k}.wav", "x")
+    files = scan_audio(spark, str(tmp_path)).select("utt_id", "content")
+    assert files.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert packed(files).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(packed(files).collect()) == sorted(files.collect())
+
+
+def test_tasks_of_listed_files_grow_with_rows_and_bytes(spark):
+    def tasks(n, length):
+        return file_tasks(spark.range(n).select(F.lit(length).cast("long").alias("length")))
+
+    assert [tasks(0, 1), tasks(2, 1), tasks(5000, 1)] == [1, 2, 5]
+    assert tasks(100, 4 * 1024 * 1024) == 7
+
+
+def test_listed_files_are_opened_by_all_tasks(spark, tmp_path):
+    for k in range(200):
+        put(tmp_path / f"u{k}.flac", f"{k}")
+    listed = spark.createDataFrame([(str(tmp_path / f"u{k}.flac"), k) for k in range(200)], "path string, k long").localCheckpoint()
+    opened = open_files(listed, tasks=4)
+    assert opened.rdd.getNumPartitions() == 4
+    assert sorted((r.k, bytes(r.content)) for r in opened.collect()) == [(k, str(k).encode()) for k in range(200)]

@@ -20,7 +20,7 @@ from voxframe.operators.records import (
     third_system_wanted,
 )
 from voxframe.session import cut_lineage
-from voxframe.sources.files import scan_audio
+from voxframe.sources.files import packed, scan_audio
 from voxframe.sources.sinks import write_records
 
 # Request texts; callers may hand in their own.
@@ -317,7 +317,7 @@ def annotate_folder(
     spark: SparkSession, audio: str, out: str, models: Mapping[str, Callable[[], Predictor]], **options
 ) -> None:
     """Annotate the audio files of a folder and write their records below the same folders."""
-    files = scan_audio(spark, audio).select("utt_id", "rel_path", "content")
+    files = packed(scan_audio(spark, audio)).select("utt_id", "rel_path", "content")
     write_annotations(annotate(files, models, **options), out)
 
 

@@ -21,6 +21,7 @@ from voxframe.sources.files import (
     audio_rows,
     first_audio,
     open_files,
+    packed,
     scan_audio,
     scan_texts,
     scan_texts_by_path,
@@ -120,7 +121,7 @@ def evaluate_folder(
     below their folders but for the suffix, so two folders may use one name; ``utt_id`` of the report is that path.
     """
     files = scan_audio(spark, audio, ("wav",))
-    wanted = first_audio(spark, audio, files, first, "rel_path") if first else files
+    wanted = first_audio(spark, audio, files, first, "rel_path") if first else packed(files)
     name = with_suffix(F.col("rel_path"), "").alias("utt_id")
     # labels are checked before any model runs, and the models run once for all parts of the report
     texts = scan_texts_by_path(spark, labels, ("lab",)).withColumnRenamed("text", "ref")
