@@ -19,6 +19,7 @@ from voxframe.session import cut_lineage
 from voxframe.sources.files import (
     audio_options,
     audio_rows,
+    file_tasks,
     first_audio,
     open_files,
     packed,
@@ -150,9 +151,9 @@ def evaluate_chapters(
     files = audio_rows(found, root, parent(F.col("_metadata.file_path")).alias("chapter")).drop("content")
     named = files.join(lines, kept).withColumn("name", with_suffix(F.col("rel_path"), ""))
     # narrow rows; the bytes of the wanted files are read by the tasks that annotate them
-    wanted = cut_lineage(named.select("name", "path", "rel_path", "ref"))
+    wanted = cut_lineage(named.select("name", "path", "rel_path", "length", "ref"))
     chosen = first_n(wanted, first, "name") if first else wanted
-    content = open_files(chosen.select(F.col("name").alias("utt_id"), "path", "rel_path")).drop("path")
+    content = open_files(chosen.select(F.col("name").alias("utt_id"), "path", "rel_path"), tasks=file_tasks(chosen)).drop("path")
     options = {"language": "en", "compat": compat, **options}
     records = cut_lineage(annotate(content, models, **options))
     return evaluate_records(records, wanted.select(F.col("name").alias("utt_id"), "ref"), "en", compat=compat)
