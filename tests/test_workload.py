@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from voxframe.sources.catalog import scan_dataset
 from workload.check import compare, connect
 from workload.oracles import ORACLES
 from workload.queries import QUERIES
@@ -39,3 +40,20 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_prepared_dataset_is_made_by_all_cores(spark, tmp_path, monkeypatch):
+    """One row group of documents is not one task's work; of an id that comes twice the first row counts."""
+    from workload import queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "scan_dataset", lambda *a: seen.append(scan_dataset(*a)) or seen[0])
+    docs = [(k, f"{k} words " * 3, "en" if k % 2 else "de", "web") for k in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.split: r for r in Q.QUERIES["prepare_broken_off"](spark, str(tmp_path)).collect()}
+    for split, odd in (("en", 1), ("de", 0)):
+        chars = sum(len(t) for k, t, *_ in docs if k % 2 == odd)
+        assert (got[split].n_done, got[split].n_chars, got[split].n_samples) == (100, chars, chars)
+        assert got[split].sum_codes == sum(i % 97 % 32 for k, t, *_ in docs if k % 2 == odd for i in range(len(t)))
+    files = {f.split("split=")[1].partition("-")[2][:5] for f in seen[0].inputFiles()}
+    assert len(files) >= spark.sparkContext.defaultParallelism

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ from voxframe.plans.evaluate import (
 )
 from voxframe.plans.folders import errors_of, process_audio
 from voxframe.plans.sequences import chunk_and_stitch
-from voxframe.session import scratch_path, spread, stored
+from voxframe.session import MIN_BYTES_PER_TASK, input_bytes, scratch_path, spread, stored
 from voxframe.sources.catalog import active_entries, scan_catalog, scan_dataset, scan_embeddings, with_roles
 from voxframe.sources.commits import read_output
 from voxframe.sources.files import parse_utterance_lines, scan_audio, scan_texts, scan_utterance_lines
@@ -1132,7 +1133,7 @@ def corpus_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def sample_codec() -> Callable[[pd.DataFrame], pd.DataFrame]:
     def encode(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"codes": [[int(x) % 32 for x in a["array"]] for a in batch["audio"]]})
+        return pd.DataFrame({"codes": [np.asarray(a["array"], np.float32).astype(np.int32) % 32 for a in batch["audio"]]})
 
     return encode
 
@@ -1165,7 +1166,10 @@ def prepare_broken_off(spark: SparkSession, sf: str) -> DataFrame:
     places = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1)).otherwise(F.array().cast("array<int>"))
     sound = F.struct(F.transform(places, lambda i: (i % 97).cast("float")).alias("array"), F.lit(16000).alias("sampling_rate"))
     copies = F.explode(F.array(F.lit(""), F.lit(" again"))).alias("copy")
-    rows = corpus_rows(spark, sf).select("split", "segment_id", F.col("text").alias("said"), sound.alias("audio"))
+    # a row group of texts becomes many times as much sound: rows are dealt out before it is made
+    docs = corpus_rows(spark, sf).select("split", "segment_id", "text")
+    tasks = max(spark.sparkContext.defaultParallelism, input_bytes(docs) // MIN_BYTES_PER_TASK + 1)
+    rows = docs.repartition(tasks, "segment_id").select("split", "segment_id", F.col("text").alias("said"), sound.alias("audio"))
     twice = rows.select("*", copies).select("split", "segment_id", F.concat("said", "copy").alias("text"), "audio", "copy")
     twice.sortWithinPartitions("split", "segment_id", "copy").drop("copy").write.partitionBy("split").parquet(f"{root}/docs/all")
     df = scan_dataset(spark, root, "docs", "all", "segment_id", "text", "audio")
