@@ -14,6 +14,7 @@ from voxframe.functions.text import strip_ws
 from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import last_wins, pair_strict
 from voxframe.session import input_bytes
+from voxframe.sources.listing import store_of
 
 # Audio suffixes that are picked up.
 AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
@@ -78,16 +79,11 @@ def open_files(rows: DataFrame, path: str = "path", per_frame: int = 16, tasks:
     """
 
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem, LocalFileSystem
-
-        known: dict[str, FileSystem] = {}
+        known: dict = {}
 
         def read(name: str) -> bytes:
-            root, rest = re.match(r"((?!file:)\w[\w+.-]*://[^/]*)?(?:file:/*(?=/))?(.*)", name, re.S).groups()
-            if root not in known:
-                known[root] = FileSystem.from_uri(f"{root}/")[0] if root else LocalFileSystem()
-            where = rest if not root or root.startswith("hdfs") else root.partition("://")[2] + rest
-            with known[root].open_input_stream(where) as stream:
+            store, where = store_of(name, known)
+            with store.open_input_stream(where) as stream:
                 return stream.readall()
 
         for frame in frames:
@@ -184,7 +180,12 @@ def scan_labels(spark: SparkSession, files: DataFrame, path: str, glob: str = "*
     return pair_strict(files, labels, "utt_id")
 
 
+def label_text(content: Column) -> Column:
+    """The whole stripped text of a file's bytes."""
+    return strip_ws(F.decode(content, "UTF-8"))
+
+
 def scan_texts_by_path(spark: SparkSession, path: str, exts: Sequence[str] = ("txt",)) -> DataFrame:
     """One row per text file below a folder: its path there without suffix as ``utt_id``, its whole stripped content."""
     files = scan_audio(spark, path, exts)
-    return files.select(with_suffix(F.col("rel_path"), "").alias("utt_id"), strip_ws(F.decode("content", "UTF-8")).alias("text"))
+    return files.select(with_suffix(F.col("rel_path"), "").alias("utt_id"), label_text(F.col("content")).alias("text"))
