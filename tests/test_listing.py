@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameReader
 
 from tests.test_records import MODELS
-from voxframe.plans.evaluate import evaluate_folder
+from voxframe.plans.evaluate import evaluate_chapters, evaluate_folder
 from voxframe.sources import listing
-from voxframe.sources.files import scan_audio
+from voxframe.sources.files import parse_utterance_lines, read_lines, scan_audio
 from voxframe.sources.listing import list_files, listable
 
 
@@ -75,3 +75,46 @@ def test_a_store_that_only_spark_reads_is_evaluated_too(spark, tmp_path, monkeyp
     for first, n in ((None, 2), (1, 1)):
         made = evaluate_folder(spark, str(tmp_path / "wav"), str(tmp_path / "lab"), MODELS, first=first, pause_s=0.0)
         assert made.details.where(F.col("ref").isNotNull()).count() == n
+
+
+def test_lines_of_listed_files_are_those_of_the_text_reader(spark, tmp_path):
+    bodies = {
+        "a": "one\ntwo\n", "b": "no end", "c": "dos\r\nlines\r\n", "d": "mac\rlines\r", "e": "\n", "f": "\n\nx\n\n", "g": "\ufeffmark\nnext \ufeff\n",
+        "h": "\r\n\r\n", "i": "é ü\u2028same line\u0085\n", "j": "".join(f"line {i}{'' if i % 3 else ' and longer'}\n" for i in range(500)), "k": "x" * 50 + "\n" + "y" * 50,
+    }
+    put(tmp_path, {f"{name}.txt": body for name, body in bodies.items()})
+    (tmp_path / "l.txt").write_bytes(b"bad \xff byte\nnext\n")
+    plain = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_name").alias("name"), F.col("value").cast("binary").alias("value"))
+    # bytes that are no text are replaced as soon as lines are divided into id and text
+    want = sorted((r.name, bytes(r.value).decode(errors="replace").encode()) for r in plain.collect())
+    listed = list_files(spark, str(tmp_path), ("txt",))
+    for size in (1, 2, 7, 64, 4096):
+        lines = read_lines(listed, size).select(F.substring_index("path", "/", -1).alias("name"), "part", "line_no", F.col("value").cast("binary").alias("value"))
+        rows = sorted((r.name, r.part, r.line_no, bytes(r.value)) for r in lines.collect())
+        assert sorted((name, value) for name, _, _, value in rows) == want
+        assert [value for name, _, _, value in rows if name == "j.txt"] == [line.encode() for line in bodies["j"].split("\n")[:-1]]
+
+
+def test_chapters_are_evaluated_without_a_listing_on_the_driver(spark, tmp_path, read_by_spark):
+    put(tmp_path, {f"s/{c}/{c}.trans.txt": "u0 THIRD\r\nu1 Third!\nu1 third\nu9 NONE\nu2\n" for c in range(12)})
+    put(tmp_path, {f"s/{c}/u{k}.flac": "english" for c in range(12) for k in range(3)})
+    # no chapter: two line files; no line file; no line of its own
+    put(tmp_path, {"s/two/a.trans.txt": "u0 A\n", "s/two/b.trans.txt": "u0 B\n", "s/two/u0.flac": "english", "s/none/u0.flac": "english", "s/0/u7.flac": "english"})
+    root = str(tmp_path / "s")
+    made = evaluate_chapters(spark, root, MODELS, pause_s=0.0)
+    want = {f"{c}/u{k}": 0.0 for c in range(12) for k in range(2)}
+    assert {r.utt_id: r.wer for r in made.scores.where("system = 'third'").collect()} == want
+    assert not [p for p in read_by_spark if root in p]
+    few = evaluate_chapters(spark, f"file://{root}", MODELS, first=3, pause_s=0.0)
+    assert {r.utt_id for r in few.scores.collect()} == set(sorted(want)[:3])
+    # a pattern is left to Spark's readers
+    some = evaluate_chapters(spark, f"{root}/1*", MODELS, pause_s=0.0)
+    assert some.scores.where("system = 'third'").count() == 6
+
+
+def test_salted_chapters_are_not_broadcast(spark):
+    """They are 32 rows a chapter, of which Spark knows nothing when it plans the join."""
+    lines = spark.range(100).select(F.concat(F.col("id") % 9, F.lit("/x.txt")).alias("path"), F.col("id").alias("line_no"), F.lit("u1 text").alias("value"))
+    plan = parse_utterance_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [chapter" in plan and "LeftSemi" in plan
+    assert "BroadcastHashJoin [chapter" not in plan

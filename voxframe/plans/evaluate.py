@@ -8,14 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.functions.paths import parent, with_suffix
+from voxframe.functions.paths import parent, stem, with_suffix
 from voxframe.functions.text import buckwalter_to_arabic
 from voxframe.operators.inference import Predictor
 from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import pair_inner, pair_left, pair_strict
 from voxframe.operators.scores import coverage, raw_wer, score_systems, system_summary
 from voxframe.plans.annotate import annotate
-from voxframe.session import cut_lineage
+from voxframe.session import cut_lineage, stored
 from voxframe.sources.files import (
     audio_options,
     audio_rows,
@@ -24,6 +24,8 @@ from voxframe.sources.files import (
     label_text,
     open_files,
     packed,
+    parse_utterance_lines,
+    read_lines,
     scan_audio,
     scan_texts,
     scan_texts_by_path,
@@ -162,11 +164,21 @@ def evaluate_chapters(
     An utterance is known by its chapter and id, so two chapters may use one id; ``utt_id`` of the report is the path
     of the file without suffix. ``first`` takes the first by that path.
     """
-    kept = ["chapter", "utt_id"]
-    lines = scan_utterance_lines(spark, root).select(*kept, F.col("text").alias("ref"))
-    found = spark.read.format("binaryFile").options(**audio_options(("flac",))).load(root)
-    files = audio_rows(found, root, parent(F.col("_metadata.file_path")).alias("chapter")).drop("content")
-    named = files.join(lines, kept).withColumn("name", with_suffix(F.col("rel_path"), ""))
+    kept, chapter = ["chapter", "utt_id"], parent(F.col("path")).alias("chapter")
+    if listable(spark, root):
+        listed = list_files(spark, root, ("flac", "trans.txt"))
+        spoken = F.endswith(F.col("path"), F.lit(".flac"))
+        files = listed.where(spoken).select(stem(F.col("path")).alias("utt_id"), "path", "rel_path", "length", chapter)
+        # lines are read once, and stored as large as they are: joins that broadcast go by the stored size
+        read = stored(read_lines(listed.where(~spoken)), "lines", compression="none")
+        lines = parse_utterance_lines(read, ("part", "line_no"))
+    else:
+        # patterns are listed by Spark's readers, on the driver
+        lines = scan_utterance_lines(spark, root)
+        found = spark.read.format("binaryFile").options(**audio_options(("flac",))).load(root)
+        files = audio_rows(found, root, parent(F.col("_metadata.file_path")).alias("chapter")).drop("content")
+    lines = lines.select(*kept, F.col("text").alias("ref"))
+    named = files.hint("merge").join(lines, kept).withColumn("name", with_suffix(F.col("rel_path"), ""))
     # narrow rows; the bytes of the wanted files are read by the tasks that annotate them
     wanted = cut_lineage(named.select("name", "path", "rel_path", "length", "ref"))
     chosen = first_n(wanted, first, "name") if first else wanted

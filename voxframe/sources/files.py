@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import NativeFile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ SALTS = 32
 # What a task that handles whole files takes: files of about so many bytes, in so many scan tasks or so many rows at most.
 TASK_BYTES, TASK_SCANS, TASK_FILES = 64 * 1024 * 1024, 32, 1024
 
+# A listed line file is read in parts of so many bytes; lines are handed on from so many files at once.
+LINE_BYTES, LINE_FILES = 4 * 1024 * 1024, 256
+
 # Suffixes by which Spark's text reader unpacks a file.
 PACKED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst")
 
@@ -152,7 +156,7 @@ def parse_utterance_lines(lines: DataFrame, order: Sequence[str] = ("line_no",))
     last = last_wins(kept, ["chapter", "utt_id"], order)
     # a large chapter's lines are matched in several tasks
     salt = F.pmod(F.xxhash64("utt_id"), F.lit(SALTS)).cast("int")
-    salted = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     matched = last.withColumn("_salt", salt).join(salted, ["chapter", "_salt"], "left_semi")
     return matched.select("chapter", "utt_id", "text")
 
@@ -174,6 +178,52 @@ def scan_utterance_lines(spark: SparkSession, path: str, glob: str = "*.trans.tx
     return parse_utterance_lines(lines, ("part", "line_no"))
 
 
+def _whole_lines(file: NativeFile, start: int, end: int) -> bytes:
+    """The lines that begin in a range of a file, cut at line feeds."""
+    size = file.size()
+
+    def begin(at: int) -> int:
+        """Where the first line from a place on begins, if not at 0."""
+        at -= 1
+        while at < size and (block := file.read_at(64 * 1024, at)):
+            if (found := block.find(b"\n")) >= 0:
+                return at + found + 1
+            at += len(block)
+        return size
+
+    first, last = begin(start) if start else 0, begin(end) if end < size else size
+    lines = file.read_at(last - first, first)
+    return lines.removeprefix(b"\xef\xbb\xbf") if not start else lines
+
+
+def read_lines(files: DataFrame, part_bytes: int = LINE_BYTES) -> DataFrame:
+    """Lines of listed text files (``path, length``) as Spark's text reader finds them: path, part, line_no, value.
+
+    A large file is read in parts by several tasks; ``line_no`` counts within a part. Bytes that are no UTF-8 are replaced.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part_bytes).cast("long"))
+    parts = files.select("path", "length", F.explode(starts).alias("part"))
+    parts = parts.select("path", "part", F.least(F.lit(part_bytes), F.col("length") - F.col("part")).alias("length"))
+
+    def taken(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for frame in frames:
+            begun, bodies, held = 0, [], 0
+            for at, (path, part) in enumerate(zip(frame["path"], frame["part"]), 1):
+                store, where = store_of(path, known)
+                with store.open_input_file(where) as file:
+                    bodies.append(_whole_lines(file, part, part + part_bytes))
+                held += len(bodies[-1])
+                if held >= part_bytes or len(bodies) == LINE_FILES or at == len(frame):
+                    yield frame.iloc[begun:at].assign(body=bodies)
+                    begun, bodies, held = at, [], 0
+
+    dealt = parts.repartition(file_tasks(parts), "path", "part")
+    found = dealt.mapInPandas(taken, "path string, part long, length long, body binary").where("octet_length(body) > 0")
+    text = F.regexp_replace(F.col("body").cast("string"), r"(\r\n|\r|\n)\z", "")
+    return found.select("path", "part", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "value"))
+
+
 def scan_labels(spark: SparkSession, files: DataFrame, path: str, glob: str = "*.lab") -> DataFrame:
     """Each file with the label text of its stem; running it fails where a label file is missing."""
     labels = scan_texts(spark, path, glob).withColumnRenamed("text", "label_text")
