@@ -7,6 +7,8 @@ from pyspark.sql.readwriter import DataFrameReader
 
 from tests.test_records import MODELS
 from voxframe.plans.evaluate import evaluate_chapters, evaluate_folder
+from voxframe.operators import inference
+from voxframe.plans.annotate import annotate
 from voxframe.sources import listing
 from voxframe.sources.files import parse_utterance_lines, read_lines, scan_audio
 from voxframe.sources.listing import list_files, listable
@@ -118,3 +120,15 @@ def test_salted_chapters_are_not_broadcast(spark):
     plan = parse_utterance_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [chapter" in plan and "LeftSemi" in plan
     assert "BroadcastHashJoin [chapter" not in plan
+
+
+def test_recordings_are_read_by_the_workers_of_their_models(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inference, "LOT_BYTES", 40)
+    put(tmp_path, {f"{k}.wav": ("english", "x", "bad", "much longer " * 9)[k % 4] + str(k) for k in range(70)})
+    files = scan_audio(spark, str(tmp_path), ("wav",)).select("utt_id", "rel_path", "path", "content").coalesce(1)
+    want = annotate(files.drop("path"), MODELS, pause_s=0.0)
+    made = annotate(files.drop("content"), MODELS, pause_s=0.0)
+    assert sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan and "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 4
+    assert annotate(files.drop("content").limit(0), MODELS, pause_s=0.0).count() == 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.sources.listing import read_file
+
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -33,6 +35,8 @@ FULL = Attempt("full")
 PARTS = 8
 # About so many rows are handed back at once, in whole batches of the largest size.
 HANDED_ON = 256
+# Fewer where they name files of more bytes.
+LOT_BYTES = 8 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -65,6 +69,20 @@ def _handed_on(frame: pd.DataFrame, calls: Sequence[Call]) -> Iterator[pd.DataFr
         yield frame.iloc[at : at + size]
 
 
+def _opened(frame: pd.DataFrame, calls: Sequence[Call], files: Mapping[str, str]) -> Iterator[pd.DataFrame]:
+    """Lots of whole batches with the bytes of the files they name, which are read a few MB at a time."""
+    largest, known, begun, held = max(call.batch_size for call in calls), {}, 0, 0
+    bodies: dict[str, list[bytes]] = {content: [] for content in files}
+    for at in range(0, len(frame), largest):
+        end = min(at + largest, len(frame))
+        for content, path in files.items():
+            bodies[content] += [read_file(p, known) for p in frame[path].iloc[at:end]]
+            held += sum(map(len, bodies[content][at - begun :]))
+        if held >= LOT_BYTES or end - begun >= HANDED_ON or end == len(frame):
+            yield frame.iloc[begun:end].assign(**bodies)
+            begun, held, bodies = end, 0, {content: [] for content in files}
+
+
 def _solver(call: Call) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Builds each rung's predictor once; gives the outputs, ``attempt``, ``status`` and ``error`` of a frame's rows."""
     out_names = call.out_schema.fieldNames()
@@ -209,14 +227,17 @@ def infer_stage(
     return dealt.withColumn("_made", model(F.struct(*given))).select(*df.columns, "_made.*")
 
 
-def infer_group(df: DataFrame, calls: Sequence[Call]) -> DataFrame:
+def infer_group(df: DataFrame, calls: Sequence[Call], files: Mapping[str, str] | None = None) -> DataFrame:
     """Adds the outputs of several models and ``<name>_error`` of each; the columns they share go to Python once.
 
     All models of a group are built in one worker per task and run one after the other on each batch; none may need what
-    another one returns.
+    another one returns. An input that ``files`` names is no column: the worker reads it from the file whose path is in the column
+    named there, so its bytes never pass through Spark.
     """
     calls = [_parsed(call) for call in calls]
     inputs = list(dict.fromkeys(c for call in calls for c in [*call.inputs, *([call.only] if call.only else [])]))
+    read = {content: path for content, path in (files or {}).items() if content in inputs}
+    inputs = list(dict.fromkeys(read.get(c, c) for c in inputs))
     fields = [f for call in calls for f in [*call.out_schema.fields, T.StructField(f"{call.name}_error", T.StringType())]]
     taken = set(df.columns) & {f.name for f in fields}
     if taken or len({f.name for f in fields}) < len(fields):
@@ -226,7 +247,7 @@ def infer_group(df: DataFrame, calls: Sequence[Call]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solvers = [_solver(call) for call in calls]
         for frame in frames:
-            for lot in _handed_on(frame, calls):
+            for lot in _opened(frame, calls, read) if read and len(frame) else _handed_on(frame, calls):
                 made = [solve(lot).rename(columns={"error": error})[[*outs, error]] for solve, (outs, error) in zip(solvers, names)]
                 yield pd.concat(made, axis=1)
 

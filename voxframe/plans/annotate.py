@@ -86,8 +86,10 @@ def _renaming(make: Callable[[], Predictor], stage: Stage) -> Callable[[], Predi
     return built
 
 
-def run_stages(df: DataFrame, stages: Sequence[Stage], cut_after: Collection[str] = ()) -> DataFrame:
-    """Stages one after the other; each leaves its error under ``<name>_error``.
+def run_stages(
+    df: DataFrame, stages: Sequence[Stage], cut_after: Collection[str] = (), files: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Stages one after the other; each leaves its error under ``<name>_error``. For ``files`` see ``infer_group``.
 
     Stages run in one pass over the rows, each group with a worker of its own per task. ``cut_after``
     names stages after whose group the table is written to the shared folder: models before and after
@@ -120,7 +122,7 @@ def run_stages(df: DataFrame, stages: Sequence[Stage], cut_after: Collection[str
             for s in group
         ]
         made = [c for s in group for c in [*[column for column, _ in s.outputs.values()], f"{s.name}_error"]]
-        df = infer_group(df, calls).select(*kept, *made)
+        df = infer_group(df, calls, files).select(*kept, *made)
         if any(s.name in cut_after for s in group):
             df = cut_lineage(df)
     return df
@@ -307,9 +309,12 @@ def annotate(
     third_enabled: bool | None = None,
     cut_after: Collection[str] = (),
 ) -> DataFrame:
-    """Recordings (``utt_id, rel_path, content``) through all models to ``(utt_id, rel_path, record)``."""
+    """Recordings (``utt_id, rel_path, content``) through all models to ``(utt_id, rel_path, record)``.
+
+    With ``path`` in place of ``content`` the workers of the models read the files.
+    """
     stages = recording_stages(models, speaker_attempts, pause_s, compat, language, third_enabled)
-    done = run_stages(recordings, stages, cut_after)
+    done = run_stages(recordings, stages, cut_after, None if "content" in recordings.columns else {"content": "path"})
     return to_record(with_final(done), compat=compat).select("utt_id", "rel_path", "record")
 
 

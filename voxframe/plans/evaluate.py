@@ -138,7 +138,7 @@ def evaluate_folder(
         pairs = cut_lineage(pair_strict(wanted, found.hint("merge"), "utt_id"))
         said = open_files(pairs.select("utt_id", "_label"), "_label", LABELS_AT_ONCE, file_tasks(pairs, "_size"))
         refs = cut_lineage(said.select("utt_id", label_text(F.col("content")).alias("ref")))
-        recordings = open_files(pairs.select("utt_id", "path", "rel_path"), tasks=file_tasks(pairs)).drop("path")
+        recordings = pairs.select("utt_id", "path", "rel_path").repartition(file_tasks(pairs), "path")
     else:
         # a store that only Spark's readers know is listed by them, on the driver
         files = scan_audio(spark, audio, ("wav",))
@@ -182,9 +182,9 @@ def evaluate_chapters(
     # narrow rows; the bytes of the wanted files are read by the tasks that annotate them
     wanted = cut_lineage(named.select("name", "path", "rel_path", "length", "ref"))
     chosen = first_n(wanted, first, "name") if first else wanted
-    content = open_files(chosen.select(F.col("name").alias("utt_id"), "path", "rel_path"), tasks=file_tasks(chosen)).drop("path")
+    recordings = chosen.select(F.col("name").alias("utt_id"), "path", "rel_path").repartition(file_tasks(chosen), "path")
     options = {"language": "en", "compat": compat, **options}
-    records = cut_lineage(annotate(content, models, **options))
+    records = cut_lineage(annotate(recordings, models, **options))
     return evaluate_records(records, wanted.select(F.col("name").alias("utt_id"), "ref"), "en", compat=compat)
 
 

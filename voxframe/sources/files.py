@@ -15,7 +15,7 @@ from voxframe.functions.text import strip_ws
 from voxframe.operators.ordering import first_n
 from voxframe.operators.pairing import last_wins, pair_strict
 from voxframe.session import input_bytes
-from voxframe.sources.listing import store_of
+from voxframe.sources.listing import read_file, store_of
 
 # Audio suffixes that are picked up.
 AUDIO_SUFFIXES = ("wav", "mp3", "flac", "m4a", "ogg")
@@ -84,16 +84,10 @@ def open_files(rows: DataFrame, path: str = "path", per_frame: int = 16, tasks:
 
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
-
-        def read(name: str) -> bytes:
-            store, where = store_of(name, known)
-            with store.open_input_stream(where) as stream:
-                return stream.readall()
-
         for frame in frames:
             for at in range(0, len(frame), per_frame):
                 part = frame.iloc[at : at + per_frame]
-                yield part.assign(content=[read(p) for p in part[path]])
+                yield part.assign(content=[read_file(p, known) for p in part[path]])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     # few paths can mean many bytes: they are dealt out before they are opened

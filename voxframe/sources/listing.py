@@ -26,6 +26,12 @@ def store_of(path: str, known: dict[str | None, FileSystem]) -> tuple[FileSystem
     return known[root], rest if not root or root.startswith("hdfs") else root.partition("://")[2] + rest
 
 
+def read_file(path: str, known: dict[str | None, FileSystem]) -> bytes:
+    store, where = store_of(path, known)
+    with store.open_input_stream(where) as stream:
+        return stream.readall()
+
+
 def _qualified(spark: SparkSession, path: str) -> str:
     """A path with its file system, as Spark's readers write it."""
     given = spark._jvm.org.apache.hadoop.fs.Path(path)
